@@ -25,6 +25,8 @@ BITS = 3
 WORDS = 3
 SEED = 42
 CROWDED = 64
+#: At most so many shared keys (8 bytes each) are broadcast to find their members; beyond it they are joined.
+MAX_BROADCAST_KEYS = 2_000_000
 
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
@@ -92,7 +94,7 @@ def near_pairs(prints: DataFrame, bits: int = BITS, crowded: int = CROWDED) -> D
             variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "shared"
         )
         some = shared.filter("n > 2" if most is None else f"n > 2 and n <= {most}").select("key")
-        members = materialize(variants.join(some, "key"), "members")
+        members = materialize(variants.join(F.broadcast(some) if some.count() <= MAX_BROADCAST_KEYS else some, "key"), "members")
         more = members.withColumnRenamed("fp", "a").join(members.withColumnRenamed("fp", "b"), "key").filter("a < b").filter(near)
         pairs = shared.filter("n = 2").filter(near).select("a", "b").union(more.select("a", "b"))
         found = pairs if found is None else found.union(pairs)
@@ -120,6 +122,7 @@ def simhash_components(
     of = reps.join(linked.withColumn("linked", F.lit(True)), "fp", "left").select(
         "fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")
     )
+    of = materialize(of, "components")  # so that the last join stands alone and AQE can split the fingerprint of a large group of copies
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
