@@ -25,6 +25,7 @@ PARTS = 4
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 THRESHOLD = 0.3
+MOST_WEIGHT = 20.0
 _REPEAT = 9  # the shape of a word that is the one before it again
 
 
@@ -40,7 +41,8 @@ _KIND = _kinds()
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, index and value of the non-zero features of concatenated UTF-8 rows: log counts, of length one in each row."""
+    """Row, index and value of the non-zero features of concatenated UTF-8 rows: log counts of words and pairs, and root counts of
+    triples of shapes, each of length one in a row."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)
     n = len(data)
     if not n:
@@ -70,12 +72,20 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     two = row[1:] == row[:-1]
     three = row[2:] == row[:-2]
     triple = mix((shape[:-2] * np.uint64(100) + shape[1:-1] * np.uint64(10) + shape[2:]) + np.uint64(0x5348415045))
-    rows = np.concatenate([row, row[1:][two], row[2:][three]])
-    index = np.concatenate([mix(h + np.uint64(1)), mix(h[:-1][two] * np.uint64(31) + h[1:][two]), triple[three]]) % np.uint64(DIM)
-    key, count = np.unique(rows * DIM + index.astype(np.int64), return_counts=True)
-    rows, index, value = key // DIM, key % DIM, np.log1p(count)
-    norm = np.sqrt(np.bincount(rows, weights=value * value, minlength=len(offsets) - 1))
-    return rows, index, value / norm[rows]
+    last, index = mix(h[:-1][two] * np.uint64(31) + h[1:][two]), mix(h + np.uint64(1))
+    words = _counted(np.concatenate([row, row[1:][two]]), np.concatenate([index, last]))
+    shapes = _counted(row[2:][three], triple[three])
+    tables = [(r, i, np.log1p(c)) for r, i, c in (words,)] + [(r, i, np.sqrt(c)) for r, i, c in (shapes,)]
+    lengths = [np.sqrt(np.bincount(r, weights=v * v, minlength=len(offsets) - 1)) for r, _, v in tables]
+    rows, index, value = (np.concatenate(x) for x in zip(*((r, i, v / n[r]) for (r, i, v), n in zip(tables, lengths, strict=True)), strict=True))
+    order = np.argsort(rows, kind="stable")
+    return rows[order], index[order], value[order]
+
+
+def _counted(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, index and count of hashed features, each once."""
+    key, count = np.unique(row * DIM + (h % np.uint64(DIM)).astype(np.int64), return_counts=True)
+    return key // DIM, key % DIM, count
 
 
 def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -83,11 +93,11 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def learn(z: np.ndarray, n: np.ndarray, index: np.ndarray, value: np.ndarray, label: int) -> None:
+def learn(z: np.ndarray, n: np.ndarray, index: np.ndarray, value: np.ndarray, label: int, weight: float = 1.0) -> None:
     """One update of the state, in place. The last place of the state is the intercept."""
     index, value = np.append(index, DIM), np.append(value, 1.0)
     w = weights(z[index], n[index])
-    g = (1 / (1 + np.exp(-np.clip(w @ value, -35, 35))) - label) * value
+    g = (1 / (1 + np.exp(-np.clip(w @ value, -35, 35))) - label) * value * weight
     z[index] += g - (np.sqrt(n[index] + g * g) - np.sqrt(n[index])) / ALPHA * w
     n[index] += g * g
 
@@ -111,14 +121,14 @@ def training_features(labelled: DataFrame, text_col: str, label_col: str) -> Dat
     )
 
 
-def _epoch(state: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _epoch(state: Broadcast, rare: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A pass over a part's rows, in the order of their hashed ids, from the shared state on."""
 
     def epoch(rows: pd.DataFrame) -> pd.DataFrame:
         z, n = (x.copy() for x in state.value)
         rows = rows.sort_values(["rank", "index"])
         for label, index, value in zip(rows["label"], rows["index"], rows["value"], strict=True):
-            learn(z, n, np.frombuffer(index, "<i4"), np.frombuffer(value, "<f4").astype(np.float64), label)
+            learn(z, n, np.frombuffer(index, "<i4"), np.frombuffer(value, "<f4").astype(np.float64), label, 1.0 if label else rare)
         at = np.nonzero(n)[0]
         return pd.DataFrame({"at": at, "z": z[at], "n": n[at]})
 
@@ -139,10 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = materialize(training_features(chosen, "text", "label"), "features")
     sc = docs.sparkSession.sparkContext
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
+    good, bad = sample.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).head()
+    rare = min(MOST_WEIGHT, max(1 / MOST_WEIGHT, good / bad)) if good and bad else 1.0  # label 0 counts as much as label 1 altogether
     for _ in range(EPOCHS):
         state = sc.broadcast((z, n))
-
-        parts = rows.groupBy("part").applyInPandas(_epoch(state), "at int, z double, n double")
+        parts = rows.groupBy("part").applyInPandas(_epoch(state, rare), "at int, z double, n double")
         # each weight is averaged over the parts that have met its feature; at most DIM + 1 rows come back
         mean = parts.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
         z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)

@@ -136,15 +136,26 @@ def scan_secrets(
     )
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, ratio: float = RATIO) -> DataFrame:
-    """``docs`` with the secrets of ``text_col`` replaced; all other columns, rows and nulls as they were."""
+def redact_secrets(
+    docs: DataFrame, text_col: str = "text", count_col: str | None = None, vocabulary: str = VOCABULARY, ratio: float = RATIO
+) -> DataFrame:
+    """``docs`` with the secrets of ``text_col`` replaced; all other columns, rows and nulls as they were.
+
+    ``count_col``, if given and there, gets the code points of each text that changed.
+    """
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(docs.sparkSession, vocabulary))
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoding(data.value)
         for batch in batches:
-            texts = [None if v is None else redact(v, secret_spans(v, words, ratio)) for v in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            old = batch.column(at).to_pylist()
+            new = [None if v is None else redact(v, secret_spans(v, words, ratio)) for v in old]
+            out = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            if count_col in batch.schema.names:
+                k = batch.schema.get_field_index(count_col)
+                counts = [c if a == b else len(b) for c, a, b in zip(batch.column(k).to_pylist(), old, new, strict=True)]
+                out = out.set_column(k, batch.schema.field(k), pa.array(counts, batch.schema.field(k).type))
+            yield out
 
     return docs.mapInArrow(clean, docs.schema)
