@@ -22,3 +22,6 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return put
+
+
+from tarnflow.queries import panel, rollups, scalars  # noqa: E402, F401  each registers its queries
