@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.operators.features import rank_correlation, regression_metrics
@@ -55,14 +55,13 @@ def permutation_drop(df: DataFrame, model, features: Sequence[str], label: str,
     base = rank_correlation(model.transform(df).withColumn("__all", F.lit(1)), ["__all"], label, "prediction", 1).head()
     vector = vector_to_array("features")
     out = []
-    from pyspark.sql import Window
-
     for i, name in enumerate(features):
         part = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(64))
         w = Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed + i), F.col(id_col)), F.col(id_col))
-        other = F.coalesce(F.lag(vector[i]).over(w), vector[i])
-        mixed = df.withColumn("__v", vector).withColumn("__o", other)
-        score = F.aggregate(F.zip_with(F.transform("__v", lambda x, k, i=i: F.when(k == i, F.col("__o")).otherwise(x)), F.array(*[F.lit(float(c)) for c in model.coefficients]), lambda a, b: a * b), F.lit(float(model.intercept)), lambda a, b: a + b)
+        mixed = df.withColumn("__o", F.coalesce(F.lag(vector[i]).over(w), vector[i]))
+        score = F.lit(float(model.intercept))
+        for j, c in enumerate(model.coefficients):
+            score = score + float(c) * (F.col("__o") if j == i else vector[j])
         ic = rank_correlation(mixed.withColumn("prediction", score).withColumn("__all", F.lit(1)), ["__all"], label, "prediction", 1)
         out.append(ic.select(F.lit(name).alias("feature"), (F.lit(base["ic"]) - F.col("ic")).alias("drop")))
     got = out[0]

@@ -53,7 +53,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, query_id: str, id_col:
 
 def rerank(hits: DataFrame, share: str, score: str = "score", weight: float = 0.7) -> DataFrame:
     """Hits with a blend of their score and the share of query words that they hold."""
-    return hits.withColumn("blend", F.round(weight * F.col(score) + (1 - weight) * F.col(share), 6))
+    return hits.withColumn("blend", F.round(weight * F.col(score) + (1 - weight) * F.col(share), 7))
 
 
 def keyword_share(query: Column, text: Column) -> Column:

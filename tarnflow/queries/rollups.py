@@ -252,10 +252,10 @@ def _(spark, d):
     return users(spark, d).filter("ret is not null").orderBy(F.abs(F.round("ret", 6)).desc(), "code", "dt").limit(300).select("code", "dt")
 
 
-@query("top_notice_candidates", "SELECT min(p_partkey) AS p_partkey, p_type FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part WHERE contains(p_type, 'STEEL')) WHERE rn <= 80 GROUP BY p_type")
+@query("top_notice_candidates", "SELECT min(p_partkey) AS p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part WHERE contains(p_type, 'S')) WHERE rn <= 80 GROUP BY p_name")
 def _(spark, d):
-    rows = best_per_key(table(spark, d, "part").filter(F.contains("p_type", F.lit("STEEL"))), ["p_brand"], [F.col("p_partkey")], 80)
-    return rows.groupBy("p_type").agg(F.min("p_partkey").alias("p_partkey"))
+    rows = best_per_key(table(spark, d, "part").filter(F.contains("p_type", F.lit("S"))), ["p_brand"], [F.col("p_partkey")], 80)
+    return rows.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
 
 
 @query("top_paging", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
@@ -281,9 +281,9 @@ def _(spark, d):
     return both.groupBy("id").agg(F.min("source").alias("source"))
 
 
-@query("set_symmetric_diff", "SELECT coalesce(c_custkey, o_custkey) AS k, CASE WHEN o_custkey IS NULL THEN 'left_only' ELSE 'right_only' END AS side FROM (SELECT DISTINCT c_custkey FROM customer) FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL")
+@query("set_symmetric_diff", "SELECT coalesce(c_custkey, user_id) AS k, CASE WHEN user_id IS NULL THEN 'left_only' ELSE 'right_only' END AS side FROM (SELECT DISTINCT c_custkey FROM customer) FULL JOIN (SELECT DISTINCT user_id FROM events) ON c_custkey = user_id WHERE c_custkey IS NULL OR user_id IS NULL")
 def _(spark, d):
-    return aggregates.symmetric_difference(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+    return aggregates.symmetric_difference(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "events").select(F.col("user_id").alias("k")), "k")
 
 
 @query("rs_onehot", "SELECT doc_id, CAST(lang = 'en' AS INT) AS lang_en, CAST(lang = 'de' AS INT) AS lang_de FROM documents")

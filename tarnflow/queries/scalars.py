@@ -9,9 +9,8 @@ from tarnflow.operators import joins
 from tarnflow.registry import query
 from tarnflow.sources.tables import table
 
-WORDS = ["blue", "green", "red", "steel", "small"]
 #: Rules of the examples: categories by words of a part's name or type.
-CATEGORIES = {"metal": ["STEEL", "COPPER", "BRASS", "TIN", "NICKEL"], "plated": ["PLATED", "BRUSHED"], "sized": ["SMALL", "LARGE", "MEDIUM"]}
+CATEGORIES = {"grade": ["ECONOMY", "STANDARD"], "offer": ["PROMO"], "sized": ["SMALL", "LARGE", "MEDIUM"]}
 _HAS = {k: " OR ".join(f"contains(p_type,'{w}')" for w in v) for k, v in CATEGORIES.items()}
 _HITS = {k: "least(" + "+".join(f"CAST((length(p_type)-length(replace(p_type,'{w}','')))/{len(w)} AS BIGINT)" for w in v) + ",5)" for k, v in CATEGORIES.items()}
 
@@ -55,9 +54,9 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", text.title_key(F.concat(F.lit("2024-01-31 "), "p_type", F.lit(" 20240131"), "p_name")).alias("k"))
 
 
-@query("fn_normalize_title", """SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ': ' || p_type), '\\b(?:steel|small)\\b', '', 'g'), '[\\s[:punct:]]+', '', 'g') AS t FROM part""")
+@query("fn_normalize_title", """SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ': ' || p_type), '\\b(?:red|small)\\b', '', 'g'), '[\\s[:punct:]]+', '', 'g') AS t FROM part""")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.normalize_title(F.concat_ws(": ", "p_name", "p_type"), ["steel", "small"]).alias("t"))
+    return table(spark, d, "part").select("p_partkey", text.normalize_title(F.concat_ws(": ", "p_name", "p_type"), ["red", "small"]).alias("t"))
 
 
 @query("fn_title_terms", """SELECT p_partkey, array_to_string(list_filter(string_split(lower(p_type), ' '), lambda x: length(x) >= 4), '|') AS t FROM part""")
@@ -97,10 +96,10 @@ def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.first_match(r"AN\d+", a, b).alias("c"))
 
 
-@query("fn_keyword_flag", """SELECT p_partkey, regexp_matches(p_type, '(?i)steel|copper') AS any_case, contains(p_type, 'steel') AS exact FROM part""")
+@query("fn_keyword_flag", """SELECT p_partkey, regexp_matches(p_type, '(?i)economy|promo') AS any_case, contains(p_type, 'economy') AS exact FROM part""")
 def _(spark, d):
     c = F.col("p_type")
-    return table(spark, d, "part").select("p_partkey", text.keyword_flag(c, ["steel", "copper"], True).alias("any_case"), text.keyword_flag(c, ["steel"]).alias("exact"))
+    return table(spark, d, "part").select("p_partkey", text.keyword_flag(c, ["economy", "promo"], True).alias("any_case"), text.keyword_flag(c, ["economy"]).alias("exact"))
 
 
 @query("fn_keyword_count", """SELECT doc_id, CAST((length(text)-length(replace(text,'the','')))/3 + (length(text)-length(replace(text,'ion','')))/3 AS BIGINT) AS n FROM documents""")
@@ -194,17 +193,17 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.excerpt(F.col("text")).alias("t"))
 
 
-@query("cls_category", f"""SELECT p_partkey, CASE WHEN {_HAS['metal']} THEN 'metal' WHEN {_HAS['plated']} THEN 'plated' WHEN {_HAS['sized']} THEN 'sized' ELSE 'other' END AS primary_category,
-concat_ws('|', CASE WHEN {_HAS['metal']} THEN 'metal' END, CASE WHEN {_HAS['plated']} THEN 'plated' END, CASE WHEN {_HAS['sized']} THEN 'sized' END) AS tags,
+@query("cls_category", f"""SELECT p_partkey, CASE WHEN {_HAS['grade']} THEN 'grade' WHEN {_HAS['offer']} THEN 'offer' WHEN {_HAS['sized']} THEN 'sized' ELSE 'other' END AS primary_category,
+concat_ws('|', CASE WHEN {_HAS['grade']} THEN 'grade' END, CASE WHEN {_HAS['offer']} THEN 'offer' END, CASE WHEN {_HAS['sized']} THEN 'sized' END) AS tags,
 CAST({' + '.join(_HITS.values())} AS BIGINT) AS score FROM part""")
 def _(spark, d):
     c = rules.category(F.col("p_type"), CATEGORIES)
     return table(spark, d, "part").select("p_partkey", c["primary"].alias("primary_category"), F.array_join(c["tags"], "|").alias("tags"), c["score"].cast("long").alias("score"))
 
 
-@query("cls_topics", f"""SELECT p_partkey, CASE WHEN t = '' THEN 'unclassified' ELSE t END AS topics FROM (SELECT p_partkey, concat_ws('|', CASE WHEN {_HAS['plated']} THEN 'plated' END, CASE WHEN {_HAS['sized']} THEN 'sized' END) AS t FROM part)""")
+@query("cls_topics", f"""SELECT p_partkey, CASE WHEN t = '' THEN 'unclassified' ELSE t END AS topics FROM (SELECT p_partkey, concat_ws('|', CASE WHEN {_HAS['offer']} THEN 'offer' END, CASE WHEN {_HAS['sized']} THEN 'sized' END) AS t FROM part)""")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", rules.topics(F.col("p_type"), {k: CATEGORIES[k] for k in ("plated", "sized")}).alias("topics"))
+    return table(spark, d, "part").select("p_partkey", rules.topics(F.col("p_type"), {k: CATEGORIES[k] for k in ("offer", "sized")}).alias("topics"))
 
 
 @query("cls_signal_group", """SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE 'plain' END AS g FROM orders""")
@@ -219,10 +218,11 @@ def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(named, F.concat(F.lit("type_"), f)).alias("s"))
 
 
-@query("cls_capital_subtype", """SELECT p_partkey, CASE a+b WHEN 0 THEN 'other' WHEN 2 THEN 'compound' ELSE CASE WHEN a=1 THEN 'plated' ELSE 'steel' END END AS s
-FROM (SELECT p_partkey, CAST(contains(p_type,'PLATED') AS INT) AS a, CAST(contains(p_type,'STEEL') AND NOT contains(p_type,'SMALL') AS INT) AS b FROM part)""")
+@query("cls_capital_subtype", """SELECT p_partkey, CASE a+b WHEN 0 THEN 'other' WHEN 2 THEN 'compound' ELSE CASE WHEN a=1 THEN 'promo' ELSE 'red' END END AS s
+FROM (SELECT p_partkey, CAST(contains(p_type,'PROMO') AS INT) AS a, CAST(contains(p_name,'red') AND NOT contains(p_name,'widget') AS INT) AS b FROM part)""")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", rules.compound_subtype(F.col("p_type"), {"plated": ["PLATED"], "steel": ["STEEL"]}, {"steel": ["SMALL"]}).alias("s"))
+    s = rules.compound_subtype(F.concat_ws(" ", "p_type", "p_name"), {"promo": ["PROMO"], "red": ["red"]}, {"red": ["widget"]})
+    return table(spark, d, "part").select("p_partkey", s.alias("s"))
 
 
 @query("cls_evidence_level", """SELECT p_partkey, CASE WHEN p_size > 40 THEN 3 WHEN p_size > 25 THEN 2 WHEN p_size > 10 THEN 1 ELSE 0 END AS level, CASE WHEN p_size > 40 THEN 'strong' WHEN p_size > 25 THEN 'medium' WHEN p_size > 10 THEN 'weak' ELSE 'none' END AS label FROM part""")

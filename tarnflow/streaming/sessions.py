@@ -11,7 +11,7 @@ TTL = "30 minutes"
 def stream_sessions(messages: DataFrame, key: str, ts: str, ttl: str = TTL, late: str = "1 hour") -> DataFrame:
     """Sessions of a stream: a session ends when nothing came for ``ttl``; rows later than ``late`` are passed over."""
     return (
-        messages.withWatermark(ts, late).groupBy(F.col(key), F.session_window(ts, ttl).alias("w"))
+        messages.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.col(key), F.session_window(ts, ttl).alias("w"))
         .agg(F.count("*").alias("n"), F.max(ts).alias("last"))
         .select(key, F.col("w.start").alias("start"), "last", "n")
     )
@@ -20,7 +20,8 @@ def stream_sessions(messages: DataFrame, key: str, ts: str, ttl: str = TTL, late
 def batch_sessions(messages: DataFrame, key: str, ts: str, ttl_seconds: int = 1800) -> DataFrame:
     """The same sessions from a table: a gap of ``ttl_seconds`` or more begins a new one."""
     w = Window.partitionBy(key).orderBy(ts)
-    gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
+    at = F.col(ts).cast("timestamp")
+    gap = F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))
     new = F.coalesce((gap >= ttl_seconds * 1_000_000).cast("int"), F.lit(1))
     numbered = messages.withColumn("__new", new).withColumn("__s", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "__s").agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("n")).drop("__s")
