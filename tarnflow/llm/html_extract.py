@@ -148,8 +148,8 @@ def page_items(paths: list[tuple[str, ...]]) -> list:
     root: list = []
     for path in paths:
         items = root
-        for label in path:
-            if not items or items[-1][0] != label:
+        for k, label in enumerate(path):
+            if not items or items[-1][0] != label or k == len(path) - 1:  # each text is a block of its own
                 items.append([label, False, False, []])
             items = items[-1][3]
         items.append(["#", False, False, []])
