@@ -215,7 +215,7 @@ def _(spark, d):
     return a.union(table(spark, d, "benchmark").select("item_id", F.lit("benchmark"), F.lit("auxiliary")))
 
 
-_SESSIONS = """WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS new FROM events), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM x)
+_SESSIONS = """WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM x)
 SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM y GROUP BY user_id, s"""
 
 

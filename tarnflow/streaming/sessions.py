@@ -18,11 +18,11 @@ def stream_sessions(messages: DataFrame, key: str, ts: str, ttl: str = TTL, late
 
 
 def batch_sessions(messages: DataFrame, key: str, ts: str, ttl_seconds: int = 1800) -> DataFrame:
-    """The same sessions from a table: a gap of ``ttl_seconds`` or more begins a new one."""
+    """The same sessions from a table: a gap of more than ``ttl_seconds`` begins a new one."""
     w = Window.partitionBy(key).orderBy(ts)
     at = F.col(ts).cast("timestamp")
     gap = F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))
-    new = F.coalesce((gap >= ttl_seconds * 1_000_000).cast("int"), F.lit(1))
+    new = F.coalesce((gap > ttl_seconds * 1_000_000).cast("int"), F.lit(1))
     numbered = messages.withColumn("__new", new).withColumn("__s", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "__s").agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("n")).drop("__s")
 
