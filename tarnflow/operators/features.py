@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.text import safe_ratio
 from tarnflow.operators.joins import align_forward, asof_backward
-from tarnflow.operators.windows import average_rank, end_value, event_sums, peer_mean_ex_self, pre_value
+from tarnflow.operators.windows import average_ranks, end_value, event_sums, peer_mean_ex_self, pre_value
 
 
 def daily_panel(rows: DataFrame, key: str, ts: str, value: str) -> DataFrame:
@@ -75,8 +75,7 @@ def yoy(df: DataFrame, key: str, period: str, x: str, slack: int = 20) -> DataFr
 def rank_correlation(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3, out: str = "ic") -> DataFrame:
     """Spearman correlation per group over rows with both values (0 where one is constant), and their number."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    keys = [F.col(c) for c in by]
-    ranked = rows.select(*by, average_rank(keys, F.col(x)).alias("__x"), average_rank(keys, F.col(y)).alias("__y"))
+    ranked = average_ranks(average_ranks(rows.select(*by, x, y), by, x, "__x"), by, y, "__y")
     pop = (F.stddev_pop("__x") > 0) & (F.stddev_pop("__y") > 0)
     got = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(pop, F.covar_pop("__x", "__y") / F.nullif(F.stddev_pop("__x") * F.stddev_pop("__y"), F.lit(0.0))).otherwise(0.0).alias(out))
     return got.filter(F.col("n") >= least)

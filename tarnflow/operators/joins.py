@@ -76,19 +76,20 @@ def nearest_in_range(left: DataFrame, right: DataFrame, key: str, unique: Sequen
     return pairs.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def overlap_counts(events: DataFrame, key: str, id_col: str, at: str, start: str, end: str, kind: str) -> DataFrame:
-    """For each event how many others of its key are at a date within its closed window, and their kinds.
+def overlap_counts(events: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+    """``events`` with how many others of their key are at a date within their closed window, and whether none is.
 
-    Other events are counted per key and date first; an event then meets dates, not events, so many events
-    of one date don't multiply.
+    Events are counted per key and day, and the running count is looked up at both ends of each window by as-of
+    joins: the work grows with the events, not with their pairs.
     """
-    per_day = events.groupBy(F.col(key).alias("__k"), F.col(at).alias("__at")).agg(F.count("*").alias("__n"), F.collect_set(kind).alias("__kinds"))
-    hit = (F.col(key) == F.col("__k")) & F.col("__at").between(F.col(start), F.col(end))
-    joined = events.join(per_day, hit, "left").groupBy(id_col).agg(
-        F.first(key).alias(key), (F.coalesce(F.sum("__n"), F.lit(0)) - F.max(F.when(F.col(at).between(F.col(start), F.col(end)), 1).otherwise(0))).alias("n_overlap"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__kinds")))).alias("kinds_in_window"),
-    )
-    return joined.withColumn("is_clean", F.col("n_overlap") == 0)
+    per_day = events.filter(F.col(at).isNotNull()).groupBy(key, F.col(at).alias("__day")).agg(F.count("*").alias("__n"))
+    running = F.sum("__n").over(Window.partitionBy(key).orderBy("__day"))
+    cum = per_day.withColumn("__upto", running).withColumn("__before", F.col("__upto"))
+    out = asof_backward(events, cum, key, end, "__day", ["__upto"]).drop("right_date", "days_since")
+    out = asof_backward(out, cum, key, start, "__day", ["__before"], strict=True).drop("right_date", "days_since")
+    own = F.coalesce(F.col(at).between(F.col(start), F.col(end)), F.lit(False)).cast("long")
+    n = F.coalesce(F.col("__upto"), F.lit(0)) - F.coalesce(F.col("__before"), F.lit(0)) - own
+    return out.withColumn("n_overlap", n).withColumn("is_clean", n == 0).drop("__upto", "__before")
 
 
 def lookup(df: DataFrame, mapping: dict[str, str], column: str, out: str, other: str | None = None) -> DataFrame:

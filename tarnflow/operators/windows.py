@@ -73,6 +73,43 @@ def average_rank(by: Sequence[Column], x: Column) -> Column:
     return F.when(x.isNotNull(), F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2.0)
 
 
+def _cut(df: DataFrame, by: Sequence[str], x: str, parts: int = 128) -> DataFrame:
+    """``df`` with ``__part``: which of about equal parts of its group a value lies in, by approximate quantiles of the group."""
+    at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = df.groupBy(*[F.col(c).alias(f"__b_{c}") for c in by]).agg(F.percentile_approx(x, at, 10000).alias("__cuts"))
+    on = [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in by]
+    part = F.size(F.filter("__cuts", lambda c: c < F.col(x)))
+    return df.join(cuts, on).withColumn("__part", part).drop("__cuts", *[f"__b_{c}" for c in by])
+
+
+def average_ranks(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
+    """Average ranks within large groups, exact, without a window over a whole group; null for null.
+
+    Different values are counted, cut into parts by quantiles of the group, ranked within their part, and
+    moved on by what the parts before hold; ranks go back by an equality join.
+    """
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__n"))
+    counts = _cut(counts, by, x)
+    order = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.groupBy(*by, "__part").agg(F.sum("__n").alias("__t")).withColumn("__ahead", F.coalesce(F.sum("__t").over(order), F.lit(0))).drop("__t")
+    ahead = ahead.select(*[F.col(c).alias(f"__b_{c}") for c in (*by, "__part")], "__ahead")
+    both = counts.join(ahead, [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in (*by, "__part")])
+    end = F.col("__ahead") + F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy(x))
+    ranks = both.select(*[F.col(c).alias(f"__r_{c}") for c in (*by, x)], (end - (F.col("__n") - 1) / 2.0).alias(out))
+    return df.join(ranks, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in (*by, x)], "left").drop(*[f"__r_{c}" for c in (*by, x)])
+
+
+def positions(df: DataFrame, by: Sequence[str], x: str, tie: str, out: str) -> DataFrame:
+    """Row numbers of non-null values within large groups by value and tie, exact, without a window over a whole group."""
+    rows = _cut(df.filter(F.col(x).isNotNull()), by, x)
+    order = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy(*by, "__part").agg(F.count("*").alias("__t")).withColumn("__ahead", F.coalesce(F.sum("__t").over(order), F.lit(0))).drop("__t")
+    ahead = ahead.select(*[F.col(c).alias(f"__b_{c}") for c in (*by, "__part")], "__ahead")
+    both = rows.join(ahead, [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in (*by, "__part")]).drop(*[f"__b_{c}" for c in (*by, "__part")])
+    number = F.col("__ahead") + F.row_number().over(Window.partitionBy(*by, "__part").orderBy(x, tie))
+    return both.withColumn(out, number).drop("__ahead", "__part").unionByName(df.filter(F.col(x).isNull()).withColumn(out, F.lit(None).cast("long")))
+
+
 def percentile_rank(df: DataFrame, by: Sequence[str], x: str, least: int = 4, out: str = "pct_rank") -> DataFrame:
     """Average rank over the number of values in the group, where it has ``least`` values."""
     n = F.count(x).over(Window.partitionBy(*by))
@@ -117,12 +154,12 @@ def range_counts(left: DataFrame, right: DataFrame, key: str, left_date: str, ri
     return both.withColumns(out).filter("__row is not null").select("__row.*", *out)
 
 
-def quantile_buckets(df: DataFrame, x: str, tie: str, q: int, by: Sequence[str] = (), out: str = "bucket") -> DataFrame:
-    """Buckets 1 to q of equal share by rank (ties by ``tie``); null for null. Rank within groups, or over all rows if ``by`` is empty."""
-    w = Window.partitionBy(*by, F.col(x).isNull())
-    r, n = F.row_number().over(w.orderBy(x, tie)), F.count("*").over(w)
-    bucket = F.greatest(F.lit(1), F.ceil((r - 1) * q / F.greatest(n - 1, F.lit(1)))).cast("int")
-    return df.withColumn(out, F.when(F.col(x).isNotNull(), bucket))
+def quantile_buckets(df: DataFrame, x: str, tie: str, q: int, by: Sequence[str], out: str = "bucket") -> DataFrame:
+    """Buckets 1 to q of equal share by rank within groups (ties by ``tie``); null for null."""
+    n = df.groupBy(*[F.col(c).alias(f"__n_{c}") for c in by]).agg(F.count(x).alias("__n"))
+    both = positions(df, by, x, tie, "__r").join(n, [F.col(c).eqNullSafe(F.col(f"__n_{c}")) for c in by])
+    bucket = F.greatest(F.lit(1), F.ceil((F.col("__r") - 1) * q / F.greatest(F.col("__n") - 1, F.lit(1)))).cast("int")
+    return both.withColumn(out, F.when(F.col(x).isNotNull(), bucket)).drop("__r", "__n", *[f"__n_{c}" for c in by])
 
 
 def best_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:

@@ -212,7 +212,7 @@ def _(spark, d):
 @query("join_range_overlap", f"WITH {ORDERS} SELECT a.o_orderkey, count(b.o_orderkey) AS n_overlap, count(b.o_orderkey) = 0 AS is_clean FROM ord a LEFT JOIN ord b ON a.o_custkey = b.o_custkey AND b.o_orderkey <> a.o_orderkey AND b.d BETWEEN a.d - 5 AND a.d + 20 GROUP BY 1")
 def _(spark, d):
     o = orders(spark, d).withColumns({"start": F.date_sub("d", 5), "end": F.date_add("d", 20)})
-    return joins.overlap_counts(o, "o_custkey", "o_orderkey", "d", "start", "end", "o_orderpriority").select("o_orderkey", "n_overlap", "is_clean")
+    return joins.overlap_counts(o, "o_custkey", "d", "start", "end").select("o_orderkey", "n_overlap", "is_clean")
 
 
 _SEG = "seg AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey)"

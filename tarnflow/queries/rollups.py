@@ -90,7 +90,7 @@ def _(spark, d):
     out = None
     for n in (5, 20):
         o = orders(spark, d).withColumns({"start": F.col("d"), "end": F.date_add("d", n)})
-        x = joins.overlap_counts(o, "o_custkey", "o_orderkey", "d", "start", "end", "o_orderpriority").join(o.select("o_orderkey", "o_orderpriority"), "o_orderkey")
+        x = joins.overlap_counts(o, "o_custkey", "d", "start", "end")
         s = x.groupBy("o_orderpriority").agg(F.lit(f"p{n}").alias("w"), F.count_if(~F.col("is_clean")).alias("dirty"), F.count_if(F.col("is_clean")).alias("clean"))
         out = s if out is None else out.union(s)
     return out

@@ -56,7 +56,7 @@ def test_as_of_joins(spark):
 def test_overlap_leaves_itself_out(spark):
     rows = [("a", i, D(d), D(d) - dt.timedelta(days=1), D(d) + dt.timedelta(days=5), c) for i, d, c in ((1, "2024-01-01", "x"), (2, "2024-01-06", "y"), (3, "2024-02-01", "x"))]
     df = spark.createDataFrame(rows, "k string, i int, d date, s date, e date, c string")
-    got = {r.i: (r.n_overlap, r.is_clean) for r in joins.overlap_counts(df, "k", "i", "d", "s", "e", "c").collect()}
+    got = {r.i: (r.n_overlap, r.is_clean) for r in joins.overlap_counts(df, "k", "d", "s", "e").collect()}
     assert got == {1: (1, False), 2: (0, True), 3: (0, True)}
 
 
@@ -75,9 +75,10 @@ def test_range_pairs_and_counts_against_brute_force(spark):
 
 def test_buckets_and_ranks(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(11)] + [(99, None)], "i int, x double")
-    got = {r.i: r.bucket for r in windows.quantile_buckets(df, "x", "i", 5).collect()}
+    got = {r.i: r.bucket for r in windows.quantile_buckets(df.withColumn("g", F.lit(None).cast("string")), "x", "i", 5, ["g"]).collect()}
     assert got[0] == 1 and got[10] == 5 and got[99] is None and [got[i] for i in (2, 3, 4, 5)] == [1, 2, 2, 3]
     ties = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 2.0), (4, 3.0)], "i int, x double").withColumn("g", F.lit(1))
+    assert [r.k for r in windows.average_ranks(ties, ["g"], "x", "k").orderBy("i").collect()] == [1.5, 1.5, 3.0, 4.0]
     assert [r.pct_rank for r in windows.percentile_rank(ties, ["g"], "x").orderBy("i").collect()] == [0.375, 0.375, 0.75, 1.0]
 
 
