@@ -17,8 +17,8 @@ from tarnflow.llm.common import materialize
 WEIGHTS = (5, 2, 1)
 MOST = 3
 STEPS = 60
-#: Documents of one source and size class are ranked in so many parts, so that no part holds them all.
-SALTS = 256
+#: Documents of one source and size class are ranked by hashed id, in parts by the hash's first hex digits, so that no part holds them all.
+DIGITS = 2
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -74,6 +74,10 @@ def _round_classes(rate: Column, classes: Column, most: int) -> Column:
     return F.aggregate(classes, start, put, lambda s: s["out"])
 
 
+def _hashed_id() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 ) -> DataFrame:
@@ -90,7 +94,7 @@ def mix_sources(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("skey"), size.alias("size"))
     low = F.greatest(F.lit(0), F.length(F.bin("size")) - 7)
     rows = materialize(
-        rows.withColumn("low", low).withColumn("class", F.expr("shiftleft(shiftright(size, low), low)")).drop("low").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))),
+        rows.withColumn("low", low).withColumn("class", F.expr("shiftleft(shiftright(size, low), low)")).drop("low").withColumn("salt", F.substring(_hashed_id(), 1, DIGITS)),
         "sizes",
     )
     targets = source_targets(rows, weights, most).withColumn("rate", tilted_rate(F.col("source_size").cast("double"), F.col("target"), most))
@@ -103,7 +107,7 @@ def mix_sources(
     ahead = Window.partitionBy("skey", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(classes.select("skey", "class", "count"), ["skey", "class"]).join(copies, ["skey", "class"])
     parts = materialize(parts.drop("n", "words"), "copies")
-    rank = F.row_number().over(Window.partitionBy("skey", "class", "salt").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")).cast("long")
+    rank = F.row_number().over(Window.partitionBy("skey", "class", "salt").orderBy(_hashed_id(), "doc_id")).cast("long")
     ranked = rows.withColumn("rank", rank).join(parts, ["skey", "class", "salt"])
     ranked = ranked.withColumn("copies", F.expr("((ahead + rank) * class_copies) div count - ((ahead + rank - 1) * class_copies) div count"))
     return ranked.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")

@@ -77,6 +77,11 @@ def _masks(blocks: int, wild: int = BITS) -> list[int]:
     return [sum(block << (width * b) for b in range(blocks) if b not in out) for out in combinations(range(blocks), wild)]
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Keys to be broadcast if they are few, else to be joined as they are."""
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+
+
 def near_pairs(prints: DataFrame, bits: int = BITS, crowded: int = CROWDED) -> DataFrame:
     """``a, b`` (a < b): all pairs of different fingerprints ``fp`` that differ in ``bits`` (3 at most) or fewer.
 
@@ -94,14 +99,14 @@ def near_pairs(prints: DataFrame, bits: int = BITS, crowded: int = CROWDED) -> D
             variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "shared"
         )
         some = shared.filter("n > 2" if most is None else f"n > 2 and n <= {most}").select("key")
-        members = materialize(variants.join(F.broadcast(some) if some.count() <= MAX_BROADCAST_KEYS else some, "key"), "members")
+        members = materialize(variants.join(_small(some), "key"), "members")
         more = members.withColumnRenamed("fp", "a").join(members.withColumnRenamed("fp", "b"), "key").filter("a < b").filter(near)
         pairs = shared.filter("n = 2").filter(near).select("a", "b").union(more.select("a", "b"))
         found = pairs if found is None else found.union(pairs)
         hot = shared.filter(f"n > {most}").select("key") if most else None
         if hot is None or not hot.limit(1).count():
             break
-        at = materialize(variants.join(hot, "key").select("fp").distinct(), "crowded")
+        at = materialize(variants.join(_small(hot), "key").select("fp").distinct(), "crowded")
     return found.distinct()
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tarnflow.llm import oracles
 from tarnflow.llm.chat_format import format_preferences
 from tarnflow.llm.decontaminate import find_contamination
 from tarnflow.llm.embed_dedup import embedding_near_dups
@@ -19,7 +21,7 @@ from tarnflow.llm.secrets import scan_secrets
 from tarnflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_chat_format": oracles.CHAT_FORMAT, "op9_mix_sources": oracles.MIX_SOURCES}
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -69,7 +71,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.withColumns({"target": F.round("target", 6), "rate": F.round("rate", 9)})
 
 
 @_query
