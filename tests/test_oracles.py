@@ -20,7 +20,7 @@ def sql():
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and np.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and np.isnan(value)):
         return None
     if isinstance(value, (pd.Timestamp, np.datetime64)) or type(value).__name__ in ("date", "datetime"):
         return str(pd.Timestamp(value))
