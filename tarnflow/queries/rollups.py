@@ -145,7 +145,7 @@ def _(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.min_by("o_orderkey", F.struct((-F.col("o_totalprice")).alias("a"), "o_orderkey")).alias("best"))
 
 
-@query("agg_group_evidence", """SELECT o_custkey, sum(n) AS hits, count(*) AS n_groups, string_agg(o_orderpriority, '|' ORDER BY o_orderpriority) FILTER (rn <= 3) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) AS rn FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)) GROUP BY 1""")
+@query("agg_group_evidence", """SELECT o_custkey, CAST(sum(n) AS BIGINT) AS hits, count(*) AS n_groups, string_agg(o_orderpriority, '|' ORDER BY o_orderpriority) FILTER (rn <= 3) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) AS rn FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)) GROUP BY 1""")
 def _(spark, d):
     g = table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
     top = best_per_key(g, ["o_custkey"], [F.col("n").desc(), F.col("o_orderpriority")], 3).groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderpriority")), "|").alias("refs"))
@@ -159,7 +159,7 @@ def _(spark, d):
     return lengths.select("n", strategies).groupBy("width").agg(F.count("*").alias("docs"), F.sum(F.ceil(F.col("n") / F.col("width"))).cast("long").alias("chunks"))
 
 
-@query("agg_quality_kpis", "SELECT count(*) AS docs, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, sum(length(text)) AS chars FROM documents")
+@query("agg_quality_kpis", "SELECT count(*) AS docs, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").agg(F.count("*").alias("docs"), F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("langs"), F.sum(F.length("text")).alias("chars"))
 

@@ -124,7 +124,7 @@ def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(v[0], 6).alias("a"), F.round(v[1], 6).alias("b"))
 
 
-@query("fn_profit_range", """SELECT o_orderkey, round(least(o_orderkey*1.0, o_custkey*1.0)*0.01, 6) AS lo, round(greatest(o_orderkey*1.0, o_custkey*1.0)*0.01, 6) AS hi FROM orders""")
+@query("fn_profit_range", """SELECT o_orderkey, round(least(o_orderkey, o_custkey)::DOUBLE * 0.01, 6) AS lo, round(greatest(o_orderkey, o_custkey)::DOUBLE * 0.01, 6) AS hi FROM orders""")
 def _(spark, d):
     r = text.profit_range(F.concat(F.lit("expects a profit of "), "o_orderkey", F.lit(" ~ "), "o_custkey", F.lit(" million")))
     return _orders(spark, d).select("o_orderkey", F.round(r["low"], 6).alias("lo"), F.round(r["high"], 6).alias("hi"))
