@@ -95,13 +95,11 @@ def near_pairs(prints: DataFrame, bits: int = BITS, crowded: int = CROWDED) -> D
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     for n, key, most in levels:
         variants = at.select("fp", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select(key.alias("key"), "fp")
-        shared = materialize(
-            variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "shared"
-        )
-        some = shared.filter("n > 2" if most is None else f"n > 2 and n <= {most}").select("key")
-        members = materialize(variants.join(_small(some), "key"), "members")
-        more = members.withColumnRenamed("fp", "a").join(members.withColumnRenamed("fp", "b"), "key").filter("a < b").filter(near)
-        pairs = shared.filter("n = 2").filter(near).select("a", "b").union(more.select("a", "b"))
+        shared = materialize(variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+        some = shared if most is None else shared.filter(f"n <= {most}")
+        members = materialize(variants.join(_small(some.select("key")), "key"), "members")
+        met = members.withColumnRenamed("fp", "a").join(members.withColumnRenamed("fp", "b"), "key").filter("a < b")
+        pairs = met.filter(near).select("a", "b")
         found = pairs if found is None else found.union(pairs)
         hot = shared.filter(f"n > {most}").select("key") if most else None
         if hot is None or not hot.limit(1).count():
