@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.functions.text import safe_ratio
-from tarnflow.operators.joins import align_forward, asof_backward
+from tarnflow.operators.joins import align_forward, asof_backward, nearest_in_range
 from tarnflow.operators.windows import average_ranks, end_value, event_sums, peer_mean_ex_self, pre_value
 
 
@@ -63,8 +63,6 @@ def forecast_surprise(events: DataFrame, forecasts: DataFrame, key: str, date: s
 
 def yoy(df: DataFrame, key: str, period: str, x: str, slack: int = 20) -> DataFrame:
     """The value a year before (``slack`` days either way, the earliest), and the change from it over its size."""
-    from tarnflow.operators.joins import nearest_in_range
-
     base = df.select(key, F.col(period).alias("base_period"), F.col(x).alias("base_value"))
     pairs = nearest_in_range(df, base, key, [key, period], period, "base_period", -365 - slack, -365 + slack, -365 - slack)
     pairs = pairs.select(F.col(key).alias("__k"), F.col(period).alias("__p"), "base_period", "base_value")
