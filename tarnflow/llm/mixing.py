@@ -108,7 +108,8 @@ def mix_sources(
     parts = parts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(classes.select("skey", "class", "count"), ["skey", "class"]).join(copies, ["skey", "class"])
     parts = materialize(parts.drop("n", "words"), "copies")
     rank = F.row_number().over(Window.partitionBy("skey", "class", "salt").orderBy(_hashed_id(), "doc_id")).cast("long")
-    ranked = rows.withColumn("rank", rank).join(parts, ["skey", "class", "salt"])
+    # the rows lie by these keys already; as a file the parts are far smaller than in memory, so Spark would broadcast them
+    ranked = rows.withColumn("rank", rank).join(parts.hint("merge"), ["skey", "class", "salt"])
     ranked = ranked.withColumn("copies", F.expr("((ahead + rank) * class_copies) div count - ((ahead + rank - 1) * class_copies) div count"))
     return ranked.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
