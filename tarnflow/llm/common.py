@@ -28,8 +28,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``most`` bytes, one row at least: bounds what a step keeps in memory."""
+def slices(offsets: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``most`` bytes, one row at least: a step keeps some hundred times that in memory."""
     n, start = len(offsets) - 1, 0
     while start < n:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)

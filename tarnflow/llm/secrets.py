@@ -12,7 +12,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,12 +138,21 @@ def scan_secrets(
     )
 
 
+def _replaced(batch: pa.RecordBatch, column: int, values: dict[int, object]) -> pa.RecordBatch:
+    """The batch with new values in some rows (in order) of a column."""
+    mask = np.zeros(batch.num_rows, bool)
+    mask[list(values)] = True
+    field = batch.schema.field(column)
+    new = pc.replace_with_mask(batch.column(column), pa.array(mask), pa.array(list(values.values()), field.type))
+    return batch.set_column(column, field, new)
+
+
 def redact_secrets(
     docs: DataFrame, text_col: str = "text", count_col: str | None = None, vocabulary: str = VOCABULARY, ratio: float = RATIO
 ) -> DataFrame:
     """``docs`` with the secrets of ``text_col`` replaced; all other columns, rows and nulls as they were.
 
-    ``count_col``, if given and there, gets the code points of each text that changed.
+    ``count_col``, if given and there (an integer column), gets the code points of each text that changed.
     """
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(docs.sparkSession, vocabulary))
     at = docs.columns.index(text_col)
@@ -149,13 +160,14 @@ def redact_secrets(
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoding(data.value)
         for batch in batches:
-            old = batch.column(at).to_pylist()
-            new = [None if v is None else redact(v, secret_spans(v, words, ratio)) for v in old]
-            out = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            changed: dict[int, str] = {}
+            for i, value in enumerate(batch.column(at)):
+                text = value.as_py()
+                if text and (new := redact(text, secret_spans(text, words, ratio))) != text:
+                    changed[i] = new
+            out = _replaced(batch, at, changed)
             if count_col in batch.schema.names:
-                k = batch.schema.get_field_index(count_col)
-                counts = [c if a == b else len(b) for c, a, b in zip(batch.column(k).to_pylist(), old, new, strict=True)]
-                out = out.set_column(k, batch.schema.field(k), pa.array(counts, batch.schema.field(k).type))
+                out = _replaced(out, batch.schema.get_field_index(count_col), {i: len(t) for i, t in changed.items()})
             yield out
 
     return docs.mapInArrow(clean, docs.schema)
