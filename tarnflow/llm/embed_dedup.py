@@ -1,9 +1,9 @@
-"""Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
+"""Embedding near-duplicates by exact cosines between shards of a label.
 
-Vectors of one label are dealt over shards of bounded size, each with a graph of its own. Every vector
-queries every shard of its label. Beams widen until an audit against brute force on part of a shard finds
-nearly all links, and for a query whose beam is full of links. Cosines are verified in double
-precision; components are unions of the verified links.
+Vectors of one label are dealt over shards of bounded size, and every shard meets every shard of its
+label. Cosines of all pairs come from products of blocks in double precision, so that no link is missed
+beside a large group; components are unions of the links. ``Graph`` is a navigable small-world graph
+for searches that may miss some.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ EF = 32
 AUDIT = 512
 RECALL = 0.99
 _BATCH = 256
-#: Single precision finds candidates; a little below the limit is verified too.
-_SLACK = 1e-4
 
 
 def _diverse(x: np.ndarray, sims: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -166,41 +164,12 @@ class Graph:
         return out
 
 
-def _layers_out(g: Graph) -> list[bytes]:
-    return [b"".join(layer[i].tobytes() for layer in g.layers[: int(g.level[i]) + 1]) for i in range(len(g.x))]
-
-
-def _layers_in(x: np.ndarray, level: np.ndarray, links: list[bytes], m: int = M) -> Graph:
-    g = Graph.__new__(Graph)
-    g.x, g.m, g.level = x, m, level
-    g.layers = [np.full((len(x), 2 * m if i == 0 else m), -1, np.int32) for i in range(int(level.max(initial=0)) + 1)]
-    for i, raw in enumerate(links):
-        flat = np.frombuffer(raw, np.int32)
-        g.layers[0][i] = flat[: 2 * m]
-        for k in range(1, int(level[i]) + 1):
-            g.layers[k][i] = flat[2 * m + (k - 1) * m : 2 * m + k * m]
-    g.entry = np.nonzero(level == len(g.layers) - 1)[0][:4]
-    return g
-
-
 def _unit(raw: list) -> np.ndarray:
     v = np.stack([np.asarray(r, np.float64) for r in raw])
     v /= np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("rep").reset_index(drop=True)
-    g = Graph(_unit(rows["embedding"]).astype(np.float32))
-    return rows.assign(level=g.level.astype(np.int32), links=_layers_out(g))
-
-
-def _found(g: Graph, q: np.ndarray, ef: int, least: float, own: np.ndarray | None, hits: np.ndarray) -> None:
-    for i in range(0, len(q), 512):
-        for k, ids in enumerate(g.near(q[i : i + 512], ef, least - _SLACK, None if own is None else own[i : i + 512])):
-            hits[i + k, ids] = True
-
-
 def audited_beam(g: Graph, q: np.ndarray, least: float, own: np.ndarray | None, ef: int = EF, audit: int = AUDIT, recall: float = RECALL) -> int:
     """The beam at which queries spread over ``q`` find ``recall`` of their links in ``g``; as wide as the shard if none less does."""
     some = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
@@ -219,26 +188,13 @@ def _linked(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     """Links between two shards (or within one): for each vector how many others it links, and a forest of the links."""
     sides = [part.sort_values("rep").reset_index(drop=True) for _, part in rows.groupby("shard")]
     exact = [_unit(s["embedding"]) for s in sides]
-    graphs = [_layers_in(e.astype(np.float32), s["level"].to_numpy(np.int64), list(s["links"])) for e, s in zip(exact, sides, strict=True)]
+    left, right = exact[0], exact[-1]
+    hits = np.zeros((len(left), len(right)), bool)
+    for i in range(0, len(left), 256):
+        hits[i : i + 256] = left[i : i + 256] @ right.T >= least
     if len(sides) == 1:
-        own = np.arange(len(exact[0]))
-        hits = np.zeros((len(own), len(own)), bool)
-        _found(graphs[0], graphs[0].x, audited_beam(graphs[0], graphs[0].x, least, own), least, own, hits)
         hits |= hits.T
         np.fill_diagonal(hits, False)
-    else:
-        a, b = graphs
-        hits, back = np.zeros((len(a.x), len(b.x)), bool), np.zeros((len(b.x), len(a.x)), bool)
-        _found(b, a.x, audited_beam(b, a.x, least, None), least, None, hits)
-        _found(a, b.x, audited_beam(a, b.x, least, None), least, None, back)
-        hits |= back.T
-    left, right = exact[0], exact[-1]
-    for i in range(0, len(left), 256):
-        r, c = np.nonzero(hits[i : i + 256])
-        for s in range(0, len(r), 100_000):
-            rr, cc = r[s : s + 100_000] + i, c[s : s + 100_000]
-            bad = np.einsum("nd,nd->n", left[rr], right[cc]) < least
-            hits[rr[bad], cc[bad]] = False
     names, sizes = [s["rep"].to_numpy() for s in sides], [s["n"].to_numpy() for s in sides]
     found = [(names[0], hits @ sizes[-1])] + ([(names[1], hits.T @ sizes[0])] if len(sides) == 2 else [])
     counts = pd.concat([pd.DataFrame({"u": u, "v": u, "n": n})[n > 0] for u, n in found])
@@ -269,8 +225,7 @@ def embedding_near_dups(
     Null, empty or zero vectors, those with null or non-finite components, and those without a label link
     with nothing. Equal vectors of a label are searched for once and count as links of each other, so
     repeated rows do too. A null id names no component (its row has a null one if it stands alone). An
-    empty table gives no rows; other columns are not read. All found links are real; the share found is
-    audited in each shard.
+    empty table gives no rows; other columns are not read. All links are found.
     """
     e = F.col(vector_col).cast("array<double>")
     valid = F.col(label_col).isNotNull() & F.coalesce(F.size(e) > 0, F.lit(False))
@@ -285,8 +240,8 @@ def embedding_near_dups(
     shards = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     dealt = classes.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.col("k2"), F.col("shards")).cast("int"))
     dealt = dealt.select("label", "dim", "shards", "shard", "rep", "n", "embedding")
-    built = materialize(dealt.groupBy("label", "dim", "shard").applyInPandas(_build, T.StructType([*dealt.schema.fields, T.StructField("level", T.IntegerType()), T.StructField("links", T.BinaryType())])), "graphs")
-    to = built.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    dealt = materialize(dealt, "dealt")
+    to = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     to = to.withColumn("a", F.least("shard", "other")).withColumn("b", F.greatest("shard", "other"))
     links = materialize(to.groupBy("label", "dim", "a", "b").applyInPandas(lambda pdf: _linked(pdf, least), "u long, v long, n long"), "links")
     counts = links.filter("u = v").groupBy("u").agg(F.sum("n").alias("links"))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 
 from tarnflow.llm import embed_dedup as op
 
@@ -73,3 +74,17 @@ def test_repeated_rows_and_empty_table(spark):
     got = op.embedding_near_dups(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.n_links, r.component_id) for r in got] == [(2, 1)] * 3
     assert op.embedding_near_dups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pairs_between_shards_beside_a_large_group():
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(1500, 48))
+    group = rng.normal(size=48) + rng.normal(size=(1200, 48)) * 0.02
+    sides = [np.concatenate([a, group[:600]]), np.concatenate([a + rng.normal(size=a.shape) * 0.08, group[600:]])]
+    rows = pd.concat(pd.DataFrame({"shard": s, "rep": np.arange(len(x)) + s * 10_000, "n": 1, "embedding": x.tolist()}) for s, x in enumerate(sides))
+    got = op._linked(rows, op.COSINE)
+    counts = got[got["u"] == got["v"]].set_index("u")["n"]
+    truth = op._unit(list(sides[0])) @ op._unit(list(sides[1])).T >= op.COSINE
+    assert truth[:1500].any(axis=1).sum() > 1000
+    assert [counts.get(i, 0) for i in range(2100)] == truth.sum(axis=1).tolist()
+    assert [counts.get(i + 10_000, 0) for i in range(2100)] == truth.sum(axis=0).tolist()
