@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model of order four per language, learnt from counts over all training texts. The models share
-sorted arrays of packed 64-bit character n-grams, with a row of log-probabilities (one per language) beside
-each. A text gets the language of the lowest cross-entropy per character; a cross-entropy beyond what
+One model of order four per language, learnt from counts over all training texts; no gram is left out. The
+models share sorted arrays of packed 64-bit character n-grams; beside each gram lie the log-probabilities of
+the languages that have it. A text gets the language of the lowest cross-entropy per character; a cross-entropy beyond what
 the language's own training texts show marks the prediction as not accepted.
 """
 
@@ -21,8 +21,6 @@ from tarnflow.llm.common import materialize, slices, text_buffers
 
 ORDER = 4
 UNDETERMINED = "und"
-#: Bytes that the broadcast models may take; beyond it, grams of the highest order seen too seldom are left out of the model.
-MAX_MODEL_BYTES = 128_000_000
 #: Characters that the score's posterior counts at most, so that it stays calibrated for long texts.
 EVIDENCE = 40
 #: Part of a language's own training texts whose cross-entropy may lie beyond its limit.
@@ -125,31 +123,56 @@ def _estimate(key: np.ndarray, n: np.ndarray, lower: np.ndarray) -> tuple[np.nda
     return np.maximum(n - cut, 0) / total[of] + left[of] * lower, context, left
 
 
+def _rows(keys: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows over the sorted ``keys``: where each begins, and the languages and values of all, from each language's keys and values."""
+    at = [np.searchsorted(keys, key).astype(np.int32) for key, _ in parts]
+    size = np.zeros(len(keys) + 1, np.int64)
+    for rows in at:
+        size[rows + 1] += 1
+    begin = np.cumsum(size)
+    place, lang, value = begin[:-1].copy(), np.zeros(begin[-1], np.int16), np.zeros(begin[-1], np.float32)
+    for k, (rows, (_, v)) in enumerate(zip(at, parts, strict=True)):
+        lang[place[rows]], value[place[rows]] = k, v
+        place[rows] += 1
+    return begin, lang, value
+
+
 @dataclass
 class Models:
-    """Sorted gram arrays with a column per language; of order k at place k - 1."""
+    """Sorted gram arrays with sparse rows of values per language; of order k at place k - 1."""
 
     langs: list[str]
     keys: list[np.ndarray]
+    begin: list[np.ndarray]
+    lang: list[np.ndarray]
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
+    lam_begin: list[np.ndarray]
+    lam_lang: list[np.ndarray]
     loglam: list[np.ndarray]
     floor: float
 
+    def _dense(self, key: np.ndarray, keys: np.ndarray, begin: np.ndarray, lang: np.ndarray, value: np.ndarray, missing: float) -> np.ndarray:
+        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        n = np.where(keys[i] == key, begin[i + 1] - begin[i], 0)
+        out = np.full((len(key), len(self.langs)), missing, np.float32)
+        at = np.repeat(begin[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(key)), n), lang[at]] = value[at]
+        return out
+
     def lookup(self, key: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Log-probability of the last character of each gram, per language; unseen grams go to the lower order."""
+        """Log-probability of the last character of each gram, per language; where a language lacks the gram, by its lower order."""
         if order == 0:
             return np.full((len(key), len(self.langs)), self.floor, np.float32)
-        mine = key & _KEEP[order - 1]
-        i = np.minimum(np.searchsorted(self.keys[order - 1], mine), len(self.keys[order - 1]) - 1)
-        out = self.logp[order - 1][i]
-        lost = np.nonzero(self.keys[order - 1][i] != mine)[0]
+        grams, of = np.unique(key & _KEEP[order - 1], return_inverse=True)
+        k = order - 1
+        out = self._dense(grams, self.keys[k], self.begin[k], self.lang[k], self.logp[k], np.nan)
+        lost = np.nonzero(np.isnan(out).any(axis=1))[0]
         if len(lost):
-            low = self.lookup(mine[lost], order - 1)
-            context = mine[lost] >> np.uint64(16)
-            j = np.minimum(np.searchsorted(self.contexts[order - 1], context), len(self.contexts[order - 1]) - 1)
-            out[lost] = low + np.where((self.contexts[order - 1][j] == context)[:, None], self.loglam[order - 1][j], 0)
-        return out
+            low = self.lookup(grams[lost], order - 1)
+            low += self._dense(grams[lost] >> np.uint64(16), self.contexts[k], self.lam_begin[k], self.lam_lang[k], self.loglam[k], 0)
+            out[lost] = np.where(np.isnan(out[lost]), low, out[lost])
+        return out[of]
 
 
 def fit_models(langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> Models:
@@ -162,44 +185,39 @@ def fit_models(langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) ->
             tables.insert(0, (low, m.astype(np.float64)))
         every.append(tables)
     letters_seen = max(2, len(np.unique(np.concatenate([t[0][0] for t in every]))) + 1)
-    models = Models(langs, [], [], [], [], float(np.log(1 / letters_seen)))
+    floor = float(np.log(1 / letters_seen))
+    models = Models(langs, [], [], [], [], [], [], [], [], floor)
+    below: list[tuple[np.ndarray, np.ndarray]] = []
     for order in range(1, ORDER + 1):
-        keys = np.unique(np.concatenate([t[order - 1][0] for t in every]))
-        low = np.exp(models.lookup(keys, order - 1).astype(np.float64))
-        parts = []
+        grams_of, contexts_of = [], []
         for lang, tables in enumerate(every):
             key, n = tables[order - 1]
-            p, context, left = _estimate(key, n, low[np.searchsorted(keys, key), lang])
-            parts.append((key, p, context, left))
-        contexts = np.unique(np.concatenate([x[2] for x in parts]))
-        logp = np.zeros((len(keys), len(langs)), np.float32)
-        loglam = np.zeros((len(contexts), len(langs)), np.float32)
-        for lang, (key, p, context, left) in enumerate(parts):
-            loglam[np.searchsorted(contexts, context), lang] = np.log(left)
-            at = keys >> np.uint64(16)
-            logp[:, lang] = np.log(low[:, lang]) + loglam[np.searchsorted(contexts, at), lang]
-            logp[np.searchsorted(keys, key), lang] = np.log(p)
-        for held, new in ((models.keys, keys), (models.logp, logp), (models.contexts, contexts), (models.loglam, loglam)):
+            # a language that has a gram has its lower order too
+            low = np.exp(below[lang][1][np.searchsorted(below[lang][0], key & _KEEP[order - 2])]) if order > 1 else np.full(len(key), np.exp(floor))
+            p, context, left = _estimate(key, n, low)
+            grams_of.append((key, np.log(p)))
+            contexts_of.append((context, np.log(left)))
+        below = grams_of
+        keys, contexts = (np.unique(np.concatenate([x[0] for x in parts])) for parts in (grams_of, contexts_of))
+        rows, lams = _rows(keys, grams_of), _rows(contexts, contexts_of)
+        for held, new in zip((models.keys, models.begin, models.lang, models.logp, models.contexts, models.lam_begin, models.lam_lang, models.loglam), (keys, *rows, contexts, *lams), strict=True):
             held.append(new)
     return models
 
 
-def train_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MAX_MODEL_BYTES) -> Models:
+def train_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Models:
     """Models of all languages in ``docs`` (rows with a null language or text are left out); counts come from all whole texts."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = materialize(count_grams(known, text_col, lang_col), "grams")
     langs = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
-    least = 1
-    while counts.filter(f"n >= {least}").select("gram").distinct().count() * (8 + 4 * len(langs)) > most:
-        least += 1
     tables = []
     for name in langs:  # a language's grams at a time, as Arrow columns
-        got = counts.filter((F.col("n") >= least) & (F.col("lang") == name)).select("gram", "n").toArrow()
+        got = counts.filter(F.col("lang") == name).select("gram", "n").toArrow()
         key, m = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
         order = np.argsort(key)
         tables.append((key[order], m[order]))
     kept = [(name, t) for name, t in zip(langs, tables, strict=True) if len(t[0])]
-    return fit_models([k for k, _ in kept], [t for _, t in kept]) if kept else Models([], [], [], [], [], 0.0)
+    return fit_models([k for k, _ in kept], [t for _, t in kept]) if kept else Models([], [], [], [], [], [], [], [], [], 0.0)
 
 
 def entropies(models: Models, data: np.ndarray, offsets: np.ndarray, at_once: int = 500_000) -> tuple[np.ndarray, np.ndarray]:

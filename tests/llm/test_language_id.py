@@ -62,3 +62,17 @@ def test_nothing_to_learn_from(spark):
     got = op.identify_languages(spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")).collect()
     assert len(got) == 1 and 0 <= got[0].score <= 1
     assert op.identify_languages(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_no_gram_is_left_out_with_many_languages(spark):
+    rng = np.random.default_rng(5)
+    langs = [f"l{i:03d}" for i in range(200)]
+    words = ["".join(chr(0x4E00 + c) for c in rng.integers(0, 4000, 900)) for _ in langs]
+    docs = spark.createDataFrame(list(zip(words, langs, strict=True)), "text string, lang string")
+    models = op.train_models(docs)  # 180,000 grams by 200 languages: 145 MB with a value for each language
+    assert models.langs == langs
+    assert len(models.keys[3]) == op.count_grams(docs, "text", "lang").select("gram").distinct().count()
+    held = [a for order in (models.keys, models.logp, models.lang, models.begin, models.contexts, models.loglam, models.lam_lang, models.lam_begin) for a in order]
+    assert sum(a.nbytes for a in held) < 40_000_000
+    data = np.frombuffer(words[7].encode(), np.uint8)
+    assert op.entropies(models, data, np.array([0, len(data)]))[0].argmin() == 7
