@@ -25,7 +25,10 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 #: Strings that may be random: runs of the characters of base64, its URL form and hex in capitals.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Parts of such a run are judged too; one of fewer characters says too little.
+PART = re.compile(r"[A-Za-z0-9+=]+")
+LEAST_PART = 20
 #: Digests and identifiers that are public by nature: UUIDs, digests in capitals of usual lengths, and strings behind the name of a digest.
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}|[0-9a-f]+")
@@ -64,20 +67,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_dense(word: str, vocabulary: tiktoken.Encoding, ratio: float = RATIO) -> bool:
-    """Whether a candidate mixes letters and digits and has few characters per token."""
-    if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+    """Whether a candidate mixes letters with digits, or letters of both cases, and has few characters per token."""
+    if sum((any(c.isdigit() for c in word), any(c.islower() for c in word), any(c.isupper() for c in word))) < 2:
         return False
     return len(word) < ratio * len(vocabulary.encode_ordinary(word))
 
 
+def _stretches(word: str, vocabulary: tiktoken.Encoding, ratio: float) -> Iterator[tuple[int, int]]:
+    """Neighbouring parts of a run (between '/', '-' and '_', beside UUIDs) that each have few characters per token."""
+    masked = UUID.sub(lambda m: " " * len(m[0]), word)
+    start = end = -1
+    for m in PART.finditer(masked):
+        few = len(m[0]) < ratio * len(vocabulary.encode_ordinary(m[0]))
+        if start >= 0 and not (few and m.start() == end + 1 and masked[end] != " "):
+            yield start, end
+            start = -1
+        if few:
+            start, end = (m.start() if start < 0 else start), m.end()
+    if start >= 0:
+        yield start, end
+
+
 def dense_spans(text: str, vocabulary: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int, int]]:
+    """Runs that are dense as a whole, and of other runs the stretches that are."""
+
+    def secret(start: int, end: int) -> bool:
+        word = text[start:end]
+        public = UUID.search(word) or DIGEST.fullmatch(word) or DIGEST_NAME.search(text[max(0, start - 16) : start])
+        return not public and is_dense(word, vocabulary, ratio)
+
     found = []
     for m in CANDIDATE.finditer(text):
-        word = m[0]
-        if UUID.search(word) or DIGEST.fullmatch(word) or DIGEST_NAME.search(text[max(0, m.start() - 16) : m.start()]):
-            continue
-        if is_dense(word, vocabulary, ratio):
+        if secret(m.start(), m.end()):
             found.append((m.start(), 3, m.end()))
+        elif not DIGEST_NAME.search(text[max(0, m.start() - 16) : m.start()]):
+            parts = [(m.start() + a, 3, m.start() + b) for a, b in _stretches(m[0], vocabulary, ratio) if b - a >= LEAST_PART]
+            found += [p for p in parts if secret(p[0], p[2])]
     return found
 
 

@@ -51,3 +51,20 @@ def test_redacted_table_keeps_all_else(spark):
     assert got.columns == docs.columns
     assert {tuple(r) for r in got.collect()} == {(1, "[ASSIGN]", 8, "s"), (2, None, None, None), (3, "calm", 9, "s")}
     assert op.redact_secrets(docs.limit(0)).count() == 0
+
+
+def test_random_strings_behind_names_and_in_paths():
+    words = op.encoding(open(op.VOCABULARY, "rb").read())
+    random = "Zk9qL2xV7pT0bW4nR8sYcD1f"
+    path = "usr/local/share/documentation/frontend/components/navigation/templates/"
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    for before, after in (("SESSION_KEY=", ""), ("AWS_SECRET_ACCESS_KEY=", "\n"), ("https://example.org/file?sig=", "&x=1"), ("https://example.org/?a=b&k=", ""), ("/" + path, "/" + path),
+                          ("some-long-descriptive-name-of-the-document-", ""), ("configuration_of_the_production_database_", "_and_other_settings"), (f"{path}{uuid}/", ""), ("x ", "==")):
+        text = before + random + after
+        [(start, _, end)] = op.dense_spans(text, words)
+        assert random in text[start:end] and not (start < len(before) and before.endswith("=")), text
+        assert random not in op.redact(text, op.secret_spans(text, words))
+    for text in (path, f"{path}{uuid}/index", "MAXIMUM_NUMBER_OF_CONNECTIONS=default_number_of_connections", "x=2024/01/02/03/04/05/06/07/08", 'integrity="sha512-' + random * 2 + '"'):
+        assert op.dense_spans(text, words) == [], text
+    letters = "ZkqLxVpTbWnRsYcDfGhJqXw"
+    assert op.dense_spans(f"key={letters} and theFunctionThatReturnsTheNameOfTheUser", words) == [(4, 3, 4 + len(letters))]
