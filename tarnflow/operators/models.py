@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.operators.features import rank_correlation, regression_metrics
+from tarnflow.session import materialize
 
 
 def prepare(df: DataFrame, features: Sequence[str], train: Column, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -95,55 +96,79 @@ def _unpack(blocks: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return a, blocks[[f"b_{i}" for i in range(k)]].to_numpy(float)
 
 
-#: Clusters whose blocks come to the driver at most: each is k * k numbers.
-MAX_CLUSTERS = 100_000
+def _totals(blocks: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Summed X'X and X'y, the number of clusters, and the factor of small samples: one row comes to the driver."""
+    names = [c for c in blocks.columns if c.startswith(("a_", "b_"))]
+    row = blocks.agg(F.count("*").alias("g"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).toPandas()
+    a, b = _unpack(row, k)
+    g, n = int(row["g"][0]), int(row["n"][0])
+    return a[0], b[0], g, (g / max(g - 1, 1)) * ((n - 1) / max(n - k, 1))
 
 
 def cluster_ols(df: DataFrame, cluster: str, y: str, xs: Sequence[str]) -> DataFrame:
-    """``term, coef, se, t``: least squares with cluster-robust errors, from blocks that Spark sums per cluster."""
+    """``term, coef, se, t``: least squares with cluster-robust errors, from blocks that Spark sums per cluster and over clusters."""
     k = len(xs) + 1
-    found = cluster_blocks(df, cluster, y, xs)
-    if found.count() > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    blocks = found.orderBy(cluster).toPandas()
-    a, b = _unpack(blocks, k)
-    inv = np.linalg.pinv(a.sum(axis=0))
-    beta = inv @ b.sum(axis=0)
-    u = b - a @ beta  # each cluster's score
-    n, g = blocks["n"].sum(), len(blocks)
-    v = inv @ (u.T @ u) @ inv * (g / max(g - 1, 1)) * ((n - 1) / max(n - k, 1))
+    blocks = materialize(cluster_blocks(df, cluster, y, xs).drop(cluster), "blocks")
+    a, b, _, scale = _totals(blocks, k)
+    inv = np.linalg.pinv(a)
+    beta = inv @ b
+    u = [F.col(f"b_{i}") - sum(F.col(f"a_{min(i, j)}_{max(i, j)}") * float(beta[j]) for j in range(k)) for i in range(k)]  # each cluster's score
+    sums = blocks.agg(*[F.coalesce(F.sum(u[i] * u[j]), F.lit(0.0)).alias(f"{i}_{j}") for i in range(k) for j in range(k)]).head()
+    v = inv @ np.array(sums, float).reshape(k, k) @ inv * scale
     se = np.sqrt(np.diag(v))
     rows = [(t, float(c), float(s), float(c / s) if s > 0 else None) for t, c, s in zip(["const", *xs], beta, se, strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double")
 
 
+#: Draws whose signs a task holds at once for a batch of clusters.
+_DRAWS = 128
+
+
+def _signs(clusters: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """A sign for each cluster's hash and draw; draw 0 is the data as it is."""
+    h = clusters.view(np.uint64)[:, None] ^ ((draws.astype(np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return np.where((draws == 0)[None, :] | ((h >> np.uint64(63)) == 0), 1.0, -1.0)
+
+
 def wild_bootstrap(df: DataFrame, cluster: str, y: str, xs: Sequence[str], term: str, draws: int = 999, seed: int = 7) -> DataFrame:
-    """``t, p``: restricted wild cluster bootstrap of one coefficient with signs drawn per cluster; draws run as tasks."""
+    """``t, p``: restricted wild cluster bootstrap of one coefficient with signs drawn per cluster.
+
+    Tasks sum the signed scores of their clusters for each draw; only sums over all clusters leave them.
+    """
     k, at = len(xs) + 1, 1 + list(xs).index(term)
-    blocks = cluster_blocks(df, cluster, y, xs).orderBy(cluster).limit(MAX_CLUSTERS).toPandas()
-    a, b = _unpack(blocks, k)
-    total = a.sum(axis=0)
+    blocks = cluster_blocks(df, cluster, y, xs).withColumn("key", F.xxhash64(cluster)).drop(cluster)
+    blocks = materialize(blocks, "blocks")
+    total, b, _, scale = _totals(blocks, k)
     inv = np.linalg.pinv(total)
     keep = [i for i in range(k) if i != at]
     null = np.zeros(k)
-    null[keep] = np.linalg.pinv(total[np.ix_(keep, keep)]) @ b.sum(axis=0)[keep]
-    fit, score = a @ null, b - a @ null
-    n, g = blocks["n"].sum(), len(blocks)
-    scale = (g / max(g - 1, 1)) * ((n - 1) / max(n - k, 1))
-
-    def t_of(bs: np.ndarray) -> float:
-        beta = inv @ bs.sum(axis=0)
-        u = bs - a @ beta
-        return float(beta[at] / np.sqrt(max((inv @ (u.T @ u) @ inv)[at, at] * scale, 1e-300)))
+    null[keep] = np.linalg.pinv(total[np.ix_(keep, keep)]) @ b[keep]
+    # a draw moves the coefficients by d = inv @ sum(w * score); of a cluster's new score u the term takes inv[at] @ u = w * q - v @ d
+    names = [f"s_{i}" for i in range(k)] + [f"c_{i}" for i in range(k)] + ["qq"] + [f"v_{i}_{j}" for i in range(k) for j in range(k)]
 
-    shared = df.sparkSession.sparkContext.broadcast((fit, score))
-
-    def draw(batches):
-        fit, score = shared.value
+    def sums(batches):
+        held = np.zeros((draws + 1, 2 * k))
+        fixed = np.zeros(1 + k * k)
         for rows in batches:
-            ts = [t_of(fit + score * np.random.default_rng([seed, int(i)]).choice([-1.0, 1.0], len(score))[:, None]) for i in rows["id"]]
-            yield pd.DataFrame({"t": ts})
-
-    observed = t_of(b)
-    ts = df.sparkSession.range(draws).mapInPandas(draw, "t double")
-    return ts.agg(F.lit(observed).alias("t"), F.avg((F.abs("t") >= abs(observed)).cast("double")).alias("p"), F.count("*").alias("draws"))
+            a, b = _unpack(rows, k)
+            score = b - a @ null
+            q, v = score @ inv[at], a @ inv[at]
+            parts = np.concatenate([score, q[:, None] * v], axis=1)
+            fixed += np.concatenate([[q @ q], (v.T @ v).ravel()])
+            for i in range(0, draws + 1, _DRAWS):
+                some = np.arange(i, min(i + _DRAWS, draws + 1))
+                held[some] += _signs(rows["key"].to_numpy(np.int64), some, seed).T @ parts
+        out = pd.DataFrame(np.concatenate([held, np.repeat(fixed[None, :], draws + 1, axis=0)], axis=1), columns=names)
+        out.insert(0, "draw", np.arange(draws + 1))
+        yield out
+
+    parts = blocks.mapInPandas(sums, ", ".join(["draw long", *[f"{c} double" for c in names]]))
+    got = parts.groupBy("draw").agg(*[F.sum(c).alias(c) for c in names]).orderBy("draw").toPandas()  # a row for each draw
+    d = got[names[:k]].to_numpy(float) @ inv
+    spread = got["qq"].to_numpy(float) - 2 * (d * got[names[k : 2 * k]].to_numpy(float)).sum(axis=1)
+    spread += np.einsum("ni,nij,nj->n", d, got[names[2 * k + 1 :]].to_numpy(float).reshape(-1, k, k), d)
+    ts = d[:, at] / np.sqrt(np.maximum(spread * scale, 1e-300))
+    p = float((np.abs(ts[1:]) >= abs(ts[0])).mean()) if draws and len(ts) else None
+    return df.sparkSession.createDataFrame([(float(ts[0]) if len(ts) else 0.0, p, draws)], "t double, p double, draws long")

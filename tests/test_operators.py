@@ -170,3 +170,24 @@ def test_cluster_ols_against_numpy(spark):
     se = np.sqrt(np.diag(inv @ meat @ inv) * (10 / 9) * (199 / 198))
     assert np.allclose([got["const"].coef, got["x"].coef], beta) and np.allclose([got["const"].se, got["x"].se], se)
     assert models.wild_bootstrap(df, "g", "y", ["x"], "x", 99).head().p < 0.05
+
+
+def test_inference_over_more_clusters_than_a_driver_should_hold(spark):
+    import math
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    g = 120_000
+    df = spark.range(g).select("id", (F.col("id") % 7).cast("double").alias("x"), ((F.col("id") % 7) * 0.01 + F.col("id") % 11 + F.when(F.col("id") >= 100_000, 5).otherwise(0)).alias("y"))
+    x, y = np.arange(g) % 7, (np.arange(g) % 7) * 0.01 + np.arange(g) % 11 + np.where(np.arange(g) >= 100_000, 5, 0)
+    m = np.column_stack([np.ones(g), x])
+    inv = np.linalg.inv(m.T @ m)
+    beta = inv @ (m.T @ y)
+    u = m * (y - m @ beta)[:, None]
+    t = beta[1] / np.sqrt((inv @ (u.T @ u) @ inv)[1, 1] * (g / (g - 1)) * ((g - 1) / (g - 2)))
+    got = {r.term: r for r in models.cluster_ols(df, "id", "y", ["x"]).collect()}
+    assert np.isclose(got["x"].coef, beta[1]) and np.isclose(got["x"].t, t)
+    row = models.wild_bootstrap(df, "id", "y", ["x"], "x", 199).head()
+    assert np.isclose(row.t, t) and row.draws == 199
+    assert abs(row.p - 2 * (1 - 0.5 * (1 + math.erf(abs(t) / math.sqrt(2))))) < 0.12
