@@ -27,24 +27,37 @@ SELECT conv_id, CASE WHEN pair THEN best_id ELSE conv_id END AS chosen_id, CASE
 
 
 MIX_SOURCES = r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS o, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 e AS (SELECT *, greatest(0, CAST(length(bin(size)) AS BIGINT) - 7) AS low FROM d),
-f AS (SELECT doc_id, source, size, (size >> CAST(low AS INT)) << CAST(low AS INT) AS class FROM e),
+f AS (SELECT doc_id, source, o, size, (size >> CAST(low AS INT)) << CAST(low AS INT) AS class FROM e),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM f GROUP BY source),
 lim AS (SELECT *, source_size::DOUBLE * 3 AS lim FROM per),
 lev AS (SELECT *, greatest(0, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM lim),
 tar AS (SELECT source, source_size, least(lim, max(level) OVER () * weight) AS target FROM lev),
-rat AS (SELECT *, CASE WHEN source_size > 0 AND target > 0 THEN least(target / source_size, 3.0) ELSE 0 END AS rate FROM tar),
 cls AS (SELECT f.source, class, count(*) AS n, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (PARTITION BY f.source ORDER BY class DESC) AS k FROM f GROUP BY f.source, class),
+mean AS (SELECT sum(words * CASE WHEN class > 0 THEN log2(class) ELSE 0 END) / greatest(sum(words), 1) AS at, 1.0 * sum(words) AS ridge FROM cls),
+cell AS (SELECT c.source, c.words, log2(c.class) - m.at AS z FROM cls c, mean m WHERE c.words > 0),
+-- Newton steps on the dual: lam of each source that is below its limit, mu for length
+dual AS (
+  SELECT CAST(0 AS INT) AS step, source, target, CASE WHEN target >= source_size * 3::DOUBLE * (1 - 1e-9) THEN 'infinity'::DOUBLE ELSE ln(target / source_size) END AS lam, CAST(0 AS DOUBLE) AS mu FROM tar WHERE target > 0
+  UNION ALL
+  SELECT step + 1, source, target, CASE WHEN lam < 'infinity'::DOUBLE THEN lam + greatest(-1, least(1, coalesce((target - got - b * move) / nullif(h, 0), -1))) ELSE lam END, mu + move
+  FROM (SELECT *, greatest(-1, least(1, -(sum(m) OVER () + ridge * mu + sum(CASE WHEN lam < 'infinity'::DOUBLE AND h > 0 THEN b / h * (target - got) ELSE 0 END) OVER ())
+      / (sum(CASE WHEN lam < 'infinity'::DOUBLE THEN c - CASE WHEN h > 0 THEN b * b / h ELSE 0 END ELSE 0 END) OVER () + ridge))) AS move
+    FROM (SELECT step, source, any_value(target) AS target, any_value(lam) AS lam, any_value(mu) AS mu, any_value(ridge) AS ridge, sum(wr) AS got, sum(wh) AS h, sum(wh * z) AS b, sum(wh * z * z) AS c, sum(wr * z) AS m
+      FROM (SELECT d.*, c.z, n.ridge, c.words * CASE WHEN d.lam + d.mu * c.z < ln(3) THEN exp(d.lam + d.mu * c.z) ELSE 3 END AS wr, CASE WHEN d.lam + d.mu * c.z < ln(3) THEN c.words * exp(d.lam + d.mu * c.z) ELSE 0 END AS wh
+        FROM dual d JOIN cell c ON c.source IS NOT DISTINCT FROM d.source, mean n WHERE d.step < 30) GROUP BY step, source))),
+rat AS (SELECT c.source, c.class, t.source_size, t.target, round(CASE WHEN d.lam IS NULL THEN 0 ELSE least(exp(d.lam + d.mu * CASE WHEN c.class > 0 THEN log2(c.class) - m.at ELSE 0 END), 3) END, 9) AS rate
+  FROM cls c JOIN tar t ON t.source IS NOT DISTINCT FROM c.source LEFT JOIN (SELECT * FROM dual WHERE step = 30) d ON d.source IS NOT DISTINCT FROM c.source, mean m),
 fold AS (
-  SELECT source, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS class, CAST(0 AS BIGINT) AS copies, CAST(0 AS DOUBLE) AS carry FROM rat
+  SELECT source, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS class, CAST(0 AS BIGINT) AS copies, CAST(0 AS DOUBLE) AS carry FROM tar
   UNION ALL
   SELECT source, k, class, copies, want - copies * words::DOUBLE / n FROM (
     SELECT c.source, c.k, c.class, c.words, c.n, r.rate * c.words + o.carry AS want,
       greatest(0, least(CAST(round(CASE WHEN c.words > 0 THEN (r.rate * c.words + o.carry) / (c.words::DOUBLE / c.n) ELSE r.rate * c.n END) AS BIGINT), c.n * 3)) AS copies
-    FROM fold o JOIN cls c ON c.source IS NOT DISTINCT FROM o.source AND c.k = o.k + 1 JOIN rat r ON r.source IS NOT DISTINCT FROM c.source)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source, class ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) AS i, count(*) OVER (PARTITION BY source, class) AS n FROM f),
+    FROM fold o JOIN cls c ON c.source IS NOT DISTINCT FROM o.source AND c.k = o.k + 1 JOIN rat r ON r.source IS NOT DISTINCT FROM c.source AND r.class = c.class)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source, class ORDER BY o, doc_id, size) AS i, count(*) OVER (PARTITION BY source, class) AS n FROM f),
 taken AS (SELECT a.doc_id, a.size, r.source_size, r.target, r.rate, (a.i * o.copies) // a.n - ((a.i - 1) * o.copies) // a.n AS copies
-  FROM ranked a JOIN fold o ON o.source IS NOT DISTINCT FROM a.source AND o.class = a.class JOIN rat r ON r.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies, round(rate, 9) AS rate FROM taken"""
+  FROM ranked a JOIN fold o ON o.source IS NOT DISTINCT FROM a.source AND o.class = a.class JOIN rat r ON r.source IS NOT DISTINCT FROM a.source AND r.class = a.class)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies, rate FROM taken"""

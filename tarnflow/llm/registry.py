@@ -72,7 +72,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.withColumns({"target": F.round("target", 6), "rate": F.round("rate", 9)})
+    return mixed.withColumn("target", F.round("target", 6))
 
 
 @_query

@@ -53,4 +53,42 @@ def test_edges(spark):
     assert [(r.taken, r.target) for r in got] == [(0, 0.0), (0, 0.0)]
     docs = spark.createDataFrame([(1, "a b c", "s", "x"), (None, "a", "s", "x")], SCHEMA)
     assert op.take_mix(docs).columns == [*docs.columns, "copies", "taken"]
-    assert [r.copies for r in op.take_mix(docs).collect()] == [1]
+    assert [r.copies for r in op.take_mix(docs).collect()] == [1, 1]
+
+
+def test_repeated_ids_in_any_order_of_rows(spark):
+    rows = [(5, " ".join(["w"] * n), "s", str(n)) for n in (300, 301, 299)] + [(None, f"{'a ' * n}end", "s", "x") for n in range(30)] + [(9, "w " * 2000, "t", "x")] * 3
+    orders = [rows, rows[::-1], rows[7:] + rows[:7]]
+    got = [sorted(map(str, op.mix_sources(spark.createDataFrame(r, SCHEMA).repartition(n)).collect())) for r, n in zip(orders, (1, 2, 3))]
+    assert got[0] == got[1] == got[2]
+    taken = [sorted((r.text, r.size, r.mix_copies) for r in op.take_mix(spark.createDataFrame(r, SCHEMA).withColumnRenamed("doc_id", "id").selectExpr("id as doc_id", "text", "source", "size", "1 as copies")).collect()) for r in orders]
+    assert taken[0] == taken[1] == taken[2] and any(t.endswith("end") for t, _, _ in taken[0])
+
+
+def test_dual_against_brute_force(spark):
+    """Coordinate descent on the same dual: bisection for each source and for the length, in turn, until nothing moves."""
+    rng = random.Random(4)
+    cells = {s: [(rng.uniform(-2, 2), rng.randint(1, 1000)) for _ in range(6)] for s in "abcd"}
+    sizes = {s: sum(w for _, w in c) for s, c in cells.items()}
+    target = {"a": 0.4 * sizes["a"], "b": 2.6 * sizes["b"], "c": 3.0 * sizes["c"], "d": 1.1 * sizes["d"]}
+    lam, mu, ridge = dict.fromkeys("abd", 0.0), 0.0, op.RIDGE * sum(sizes.values())
+    rate = lambda s, z, lam, mu: 3.0 if s == "c" else min(3.0, math.exp(lam[s] + mu * z))
+
+    def bisect(f):
+        low, high = -60.0, 60.0
+        for _ in range(120):
+            mid = (low + high) / 2
+            low, high = (mid, high) if f(mid) < 0 else (low, mid)
+        return low
+
+    for _ in range(200):
+        for s in lam:
+            lam[s] = bisect(lambda x: sum(w * rate(s, z, {s: x}, mu) for z, w in cells[s]) - target[s])
+        mu = bisect(lambda x: sum(w * z * rate(s, z, lam, x) for s, c in cells.items() for z, w in c) + ridge * x)
+    df = spark.createDataFrame([(s, z, w) for s, c in cells.items() for z, w in c], "skey string, z double, words long")
+    state, got = op._newton(df, spark.createDataFrame([(s, sizes[s], target[s]) for s in cells], "skey string, source_size long, target double"))
+    found = {r.skey: r.lam for r in state.collect()}
+    assert math.isclose(got, mu, rel_tol=1e-5, abs_tol=1e-7) and abs(mu) > 0.01
+    assert found.pop("c") == math.inf and all(math.isclose(found[s], lam[s], rel_tol=1e-5, abs_tol=1e-6) for s in lam)
+    for s in lam:
+        assert math.isclose(sum(w * rate(s, z, found, got) for z, w in cells[s]), target[s], rel_tol=1e-9)
