@@ -1,9 +1,10 @@
-"""Embedding near-duplicates by exact cosines between shards of a label.
+"""Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
-Vectors of one label are dealt over shards of bounded size, and every shard meets every shard of its
-label. Cosines of all pairs come from products of blocks in double precision, so that no link is missed
-beside a large group; components are unions of the links. ``Graph`` is a navigable small-world graph
-for searches that may miss some.
+Vectors of one label are dealt over shards of bounded size, each with a graph of its own. Every vector
+queries every shard of its label. Beams widen until an audit against brute force on part of the queries finds
+nearly all links of each, not only of all together, so that a large group hides no small one. A query whose
+beam is full of links has more than a beam shows: it is compared with the whole shard. Cosines are verified
+in double precision; components are unions of the verified links.
 """
 
 from __future__ import annotations
@@ -22,9 +23,14 @@ SHARD = 8192
 M = 12
 EF_BUILD = 48
 EF = 32
+#: Queries of a shard that an audit draws, and those among them with a link that it needs; it draws more until it has them.
 AUDIT = 512
-RECALL = 0.99
+LINKED = 64
+#: Share of its links that an audited query finds on average, of the queries that have any.
+RECALL = 0.995
 _BATCH = 256
+#: Single precision finds candidates; a little below the limit is verified too.
+_SLACK = 1e-4
 
 
 def _diverse(x: np.ndarray, sims: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -142,26 +148,32 @@ class Graph:
         ids = np.where(np.isfinite(sims), ids, -1)
         return np.take_along_axis(sims, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
-    def near(self, q: np.ndarray, ef: int, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
-        """For each query the rows found with a similarity of ``least`` or more; full beams are widened, in the end to all rows."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
-        todo = np.arange(len(q))
-        while len(todo):
-            if ef >= len(self.x):
-                for i in todo:
-                    out[i] = np.nonzero(self.x @ q[i] >= least)[0]
-                break
-            entry = np.repeat(self.entry[None, :], len(todo), axis=0)
-            for layer in range(len(self.layers) - 1, 0, -1):
-                entry = self.search(q[todo], entry, 1, layer)[1]
-            if own is not None:
-                entry = np.concatenate([entry, own[todo][:, None]], axis=1)
-            sims, ids = self.search(q[todo], entry, ef)
-            full = sims[:, -1] >= least
-            for i in np.nonzero(~full)[0]:
-                out[todo[i]] = ids[i][sims[i] >= least]
-            todo, ef = todo[full], ef * 2
-        return out
+    def near(self, q: np.ndarray, ef: int, least: float, own: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each query the rows found with a similarity of ``least`` or more, and which queries' beams are full of them."""
+        entry = np.repeat(self.entry[None, :], len(q), axis=0)
+        for layer in range(len(self.layers) - 1, 0, -1):
+            entry = self.search(q, entry, 4, layer)[1]
+        if own is not None:
+            entry = np.concatenate([entry, own[:, None]], axis=1)
+        sims, ids = self.search(q, entry, min(ef, len(self.x)))
+        return [r[x >= least] for r, x in zip(ids, sims, strict=True)], sims[:, -1] >= least
+
+
+def _layers_out(g: Graph) -> list[bytes]:
+    return [b"".join(layer[i].tobytes() for layer in g.layers[: int(g.level[i]) + 1]) for i in range(len(g.x))]
+
+
+def _layers_in(x: np.ndarray, level: np.ndarray, links: list[bytes], m: int = M) -> Graph:
+    g = Graph.__new__(Graph)
+    g.x, g.m, g.level = x, m, level
+    g.layers = [np.full((len(x), 2 * m if i == 0 else m), -1, np.int32) for i in range(int(level.max(initial=0)) + 1)]
+    for i, raw in enumerate(links):
+        flat = np.frombuffer(raw, np.int32)
+        g.layers[0][i] = flat[: 2 * m]
+        for k in range(1, int(level[i]) + 1):
+            g.layers[k][i] = flat[2 * m + (k - 1) * m : 2 * m + k * m]
+    g.entry = np.nonzero(level == len(g.layers) - 1)[0][:4]
+    return g
 
 
 def _unit(raw: list) -> np.ndarray:
@@ -170,15 +182,48 @@ def _unit(raw: list) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _build(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("rep").reset_index(drop=True)
+    g = Graph(_unit(rows["embedding"]).astype(np.float32))
+    return rows.assign(level=g.level.astype(np.int32), links=_layers_out(g))
+
+
+def _found(g: Graph, q: np.ndarray, ef: int, least: float, own: np.ndarray | None, hits: np.ndarray) -> None:
+    """Mark the links of each query; the whole shard's for a query whose beam is full."""
+    for i in range(0, len(q), 512):
+        some = q[i : i + 512]
+        if ef < len(g.x):
+            got, full = g.near(some, ef, least - _SLACK, None if own is None else own[i : i + 512])
+            for k, ids in enumerate(got):
+                hits[i + k, ids] = True
+        else:
+            full = np.ones(len(some), bool)
+        if full.any():
+            hits[i + np.nonzero(full)[0]] = some[full] @ g.x.T >= least - _SLACK
+
+
 def audited_beam(g: Graph, q: np.ndarray, least: float, own: np.ndarray | None, ef: int = EF, audit: int = AUDIT, recall: float = RECALL) -> int:
-    """The beam at which queries spread over ``q`` find ``recall`` of their links in ``g``; as wide as the shard if none less does."""
-    some = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
-    truth = q[some] @ g.x.T >= least
-    if own is not None:
-        truth[np.arange(len(some)), own[some]] = False
-    while ef < len(g.x):
-        got = g.near(q[some], ef, least, None if own is None else own[some])
-        if sum(truth[i, ids].sum() for i, ids in enumerate(got)) >= recall * truth.sum():
+    """The beam at which audited queries that have links in ``g`` find ``recall`` of theirs on average; as wide as the shard if none less does.
+
+    Queries are drawn from all of ``q`` at even steps, and others beside them until LINKED have links or there are no more. Those with full
+    beams find all, so they are left out of the mean: they would hide what the others miss.
+    """
+    order = np.argsort((np.arange(len(q), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11), kind="stable")
+    some, truth = np.zeros(0, np.int64), np.zeros((0, len(g.x)), bool)
+    for i in range(0, len(order), audit):
+        new = order[i : i + audit]
+        links = q[new] @ g.x.T >= least
+        if own is not None:
+            links[np.arange(len(new)), own[new]] = False
+        linked = (n := links.sum(axis=1)) > 0
+        linked &= n < EF  # more than that fill a beam
+        some, truth = np.concatenate([some, new[linked]]), np.concatenate([truth, links[linked]])
+        if len(some) >= LINKED:
+            break
+    while ef < len(g.x) and len(some):
+        got, full = g.near(q[some], ef, least - _SLACK, None if own is None else own[some])
+        shares = [1.0 if f else truth[k, ids].sum() / truth[k].sum() for k, (ids, f) in enumerate(zip(got, full, strict=True))]
+        if np.mean(shares) >= recall:
             break
         ef *= 2
     return ef
@@ -188,13 +233,25 @@ def _linked(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     """Links between two shards (or within one): for each vector how many others it links, and a forest of the links."""
     sides = [part.sort_values("rep").reset_index(drop=True) for _, part in rows.groupby("shard")]
     exact = [_unit(s["embedding"]) for s in sides]
-    left, right = exact[0], exact[-1]
-    hits = np.zeros((len(left), len(right)), bool)
-    for i in range(0, len(left), 256):
-        hits[i : i + 256] = left[i : i + 256] @ right.T >= least
+    # the last side has the graph, the first one queries it
+    graphs = [_layers_in(exact[-1].astype(np.float32), sides[-1]["level"].to_numpy(np.int64), list(sides[-1]["links"]))]
     if len(sides) == 1:
+        own = np.arange(len(exact[0]))
+        hits = np.zeros((len(own), len(own)), bool)
+        _found(graphs[0], graphs[0].x, audited_beam(graphs[0], graphs[0].x, least, own), least, own, hits)
         hits |= hits.T
         np.fill_diagonal(hits, False)
+    else:
+        q, g = exact[0].astype(np.float32), graphs[-1]
+        hits = np.zeros((len(q), len(g.x)), bool)
+        _found(g, q, audited_beam(g, q, least, None), least, None, hits)
+    left, right = exact[0], exact[-1]
+    for i in range(0, len(left), 256):
+        r, c = np.nonzero(hits[i : i + 256])
+        for s in range(0, len(r), 100_000):
+            rr, cc = r[s : s + 100_000] + i, c[s : s + 100_000]
+            bad = np.einsum("nd,nd->n", left[rr], right[cc]) < least
+            hits[rr[bad], cc[bad]] = False
     names, sizes = [s["rep"].to_numpy() for s in sides], [s["n"].to_numpy() for s in sides]
     found = [(names[0], hits @ sizes[-1])] + ([(names[1], hits.T @ sizes[0])] if len(sides) == 2 else [])
     counts = pd.concat([pd.DataFrame({"u": u, "v": u, "n": n})[n > 0] for u, n in found])
@@ -225,7 +282,8 @@ def embedding_near_dups(
     Null, empty or zero vectors, those with null or non-finite components, and those without a label link
     with nothing. Equal vectors of a label are searched for once and count as links of each other, so
     repeated rows do too. A null id names no component (its row has a null one if it stands alone). An
-    empty table gives no rows; other columns are not read. All links are found.
+    empty table gives no rows; other columns are not read. All found links are real; the share found is
+    audited for each pair of shards.
     """
     e = F.col(vector_col).cast("array<double>")
     valid = F.col(label_col).isNotNull() & F.coalesce(F.size(e) > 0, F.lit(False))
@@ -240,9 +298,10 @@ def embedding_near_dups(
     shards = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     dealt = classes.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.col("k2"), F.col("shards")).cast("int"))
     dealt = dealt.select("label", "dim", "shards", "shard", "rep", "n", "embedding")
-    dealt = materialize(dealt, "dealt")
-    to = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    built = materialize(dealt.groupBy("label", "dim", "shard").applyInPandas(_build, T.StructType([*dealt.schema.fields, T.StructField("level", T.IntegerType()), T.StructField("links", T.BinaryType())])), "graphs")
+    to = built.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     to = to.withColumn("a", F.least("shard", "other")).withColumn("b", F.greatest("shard", "other"))
+    to = to.withColumn("links", F.when(F.col("shard") == F.col("b"), F.col("links")))  # the lower shard of a pair only queries
     links = materialize(to.groupBy("label", "dim", "a", "b").applyInPandas(lambda pdf: _linked(pdf, least), "u long, v long, n long"), "links")
     counts = links.filter("u = v").groupBy("u").agg(F.sum("n").alias("links"))
     roots = connected(links.filter("u <> v"), "u", "v")
