@@ -4,12 +4,17 @@ Texts become sequences of lower-cased words in which numbers, units and names ar
 Windows of eight such words are hashed; windows of documents meet those of benchmark items by an
 equality join. The values behind the placeholders (slots) must agree within an occurrence: where one
 value of the item stands for two in the document, it is not the same question with other parameters.
-A window with too few plain words says little as a template and is matched by its own words instead.
+A window with too few plain words says little as a template: it is matched by its own words, and as a
+template it goes on until it has enough. A capitalised word that begins a sentence may be a name or not:
+both readings are matched. An item shorter than a window is one window; one of a few words must
+be a whole sentence of the document, word by word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +24,14 @@ from pyspark.sql import functions as F
 from tarnflow.llm.common import materialize, mix, powers, slices, span_hashes, text_buffers
 
 WINDOW = 8
-#: Items with fewer template words than this are too short to tell a leak from chance.
+#: An item with fewer template words than this is matched as a whole sentence alone: within one, it would say too little.
 MIN_WORDS = 5
-#: A window with fewer plain words than this is matched verbatim.
+#: A window with fewer plain words than this is matched verbatim, and as a template of up to LONGEST words.
 MIN_PLAIN = 5
-#: A document has an item if it shares this part of its windows, or this many (13 words in a row).
+LONGEST = 16
+#: Windows of one occurrence lie within so many words of each other's alignment.
+BAND = 16
+#: A document has an item if an occurrence shares this part of its windows, or this many (13 words in a row).
 COVERAGE = 0.5
 RUN = 6
 #: At most so many window hashes of the benchmark are broadcast (8 bytes each); beyond that all windows go to the join.
@@ -57,10 +65,37 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(span_hashes(data, ends - np.array([len(u) for u in UNITS]), ends))
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template words of concatenated UTF-8 rows: row, hash of the word or its placeholder, hash of its value, whether it is plain."""
+class Tokens(NamedTuple):
+    """Words of concatenated UTF-8 rows in lower-cased bytes: spans, row, hash, and whether each is a number, a unit, capitalised like a name, or begins a sentence."""
+
+    low: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    row: np.ndarray
+    value: np.ndarray
+    number: np.ndarray
+    unit: np.ndarray
+    capital: np.ndarray
+    first: np.ndarray
+
+
+class Words(NamedTuple):
+    """Template words: row, hash of the word or its placeholder, hash of its value, whether it is plain, begins a sentence, or is read as a name
+    though it begins one, and the number of its first word within its row."""
+
+    row: np.ndarray
+    code: np.ndarray
+    value: np.ndarray
+    plain: np.ndarray
+    first: np.ndarray
+    switched: np.ndarray
+    place: np.ndarray
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     n = len(data)
-    empty = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    none, no = np.zeros(0, np.int64), np.zeros(0, bool)
+    empty = Tokens(data, none, none, none, np.zeros(0, np.uint64), no, no, no, no)
     if not n:
         return empty
     before = np.concatenate([[np.uint8(0)], data[:-1]])
@@ -93,41 +128,84 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = np.minimum(np.searchsorted(units, value), len(units) - 1)
     unit = follows & (units[at] == value)
     capital = upper[starts] | ((data[starts] == 0xC3) & upper[np.minimum(starts + 1, n - 1)])
-    second = np.minimum(starts + 1 + (data[starts] == 0xC3), n - 1)
-    name = capital & ~first & ~number & ~unit & ~(upper[second] & (second < ends))
-    code = np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], value)
-    plain = ~(number | unit | name)
+    second = starts + 1 + (data[starts] == 0xC3)
+    capitals = upper[np.minimum(second, n - 1)] & (second < ends)
+    return Tokens(low, starts, ends, row, value, number, unit, capital & ~number & ~unit & ~capitals, first)
+
+
+def template(t: Tokens, named: bool | np.ndarray = False) -> Words:
+    """Template words. Capitalised words that begin a sentence are plain, or names where ``named`` is true."""
+    if not len(t.starts):
+        return Words(t.row, t.value, t.value, t.number, t.first, t.first, t.row)
+    name = t.capital & (~t.first | named)
+    code = np.select([t.number, t.unit, name], [_NUMBER, _UNIT, _NAME], t.value)
+    plain = ~(t.number | t.unit | name)
     # neighbouring placeholders of one type become one, its value that of all of them
-    begins = np.ones(len(starts), bool)
-    begins[1:] = plain[1:] | (code[1:] != code[:-1]) | (row[1:] != row[:-1]) | first[1:]
+    begins = np.ones(len(t.starts), bool)
+    begins[1:] = plain[1:] | (code[1:] != code[:-1]) | (t.row[1:] != t.row[:-1]) | t.first[1:]
     group = np.nonzero(begins)[0]
-    last = np.append(group[1:], len(starts)) - 1
+    last = np.append(group[1:], len(t.starts)) - 1
     several = last > group
-    value = value[group]
+    value = t.value[group]
     if several.any():
-        value[several] = span_hashes(low, starts[group][several], ends[last][several])
-    return row[group], code[group], value, plain[group]
+        value[several] = span_hashes(t.low, t.starts[group][several], t.ends[last][several])
+    row = t.row[group]
+    place = group - np.searchsorted(t.row, np.arange(row[-1] + 1))[row]
+    return Words(row, code[group], value, plain[group], t.first[group], (name & t.first)[group], place)
+
 
+def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each window of ``n`` template words within one row starts, its hash, and whether that is of its own words, since few are plain."""
+    inside, h, own, plain = _spans(w, n)
+    few = plain < min(MIN_PLAIN, n)
+    return inside, mix(np.where(few, own + np.uint64(1), h) + np.uint64(n)), few
 
-def windows(row: np.ndarray, code: np.ndarray, value: np.ndarray, plain: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each window of ``n`` template words within one row starts, and its hash."""
-    count = len(row) - n + 1
+
+def _spans(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of windows of ``n`` words within a row, hashes of their template words and of their values, and how many are plain."""
+    count = len(w.row) - n + 1
     if count <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     weights = powers(_BASE, n)
     h, own = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
     for k in range(n):
-        h += code[k : k + count] * weights[k]
-        own += value[k : k + count] * weights[k]
-    words = np.concatenate([[0], np.cumsum(plain)])
-    few = words[n : n + count] - words[:count] < min(MIN_PLAIN, n)
-    inside = np.nonzero(row[:count] == row[n - 1 :])[0]
-    return inside, mix(np.where(few, own + np.uint64(1), h) + np.uint64(n))[inside]
-
-
-def _slots(value: np.ndarray, plain: np.ndarray, starts: np.ndarray, n: int) -> list[list[int]]:
-    signed = value.view(np.int64)
-    return [[int(signed[i]) for i in range(s, s + n) if not plain[i]] for s in starts]
+        h += w.code[k : k + count] * weights[k]
+        own += w.value[k : k + count] * weights[k]
+    words = np.concatenate([[0], np.cumsum(w.plain)])
+    inside = np.nonzero(w.row[:count] == w.row[n - 1 :])[0]
+    return inside, h[inside], own[inside], (words[n : n + count] - words[:count])[inside]
+
+
+def long_windows(w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Size, starts and hashes (none of their own words) of the windows that have MIN_PLAIN plain words only beyond WINDOW words: the shortest one from each start."""
+    at = np.nonzero(w.plain)[0]
+    before = np.cumsum(w.plain) - w.plain
+    starts = np.nonzero(before + MIN_PLAIN <= len(at))[0]
+    end = at[before[starts] + MIN_PLAIN - 1] if len(starts) else starts
+    size = end - starts + 1
+    ok = (size > WINDOW) & (size <= LONGEST)
+    ok &= w.row[starts] == w.row[end]
+    starts, size = starts[ok], size[ok]
+    for n in np.unique(size):
+        mine = starts[size == n]
+        weights, h = powers(_BASE, int(n)), np.zeros(len(mine), np.uint64)
+        for k in range(n):
+            h += w.code[mine + k] * weights[k]
+        yield int(n), mine, mix(h + np.uint64(n)), np.zeros(len(mine), bool)
+
+
+def sentences(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of ``n`` words that are whole sentences, all of their own words."""
+    inside, _, own, _ = _spans(w, n)
+    ends = np.append((w.row[1:] != w.row[:-1]) | w.first[1:], True) if len(w.row) else np.zeros(0, bool)
+    whole = w.first[inside] & ends[inside + n - 1]
+    return inside[whole], mix(own[whole] + np.uint64(2) + np.uint64(n)), whole[whole]
+
+
+def _slots(w: Words, starts: np.ndarray, n: int, own: np.ndarray) -> list[list[int]]:
+    """The values behind the placeholders of each window; none of a window that is matched by its own words."""
+    signed = w.value.view(np.int64)
+    return [[] if o else [int(signed[i]) for i in range(s, s + n) if not w.plain[i]] for s, o in zip(starts, own, strict=True)]
 
 
 def item_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -136,33 +214,41 @@ def item_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            row, code, value, plain = template(data, offsets)
-            count = np.bincount(row, minlength=len(offsets) - 1)
             out: list[tuple] = []
-            first = np.searchsorted(row, np.arange(len(offsets) - 1))
-            heads = first[count > 0]
-            # an item's first word, which begins a sentence here, looks like a name where it does not: both are indexed
-            named, unplain = code.copy(), plain.copy()
-            named[heads], unplain[heads] = _NAME, False
-            for n in range(MIN_WORDS, WINDOW + 1):
-                for c, p, only in ((code, plain, None), (named, unplain, heads)):
-                    at, h = windows(row, c, value, p, n)
-                    mine = (count[row[at]] == n) if n < WINDOW else np.ones(len(at), bool)
-                    if only is not None:
-                        mine &= np.isin(at, only)
+            t = tokens(data, offsets)
+            head = np.ones(len(t.row), bool)  # in a document an item's first word may stand within a sentence, where it alone is a name
+            head[1:] = t.row[1:] != t.row[:-1]
+            for named in (False, True, head):
+                w = template(t, named)
+                count = np.bincount(w.row, minlength=len(offsets) - 1)
+                for n, at, h, own in _all_windows(w, range(1, WINDOW + 1), named is not False):
+                    size = count[w.row[at]]
+                    mine = np.ones(len(at), bool) if n > WINDOW else size == n if n < WINDOW else size >= n
                     at, h = at[mine], h[mine]
-                    of = row[at]
-                    for i, k, x, s in zip(of, at - first[of], h.view(np.int64), _slots(value, p, at, n), strict=True):
-                        out.append((batch.column(0)[int(i)].as_py(), int(k), n, int(x), s, max(1, int(count[i]) - n + 1)))
+                    of = w.row[at]
+                    for i, k, x, s in zip(of, w.place[at], h.view(np.int64), _slots(w, at, n, own[mine]), strict=True):
+                        out.append((batch.column(0)[int(i)].as_py(), int(k), n, int(x), s, max(1, int(count[i]) - WINDOW + 1)))
             columns = list(zip(*out, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "ipos", "size", "hash", "islots", "n_windows"]
             )
 
-    return bench.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
+    cut_all = bench.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
         cut, "item_id long, ipos long, size int, hash long, islots array<long>, n_windows long"
     )
+    return cut_all.distinct()
+
+
+def _all_windows(w: Words, sizes: Iterable[int], switched: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Size, starts, hashes and whether they are of their own words, of the windows of these sizes, and of the longer ones; if ``switched``, of those that hold a word that is read otherwise."""
+    upto = np.concatenate([[0], np.cumsum(w.switched)])
+    each = ((n, *(windows(w, n) if n >= MIN_WORDS else sentences(w, n))) for n in sizes)
+    for n, at, h, own in chain(each, long_windows(w)):
+        if switched:
+            other = upto[at + n] > upto[at]
+            at, h, own = at[other], h[other], own[other]
+        yield n, at, h, own
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,19 +260,20 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for a, b in slices(offsets):
-                row, code, value, plain = template(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for n in sizes:
-                    at, h = windows(row, code, value, plain, n)
-                    if wanted is not None:
-                        i = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                        hit = wanted[i] == h
-                        at, h = at[hit], h[hit]
-                    if len(at):
-                        ids = batch.column(0).take(pa.array(row[at] + a))
-                        slots = pa.array(_slots(value, plain, at, n), pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays(
-                            [ids, pa.array(at - np.searchsorted(row, row[at])), pa.array(h.view(np.int64)), slots], ["doc_id", "dpos", "hash", "dslots"]
-                        )
+                t = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for named in (False, True) if sizes else ():
+                    w = template(t, named)
+                    for n, at, h, own in _all_windows(w, [n for n in sizes if n <= WINDOW], named):
+                        if wanted is not None:
+                            i = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                            hit = wanted[i] == h
+                            at, h, own = at[hit], h[hit], own[hit]
+                        if len(at):
+                            ids = batch.column(0).take(pa.array(w.row[at] + a))
+                            slots = pa.array(_slots(w, at, n, own), pa.list_(pa.int64()))
+                            yield pa.RecordBatch.from_arrays(
+                                [ids, pa.array(w.place[at]), pa.array(h.view(np.int64)), slots], ["doc_id", "dpos", "hash", "dslots"]
+                            )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
         cut, "doc_id long, dpos long, hash long, dslots array<long>"
@@ -199,10 +286,10 @@ def find_contamination(
 ) -> DataFrame:
     """``doc_id, item_id, n_matched, n_windows, coverage, verbatim``: each benchmark item that a document holds.
 
-    ``n_matched`` counts different windows of the item in occurrences with consistent slots; ``verbatim``
-    is false where the document's numbers, units or names differ from the item's. Null and empty texts,
-    and items of fewer than MIN_WORDS words, match nothing. Repeated rows of an id count as one document
-    or item; a null id is an id. Empty tables give no rows. Other columns are not read.
+    ``n_matched`` counts different windows of the item in the occurrence that has the most, with consistent slots;
+    ``verbatim`` is false where the document's numbers, units or names differ from the item's. Null and empty texts
+    match nothing. Repeated rows of an id count as one document or item; a null id is an id. Empty tables give no
+    rows. Other columns are not read.
     """
     items = materialize(item_windows(bench, item_col, item_text_col), "items")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
@@ -221,16 +308,24 @@ def find_contamination(
     torn = slots.groupBy(*key, "islots").agg(F.min("dslots").alias("x"), F.max("dslots").alias("y")).filter("x <> y").select(*key).distinct()
     torn = torn.select(*[F.col(k).alias(f"t_{k}") for k in key])
     whole = met.join(torn, [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in key], "left_anti")
-    each = whole.groupBy("doc_id", "item_id", "ipos").agg(F.max("n_windows").alias("n_windows"), F.max(F.col("islots") == F.col("dslots")).alias("same"))
-    found = each.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.min("same").alias("verbatim")
-    )
-    return found.select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), "verbatim").filter(
-        (F.col("coverage") >= coverage) | (F.col("n_matched") >= run)
-    )
+    # alignments of one occurrence differ by what was put in or left out: they share one of two rows of bands
+    bands = F.array(F.floor(F.col("at") / BAND) * 2, F.floor((F.col("at") + BAND // 2) / BAND) * 2 + 1)
+    each = whole.select("doc_id", "item_id", "ipos", F.explode(bands).alias("band"), "n_windows", (F.col("islots") == F.col("dslots")).alias("same"))
+    each = each.groupBy("doc_id", "item_id", "band", "ipos").agg(F.min("n_windows").alias("n_windows"), F.max("same").alias("same"))
+    near = each.groupBy("doc_id", "item_id", "band").agg(F.count("*").alias("n_matched"), F.min("n_windows").alias("n_windows"), F.min("same").alias("verbatim"))
+    best = near.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "verbatim", "n_windows")).alias("x")).select("doc_id", "item_id", "x.*")
+    share = F.least(F.lit(1.0), F.col("n_matched") / F.col("n_windows"))
+    return best.select("doc_id", "item_id", "n_matched", "n_windows", share.alias("coverage"), "verbatim").filter((F.col("coverage") >= coverage) | (F.col("n_matched") >= run))
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows without an id are kept."""
-    gone = find_contamination(docs, bench, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """``docs`` without the documents that hold a benchmark item, in all their columns. Rows without an id count as one document each, by their text."""
+    named = docs.filter(F.col(id_col).isNotNull())
+    gone = find_contamination(named, bench, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct()
+    kept = named.join(gone, named[id_col] == F.col("__gone"), "left_anti")
+    nameless = docs.filter(F.col(id_col).isNull())
+    if not nameless.limit(1).count():
+        return kept
+    by_text = F.xxhash64(text_col)
+    gone = find_contamination(nameless.select(by_text.alias("__id"), F.col(text_col).alias("__text")), bench, "__id", "__text").select(F.col("doc_id").alias("__gone")).distinct()
+    return kept.unionByName(nameless.join(gone, by_text == F.col("__gone"), "left_anti"))

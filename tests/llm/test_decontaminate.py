@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 
 from tarnflow.llm import decontaminate as op
@@ -29,24 +32,101 @@ def test_slots_must_agree(spark):
     assert set(found(spark, [(1, same), (2, torn)], [(1, item)])) == {(1, 1)}
 
 
-def test_windows_against_brute_force(spark):
+def test_tokens_of_many_rows_are_those_of_each():
     texts = [ITEM, OTHER, NOISE, "Short one", "", "Élan vital à 5 kg, «quoted» words go on and on for ever"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
-    row, code, value, plain = op.template(data, offsets)
-    alone = []
-    for t in texts:
-        b = np.frombuffer(t.encode(), np.uint8)
-        alone.append(op.template(b, np.array([0, len(b)])))
-    assert np.array_equal(code, np.concatenate([a[1] for a in alone])) and np.array_equal(value, np.concatenate([a[2] for a in alone]))
-    for n in (5, 8):
-        at, h = op.windows(row, code, value, plain, n)
-        each = [op.windows(*a, n)[1] for a in alone]
-        assert np.array_equal(h, np.concatenate(each)) and len(at) == sum(max(0, len(a[1]) - n + 1) for a in alone)
+    for named in (False, True):
+        w = op.template(op.tokens(data, offsets), named)
+        alone = []
+        for t in texts:
+            b = np.frombuffer(t.encode(), np.uint8)
+            alone.append(op.template(op.tokens(b, np.array([0, len(b)])), named))
+        for name in ("code", "value", "place"):
+            assert np.array_equal(getattr(w, name), np.concatenate([getattr(a, name) for a in alone]))
+        for n in (5, 8):
+            at, h, _ = op.windows(w, n)
+            assert np.array_equal(h, np.concatenate([op.windows(a, n)[1] for a in alone]))
+            assert len(at) == sum(max(0, len(a.code) - n + 1) for a in alone)
+
+
+def plainly(text, named):
+    """Template words by regular expressions and a loop: (kind or word, value, begins a sentence)."""
+    out, end, number = [], 0, False
+    for m in re.finditer(r"[0-9]+|[^\W\d_]+", text):
+        word, first = m[0], not out or bool(re.search(r"[.!?:;\n\r\"*#|-]", text[end : m.start()]))
+        if word[0].isdigit():
+            kind = "<number>"
+        elif number and word.lower() in op.UNITS:
+            kind = "<unit>"
+        elif word[0].isupper() and (named or not first) and not word[1:2].isupper():
+            kind = "<name>"
+        else:
+            kind = word.lower()
+        if out and kind[0] == "<" and out[-1][0] == kind and not first:
+            out[-1] = (kind, out[-1][1] + text[end : m.end()].lower(), out[-1][2])
+        else:
+            out.append((kind, word.lower(), first))
+        end, number = m.end(), kind == "<number>"
+    return out
+
+
+def plain_windows(words):
+    out = []
+    for i in range(len(words)):
+        for n in range(8, 17):
+            part = words[i : i + n]
+            plain = sum(w[0][0] != "<" for w in part)
+            if len(part) == n and n == 8:
+                out.append((n, tuple(w[1] for w in part) if plain < 5 else tuple(w[0] for w in part), plain < 5))
+            elif len(part) == n and plain == 5 and sum(w[0][0] != "<" for w in part[:-1]) == 4:
+                out.append((n, tuple(w[0] for w in part), False))
+    return out
+
+
+def test_windows_against_brute_force():
+    rng = random.Random(5)
+    pool = "the of runs Tom Anna Maria 7 12 km hours apples. Each has gives. red with 3, Bob Smith then add 900 kg to? A".split()
+    for _ in range(60):
+        text = " ".join(rng.choices(pool, k=40))
+        data = np.frombuffer(text.encode(), np.uint8)
+        for named in (False, True):
+            w = op.template(op.tokens(data, np.array([0, len(data)])), named)
+            words = plainly(text, named)
+            assert [a[0][0] == "<" for a in words] == (~w.plain).tolist() and [a[2] for a in words] == w.first.tolist()
+            hashes = {}
+            for n, at, h, _ in op._all_windows(w, [8], False):
+                for i, x in zip(at, h):
+                    hashes.setdefault(int(x), []).append((n, int(i)))
+            # windows have one hash where they are one by brute force, and as many different ones
+            assert sum(map(len, hashes.values())) == len(plain_windows(words)) and len(hashes) == len(set(plain_windows(words)))
+
+
+def test_names_that_begin_sentences_and_many_numbers(spark):
+    items = [(1, "Tom has 12 apples. Tom gives 5 to Bob. Tom buys 3 more apples and shares them with Eve."), (2, "Add 5 and 7 and 9 then 12 and 15 and 18 then divide the sum by 3 and 4 and 6 to get the answer")]
+    docs = [
+        (1, "Anna has 7 apples. Anna gives 3 to Max. Anna buys 9 more apples and shares them with Joe."), (2, "Yesterday Tom has 12 apples. Tom gives 5 to Bob. Tom buys 3 more apples and shares them with Eve."),
+        (3, "Add 1 and 2 and 3 then 4 and 6 and 8 then divide the sum by 10 and 20 and 30 to get the answer"), (4, "Tom has a dog. Anna likes apples. Bob gives them to Eve. Joe buys more and shares them with Max."),
+    ]
+    assert set(found(spark, docs, items)) == {(1, 1), (2, 1), (3, 2)}
+
+
+def test_matches_from_far_apart_are_no_leak(spark):
+    words = OTHER.split()
+    pieces = [" ".join(words[i : i + 8]) for i in (0, 4, 8)]
+    scattered = (" " + NOISE * 3).join([pieces[0], pieces[2], " ".join(words[11:19]), pieces[1]])
+    assert not found(spark, [(1, scattered)], [(2, OTHER)])
+    inserted = " ".join([*words[:9], "very", *words[9:]])
+    assert set(found(spark, [(1, NOISE + inserted)], [(2, OTHER)])) == {(1, 2)}
 
 
 def test_short_items_and_empty_tables(spark):
-    assert set(found(spark, [(1, "one two three four five"), (2, NOISE)], [(1, "One two three four five."), (2, "too short"), (3, None)])) == {(1, 1)}
+    items = [(1, "One two three four five."), (2, "too short"), (3, None), (4, "What is photosynthesis anyway?"), (5, "Why did Rome fall")]
+    docs = [(1, "one two three four five"), (2, NOISE), (3, "what is photosynthesis anyway?"), (4, "Why did Rome fall"), (5, NOISE + ". Why did Rome fall? " + NOISE), (6, "this is too short to say"), (7, "Too short!")]
+    assert set(found(spark, docs, items)) == {(1, 1), (3, 4), (4, 5), (5, 5), (7, 2)}
+    nameless = spark.createDataFrame([(None, ITEM, 3), (None, NOISE, 4), (1, NOISE, 5)], "doc_id long, text string, t_at int")
+    kept = op.drop_contaminated(nameless, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert sorted(r.t_at for r in kept.collect()) == [4, 5]
     assert found(spark, [], [(1, ITEM)]) == {}
     empty = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, ITEM, 3), (None, OTHER, 4)], "doc_id long, text string, t_at int")
