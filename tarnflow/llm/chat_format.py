@@ -2,7 +2,7 @@
 
 The longest common prefix of turns of a chosen and a rejected conversation is rendered once, as the
 prompt; what follows is rendered for either side with the spans that a loss counts, the assistant's.
-All of it is DataFrame expressions.
+Turn marks in texts and roles are escaped, so that no text can pass for a turn. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -10,14 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.llm.common import materialize
+
 LEARNT = "assistant"
 
 
+def escape(text: Column) -> Column:
+    """A text (null: empty) with a backslash more between '<' and '|', wherever they meet or stand about backslashes: ``<|`` never remains, and one less undoes it."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<$1\\|")
+
+
 def gather_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``conv_id, turns``: each conversation's ``role, text`` in order of turn, role and text. A null role or text is empty; turns without a conversation are left out."""
+    """``conv_id, turns``: each conversation's ``role, text``, escaped, in order of turn, role and text. A null role or text is empty; turns without a conversation are left out."""
     rows = turns.filter(F.col(conv_col).isNotNull()).select(
         F.col(conv_col).cast("long").alias("conv_id"),
-        F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),
+        F.struct(F.col(turn_col).cast("long").alias("turn"), escape(F.col(role_col)).alias("role"), escape(F.col(text_col)).alias("text")).alias("t"),
     )
     ordered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     return ordered.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
@@ -71,7 +78,7 @@ def format_preferences(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
     convs = gather_turns(turns, conv_col, turn_col, role_col, text_col)
     said = F.aggregate("turns", F.lit(0), lambda n, t: n + F.when(t["role"] == LEARNT, F.length(t["text"])).otherwise(0))
     first = F.element_at("turns", 1)
-    convs = convs.select("conv_id", "turns", F.sha2(F.concat_ws("\n", first["role"], first["text"]), 256).alias("opening"), said.alias("said"))
+    convs = materialize(convs.select("conv_id", "turns", F.sha2(F.concat_ws("\n", first["role"], first["text"]), 256).alias("opening"), said.alias("said")), "conversations")
     best = convs.groupBy("opening").agg(F.max(F.struct("said", (-F.col("conv_id")).alias("minus"))).alias("best"))
     best = best.select((-F.col("best.minus")).alias("conv_id"))
     chosen = convs.join(best, "conv_id", "left_semi").select("opening", F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen_turns"))

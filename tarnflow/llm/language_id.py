@@ -2,8 +2,9 @@
 
 One model of order four per language, learnt from counts over all training texts; no gram is left out. The
 models share sorted arrays of packed 64-bit character n-grams; beside each gram lie the log-probabilities of
-the languages that have it. A text gets the language of the lowest cross-entropy per character; a cross-entropy beyond what
-the language's own training texts show marks the prediction as not accepted.
+the languages that have it. A text gets the language of the lowest cross-entropy per character. Part of the training texts
+is kept out of the counts: a cross-entropy beyond what a language's texts among them show marks a prediction as not
+accepted, and how much evidence its score counts is what suits them best.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from tarnflow.llm.common import materialize, slices, text_buffers
 
 ORDER = 4
 UNDETERMINED = "und"
-#: Characters that the score's posterior counts at most, so that it stays calibrated for long texts.
-EVIDENCE = 40
-#: Part of a language's own training texts whose cross-entropy may lie beyond its limit.
+#: Characters that the score's posterior counts at most, so that it stays calibrated for long texts: that of the least log loss is chosen.
+EVIDENCE = (1, 2, 5, 10, 20, 40, 80, 160)
+#: Of the training rows, one in so many is kept out of the counts.
+CALIBRATION = 10
+#: Part of a language's own texts, of those kept out, whose cross-entropy may lie beyond its limit.
 REJECTED = 0.001
 _SPACE, _BORDER = 32, 1
 _KEEP = np.array([0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFF, 0xFFFFFFFFFFFFFFFF], np.uint64)
@@ -237,9 +240,9 @@ def entropies(models: Models, data: np.ndarray, offsets: np.ndarray, at_once: in
 
 
 def score_languages(docs: DataFrame, models: Models, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols, lang_pred, score, entropy, n_letters`` of every whole text. Texts without a letter are undetermined, with score 0."""
+    """``id_cols, lang_pred, scores, entropy, n_letters`` of every whole text, a score for each of EVIDENCE. Texts without a letter are undetermined, with score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    names = [*id_cols, "lang_pred", "score", "entropy", "n_letters"]
+    names = [*id_cols, "lang_pred", "scores", "entropy", "n_letters"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
@@ -252,16 +255,17 @@ def score_languages(docs: DataFrame, models: Models, id_cols: list[str], text_co
                     h, alpha = np.zeros((b - a, 1)), np.zeros(b - a, np.int64)
                 best = h.argmin(axis=1)
                 least = h[np.arange(len(h)), best]
-                posterior = 1 / np.exp(-(h - least[:, None]) * np.minimum(np.maximum(alpha, 1), EVIDENCE)[:, None]).sum(axis=1)
                 none = alpha == 0
+                posterior = np.stack([1 / np.exp(-(h - least[:, None]) * np.minimum(np.maximum(alpha, 1), e)[:, None]).sum(axis=1) for e in EVIDENCE], axis=1)
+                posterior[none] = 0
                 pred = [UNDETERMINED if x else models.langs[k] for x, k in zip(none, best, strict=True)]
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(id_cols))]
-                columns += [pa.array(pred, pa.string()), pa.array(np.where(none, 0.0, posterior)), pa.array(np.where(none, 0.0, least)), pa.array(alpha)]
+                columns += [pa.array(pred, pa.string()), pa.array(list(posterior), pa.list_(pa.float64())), pa.array(np.where(none, 0.0, least)), pa.array(alpha)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in id_cols)
     return docs.select(*id_cols, F.col(text_col).cast("binary").alias("__text")).mapInArrow(
-        score, f"{kinds}, lang_pred string, score double, entropy double, n_letters long"
+        score, f"{kinds}, lang_pred string, scores array<double>, entropy double, n_letters long"
     )
 
 
@@ -269,19 +273,29 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``doc_id, held_out, lang_pred, score, entropy, n_letters, accepted`` for every row.
 
     Learns from the whole texts of rows with a language whose crc32 of the id modulo ``folds`` is not
-    ``held`` (a null id is not learnt from); language and id play no part in a prediction. ``accepted`` is
-    false beyond the cross-entropy that all but REJECTED of the language's own training texts keep to.
+    ``held`` (a null id is not learnt from); language and id play no part in a prediction. One in CALIBRATION of
+    these rows is kept out of the counts. ``accepted`` is false beyond the cross-entropy that all but REJECTED of the
+    language's own texts among these keep to (a language without any accepts all), and ``score`` is the posterior whose
+    evidence suits them.
     Null texts and texts without letters are ``und`` with score 0 and accepted false; with nothing to learn from,
     all are. Ties go to the language that sorts first. Repeated rows give a row each.
     """
-    fold = F.crc32(F.col(id_col).cast("string")) % folds
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    models = train_models(rows.filter(~F.col("held_out") & F.col("doc_id").isNotNull()), "text", "lang")
-    scored = materialize(score_languages(rows, models, ["doc_id", "held_out", "lang"], "text"), "scored")
-    limits = scored.filter("not held_out and doc_id is not null and lang = lang_pred").groupBy("lang_pred").agg(
-        F.percentile_approx("entropy", 1 - REJECTED, 10000).alias("limit")
+    code = F.crc32(F.col(id_col).cast("string"))
+    held_out = F.coalesce(code % folds == held, F.lit(False))
+    role = F.when(held_out | F.col(id_col).isNull() | F.col(lang_col).isNull() | F.col(text_col).isNull(), "none").when(F.floor(code / folds) % CALIBRATION == 0, "calibrate").otherwise("count")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), role.alias("role"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
+    )
+    models = train_models(rows.filter("role = 'count'"), "text", "lang")
+    scored = materialize(score_languages(rows, models, ["doc_id", "held_out", "role", "lang"], "text"), "scored")
+    apart = scored.filter("role = 'calibrate' and n_letters > 0")
+    limits = apart.filter("lang = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("entropy", 1 - REJECTED, 10000).alias("limit"))
+    right = F.col("lang") == F.col("lang_pred")
+    loss = [F.avg(-F.log(F.greatest(F.when(right, p := F.element_at("scores", i + 1)).otherwise(1 - p), F.lit(1e-9)))) for i in range(len(EVIDENCE))]
+    losses = apart.agg(*loss).head()
+    best = min(range(len(EVIDENCE)), key=lambda i: (losses[i], i)) if losses[0] is not None else 0
+    known = scored.join(F.broadcast(limits), "lang_pred", "left")  # a row for each language
+    inside = (F.col("n_letters") > 0) & (F.col("lang_pred") != UNDETERMINED) & (F.col("limit").isNull() | (F.col("entropy") <= F.col("limit")))
+    return known.select(
+        "doc_id", "held_out", "lang_pred", F.element_at("scores", best + 1).alias("score"), "entropy", "n_letters", F.coalesce(inside, F.lit(False)).alias("accepted")
     )
-    return scored.join(F.broadcast(limits), "lang_pred", "left").select(
-        "doc_id", "held_out", "lang_pred", "score", "entropy", "n_letters",
-        F.coalesce(F.col("entropy") <= F.col("limit"), F.lit(False)).alias("accepted"),
-    )

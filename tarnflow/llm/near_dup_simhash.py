@@ -44,17 +44,17 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint of each whole text as a signed long. Null and empty texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_id: bool = False) -> DataFrame:
+    """``doc_id, fp``: the fingerprint of each whole text as a signed long. Null and empty texts have 0. Ids are made long, or stay as they are if ``keep_id``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        of, "doc_id long, fp long"
-    )
+    name = F.col(id_col) if keep_id else F.col(id_col).cast("long")
+    rows = docs.select(name.alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _wildcard_variants() -> Column:
@@ -108,6 +108,18 @@ def near_pairs(prints: DataFrame, bits: int = BITS, crowded: int = CROWDED) -> D
     return found.distinct()
 
 
+def _components(prints: DataFrame, bits: int, crowded: int) -> DataFrame:
+    """``fp, component_id`` of each fingerprint, from ``doc_id, fp`` rows."""
+    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    roots = connected(near_pairs(reps, bits, crowded)).join(reps, F.col("node") == F.col("fp")).select("fp", "root", "rep")
+    named = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = roots.join(named, "root").select("fp", "root", "component_id")
+    of = reps.join(linked.withColumn("linked", F.lit(True)), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")
+    )
+    return materialize(of, "components")  # so that the last join stands alone and AQE can split the fingerprint of a large group of copies
+
+
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, crowded: int = CROWDED
 ) -> DataFrame:
@@ -118,22 +130,30 @@ def simhash_components(
     An empty table gives no rows. Other columns of the input are not read.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    roots = connected(near_pairs(reps, bits, crowded)).join(reps, F.col("node") == F.col("fp")).select("fp", "root", "rep")
-    named = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = roots.join(named, "root").select("fp", "component_id")
-    of = reps.join(linked.withColumn("linked", F.lit(True)), "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")
-    )
-    of = materialize(of, "components")  # so that the last join stands alone and AQE can split the fingerprint of a large group of copies
+    of = _components(prints, bits, crowded).select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def simhash_keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` with one document of each near-duplicate group: that of the smallest id.
+    """One row of ``docs`` for each near-duplicate group: of the smallest id (none: last), of several texts with it that of the smallest hash.
 
-    Rows without an id are kept. If a kept id has several rows, they all stay (they are one document).
+    Rows that share id and text are one document, of which one row stays (any, if they differ in other columns).
+    Null and empty texts are near-duplicates of each other. An empty table gives none; all columns stay as they are.
     """
-    parts = simhash_components(docs, id_col, text_col, bits)
-    gone = parts.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    named = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    prints = fingerprints(named.withColumn("__id", F.struct(F.col(id_col).cast("long").alias("id"), F.col("__text").alias("text"))), "__id", text_col, keep_id=True)
+    prints = materialize(prints.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.text").alias("text"), "fp"), "fingerprints")
+    of = _components(prints, bits, CROWDED).select("fp", "root")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text")
+    first = prints.groupBy("fp").agg(F.min(rank).alias("first"))
+    first = first.join(of, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text")
+    first = first.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"), F.lit(True).alias("stays"))
+    marked = prints.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text") == F.col("first_text")), "left")
+    kept = materialize(marked.select(F.col("doc_id").alias("__id"), F.col("text").alias("__hash"), F.coalesce("stays", F.lit(False)).alias("__stays")), "stays")
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    out = named.join(kept.filter("not __stays").select("__id", "__hash").distinct(), on, "left_anti")
+    again = kept.filter("__stays").groupBy("__id", "__hash").count().filter("count > 1").select("__id", "__hash")
+    if again.limit(1).count():
+        again = materialize(again, "again")
+        out = out.join(again, on, "left_anti").unionByName(out.join(again, on, "left_semi").dropDuplicates([id_col, "__text"]))
+    return out.drop("__text")

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+def _escape(column: str) -> str:
+    return rf"regexp_replace(coalesce({column}, ''), '<(\\*)\|', '<\1\\|', 'g')"
+
+
 def _render(turns: str) -> str:
     return f"coalesce(array_to_string(list_transform({turns}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '')"
 
@@ -15,7 +19,7 @@ def _spans(turns: str) -> str:
 
 
 CHAT_FORMAT = f"""
-WITH t AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+WITH t AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM (SELECT conv_id, turn, {_escape('role')} AS role, {_escape('text')} AS text FROM conversations) WHERE conv_id IS NOT NULL GROUP BY conv_id),
 c AS (SELECT *, turns[1] AS opening, coalesce(list_sum(list_transform(list_filter(turns, lambda t: t.role = 'assistant'), lambda t: length(t.text))), 0) AS said FROM t),
 best AS (SELECT opening, conv_id AS best_id, turns AS best_turns FROM c QUALIFY row_number() OVER (PARTITION BY opening ORDER BY said DESC, conv_id) = 1),
 p AS (SELECT c.*, best_id, best_turns, turns <> best_turns AS pair,

@@ -108,8 +108,12 @@ def dense_spans(text: str, vocabulary: tiktoken.Encoding, ratio: float = RATIO)
 
 def secret_spans(text: str, vocabulary: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int, int]]:
     """All spans of a text by start, then kind; a dense one that a base span holds is left to that."""
-    base = base_spans(text)
-    dense = [d for d in dense_spans(text, vocabulary, ratio) if not any(b[0] <= d[0] and d[2] <= b[2] for b in base)]
+    base, dense, i, reach = base_spans(text), [], 0, 0
+    for d in dense_spans(text, vocabulary, ratio):
+        while i < len(base) and base[i][0] <= d[0]:
+            reach, i = max(reach, base[i][2]), i + 1
+        if d[2] > reach:
+            dense.append(d)
     return sorted(base + dense)
 
 

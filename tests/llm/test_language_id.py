@@ -76,3 +76,22 @@ def test_no_gram_is_left_out_with_many_languages(spark):
     assert sum(a.nbytes for a in held) < 40_000_000
     data = np.frombuffer(words[7].encode(), np.uint8)
     assert op.entropies(models, data, np.array([0, len(data)]))[0].argmin() == 7
+
+
+def test_calibration_rows_are_kept_out_of_the_counts(spark):
+    schema = "doc_id long, text string, lang string"
+    kept_out = lambda i: zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(str(i).encode()) // 4 % op.CALIBRATION == 0
+    a = [(i, t, lang) for i, t, lang, _ in rows(160)]
+    assert sum(kept_out(i) for i, _, _ in a) > 5
+    b = [(i, "qqq " + t if kept_out(i) else t, lang) for i, t, lang in a]
+    x, y = ({r.doc_id: (r.lang_pred, r.entropy) for r in op.identify_languages(spark.createDataFrame(z, schema)).collect()} for z in (a, b))
+    assert all(x[i] == y[i] for i in x if not kept_out(i)) and any(x[i] != y[i] for i in x)
+
+
+def test_ties_go_to_the_first_language(spark):
+    same = [(i, "the same words in both", lang) for i, lang in enumerate(["b", "a"] * 40)]
+    got = op.identify_languages(spark.createDataFrame(same, "doc_id long, text string, lang string").filter("crc32(cast(doc_id as string)) % 4 != 2 and (crc32(cast(doc_id as string)) div 4) % 10 != 0"))
+    models = op.fit_models(["a", "b"], [(np.array([5], np.uint64), np.array([3]))] * 2)
+    h, _ = op.entropies(models, np.frombuffer(b"words", np.uint8), np.array([0, 5]))
+    assert h[0, 0] == h[0, 1] and h[0].argmin() == 0
+    assert {r.lang_pred for r in got.collect()} <= {"a", "b"}

@@ -1,3 +1,4 @@
+import time
 import hashlib
 import re
 
@@ -68,3 +69,12 @@ def test_random_strings_behind_names_and_in_paths():
         assert op.dense_spans(text, words) == [], text
     letters = "ZkqLxVpTbWnRsYcDfGhJqXw"
     assert op.dense_spans(f"key={letters} and theFunctionThatReturnsTheNameOfTheUser", words) == [(4, 3, 4 + len(letters))]
+
+
+def test_many_spans_of_both_kinds_take_linear_time():
+    words = op.encoding(open(op.VOCABULARY, "rb").read())
+    line = "token=Zk9qL2xV7pT0bW4nR8sYcD1f and Qm7xR2vK9pZ4tB6nW1yLcH3s\n"
+    began = time.time()
+    spans = op.secret_spans(line * 20_000, words)
+    assert len(spans) == 40_000 and time.time() - began < 30
+    assert [s[1] for s in spans[:2]] == [0, 3]
