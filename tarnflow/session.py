@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); one of our own only where none is set."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); on a single machine that sets none, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tarnflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
