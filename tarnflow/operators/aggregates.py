@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.operators.windows import best_per_key
+from tarnflow.operators.windows import best_per_key, exact_quantiles
 
 
 def merge_sources(events: DataFrame, key: Sequence[str], source: str, weight: str, tie: str) -> DataFrame:
@@ -34,9 +34,11 @@ def coverage_sets(df: DataFrame, a: str, b: str, hits: str) -> DataFrame:
 
 def distribution(df: DataFrame, by: Sequence[str], x: str, probabilities: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Number, mean, deviation and exact quantiles of a value per group."""
-    quantiles = F.percentile(x, F.array(*[F.lit(p) for p in probabilities]))
-    out = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), quantiles.alias("__q"))
-    return out.select(*by, "n", "mean", "std", *[F.col("__q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(probabilities)])
+    names = {f"p{round(p * 100):02d}": p for p in probabilities}
+    out = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+    quantiles = exact_quantiles(df, by, x, names).withColumnsRenamed({c: f"__q_{c}" for c in by})
+    on = [F.col(c).eqNullSafe(F.col(f"__q_{c}")) for c in by]
+    return out.join(quantiles, on, "left").select(*by, "n", "mean", "std", *names)
 
 
 def scoped_distribution(df: DataFrame, scopes: dict[str, Column], labels: Sequence[str]) -> DataFrame:
@@ -48,7 +50,7 @@ def scoped_distribution(df: DataFrame, scopes: dict[str, Column], labels: Sequen
 
 def histogram(df: DataFrame, x: str, bins: int = 24, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Counts of a value in equal bins between two of its quantiles, outliers in the outer ones, empty bins with 0."""
-    edge = df.agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    edge = exact_quantiles(df, [], x, {"lo": low, "hi": high})
     width = (F.col("hi") - F.col("lo")) / bins
     bin_ = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col(x) - F.col("lo")) / F.nullif(width, F.lit(0.0))))).cast("int")
     counts = df.filter(F.col(x).isNotNull()).join(F.broadcast(edge)).groupBy(F.coalesce(bin_, F.lit(1)).alias("bin")).count()  # one row of edges

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.text import safe_ratio
 from tarnflow.operators.joins import align_forward, asof_backward, nearest_in_range
-from tarnflow.operators.windows import average_ranks, end_value, event_sums, peer_mean_ex_self, pre_value
+from tarnflow.operators.windows import average_ranks, end_value, event_sums, exact_quantiles, peer_mean_ex_self, pre_value
 
 
 def daily_panel(rows: DataFrame, key: str, ts: str, value: str) -> DataFrame:
@@ -70,10 +70,11 @@ def yoy(df: DataFrame, key: str, period: str, x: str, slack: int = 20) -> DataFr
     return out.withColumn("yoy", safe_ratio(F.col(x) - F.col("base_value"), F.abs("base_value")))
 
 
-def rank_correlation(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3, out: str = "ic") -> DataFrame:
-    """Spearman correlation per group over rows with both values (0 where one is constant), and their number."""
+def rank_correlation(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3, out: str = "ic", x_rank: str | None = None) -> DataFrame:
+    """Spearman correlation per group over rows with both values (0 where one is constant), and their number. ``x_rank`` names ranks of ``x`` among these rows, if known."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(rows.select(*by, x, y), by, x, "__x"), by, y, "__y")
+    first = rows.select(*by, y, F.col(x_rank).alias("__x")) if x_rank else average_ranks(rows.select(*by, x, y), by, x, "__x")
+    ranked = average_ranks(first, by, y, "__y")
     pop = (F.stddev_pop("__x") > 0) & (F.stddev_pop("__y") > 0)
     got = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(pop, F.covar_pop("__x", "__y") / F.nullif(F.stddev_pop("__x") * F.stddev_pop("__y"), F.lit(0.0))).otherwise(0.0).alias(out))
     return got.filter(F.col("n") >= least)
@@ -102,18 +103,18 @@ def feature_group(name: str) -> str:
     return "other"
 
 
-def regression_metrics(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
-    """n, MAE, RMSE, R2, share of equal signs, and rank correlation per group."""
+def regression_metrics(df: DataFrame, by: Sequence[str], y: str, p: str, y_rank: str | None = None) -> DataFrame:
+    """n, MAE, RMSE, R2, share of equal signs, and rank correlation per group (by ranks of ``y`` that are known, if given)."""
     rows = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     e = F.col(y) - F.col(p)
     base = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         (1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count("*"), F.lit(0.0))).alias("r2"), F.avg((F.signum(y) == F.signum(p)).cast("double")).alias("direction"),
     )
-    return base.join(rank_correlation(rows, by, y, p, 1).drop("n"), list(by), "left")
+    return base.join(rank_correlation(rows, by, y, p, 1, x_rank=y_rank).drop("n"), list(by), "left")
 
 
 def winsorised(df: DataFrame, x: str, train: Column, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """A value clipped to quantiles of its training rows."""
-    edge = df.filter(train).agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("__q"))
-    return df.join(F.broadcast(edge)).withColumn(f"{x}_clipped", F.greatest(F.least(F.col(x), F.col("__q")[1]), F.col("__q")[0])).drop("__q")  # one row of edges
+    edge = exact_quantiles(df.filter(train), [], x, {"__lo": low, "__hi": high})
+    return df.join(F.broadcast(edge), how="left").withColumn(f"{x}_clipped", F.greatest(F.least(F.col(x), F.col("__hi")), F.col("__lo"))).drop("__lo", "__hi")  # one row of edges

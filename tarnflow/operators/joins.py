@@ -35,12 +35,13 @@ def align_forward(left: DataFrame, right: DataFrame, key: str, left_date: str, r
     """Each left row with the first right row (unique by key and date) on or after its date, and a status.
 
     Status: bad_date, before_first (no right row at or before the date: the key's first one is taken),
-    after_last, no_key, or ok.
+    after_last, no_key, or ok. Both sides are one table, sorted once per key from the last date on: the
+    right row seen last is carried on.
     """
     spans = right.groupBy(F.col(key).alias("__key")).agg(F.min(right_date).alias("__first"), F.max(right_date).alias("__last"))
-    order = [F.col("__d").asc_nulls_first(), F.col("__row").isNull().cast("int")]
-    w = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = _both_sides(left, right, key, left_date, right_date, carry, ()).withColumn("__p", F.first("__p", ignorenulls=True).over(w))
+    order = [F.col("__d").desc_nulls_last(), F.col("__row").isNotNull().cast("int")]
+    w = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = _both_sides(left, right, key, left_date, right_date, carry, ()).withColumn("__p", F.last("__p", ignorenulls=True).over(w))
     out = both.filter("__row is not null").select("__row.*", F.col("__p.right_date").alias("aligned_date"), *[f"__p.{c}" for c in carry])
     out = out.join(spans, F.col(key) == F.col("__key"), "left")
     d = F.col(left_date)

@@ -1,34 +1,109 @@
-"""Models on Spark ML: preparation learnt on the training rows, regressors and classifiers, selection, explanation, inference."""
+"""Models: preparation learnt on the training rows, linear models from sums that Spark takes in one pass, boosted trees on Spark ML, selection, explanation, inference."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.operators.features import rank_correlation, regression_metrics
+from tarnflow.operators.windows import exact_quantiles
 from tarnflow.session import materialize
 
 
 def prepare(df: DataFrame, features: Sequence[str], train: Column, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``features`` as one standard vector: nulls by the training median, clipped to training quantiles, scaled by training deviation."""
-    rows = df.filter(train)
-    names = [f"__{f}" for f in features]
-    filled = Imputer(strategy="median", inputCols=list(features), outputCols=names).fit(rows).transform(df)
-    edges = filled.filter(train).agg(*[F.percentile(n, F.array(F.lit(low), F.lit(high))).alias(n) for n in names]).head()
-    clipped = filled.withColumns({n: F.greatest(F.least(F.col(n), F.lit(edges[n][1])), F.lit(edges[n][0])) for n in names})
-    raw = VectorAssembler(inputCols=names, outputCol="__raw").transform(clipped)
-    return StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(raw.filter(train)).transform(raw).drop("__raw", *names)
+    """``z_<feature>`` for each feature, and all as the vector ``features``: nulls by the training median, clipped to training quantiles, standardised on the training rows.
 
+    A feature without training values is 0; one that is constant there is only centred.
+    """
+
+    def of(rows: DataFrame, quantiles: dict[str, float]) -> dict[str, dict]:
+        long = rows.select(F.lit(1).alias("__one"), *features).unpivot(["__one"], list(features), "feature", "value")
+        return {r["feature"]: r.asDict() for r in exact_quantiles(long, ["feature"], "value", quantiles).collect()}  # a row for each feature
+
+    rows = df.filter(train).select(*[F.col(f).cast("double").alias(f) for f in features])
+    medians = of(rows, {"m": 0.5})
+    filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(medians[f]["m"] if f in medians else 0.0)) for f in features}
+    edges = of(rows.withColumns(filled), {"lo": low, "hi": high})
+    clipped = {f: F.greatest(F.least(filled[f], F.lit(edges[f]["hi"])), F.lit(edges[f]["lo"])) if f in edges else filled[f] for f in features}
+    facts = [F.coalesce(F.avg(f), F.lit(0.0)).alias(f"m_{f}") for f in features] + [F.stddev_samp(f).alias(f"s_{f}") for f in features]
+    row = rows.select(*[clipped[f].alias(f) for f in features]).agg(*facts).head()
+    out = df.withColumns({f"z_{f}": (clipped[f] - F.lit(row[f"m_{f}"])) / F.lit(row[f"s_{f}"] or 1.0) for f in features})
+    return out.withColumn("features", array_to_vector(F.array(*[F.col(f"z_{f}") for f in features])))
+
+
+@dataclass
+class Linear:
+    """A linear model over columns."""
+
+    columns: list[str]
+    coefficients: list[float]
+    intercept: float
 
-def fit_linear(train: DataFrame, label: str, alpha: float, l1: float = 0.0):
-    return LinearRegression(labelCol=label, featuresCol="features", regParam=alpha, elasticNetParam=l1, standardization=False, solver="auto").fit(train)
+    def score(self, places: int | None = None) -> Column:
+        """The prediction; to ``places``, ones that differ by the order of sums alone are equal."""
+        x = sum((F.col(c) * b for c, b in zip(self.columns, self.coefficients, strict=True)), F.lit(self.intercept))
+        return x if places is None else F.round(x, places)
+
+    def transform(self, df: DataFrame, places: int | None = None) -> DataFrame:
+        return df.withColumn("prediction", self.score(places))
+
+
+def moments(train: DataFrame, xs: Sequence[str], y: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Covariances of the columns, with the label, their means, and that of the label: one row of sums comes to the driver."""
+    rows = train.filter(F.col(y).isNotNull())
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+    aggs = [F.covar_pop(xs[i], xs[j]).alias(f"c_{i}_{j}") for i, j in pairs] + [F.covar_pop(x, y).alias(f"d_{i}") for i, x in enumerate(xs)] + [F.avg(x).alias(f"m_{i}") for i, x in enumerate(xs)]
+    row = rows.agg(F.avg(y).alias("y"), *aggs).head()
+    c = np.zeros((len(xs), len(xs)))
+    for i, j in pairs:
+        c[i, j] = c[j, i] = row[f"c_{i}_{j}"] or 0.0
+    return c, np.array([row[f"d_{i}"] or 0.0 for i in range(len(xs))]), np.array([row[f"m_{i}"] or 0.0 for i in range(len(xs))]), row["y"] or 0.0
+
+
+def fit_moments(found: tuple[np.ndarray, np.ndarray, np.ndarray, float], xs: Sequence[str], alpha: float, l1: float = 0.0, use: Sequence[str] | None = None) -> Linear:
+    """The coefficients that make mean squared error / 2 + alpha * (l1 * sum |b| + (1 - l1) / 2 * sum b^2) least, by coordinate descent on the moments.
+
+    Every model of a grid comes from the same moments. ``use`` names the columns that take part (default: all).
+    """
+    c, d, m, y = found
+    b = np.zeros(len(xs))
+    active = [i for i, x in enumerate(xs) if use is None or x in use]
+    for _ in range(10_000):
+        last = b.copy()
+        for i in active:
+            v = d[i] - c[i] @ b + c[i, i] * b[i]
+            b[i] = np.sign(v) * max(abs(v) - alpha * l1, 0.0) / max(c[i, i] + alpha * (1 - l1), 1e-300)
+        if np.abs(b - last).max(initial=0.0) < 1e-14:
+            break
+    return Linear(list(xs), b.tolist(), float(y - m @ b))
+
+
+def fit_linear(train: DataFrame, xs: Sequence[str], y: str, alpha: float, l1: float = 0.0) -> Linear:
+    return fit_moments(moments(train, xs, y), xs, alpha, l1)
+
+
+def fixed_effects(df: DataFrame, train: Column, xs: Sequence[str], y: str, group: str, alpha: float, l1: float = 0.0) -> tuple[DataFrame, Linear]:
+    """``df`` with ``prediction`` of a linear model with an intercept for each group of the training rows, and the model within groups.
+
+    Label and columns are taken as distances from their group's training mean. A group without training rows has the mean intercept.
+    """
+    names = [y, *xs]
+    per = df.filter(train).groupBy(F.col(group).alias("__g")).agg(*[F.avg(c).alias(f"__m_{c}") for c in names])
+    every = df.filter(train).agg(*[F.avg(c).alias(f"__a_{c}") for c in names])
+    both = df.join(per, F.col(group).eqNullSafe(F.col("__g")), "left")
+    within = both.filter(train).select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in names])
+    model = fit_linear(within, xs, y, alpha, l1)
+    mean = {c: F.coalesce(F.col(f"__m_{c}"), F.col(f"__a_{c}")) for c in names}
+    score = mean[y] + sum((F.col(x) - mean[x]) * b for x, b in zip(xs, model.coefficients, strict=True))
+    out = both.join(F.broadcast(every)).withColumn("prediction", score)  # one row
+    return out.drop("__g", *[f"__m_{c}" for c in names], *[f"__a_{c}" for c in names]), model
 
 
 def fit_gbt(train: DataFrame, label: str, valid_flag: str | None = None, rounds: int = 20, seed: int = 7):
@@ -36,47 +111,43 @@ def fit_gbt(train: DataFrame, label: str, valid_flag: str | None = None, rounds:
     return (m.setValidationIndicatorCol(valid_flag) if valid_flag else m).fit(train)
 
 
-def select_linear(df: DataFrame, label: str, split: str, alphas: Sequence[float]) -> DataFrame:
-    """``alpha, split, n, mae, ...`` of a ridge per penalty, with the one of least validation error marked."""
-    train = df.filter(F.col(split) == "train").cache()
-    out = None
-    for a in alphas:
-        p = fit_linear(train, label, a).transform(df)
-        m = regression_metrics(p, [split], label, "prediction").withColumn("alpha", F.lit(a))
-        out = m if out is None else out.unionByName(m)
-    best = out.filter(F.col(split) == "valid").agg(F.min_by("alpha", F.struct("mae", "alpha")).alias("best"))
-    return out.join(F.broadcast(best)).withColumn("selected", F.col("alpha") == F.col("best")).drop("best")  # one row
+def select_linear(
+    df: DataFrame, xs: Sequence[str], label: str, split: str, grid: Sequence[tuple[float, float]], y_rank: str | None = None, places: int | None = None
+) -> DataFrame:
+    """``alpha, l1, split, n, mae, ...`` of a linear model per penalty, with the one of least validation error marked: all models from one pass, all metrics from another."""
+    found = moments(df.filter(F.col(split) == "train"), xs, label)
+    models = [(a, l1, fit_moments(found, xs, a, l1)) for a, l1 in grid]
+    each = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(l1)).alias("l1"), m.score(places).alias("prediction")) for a, l1, m in models])).alias("x")
+    scored = df.select(split, label, *([y_rank] if y_rank else []), each).select("*", "x.*").drop("x")
+    out = regression_metrics(scored, ["alpha", "l1", split], label, "prediction", y_rank)
+    best = out.filter(F.col(split) == "valid").agg(F.min_by(F.struct("alpha", "l1"), F.struct("mae", "alpha", "l1")).alias("best"))
+    return out.join(F.broadcast(best)).withColumn("selected", F.struct("alpha", "l1") == F.col("best")).drop("best")  # one row
 
 
-def permutation_drop(df: DataFrame, model, features: Sequence[str], label: str, id_col: str, seed: int = 7) -> DataFrame:
-    """How far the rank correlation falls when a feature's values are dealt anew among rows.
+def permutation_drop(df: DataFrame, model: Linear, label: str, key: Column, seed: int = 7, places: int | None = None) -> DataFrame:
+    """How far the rank correlation falls when a column's values are dealt anew among rows.
 
-    Values move by one place in an order of hashed ids, so that no row is sampled or collected.
+    Values move by one place in an order of hashed keys, within parts by hash, so that no row is sampled or collected.
     """
-    base = rank_correlation(model.transform(df).withColumn("__all", F.lit(1)), ["__all"], label, "prediction", 1).head()
-    vector = vector_to_array("features")
-    out = []
-    for i, name in enumerate(features):
-        part = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(64))
-        w = Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed + i), F.col(id_col)), F.col(id_col))
-        mixed = df.withColumn("__o", F.coalesce(F.lag(vector[i]).over(w), vector[i]))
-        score = F.lit(float(model.intercept))
-        for j, c in enumerate(model.coefficients):
-            score = score + float(c) * (F.col("__o") if j == i else vector[j])
-        ic = rank_correlation(mixed.withColumn("prediction", score).withColumn("__all", F.lit(1)), ["__all"], label, "prediction", 1)
-        out.append(ic.select(F.lit(name).alias("feature"), (F.lit(base["ic"]) - F.col("ic")).alias("drop")))
-    got = out[0]
-    for o in out[1:]:
-        got = got.union(o)
-    return got
-
-
-def contributions(df: DataFrame, model, features: Sequence[str], id_col: str, top: int = 5) -> DataFrame:
-    """``id, rank, feature, contribution``: the parts of a linear prediction, largest by size first."""
-    parts = F.zip_with(vector_to_array("features"), F.array(*[F.lit(float(c)) for c in model.coefficients]), lambda a, b: a * b)
-    named = F.zip_with(F.array(*[F.lit(f) for f in features]), parts, lambda n, c: F.struct(F.abs(c).alias("size"), n.alias("feature"), c.alias("contribution")))
-    best = F.slice(F.sort_array(named, asc=False), 1, top)
-    return df.select(id_col, F.posexplode(best).alias("pos", "x")).select(id_col, (F.col("pos") + 1).alias("rank"), "x.feature", "x.contribution")
+    rows = df.withColumns({"__all": F.lit(1), "__part": F.substring(F.md5(key), 1, 2)})
+    base = rank_correlation(model.transform(rows, places), ["__all"], label, "prediction", 1).head()
+    out = None
+    for i, name in enumerate(model.columns):
+        w = Window.partitionBy("__part").orderBy(F.md5(F.concat(F.lit(str(seed + i)), key)))
+        moved = F.coalesce(F.lag(name).over(w), F.col(name))
+        mixed = rows.withColumn("__moved", moved).withColumn("prediction", model.score() + (F.col("__moved") - F.col(name)) * model.coefficients[i])
+        mixed = mixed if places is None else mixed.withColumn("prediction", F.round("prediction", places))
+        ic = rank_correlation(mixed, ["__all"], label, "prediction", 1).select(F.lit(name).alias("feature"), (F.lit(base["ic"]) - F.col("ic")).alias("drop"))
+        out = ic if out is None else out.union(ic)
+    return out
+
+
+def contributions(df: DataFrame, model: Linear, keys: Sequence[str], top: int = 5) -> DataFrame:
+    """``keys, rank, feature, contribution``: the parts of a linear prediction, largest by size first (ties: by name)."""
+    parts = [(F.col(c) * b, c) for c, b in zip(model.columns, model.coefficients, strict=True)]
+    named = F.array(*[F.struct((-F.abs(v)).alias("size"), F.lit(c).alias("feature"), v.alias("contribution")) for v, c in parts])
+    best = F.slice(F.sort_array(named), 1, top)
+    return df.select(*keys, F.posexplode(best).alias("pos", "x")).select(*keys, (F.col("pos") + 1).alias("rank"), "x.feature", "x.contribution")
 
 
 def cluster_blocks(df: DataFrame, cluster: str, y: str, xs: Sequence[str]) -> DataFrame:

@@ -82,21 +82,47 @@ def _cut(df: DataFrame, by: Sequence[str], x: str, parts: int = 128) -> DataFram
     return df.join(cuts, on).withColumn("__part", part).drop("__cuts", *[f"__b_{c}" for c in by])
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
-    """Average ranks within large groups, exact, without a window over a whole group; null for null.
+def _same(left: Sequence[str], prefix: str) -> list[Column]:
+    return [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in left]
+
+
+def value_ends(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+    """``by, x, __n, __end, __total``: how often each value of a group occurs, how many of the group are not above it, and how many there are.
 
-    Different values are counted, cut into parts by quantiles of the group, ranked within their part, and
-    moved on by what the parts before hold; ranks go back by an equality join.
+    Exact, without a window over a whole group: different values are counted, cut into parts by quantiles of
+    the group, added up within their part, and moved on by what the parts before hold.
     """
     counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__n"))
     counts = _cut(counts, by, x)
-    order = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.groupBy(*by, "__part").agg(F.sum("__n").alias("__t")).withColumn("__ahead", F.coalesce(F.sum("__t").over(order), F.lit(0))).drop("__t")
-    ahead = ahead.select(*[F.col(c).alias(f"__b_{c}") for c in (*by, "__part")], "__ahead")
-    both = counts.join(ahead, [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in (*by, "__part")])
+    parts = Window.partitionBy(*by)  # a row for each part
+    before = parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.groupBy(*by, "__part").agg(F.sum("__n").alias("__t")).withColumns({"__ahead": F.coalesce(F.sum("__t").over(before), F.lit(0)), "__total": F.sum("__t").over(parts)})
+    ahead = ahead.select(*[F.col(c).alias(f"__b_{c}") for c in (*by, "__part")], "__ahead", "__total")
+    both = counts.join(ahead, _same([*by, "__part"], "__b_"))
     end = F.col("__ahead") + F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy(x))
-    ranks = both.select(*[F.col(c).alias(f"__r_{c}") for c in (*by, x)], (end - (F.col("__n") - 1) / 2.0).alias(out))
-    return df.join(ranks, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in (*by, x)], "left").drop(*[f"__r_{c}" for c in (*by, x)])
+    return both.select(*by, x, "__n", end.alias("__end"), "__total")
+
+
+def average_ranks(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
+    """Average ranks within large groups, exact, without a window over a whole group; null for null."""
+    ends = value_ends(df, by, x)
+    ranks = ends.select(*[F.col(c).alias(f"__r_{c}") for c in (*by, x)], (F.col("__end") - (F.col("__n") - 1) / 2.0).alias(out))
+    return df.join(ranks, _same([*by, x], "__r_"), "left").drop(*[f"__r_{c}" for c in (*by, x)])
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, quantiles: dict[str, float]) -> DataFrame:
+    """``by`` and a column for each of ``quantiles``: exact ones, between two values by their distance, of large groups too; one row if ``by`` is empty."""
+    keys = list(by) or ["__every"]
+    ends = value_ends(df if by else df.withColumn("__every", F.lit(1)), keys, x)
+    begin, end, v = F.col("__end") - F.col("__n"), F.col("__end"), F.col(x).cast("double")
+    values = []
+    for name, p in quantiles.items():
+        at = (F.col("__total") - 1) * p
+        for place, k in (("a", F.floor(at)), ("b", F.ceil(at))):
+            values.append(F.max(F.when((begin <= k) & (k < end), v)).alias(f"__{place}_{name}"))
+        values.append(F.max(at - F.floor(at)).alias(f"__f_{name}"))
+    got = ends.groupBy(*keys).agg(*values)
+    return got.select(*by, *[(F.col(f"__a_{n}") + F.col(f"__f_{n}") * (F.col(f"__b_{n}") - F.col(f"__a_{n}"))).alias(n) for n in quantiles])
 
 
 def positions(df: DataFrame, by: Sequence[str], x: str, tie: str, out: str) -> DataFrame:
@@ -112,21 +138,23 @@ def positions(df: DataFrame, by: Sequence[str], x: str, tie: str, out: str) -> D
 
 def percentile_rank(df: DataFrame, by: Sequence[str], x: str, least: int = 4, out: str = "pct_rank") -> DataFrame:
     """Average rank over the number of values in the group, where it has ``least`` values."""
-    n = F.count(x).over(Window.partitionBy(*by))
-    return df.withColumn(out, F.when(n >= least, average_rank([F.col(c) for c in by], F.col(x)) / n))
+    n = df.groupBy(*[F.col(c).alias(f"__n_{c}") for c in by]).agg(F.count(x).alias("__n"))
+    both = average_ranks(df, by, x, "__rank").join(n, _same(by, "__n_"))
+    return both.withColumn(out, F.when(F.col("__n") >= least, F.col("__rank") / F.col("__n"))).drop("__rank", "__n", *[f"__n_{c}" for c in by])
 
 
 def cross_rank(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """Rank from the largest, number of values, mean of the others, and 1 - (rank - 1) / (n - 1) for rows with a value."""
-    n = F.count(x).over(Window.partitionBy(*by))
-    rank = F.when(F.col(x).isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(F.col(x).desc_nulls_last())))
-    total = F.sum(x).over(Window.partitionBy(*by))
-    out = df.withColumns({"rank": rank, "n": n, "others_mean": F.when(F.col(x).isNotNull(), F.try_divide(total - F.col(x), n - 1))})
-    return out.withColumn("percentile", 1 - (F.col("rank") - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
+    facts = df.groupBy(*[F.col(c).alias(f"__n_{c}") for c in by]).agg(F.count(x).alias("__count"), F.sum(x).alias("__sum"))
+    ranks = value_ends(df, by, x).select(*[F.col(c).alias(f"__r_{c}") for c in (*by, x)], (F.col("__total") - F.col("__end") + 1).alias("rank"))
+    both = df.drop("rank").join(ranks, _same([*by, x], "__r_"), "left").join(facts, _same(by, "__n_")).withColumn("n", F.col("__count"))
+    out = both.withColumn("others_mean", F.when(F.col(x).isNotNull(), F.try_divide(F.col("__sum") - F.col(x), F.col("n") - 1)))
+    out = out.withColumn("percentile", 1 - (F.col("rank") - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
+    return out.drop("__sum", "__count", *[f"__n_{c}" for c in by], *[f"__r_{c}" for c in (*by, x)])
 
 
 def minus_group_median(df: DataFrame, by: Sequence[str], x: str, out: str = "demedianed") -> DataFrame:
-    medians = df.groupBy(*by).agg(F.median(x).alias("__m"))
+    medians = exact_quantiles(df, by, x, {"__m": 0.5})
     return df.join(medians, list(by), "left").withColumn(out, F.col(x) - F.col("__m")).drop("__m")
 
 

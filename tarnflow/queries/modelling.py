@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import rules, text
 from tarnflow.operators import checks, features, joins, models
-from tarnflow.operators.windows import minus_group_median, percentile_rank, trailing_mean, trailing_z
+from tarnflow.operators.windows import average_ranks, exact_quantiles, minus_group_median, percentile_rank, trailing_mean, trailing_z
 from tarnflow.queries.panel import ORDERS, USERS, orders, r, users
 from tarnflow.registry import query
 from tarnflow.session import materialize
@@ -112,77 +112,138 @@ def _(spark, d):
 
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+_Z = [f"z_{f}" for f in _FEATURES]
+_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+#: Places to which predictions are compared: sums in any order agree on them.
+_PLACES = 9
 
 
 def _frame(spark, d):
-    """The lines as a modelling frame: split by year of shipping, features prepared on the training rows."""
-    y = F.year("l_shipdate")
-    key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    x = table(spark, d, "lineitem").withColumns({"id": key, "split": F.when(y < 1998, "train").when(y < 1999, "valid").otherwise("test"), "y": F.col("l_extendedprice") / 1000})
-    x = x.withColumns({f: F.col(f).cast("double") for f in _FEATURES}).select("id", "split", "y", "l_suppkey", "l_returnflag", *_FEATURES)
-    return materialize(models.prepare(x, _FEATURES, F.col("split") == "train"), "frame")
+    """The lines as a modelling frame: split by year of shipping, features prepared on the training rows (a discount of zero counts as missing), ranks of the label."""
+    year = F.year("l_shipdate")
+    x = table(spark, d, "lineitem").withColumns({"split": F.when(year < 1998, "train").when(year < 1999, "valid").otherwise("test"), "y": F.col("l_extendedprice") / 1000})
+    x = x.withColumn("l_discount", F.nullif("l_discount", F.lit(0.0))).select("split", "y", "l_returnflag", *_KEYS, "l_quantity", "l_discount", "l_tax")
+    return materialize(average_ranks(models.prepare(x, _FEATURES, F.col("split") == "train"), ["split"], "y", "y_rank"), "frame")
+
+
+def _each(form: str, sep: str = ", ") -> str:
+    return sep.join(form.replace("#", str(i)) for i in range(1, 5))
+
+
+# The frame in SQL: x1 to x4 are the features, z1 to z4 the prepared ones.
+_FRAME = f"""f0 AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, CASE WHEN year(l_shipdate) < 1998 THEN 'train' WHEN year(l_shipdate) < 1999 THEN 'valid' ELSE 'test' END AS split,
+  l_extendedprice / 1000 AS y, l_quantity AS x1, nullif(l_discount, 0) AS x2, l_tax AS x3, CAST(l_linenumber AS DOUBLE) AS x4 FROM lineitem),
+f1 AS (SELECT f0.* REPLACE ({_each("coalesce(x#, m#) AS x#")}) FROM f0, (SELECT {_each("median(x#) AS m#")} FROM f0 WHERE split = 'train')),
+f2 AS (SELECT f1.* REPLACE ({_each("greatest(least(x#, hi#), lo#) AS x#")}) FROM f1, (SELECT {_each("quantile_cont(x#, 0.01) AS lo#, quantile_cont(x#, 0.99) AS hi#")} FROM f1 WHERE split = 'train')),
+fr AS (SELECT f2.*, {_each("(x# - a#) / s# AS z#")} FROM f2, (SELECT {_each("avg(x#) AS a#, stddev_samp(x#) AS s#")} FROM f2 WHERE split = 'train'))"""
+
+
+def _fit(*par: tuple, rows: str = "fr", where: str = "split = 'train'") -> str:
+    """A table ``fit`` of coefficients b0 to b4 for each ``(alpha, l1, features left out ...)``, by coordinate descent on covariances."""
+    cov = ", ".join(f"covar_pop(z{i}, z{j}) AS c{i}{j}" for i in range(1, 5) for j in range(1, 5))
+    names = "alpha, l1, use1, use2, use3, use4, b1, b2, b3, b4"
+    penalties = " UNION ALL ".join(f"SELECT CAST({a} AS DOUBLE) AS alpha, CAST({l1} AS DOUBLE) AS l1, " + ", ".join(f"{i not in out} AS use{i}" for i in range(1, 5)) for a, l1, *out in par)
+    step = f"SELECT it, {names} FROM cd WHERE it < 60"
+    for i in range(1, 5):
+        v = f"(d{i} - ({' + '.join(f'c{i}{j} * b{j}' for j in range(1, 5) if j != i)}))"
+        step = f"SELECT q.* REPLACE (CASE WHEN use{i} THEN sign({v}) * greatest(abs({v}) - alpha * l1, 0) / (c{i}{i} + alpha * (1 - l1)) ELSE 0 END AS b{i}) FROM ({step}) q, gram"
+    return f"""gram AS (SELECT {cov}, {_each("covar_pop(z#, y) AS d#")}, {_each("avg(z#) AS m#")}, avg(y) AS my FROM {rows} WHERE {where}),
+cd AS (SELECT 0 AS it, p.*, {_each("CAST(0 AS DOUBLE) AS b#")} FROM ({penalties}) p UNION ALL SELECT it + 1, {names} FROM ({step})),
+fit AS (SELECT cd.*, my - ({_each("m# * b#", " + ")}) AS b0 FROM cd, gram WHERE it = 60)"""
+
+
+_SCORE = "b0 + " + _each("b# * z#", " + ")
+_P = f"round({_SCORE}, {_PLACES}) AS p"
+
+
+def _metrics_sql(keys: str, scored: str) -> str:
+    """A table ``met`` of metrics by keys from ``y`` and ``p``."""
+    rank = lambda v: f"rank() OVER (PARTITION BY {keys} ORDER BY {v}) + (count(*) OVER (PARTITION BY {keys}, {v}) - 1) / 2.0"
+    return f"""met AS (SELECT {keys}, count(*) AS n, round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0), 5) AS r2,
+  round(avg(CAST(sign(y) = sign(p) AS INT)), 6) AS direction, round(CASE WHEN stddev_pop(ry) > 0 AND stddev_pop(rp) > 0 THEN corr(ry, rp) ELSE 0 END, 5) AS ic
+  FROM (SELECT *, {rank("y")} AS ry, {rank("p")} AS rp FROM ({scored})) GROUP BY {keys})"""
+
+
+def _metrics(rows, by, y_rank="y_rank"):
+    """Metrics to the places that sums in any order agree on."""
+    return _rounded(features.regression_metrics(rows.withColumn("prediction", F.round("prediction", _PLACES)), by, "y", "prediction", y_rank))
+
+
+def _rounded(metrics):
+    return metrics.withColumns({c: F.round(c, p) for c, p in (("mae", 4), ("rmse", 4), ("r2", 5), ("direction", 6), ("ic", 5))})
 
 
 def _ridge(spark, d, l1=0.0):
     f = _frame(spark, d)
-    return f, models.fit_linear(f.filter("split = 'train'"), "y", 0.1, l1)
+    return f, models.fit_linear(f.filter("split = 'train'"), _Z, "y", 0.1, l1)
 
 
-@query("ml_impute_clip_scale")
+@query("ml_impute_clip_scale", f"WITH {_FRAME} SELECT split, count(*) AS n, {_each('round(avg(z#), 4) + 0.0 AS mean_#, round(stddev_samp(z#), 4) AS std_#')} FROM fr GROUP BY split")
 def _(spark, d):
-    from pyspark.ml.functions import vector_to_array
+    facts = [x for i, z in enumerate(_Z, 1) for x in ((F.round(F.avg(z), 4) + 0.0).alias(f"mean_{i}"), F.round(F.stddev_samp(z), 4).alias(f"std_{i}"))]
+    return _frame(spark, d).groupBy("split").agg(F.count("*").alias("n"), *facts)
 
-    v = vector_to_array("features")
-    return _frame(spark, d).groupBy("split").agg(F.count("*").alias("n"), *[F.round(F.avg(v[i]), 4).alias(f"mean_{i}") for i in range(4)])
 
+_WITHIN = f"""fm AS (SELECT l_returnflag AS g, avg(y) AS gy, {_each("avg(z#) AS g#")} FROM fr WHERE split = 'train' GROUP BY 1), fa AS (SELECT avg(y) AS ay, {_each("avg(z#) AS a#")} FROM fr WHERE split = 'train'),
+fw AS (SELECT fr.* REPLACE (y - gy AS y, {_each("z# - g# AS z#")}) FROM fr JOIN fm ON g = l_returnflag)"""
+_WITHIN_P = f"""SELECT split, y, round(coalesce(gy, ay) + {_each("b# * (z# - coalesce(g#, a#))", " + ")}, {_PLACES}) AS p FROM fr LEFT JOIN fm ON g = l_returnflag, fa, fit"""
 
-@query("ml_ridge")
+
+@query("ml_ridge", f"SELECT 'plain' AS variant, * FROM (WITH RECURSIVE {_FRAME}, {_fit((0.1, 0))}, {_metrics_sql('split', f'SELECT split, y, {_P} FROM fr, fit')} SELECT * FROM met) UNION ALL SELECT 'fixed_effects', * FROM (WITH RECURSIVE {_FRAME}, {_WITHIN}, {_fit((0.1, 0), rows='fw')}, {_metrics_sql('split', _WITHIN_P)} SELECT * FROM met)")
 def _(spark, d):
     f, m = _ridge(spark, d)
-    return features.regression_metrics(m.transform(f), ["split"], "y", "prediction")
+    fixed, _ = models.fixed_effects(f, F.col("split") == "train", _Z, "y", "l_returnflag", 0.1)
+    columns = ["variant", "split", "y", "y_rank", "prediction"]
+    both = m.transform(f).withColumn("variant", F.lit("plain")).select(*columns).union(fixed.withColumn("variant", F.lit("fixed_effects")).select(*columns))
+    return _metrics(both, ["variant", "split"])
+
 
+_GRID = [(0.01, 0.2), (0.01, 0.8), (0.05, 0.5), (0.1, 1.0)]
 
-@query("ml_elasticnet")
+
+@query("ml_elasticnet", f"WITH RECURSIVE {_FRAME}, {_fit(*_GRID)}, {_metrics_sql('alpha, l1, split', f'SELECT alpha, l1, split, y, {_P} FROM fr, fit')} SELECT * FROM met")
 def _(spark, d):
-    f, m = _ridge(spark, d, 0.5)
-    return features.regression_metrics(m.transform(f), ["split"], "y", "prediction")
+    return _rounded(models.select_linear(_frame(spark, d), _Z, "y", "split", _GRID, "y_rank", _PLACES).drop("selected"))
 
 
 @query("ml_gbt")
 def _(spark, d):
     f = _frame(spark, d).withColumn("is_valid", F.col("split") == "valid")
     m = models.fit_gbt(f.filter("split <> 'test'"), "y", "is_valid", 10)
-    return features.regression_metrics(m.transform(f), ["split"], "y", "prediction")
+    return features.regression_metrics(m.transform(f), ["split"], "y", "prediction", "y_rank")
 
 
-@query("ml_grid_select")
-def _(spark, d):
-    return models.select_linear(_frame(spark, d), "y", "split", (0.01, 0.1, 1.0))
+_ALPHAS = [(0.01, 0.0), (0.1, 0.0), (1.0, 0.0)]
+_BEST = f"SELECT alpha FROM (SELECT alpha, y, {_P} FROM fr, fit WHERE split = 'valid') GROUP BY 1 ORDER BY avg(abs(y - p)), alpha LIMIT 1"
 
 
-@query("join_eval_best")
+@query("ml_grid_select", f"WITH RECURSIVE {_FRAME}, {_fit(*_ALPHAS)}, {_metrics_sql('alpha, split', f'SELECT alpha, split, y, {_P} FROM fr, fit')} SELECT *, alpha = ({_BEST}) AS selected FROM met")
 def _(spark, d):
-    got = materialize(models.select_linear(_frame(spark, d), "y", "split", (0.01, 1.0)), "grid")
-    return got.filter("selected and split = 'test'").select("alpha", F.col("mae").alias("test_mae"), "n")
+    return _rounded(models.select_linear(_frame(spark, d), _Z, "y", "split", _ALPHAS, "y_rank", _PLACES)).drop("l1")
 
 
-@query("ml_ablation")
+@query("join_eval_best", f"WITH RECURSIVE {_FRAME}, {_fit((0.01, 0), (1.0, 0))} SELECT alpha, round(avg(abs(y - p)), 4) AS test_mae, count(*) AS n FROM (SELECT alpha, y, {_P} FROM fr, fit WHERE split = 'test') WHERE alpha = ({_BEST}) GROUP BY 1")
 def _(spark, d):
-    from pyspark.ml.feature import VectorSlicer
+    got = materialize(models.select_linear(_frame(spark, d), _Z, "y", "split", [(0.01, 0.0), (1.0, 0.0)], "y_rank", _PLACES), "grid")
+    return got.filter("selected and split = 'test'").select("alpha", F.round("mae", 4).alias("test_mae"), "n")
 
-    f, out = _frame(spark, d), None
-    for name, at in (("all", [0, 1, 2, 3]), ("no_quantity", [1, 2, 3])):
-        s = VectorSlicer(inputCol="features", outputCol="part", indices=at).transform(f).drop("features").withColumnRenamed("part", "features")
-        m = models.fit_linear(s.filter("split = 'train'"), "y", 0.1)
-        e = features.regression_metrics(m.transform(s), ["split"], "y", "prediction").withColumn("features", F.lit(name))
-        out = e if out is None else out.union(e)
-    return out
 
+_SETS = {"all": [], "no_quantity": [1], "no_discount_tax": [2, 3]}
 
-@query("ml_clean_only")
+
+@query("ml_ablation", f"WITH RECURSIVE {_FRAME}, {_fit(*[(0.1, 0, *out) for out in _SETS.values()])}, {_metrics_sql('features, split', f"SELECT CASE WHEN NOT use1 THEN 'no_quantity' WHEN NOT use2 THEN 'no_discount_tax' ELSE 'all' END AS features, split, y, {_P} FROM fr, fit")} SELECT * FROM met")
+def _(spark, d):
+    f = _frame(spark, d)
+    found = models.moments(f.filter("split = 'train'"), _Z, "y")
+    fits = {name: models.fit_moments(found, _Z, 0.1, use=[z for i, z in enumerate(_Z, 1) if i not in out]) for name, out in _SETS.items()}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("features"), m.score().alias("prediction")) for n, m in fits.items()])).alias("x")
+    return _metrics(f.select("split", "y", "y_rank", each).select("split", "y", "y_rank", "x.*"), ["features", "split"])
+
+
+@query("ml_clean_only", f"WITH RECURSIVE {_FRAME}, {_fit((0.1, 0), where="split = 'train' AND l_returnflag = 'N'")}, {_metrics_sql('split', f"SELECT split, y, {_P} FROM fr, fit WHERE l_returnflag = 'N'")} SELECT * FROM met")
 def _(spark, d):
     f = _frame(spark, d).filter("l_returnflag = 'N'")
-    return features.regression_metrics(models.fit_linear(f.filter("split = 'train'"), "y", 0.1).transform(f), ["split"], "y", "prediction")
+    return _metrics(models.fit_linear(f.filter("split = 'train'"), _Z, "y", 0.1).transform(f), ["split"], None)
 
 
 @query("ml_largemove")
@@ -191,7 +252,11 @@ def _(spark, d):
 
     f = _frame(spark, d).withColumn("large", (F.col("y") > 50).cast("double"))
     m = LogisticRegression(labelCol="large", featuresCol="features", regParam=0.01).fit(f.filter("split = 'train'"))
-    return m.transform(f).groupBy("split").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("large")).cast("double")).alias("accuracy"))
+    hit = [F.count_if((F.col("large") == a) & (F.col("prediction") == b)) for a, b in ((1, 1), (0, 1), (1, 0), (0, 0))]
+    facts = m.transform(f).groupBy("split").agg(F.count("*").alias("n"), *[h.alias(c) for h, c in zip(hit, ("tp", "fp", "fn", "tn"), strict=True)])
+    rate = lambda a, b: F.try_divide(F.col(a), F.col(a) + F.col(b))
+    out = facts.withColumns({"accuracy": (F.col("tp") + F.col("tn")) / F.col("n"), "precision": rate("tp", "fp"), "recall": rate("tp", "fn"), "balanced": (rate("tp", "fn") + rate("tn", "fp")) / 2})
+    return out.withColumn("f1", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
 @query("ml_three_class")
@@ -202,44 +267,78 @@ def _(spark, d):
     counts = f.filter("split = 'train'").groupBy("cls").agg(F.count("*").alias("k"))
     weighted = f.join(F.broadcast(counts), "cls").withColumn("w", 1.0 / F.col("k"))  # three classes
     m = LogisticRegression(labelCol="cls", featuresCol="features", weightCol="w", family="multinomial", regParam=0.01).fit(weighted.filter("split = 'train'"))
-    return m.transform(weighted).filter("split = 'test'").groupBy("cls").pivot("prediction", [0.0, 1.0, 2.0]).agg(F.count("id"))
+    return m.transform(weighted).filter("split = 'test'").groupBy("cls").pivot("prediction", [0.0, 1.0, 2.0]).agg(F.count("split"))
 
 
-@query("ml_registry")
+_REGISTRY = '{"target":"y","features":["' + '","'.join(_FEATURES) + '"],"alpha":0.1}'
+
+
+@query("ml_registry", f"WITH RECURSIVE {_FRAME}, {_fit((0.1, 0))}, {_metrics_sql('split', f'SELECT split, y, {_P} FROM fr, fit')} SELECT *, '{_REGISTRY}' AS registry FROM met")
 def _(spark, d):
     f, m = _ridge(spark, d)
-    e = features.regression_metrics(m.transform(f), ["split"], "y", "prediction")
     facts = F.to_json(F.struct(F.lit("y").alias("target"), F.array(*[F.lit(c) for c in _FEATURES]).alias("features"), F.lit(0.1).alias("alpha")))
-    return e.withColumn("registry", facts)
+    return _metrics(m.transform(f), ["split"]).withColumn("registry", facts)
+
+
+_KEY = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_DEALT = " UNION ALL ".join(f"SELECT '{z}' AS feature, y, {_SCORE} + b{i} * (coalesce(lag(z{i}) OVER (PARTITION BY part ORDER BY md5('{6 + i}' || key)), z{i}) - z{i}) AS p FROM te" for i, z in enumerate(_Z, 1))
+_RANKED = "SELECT feature, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS a, rank() OVER (PARTITION BY feature ORDER BY p) + (count(*) OVER (PARTITION BY feature, p) - 1) / 2.0 AS b FROM al"
 
 
-@query("ex_permutation")
+@query("ex_permutation", f"""WITH RECURSIVE {_FRAME}, {_fit((0.1, 0))}, te AS (SELECT fr.*, fit.*, {_KEY} AS key, substr(md5({_KEY}), 1, 2) AS part FROM fr, fit WHERE split = 'test'),
+al AS (SELECT feature, y, round(p, {_PLACES}) AS p FROM (SELECT 'base' AS feature, y, {_SCORE} AS p FROM te UNION ALL {_DEALT})), ic AS (SELECT feature, corr(a, b) AS ic FROM ({_RANKED}) GROUP BY 1)
+SELECT x.feature, round(b.ic - x.ic, 5) AS "drop" FROM ic x, ic b WHERE b.feature = 'base' AND x.feature <> 'base'""")
 def _(spark, d):
     f, m = _ridge(spark, d)
-    return models.permutation_drop(f.filter("split = 'test'"), m, _FEATURES, "y", "id")
+    key = F.concat_ws("|", *[F.col(k).cast("string") for k in _KEYS])
+    return models.permutation_drop(f.filter("split = 'test'"), m, "y", key, places=_PLACES).withColumn("drop", F.round("drop", 5))
 
 
-@query("ex_coefficients")
+@query("ex_coefficients", f"WITH RECURSIVE {_FRAME}, {_fit((0.1, 0))}, c AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, b{i} AS b FROM fit" for i, f in enumerate(_FEATURES, 1))}) SELECT feature, round(b, 6) AS coefficient, CAST(row_number() OVER (ORDER BY abs(b) DESC, feature) AS INT) AS rank FROM c")
 def _(spark, d):
-    f, m = _ridge(spark, d)
-    rows = f.groupBy().agg(F.count("*").alias("rows"))
-    c = spark.createDataFrame([(n, float(x)) for n, x in zip(_FEATURES, m.coefficients, strict=True)], "feature string, coefficient double")
-    return c.join(F.broadcast(rows)).orderBy(F.abs("coefficient").desc(), "feature")
+    _, m = _ridge(spark, d)
+    order = sorted(range(4), key=lambda i: (-abs(m.coefficients[i]), _FEATURES[i]))
+    return spark.createDataFrame([(_FEATURES[i], round(m.coefficients[i], 6), k + 1) for k, i in enumerate(order)], "feature string, coefficient double, rank int")
+
 
+_KEY_COLUMNS = ", ".join(_KEYS)
 
-@query("ex_waterfall")
+
+@query("ex_waterfall", f"""WITH RECURSIVE {_FRAME}, {_fit((0.1, 0))}, te AS (SELECT fr.*, fit.*, {_P} FROM fr, fit WHERE split = 'test'),
+ed AS (SELECT * FROM (SELECT * FROM te ORDER BY p, {_KEY_COLUMNS} LIMIT 10) UNION ALL SELECT * FROM (SELECT * FROM te ORDER BY p DESC, {_KEY_COLUMNS} LIMIT 10)),
+c AS ({" UNION ALL ".join(f"SELECT {_KEY_COLUMNS}, '{z}' AS feature, b{i} * z{i} AS v FROM ed" for i, z in enumerate(_Z, 1))})
+SELECT {_KEY_COLUMNS}, CAST(row_number() OVER (PARTITION BY {_KEY_COLUMNS} ORDER BY abs(v) DESC, feature) AS INT) AS rank, feature, round(v, 6) AS contribution FROM c QUALIFY rank <= 3""")
 def _(spark, d):
     f, m = _ridge(spark, d)
-    scored = m.transform(f.filter("split = 'test'"))
-    edge = scored.orderBy("prediction", "id").limit(10).union(scored.orderBy(F.col("prediction").desc(), "id").limit(10))
-    return models.contributions(edge, m, _FEATURES, "id", 3)
+    scored = m.transform(f.filter("split = 'test'"), _PLACES)
+    edge = scored.orderBy("prediction", *_KEYS).limit(10).union(scored.orderBy(F.col("prediction").desc(), *_KEYS).limit(10))
+    return models.contributions(edge, m, _KEYS, 3).withColumn("contribution", F.round("contribution", 6))
+
 
+# Least squares with an intercept and two columns: the inverse of a matrix of three by its cofactors.
+_OLS = """o AS (SELECT l_suppkey AS g, y, x1 AS u, x2 AS v FROM f1),
+bl AS (SELECT g, count(*)::DOUBLE AS n, sum(u) AS su, sum(v) AS sv, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(y) AS sy, sum(u * y) AS uy, sum(v * y) AS vy FROM o GROUP BY g),
+s AS (SELECT sum(n) AS n, sum(su) AS su, sum(sv) AS sv, sum(uu) AS uu, sum(uv) AS uv, sum(vv) AS vv, sum(sy) AS sy, sum(uy) AS uy, sum(vy) AS vy, count(*) AS k FROM bl),
+dt AS (SELECT *, n * (uu * vv - uv * uv) - su * (su * vv - uv * sv) + sv * (su * uv - uu * sv) AS det FROM s),
+iv AS (SELECT *, (uu * vv - uv * uv) / det AS i00, (sv * uv - su * vv) / det AS i01, (su * uv - sv * uu) / det AS i02, (n * vv - sv * sv) / det AS i11, (su * sv - n * uv) / det AS i12, (n * uu - su * su) / det AS i22 FROM dt),
+be AS (SELECT *, i00 * sy + i01 * uy + i02 * vy AS b0, i01 * sy + i11 * uy + i12 * vy AS b1, i02 * sy + i12 * uy + i22 * vy AS b2 FROM iv),
+sc AS (SELECT be.*, bl.sy - (bl.n * b0 + bl.su * b1 + bl.sv * b2) AS e0, bl.uy - (bl.su * b0 + bl.uu * b1 + bl.uv * b2) AS e1, bl.vy - (bl.sv * b0 + bl.uv * b1 + bl.vv * b2) AS e2 FROM bl, be),
+va AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, any_value(k::DOUBLE / (k - 1) * (n - 1) / (n - 3)) AS f, sum((i00 * e0 + i01 * e1 + i02 * e2) ** 2) AS v0, sum((i01 * e0 + i11 * e1 + i12 * e2) ** 2) AS v1, sum((i02 * e0 + i12 * e1 + i22 * e2) ** 2) AS v2 FROM sc)"""
 
-@query("inf_cluster_ols")
+
+@query("inf_cluster_ols", f"WITH {_FRAME}, {_OLS} " + " UNION ALL ".join(f"SELECT '{t}' AS term, round(b{i}, 6) AS coef, round(sqrt(v{i} * f), 6) AS se, round(b{i} / sqrt(v{i} * f), 4) AS t FROM va" for i, t in enumerate(["const", "l_quantity", "l_discount"])))
 def _(spark, d):
-    return models.cluster_ols(_frame(spark, d), "l_suppkey", "y", ["l_quantity", "l_discount"])
+    out = models.cluster_ols(_imputed(spark, d), "l_suppkey", "y", ["l_quantity", "l_discount"])
+    return out.withColumns({"coef": F.round("coef", 6), "se": F.round("se", 6), "t": F.round("t", 4)})
+
+
+def _imputed(spark, d):
+    """The frame with a missing discount as the training median."""
+    f = _frame(spark, d)
+    m = exact_quantiles(f.filter("split = 'train'"), [], "l_discount", {"m": 0.5})
+    return f.join(F.broadcast(m)).withColumn("l_discount", F.coalesce("l_discount", "m")).drop("m")  # one row
 
 
 @query("inf_wild_bootstrap")
 def _(spark, d):
-    return models.wild_bootstrap(_frame(spark, d), "l_suppkey", "y", ["l_quantity", "l_discount"], "l_discount")
+    return models.wild_bootstrap(_imputed(spark, d), "l_suppkey", "y", ["l_quantity", "l_discount"], "l_discount")

@@ -159,7 +159,9 @@ def _(spark, d):
 @query("win_quantile_bucket", f"WITH {ORDERS}, x AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS rr, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM ord) SELECT o_orderpriority, bucket, count(*) AS n, round(avg(o_totalprice), 2) AS mean, round(median(o_totalprice), 2) AS median FROM (SELECT *, CAST(greatest(1, ceil((rr - 1) * 5 / greatest(n - 1, 1))) AS INT) AS bucket FROM x) GROUP BY 1, 2")
 def _(spark, d):
     out = windows.quantile_buckets(orders(spark, d), "o_totalprice", "o_orderkey", 5, ["o_orderpriority"])
-    return out.groupBy("o_orderpriority", "bucket").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"), F.round(F.median("o_totalprice"), 2).alias("median"))
+    by = ["o_orderpriority", "bucket"]
+    medians = windows.exact_quantiles(out, by, "o_totalprice", {"median": 0.5}).withColumn("median", F.round("median", 2))
+    return out.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean")).join(medians, by)
 
 
 @query("win_dedup_root", f"WITH {ORDERS} SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM ord) WHERE rn = 1")

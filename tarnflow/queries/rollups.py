@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.operators import aggregates, checks, features, joins
-from tarnflow.operators.windows import best_per_key
+from tarnflow.operators.windows import best_per_key, exact_quantiles
 from tarnflow.queries.panel import ORDERS, USERS, orders, users
 from tarnflow.registry import query
 from tarnflow.sources.tables import table
@@ -39,7 +39,9 @@ def _(spark, d):
 @query("agg_category_impact", "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 2) AS mean, round(median(o_totalprice), 2) AS median, round(sum(abs(o_totalprice - 100000)), 0) AS total_abs FROM orders GROUP BY 1")
 def _(spark, d):
     x = F.col("o_totalprice")
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(x), 2).alias("mean"), F.round(F.median(x), 2).alias("median"), F.round(F.sum(F.abs(x - 100000)), 0).alias("total_abs"))
+    o = table(spark, d, "orders")
+    sums = o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(x), 2).alias("mean"), F.round(F.sum(F.abs(x - 100000)), 0).alias("total_abs"))
+    return sums.join(exact_quantiles(o, ["o_orderpriority"], "o_totalprice", {"median": 0.5}).withColumn("median", F.round("median", 2)), "o_orderpriority")
 
 
 @query("agg_company_category_impact", "SELECT l_suppkey, l_returnflag, count(*) AS n, round(avg(l_extendedprice), 3) AS mean, round(max(l_extendedprice), 2) AS most FROM lineitem GROUP BY 1, 2")
@@ -70,7 +72,9 @@ def _(spark, d):
 
 @query("agg_category_audit", "SELECT p_brand, count(*) AS n, round(median(p_retailprice), 3) AS median, count(*) FILTER (p_size > 40) AS dirty, CASE WHEN count(*) FILTER (p_size > 40) * 5 > count(*) THEN 'high' ELSE 'low' END AS priority FROM part GROUP BY 1")
 def _(spark, d):
-    g = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.median("p_retailprice"), 3).alias("median"), F.count_if(F.col("p_size") > 40).alias("dirty"))
+    p = table(spark, d, "part")
+    g = p.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 40).alias("dirty"))
+    g = g.join(exact_quantiles(p, ["p_brand"], "p_retailprice", {"median": 0.5}).withColumn("median", F.round("median", 3)), "p_brand")
     return g.withColumn("priority", F.when(F.col("dirty") * 5 > F.col("n"), "high").otherwise("low"))
 
 
@@ -223,9 +227,9 @@ def _(spark, d):
 @query("top_review_queue", "WITH q AS (SELECT quantile_cont(o_totalprice, 0.9) AS hi, quantile_cont(o_totalprice, 0.1) AS lo FROM orders) SELECT o_orderkey, concat_ws('|', CASE WHEN o_totalprice >= hi THEN 'large' END, CASE WHEN o_totalprice <= lo THEN 'small' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' END) AS reasons FROM orders, q WHERE o_totalprice >= hi OR o_totalprice <= lo OR o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey LIMIT 360")
 def _(spark, d):
     o = table(spark, d, "orders")
-    q = o.agg(F.percentile("o_totalprice", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
+    q = exact_quantiles(o, [], "o_totalprice", {"lo": 0.1, "hi": 0.9})
     x = F.col("o_totalprice")
-    tags = F.array_compact(F.array(F.when(x >= F.col("q")[1], F.lit("large")), F.when(x <= F.col("q")[0], F.lit("small")), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("urgent"))))
+    tags = F.array_compact(F.array(F.when(x >= F.col("hi"), F.lit("large")), F.when(x <= F.col("lo"), F.lit("small")), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("urgent"))))
     rows = o.join(F.broadcast(q)).withColumn("tags", tags).filter(F.size("tags") > 0)  # one row of thresholds
     return rows.orderBy(x.desc(), "o_orderkey").limit(360).select("o_orderkey", F.array_join("tags", "|").alias("reasons"))
 
