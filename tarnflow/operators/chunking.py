@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 
 def split_overlap(text: str, most: int = 1800, overlap: int = 160, least: int = 80) -> list[str]:
-    """Windows of ``most`` characters that share ``overlap``; a window ends at a paragraph or sentence in its second half if there is one."""
-    out, start, n = [], 0, len(text)
+    """Windows of ``most`` characters that share ``overlap``; a window ends at a paragraph or sentence in its second half if there is one.
+
+    A window of fewer than ``least`` characters is left out only if the one before holds all of it.
+    """
+    out, start, n, least = [], 0, len(text), min(least, overlap)
     while start < n:
         end = min(start + most, n)
         if end < n:
@@ -24,7 +27,7 @@ def split_overlap(text: str, most: int = 1800, overlap: int = 160, least: int =
                     end = at + len(mark)
                     break
         piece = text[start:end].strip()
-        if len(piece) >= least or (piece and not out):
+        if len(piece) > least or (piece and not out):
             out.append(piece)
         if end >= n:
             break
@@ -34,20 +37,19 @@ def split_overlap(text: str, most: int = 1800, overlap: int = 160, least: int =
 
 def split_soft(text: str, most: int = 4000) -> list[str]:
     """Paragraphs packed into chunks of at most ``most`` characters; longer paragraphs are cut at sentences, and longer sentences as they come."""
-    units: list[str] = []
+    units: list[tuple[str, str]] = []  # what stands before a unit, and the unit
     for paragraph in re.split(r"\n\s*\n", text):
-        paragraph = paragraph.strip()
-        if len(paragraph) <= most:
-            units += [paragraph] if paragraph else []
-            continue
-        for sentence in re.split(r"(?<=[.!?。！？])\s*", paragraph):
-            units += [sentence[i : i + most] for i in range(0, len(sentence), most)]
+        paragraph, before = paragraph.strip(), "\n\n"
+        for sentence in re.split(r"(?<=[.!?。！？])(?=\s)", paragraph) if len(paragraph) > most else [paragraph]:
+            for i in range(0, len(sentence), most):
+                units.append((before, sentence[i : i + most]))
+                before = ""
     out: list[str] = []
-    for u in units:
-        if out and len(out[-1]) + 2 + len(u) <= most:
-            out[-1] += "\n\n" + u
-        else:
-            out.append(u)
+    for before, u in units:
+        if out and len(out[-1]) + len(before) + len(u) <= most:
+            out[-1] += before + u
+        elif u.strip():
+            out.append(u.lstrip())
     return out
 
 

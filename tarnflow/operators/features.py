@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.functions.text import safe_ratio
+from tarnflow.operators.checks import LEAKY
 from tarnflow.operators.joins import align_forward, asof_backward, nearest_in_range
 from tarnflow.operators.windows import average_ranks, end_value, event_sums, exact_quantiles, peer_mean_ex_self, pre_value
 
@@ -53,6 +54,20 @@ def event_scores(df: DataFrame, car: str, n_sources: str, volume: str) -> DataFr
     return df.withColumns({"objective": size + amount, "priority": size + sources + 0.5 * amount})
 
 
+def evidence_chain(events: DataFrame, hits: DataFrame, key: str, group: str, n: str, link: str) -> DataFrame:
+    """Events with their evidence (``hits``, unique by key): a link, that of another event of the group where they have none, a level from 0 to 3, and a score.
+
+    Level: 3 for three hits or more, 2 for any, 1 for a group's link alone. Score: size of ``change``, plus ``priority``, plus five for each level.
+    """
+    both = events.join(hits, key, "left")
+    groups = both.groupBy(F.col(group).alias("__g")).agg(F.min(link).alias("__link"))
+    both = both.join(groups, F.col(group) == F.col("__g"), "left")
+    count = F.coalesce(F.col(n), F.lit(0))
+    level = F.when(count >= 3, 3).when(count >= 1, 2).when(F.col("__link").isNotNull(), 1).otherwise(0)
+    out = both.withColumns({"hits": count, "level": level, "backfilled": F.col(link).isNull() & F.col("__link").isNotNull(), "link": F.coalesce(link, "__link")})
+    return out.withColumn("score", F.abs("change") + F.col("priority") + 5 * F.col("level")).drop("__g", "__link")
+
+
 def forecast_surprise(events: DataFrame, forecasts: DataFrame, key: str, date: str, f_date: str, low: str, high: str, recent: int = 100) -> DataFrame:
     """Midpoint and direction of the latest forecast before an event; a stale one (over ``recent`` days) has neither."""
     got = asof_backward(events, forecasts, key, date, f_date, [low, high], [low, high])
@@ -89,10 +104,74 @@ def ic_manifest(df: DataFrame, features: Sequence[str], split: str, target: str)
     return missing.join(wide, "feature", "left").withColumn("stable", F.coalesce(F.col("ic_train") * F.col("ic_test") > 0, F.lit(False)))
 
 
+def best_representations(manifest: DataFrame, mark: str = "__") -> DataFrame:
+    """The manifest of ``feature__representation`` columns in two columns, with the one of each feature marked whose correlation in training is largest by size (ties: by name)."""
+    parts = F.split("feature", mark)
+    named = manifest.withColumns({"representation": parts[1], "feature": parts[0]})
+    w = Window.partitionBy("feature").orderBy(F.abs(F.coalesce("ic_train", F.lit(0.0))).desc(), "representation")
+    return named.withColumn("best", F.row_number().over(w) == 1)
+
+
+def select_features(manifest: DataFrame, most_missing: float = 0.5) -> DataFrame:
+    """``feature, representation, position``: each feature's best representation, without leaky names and without those that lack values too often, in order of correlation."""
+    kept = manifest.filter(F.col("best") & (F.col("missing_rate") <= most_missing) & ~F.col("feature").rlike(LEAKY))
+    order = Window.orderBy(F.abs("ic_train").desc_nulls_last(), "feature")  # a row for each feature
+    return kept.select("feature", "representation", F.row_number().over(order).cast("int").alias("position"))
+
+
+def value_leaks(df: DataFrame, label: str, columns: Sequence[str], limit: float = 0.999) -> DataFrame:
+    """``column, corr, by_name, by_value, leaky``: columns whose names tell of the time after the event, or whose values are the label's in other words."""
+    row = df.agg(*[F.corr(c, label).alias(c) for c in columns]).unpivot([], list(columns), "column", "corr")
+    out = row.withColumns({"by_name": F.col("column").rlike(LEAKY), "by_value": F.coalesce(F.abs("corr") >= limit, F.lit(False))})
+    return out.withColumn("leaky", F.col("by_name") | F.col("by_value"))
+
+
+#: Patterns whose places in a text tell of its intensity.
+INTENSITY = {
+    "words": r"[^\x20\t\r\n\f\x0B]+", "numbers": r"[0-9]+", "percents": r"[0-9]+(?:\.[0-9]+)?%", "years": r"(?:19|20)[0-9]{2}", "capitals": r"[A-Z]{2,}", "exclaims": r"!", "questions": r"\?",
+    "links": r"https?://", "mails": r"@", "commas": r",", "colons": r":", "brackets": r"\(",
+}
+
+
+def intensity(text: Column) -> dict[str, Column]:
+    """26 features of a text in lines, each different line once: lines, share of repeated ones, and for each pattern its places and places per 1,000 characters."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    once = F.array_distinct(lines)
+    total = lambda f: F.aggregate(once, F.lit(0).cast("long"), lambda s, x: s + f(x).cast("long"))
+    chars = total(F.length)
+    out = {"n_lines": F.size(once).cast("long"), "repeated": (F.size(lines) - F.size(once)) / F.size(lines)}
+    for name, pattern in INTENSITY.items():
+        n = total(lambda x, p=pattern: F.regexp_count(x, F.lit(p)))
+        out |= {f"n_{name}": n, f"{name}_per_1000": F.coalesce(F.try_divide(1000.0 * n, chars), F.lit(0.0))}
+    return out
+
+
 def data_dictionary(df: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """``column, type, role, group`` of a table, from its schema."""
-    rows = [(f.name, f.dataType.simpleString(), roles.get(f.name, "feature"), feature_group(f.name)) for f in df.schema]
-    return df.sparkSession.createDataFrame(rows, "column string, type string, role string, group string")
+    """``column, type, role, group, missing_rate, date_share, inferred`` of a table: schema and, from one pass over all rows, how often a value is missing or reads as a date.
+
+    A text column is inferred to be of dates if four in five of its values are.
+    """
+    facts = [F.struct(
+        F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(roles.get(f.name, "feature")).alias("role"), F.lit(feature_group(f.name)).alias("group"),
+        F.avg(F.col(f.name).isNull().cast("double")).alias("missing_rate"),
+        F.coalesce(F.avg(F.when(F.col(f.name).isNotNull(), F.col(f.name).cast("string").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}").cast("double"))), F.lit(0.0)).alias("date_share"),
+    ) for f in df.schema]
+    out = df.agg(F.array(*facts).alias("x")).select(F.inline("x"))
+    return out.withColumn("inferred", F.when((F.col("type") == "string") & (F.col("date_share") >= 0.8), "date").otherwise(F.col("type")))
+
+
+def column_groups(spark, columns: Sequence[str]) -> DataFrame:
+    """``column, group`` for each name."""
+    return spark.createDataFrame([(c, feature_group(c)) for c in columns], "column string, group string")
+
+
+def overlay(base: DataFrame, reviews: DataFrame, key: str, code: str, meanings: dict[str, str]) -> DataFrame:
+    """Reviews with whether their code is known and their key repeated, the decision of those that are neither, and what ``base`` (unique by key) knows of the key."""
+    counts = reviews.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    names = F.create_map(*[F.lit(x) for pair in meanings.items() for x in pair])
+    out = reviews.join(counts, F.col(key) == F.col("__k")).drop("__k").join(base, key, "left")
+    single = F.col("__n") == 1
+    return out.withColumns({"valid": F.col(code).isin(*meanings), "duplicate": ~single, "decision": F.when(single, F.try_element_at(names, F.col(code)))}).drop("__n")
 
 
 def feature_group(name: str) -> str:

@@ -28,10 +28,17 @@ def _(spark, d):
     return out.select("o_orderkey", F.round(text.safe_ratio(F.col("v"), F.col("q")), 6).alias("price"), F.col("days_since").cast("long").alias("days_since"))
 
 
-@query("ft_intensity", "SELECT doc_id, length(text) AS n_chars, CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS n_marks, CAST(length(text) - length(replace(text, '%', '')) AS BIGINT) AS n_percent FROM documents")
+def _intensity_sql() -> str:
+    total = lambda p: f"CAST(list_sum(list_transform(u, lambda x: len(regexp_extract_all(x, '{p}')))) AS BIGINT)"
+    parts = [f"{total(p)} AS n_{n}, round(coalesce(1000.0 * {total(p)} / nullif(c, 0), 0), 6) AS {n}_per_1000" for n, p in features.INTENSITY.items()]
+    lines = "SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, list_distinct(string_split(coalesce(text, ''), chr(10))) AS u FROM documents"
+    return f"SELECT doc_id, CAST(len(u) AS BIGINT) AS n_lines, round((len(l) - len(u)) / len(l), 6) AS repeated, {', '.join(parts)} FROM (SELECT *, list_sum(list_transform(u, lambda x: length(x))) AS c FROM ({lines}))"
+
+
+@query("ft_intensity", _intensity_sql())
 def _(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("n_chars"), text.keyword_count(t, ["!"]).alias("n_marks"), text.keyword_count(t, ["%"]).alias("n_percent"))
+    found = features.intensity(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", *[(c if n.startswith("n_") else F.round(c, 6)).alias(n) for n, c in found.items()])
 
 
 @query("ft_earnings_surprise", "WITH q AS (SELECT o_custkey AS k, date_trunc('quarter', o_orderdate)::DATE AS p, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT k, p, round(CASE WHEN count(v) OVER w >= 2 THEN v - avg(v) OVER w END, 6) AS surprise FROM q WINDOW w AS (PARTITION BY k ORDER BY p ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)")
@@ -53,62 +60,112 @@ def _(spark, d):
     return orders(spark, d).select("o_orderkey", F.col("d").alias("as_of"), F.round(F.log1p("o_totalprice"), 6).alias("log_price"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"))
 
 
-@query("ds_dictionary")
+_LINE_TYPES = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+    "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
+}
+_LINE_ROLES = {"l_orderkey": "key", "l_extendedprice": "label"}
+
+
+@query("ds_dictionary", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{t}' AS type, '{_LINE_ROLES.get(c, "feature")}' AS role, 'other' AS "group", round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_rate,
+  round(coalesce(avg(CASE WHEN regexp_matches(CAST({c} AS VARCHAR), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 1.0 ELSE 0.0 END) FILTER ({c} IS NOT NULL), 0), 6) AS date_share, '{t}' AS inferred FROM lineitem""" for c, t in _LINE_TYPES.items()
+))
 def _(spark, d):
-    return features.data_dictionary(table(spark, d, "lineitem"), {"l_orderkey": "key", "l_extendedprice": "label"})
+    out = features.data_dictionary(table(spark, d, "lineitem"), _LINE_ROLES)
+    return out.withColumns({c: F.round(c, 6) for c in ("missing_rate", "date_share")})
 
 
-@query("ds_schema_contract", "SELECT count(*) AS rows, 6 AS n_columns FROM orders")
+@query("ds_schema_contract", """SELECT '{"table":"orders","key":["o_orderkey"],"rows":' || count(*) || ',"distinct_keys":' || count(DISTINCT o_orderkey) || ',"split":{"train":' || count(*) FILTER (year(o_orderdate) < 1998)
+ || ',"valid":' || count(*) FILTER (year(o_orderdate) = 1998) || ',"test":' || count(*) FILTER (year(o_orderdate) > 1998) || '},"columns":["o_orderkey","o_custkey","o_orderstatus","o_totalprice","o_orderdate","o_orderpriority"]}' AS contract FROM orders""")
 def _(spark, d):
-    o = table(spark, d, "orders")
-    return o.agg(F.count("*").alias("rows"), F.lit(len(o.columns)).alias("n_columns"))
+    o, year = table(spark, d, "orders"), F.year("o_orderdate")
+    split = F.struct(F.count_if(year < 1998).alias("train"), F.count_if(year == 1998).alias("valid"), F.count_if(year > 1998).alias("test"))
+    facts = [F.lit("orders").alias("table"), F.array(F.lit("o_orderkey")).alias("key"), F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("distinct_keys"), split.alias("split")]
+    return o.agg(F.to_json(F.struct(*facts, F.array(*[F.lit(c) for c in o.columns]).alias("columns"))).alias("contract"))
 
 
-@query("ds_review_template", "SELECT d.doc_id, CAST(NULL AS VARCHAR) AS keep_code FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("ds_review_template", "SELECT d.doc_id, source, length(text) AS n_chars, CASE WHEN length(text) < 200 THEN 'short' WHEN lang <> 'en' THEN 'foreign' ELSE 'open' END AS reason, CAST(NULL AS VARCHAR) AS keep_code FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark, d):
     left = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti")
-    return left.select("doc_id", F.lit(None).cast("string").alias("keep_code"))
+    reason = rules.first_rule([(F.length("text") < 200, "short"), (F.col("lang") != "en", "foreign")], "open")
+    return left.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), reason.alias("reason"), F.lit(None).cast("string").alias("keep_code"))
 
 
-@query("ds_overlay", "SELECT code, count(*) AS n FROM (SELECT CASE WHEN quality NOT IN (0, 1) THEN 'bad_code' WHEN toxic = 1 THEN 'noise' ELSE 'keep' END AS code FROM labels) GROUP BY 1")
+@query("ds_overlay", "WITH r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'T' WHEN quality = 1 THEN 'K' ELSE 'X' END AS code FROM labels UNION ALL SELECT doc_id, 'K' FROM labels WHERE doc_id % 10 = 0), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY 1) SELECT r.doc_id, code, code IN ('K', 'T') AS valid, n > 1 AS duplicate, CASE WHEN n = 1 THEN CASE code WHEN 'K' THEN 'keep' WHEN 'T' THEN 'noise' END END AS decision, d.source FROM r JOIN n USING (doc_id) LEFT JOIN documents d USING (doc_id)")
 def _(spark, d):
-    code = rules.first_rule([(~F.col("quality").isin(0, 1), "bad_code"), (F.col("toxic") == 1, "noise")], "keep")
-    return table(spark, d, "labels").groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+    t = table(spark, d, "labels")
+    code = rules.first_rule([(F.col("toxic") == 1, "T"), (F.col("quality") == 1, "K")], "X")
+    reviews = t.select("doc_id", code.alias("code")).union(t.filter("doc_id % 10 = 0").select("doc_id", F.lit("K")))
+    return features.overlay(table(spark, d, "documents").select("doc_id", "source"), reviews, "doc_id", "code", {"K": "keep", "T": "noise"})
 
 
-@query("ds_model_frame", f"WITH {ORDERS} SELECT count(*) AS n FROM ord WHERE o_totalprice IS NOT NULL AND d <= DATE '1999-12-31'")
+@query("ds_model_frame", f"WITH {ORDERS} SELECT o_orderkey, CASE WHEN d <= DATE '1998-12-31' THEN 'train' ELSE 'valid' END AS split, o_totalprice AS y FROM ord WHERE o_totalprice IS NOT NULL AND d <= DATE '1999-12-31'")
 def _(spark, d):
     s = rules.time_split(F.col("d"), F.lit("ok"), F.col("o_totalprice"), "1998-12-31", "1999-12-31")["split"]
-    return orders(spark, d).withColumn("split", s).filter(F.col("split").isin("train", "valid") & F.col("o_totalprice").isNotNull()).agg(F.count("*").alias("n"))
+    return orders(spark, d).withColumn("split", s).filter(F.col("split").isin("train", "valid") & F.col("o_totalprice").isNotNull()).select("o_orderkey", "split", F.col("o_totalprice").alias("y"))
+
 
+_REPRESENTATIONS = {"l_discount__raw": "l_discount", "l_discount__gap": "abs(l_discount - 0.05)", "l_tax__raw": "l_tax", "l_tax__known": "nullif(l_tax, 0)", "l_rare__raw": "CASE WHEN l_quantity > 30 THEN l_discount END", "next_price__raw": "l_extendedprice"}
+_MANIFEST = "m AS (WITH x AS (" + " UNION ALL ".join(
+    f"SELECT '{n.split('__')[0]}' AS feature, '{n.split('__')[1]}' AS representation, CASE WHEN year(l_shipdate) < 1999 THEN 'train' ELSE 'test' END AS split, CAST({e} AS DOUBLE) AS v, l_extendedprice AS y FROM lineitem" for n, e in _REPRESENTATIONS.items()
+) + """), k AS (SELECT feature, representation, split, rank() OVER (PARTITION BY feature, representation, split ORDER BY v) + (count(*) OVER (PARTITION BY feature, representation, split, v) - 1) / 2.0 AS a,
+  rank() OVER (PARTITION BY feature, representation, split ORDER BY y) + (count(*) OVER (PARTITION BY feature, representation, split, y) - 1) / 2.0 AS b FROM x WHERE v IS NOT NULL),
+i AS (SELECT feature, representation, split, corr(a, b) AS ic, count(*) AS n FROM k GROUP BY 1, 2, 3),
+j AS (SELECT feature, representation, max(ic) FILTER (split = 'train') AS ic_train, max(ic) FILTER (split = 'test') AS ic_test, CAST(sum(n) AS BIGINT) AS n FROM i GROUP BY 1, 2),
+s AS (SELECT feature, representation, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS missing_rate FROM x GROUP BY 1, 2)
+SELECT *, coalesce(ic_train * ic_test > 0, false) AS stable, row_number() OVER (PARTITION BY feature ORDER BY abs(coalesce(ic_train, 0)) DESC, representation) = 1 AS best FROM s LEFT JOIN j USING (feature, representation))"""
 
-@query("ds_feature_select")
+
+def _manifest(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("split", F.when(F.year("l_shipdate") < 1999, "train").otherwise("test"))
+    lines = lines.select("split", "l_extendedprice", *[F.expr(e).cast("double").alias(n) for n, e in _REPRESENTATIONS.items()])
+    return materialize(features.best_representations(features.ic_manifest(lines, list(_REPRESENTATIONS), "split", "l_extendedprice")), "manifest")
+
+
+@query("ft_ic_manifest", f"WITH {_MANIFEST} SELECT feature, representation, round(missing_rate, 6) AS missing_rate, round(ic_train, 6) AS ic_train, round(ic_test, 6) AS ic_test, n, stable, best FROM m")
 def _(spark, d):
-    lines = table(spark, d, "lineitem")
-    wide = features.data_dictionary(lines.withColumn("target_next", F.lit(1)), {"l_orderkey": "key", "l_extendedprice": "label"})
-    rows = lines.agg(F.count("*").alias("rows"))
-    return wide.filter((F.col("role") == "feature") & ~F.col("column").rlike(checks.LEAKY)).join(F.broadcast(rows)).orderBy("column")
+    columns = [F.round(c, 6).alias(c) for c in ("missing_rate", "ic_train", "ic_test")]
+    return _manifest(spark, d).select("feature", "representation", *columns, "n", "stable", "best")
 
 
-@query("dq_leakage")
+@query("ds_feature_select", f"WITH {_MANIFEST} SELECT feature, representation, CAST(row_number() OVER (ORDER BY abs(ic_train) DESC NULLS LAST, feature) AS INT) AS position FROM m WHERE best AND missing_rate <= 0.5 AND feature NOT LIKE 'next%'")
 def _(spark, d):
-    lines = table(spark, d, "lineitem")
-    found = checks.leaky_columns(features.data_dictionary(lines.withColumn("label_next", F.lit(0)), {}))
-    return found.join(F.broadcast(lines.agg(F.count("*").alias("rows"))))
+    return features.select_features(_manifest(spark, d))
+
 
+_LEAKS = {"l_quantity": "l_quantity", "l_discount": "l_discount", "label_next": "l_tax", "scaled": "3 * l_extendedprice + 1"}
 
-@query("cls_feature_group")
+
+@query("dq_leakage", " UNION ALL ".join(f"""SELECT '{n}' AS "column", round(corr({e}, l_extendedprice), 6) AS corr, {n == 'label_next'} AS by_name, coalesce(abs(corr({e}, l_extendedprice)) >= 0.999, false) AS by_value, {n == 'label_next'} OR coalesce(abs(corr({e}, l_extendedprice)) >= 0.999, false) AS leaky FROM lineitem""" for n, e in _LEAKS.items()))
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select("l_extendedprice", *[F.expr(e).alias(n) for n, e in _LEAKS.items()])
+    return features.value_leaks(lines, "l_extendedprice", list(_LEAKS)).withColumn("corr", F.round("corr", 6))
+
+
+_GROUPS = {"code": "other", "dt": "other", "value": "market", "n": "other", "ret": "market"}
+
+
+@query("cls_feature_group", f"""WITH {USERS}, g AS ({" UNION ALL ".join(f"SELECT '{g}' AS \"group\", count({c}) AS n FROM users" for c, g in _GROUPS.items())}) SELECT "group", count(*) AS n_columns, CAST(sum(n) AS BIGINT) AS n_values FROM g GROUP BY 1""")
 def _(spark, d):
-    u = users(spark, d)
-    return features.data_dictionary(u, {"code": "key"}).select("column", "group").join(F.broadcast(u.agg(F.count("*").alias("rows"))))
+    u = users(spark, d).select(*_GROUPS)
+    counts = u.agg(*[F.count(c).alias(c) for c in u.columns]).unpivot([], u.columns, "column", "n")
+    return counts.join(F.broadcast(features.column_groups(spark, u.columns)), "column").groupBy("group").agg(F.count("*").alias("n_columns"), F.sum("n").alias("n_values"))
+
+
+_CHAIN = """h AS (SELECT l_orderkey AS k, count(*) AS n, min(l_partkey) AS link FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), c AS (SELECT o_custkey AS c, min(link) AS other FROM ord JOIN h ON k = o_orderkey GROUP BY 1),
+e AS (SELECT o_orderkey, coalesce(link, other) AS link, link IS NULL AND other IS NOT NULL AS backfilled, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' ELSE 'usual' END AS subtype,
+  CASE WHEN n >= 3 THEN 3 WHEN n >= 1 THEN 2 WHEN other IS NOT NULL THEN 1 ELSE 0 END AS level, coalesce(n, 0) AS hits, o_totalprice, CAST(substr(o_orderpriority, 1, 1) AS INT) AS p FROM ord LEFT JOIN h ON k = o_orderkey LEFT JOIN c ON c = o_custkey)"""
 
 
-@query("ev_chain", f"WITH {ORDERS}, h AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_orderkey, coalesce(n, 0) AS hits, CASE WHEN n >= 3 THEN 'strong' WHEN n >= 1 THEN 'weak' ELSE 'none' END AS level, round(o_totalprice / 1000 + 10 * coalesce(n, 0), 3) AS score FROM ord LEFT JOIN h ON k = o_orderkey")
+@query("ev_chain", f"WITH {ORDERS}, {_CHAIN} SELECT o_orderkey, link, backfilled, subtype, level, hits, round(abs(o_totalprice / 100000 - 1) + (6 - p) + 5 * level, 6) AS score FROM e")
 def _(spark, d):
-    h = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    out = orders(spark, d).join(h, "o_orderkey", "left").withColumn("hits", F.coalesce("n", F.lit(0)))
-    level = rules.first_rule([(F.col("hits") >= 3, "strong"), (F.col("hits") >= 1, "weak")], "none")
-    return out.select("o_orderkey", "hits", level.alias("level"), F.round(F.col("o_totalprice") / 1000 + 10 * F.col("hits"), 3).alias("score"))
+    o = orders(spark, d)
+    hits = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.min("l_partkey").alias("own_link"))
+    change, priority = F.col("o_totalprice") / 100000 - 1, 6 - F.substring("o_orderpriority", 1, 1).cast("int")
+    subtype = rules.first_rule([(F.col("o_orderpriority") == "1-URGENT", "urgent"), (F.col("o_orderpriority") == "2-HIGH", "high")], "usual")
+    out = features.evidence_chain(o.withColumns({"subtype": subtype, "change": change, "priority": priority}), hits, "o_orderkey", "o_custkey", "n", "own_link")
+    return out.select("o_orderkey", "link", "backfilled", "subtype", "level", "hits", F.round("score", 6).alias("score"))
 
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]

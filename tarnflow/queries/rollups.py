@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.operators import aggregates, checks, features, joins
-from tarnflow.operators.windows import best_per_key, exact_quantiles
+from tarnflow.operators.windows import best_per_key, exact_quantiles, range_counts
 from tarnflow.queries.panel import ORDERS, USERS, orders, users
 from tarnflow.registry import query
 from tarnflow.sources.tables import table
@@ -313,15 +313,10 @@ def _(spark, d):
     return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("ft_management", "SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2")
+@query("ft_management", "WITH e AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, d, " + ", ".join(f"CAST(coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY d RANGE BETWEEN INTERVAL {k} DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING), 0) AS BIGINT) AS n_{k}d" for k in (30, 90, 180)) + " FROM e")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
-
-
-@query("ft_ic_manifest", "SELECT 'l_discount' AS feature, count(*) AS n FROM lineitem UNION ALL SELECT 'l_tax', count(*) FROM lineitem")
-def _(spark, d):
-    x = table(spark, d, "lineitem").withColumn("split", F.when(F.year("l_shipdate") < 1999, "train").otherwise("test"))
-    return features.ic_manifest(x, ["l_discount", "l_tax"], "split", "l_extendedprice").select("feature", "n")
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("d"))
+    return range_counts(e.distinct(), e, "user_id", "d", "d", [30, 90, 180])
 
 
 _IC = """WITH x AS (SELECT l_returnflag, (rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0) AS a, (rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0) AS b FROM lineitem)

@@ -61,12 +61,23 @@ def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(n, 4).alias("norm"))
 
 
-@query("se_rerank", f"SELECT query, id, blend FROM (SELECT query, id, round(0.7 * score + 0.3 * CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END, 7) AS blend FROM (SELECT a.vec_id AS query, b.vec_id AS id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 30)) QUALIFY row_number() OVER (PARTITION BY query ORDER BY blend DESC, id) <= 10")
-def _(spark, d):
-    e = table(spark, d, "embeddings")
-    hits = retrieval.vector_top_k(e.filter("vec_id % 100 = 0"), e, "vec_id", "vec_id", "embedding", "label", 30).drop("rank")
-    blended = retrieval.rerank(hits.withColumn("share", (F.col("id") % 2 == 0).cast("int")), "share")
-    return best_per_key(blended, ["query"], [F.col("blend").desc(), F.col("id")], 10).select("query", "id", "blend")
+@query("se_rerank", f"""WITH q AS (SELECT item_id AS query, list_distinct({_TOK('text')}) AS w FROM benchmark WHERE item_id % 100 = 0), qt AS (SELECT query, unnest(w) AS term FROM q),
+w AS (SELECT doc_id AS doc, unnest({_TOK('text')}) AS term FROM documents), tf AS (SELECT term, doc, count(*) AS tf FROM w WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+len AS (SELECT doc_id AS doc, len({_TOK('text')}) AS len FROM documents), tot AS (SELECT count(*) AS n, avg(len) AS a FROM len),
+s AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM tf JOIN df USING (term) JOIN len USING (doc) JOIN qt USING (term), tot GROUP BY 1, 2),
+c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 30),
+b AS (SELECT query, doc AS id, source AS root, round(0.7 * round(score / max(score) OVER (PARTITION BY query), 6) + 0.3 * (len(list_intersect(w, {_TOK('text')})) / len(w)), 7) AS blend FROM c JOIN q USING (query) JOIN documents ON doc_id = doc),
+f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query, root ORDER BY blend DESC, id) = 1)
+SELECT query, id, root, blend, row_number() OVER (PARTITION BY query ORDER BY blend DESC, id) AS rank FROM f QUALIFY rank <= 10""")
+def _(spark, d):
+    q, docs = table(spark, d, "benchmark").filter("item_id % 100 = 0"), table(spark, d, "documents")
+    hits = retrieval.bm25(q, docs, "item_id", "text", "doc_id", "text", 30)
+    texts = docs.select(F.col("doc_id").alias("doc"), "source", F.col("text").alias("doc_text"))
+    both = hits.drop("rank").join(texts, "doc").join(q.select(F.col("item_id").alias("query"), F.col("text").alias("query_text")), "query")
+    best = hits.groupBy("query").agg(F.max("score").alias("most"))
+    both = both.join(best, "query").withColumns({"share": retrieval.keyword_share(F.col("query_text"), F.col("doc_text")), "score": F.round(F.col("score") / F.col("most"), 6)})
+    blended = retrieval.rerank(both, "share").select("query", F.col("doc").alias("id"), F.coalesce("source", F.lit("")).alias("root"), "blend")
+    return retrieval.one_per_root(blended, "query", "root", "blend", "id", 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("se_substring", "SELECT doc_id, 1.0::DOUBLE AS score, substr(text, greatest(strpos(text, '|') - 60, 1), 121) AS snippet FROM documents WHERE contains(text, '|')")
@@ -142,10 +153,13 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(tags), "|").alias("tags"))
 
 
-@query("tx_clean_pages", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x, i: NOT (length(x) <= 40 AND i > 1 AND x = string_split(text, chr(10))[i - 1]))) AS BIGINT) AS n_lines FROM documents")
+_PAGE_LINE = r"(?i)^\s*(?:page\s+)?\d+\s*(?:/\s*\d+)?\s*$|licensed? under|all rights reserved"
+
+
+@query("tx_clean_pages", f"WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{_PAGE_LINE}')) AS l FROM documents) SELECT doc_id, CAST(len(k) AS BIGINT) AS n_lines, md5(array_to_string(k, chr(10))) AS h FROM (SELECT doc_id, list_filter(l, lambda x, i: NOT (length(x) <= 40 AND i > 1 AND x = l[i - 1])) AS k FROM l)")
 def _(spark, d):
-    kept = F.split(chunking.clean_lines(F.col("text"), "^no such line$"), "\n")
-    return table(spark, d, "documents").select("doc_id", F.size(kept).cast("long").alias("n_lines"))
+    t = table(spark, d, "documents").select("doc_id", chunking.clean_lines(F.col("text"), _PAGE_LINE).alias("t"))
+    return t.select("doc_id", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n"))).cast("long").alias("n_lines"), F.md5("t").alias("h"))
 
 
 @query("tx_page_offsets", "SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations")
@@ -252,22 +266,11 @@ def _(spark, d):
 
 @query("st_ingest_upsert", "SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def _(spark, d):
-    path = _fresh(spark, "state")
     source = _fresh(spark, "events")
     table(spark, d, "events").write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    box = {"at": None}
-
-    def put(batch, number):
-        rows = batch.select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
-        base = spark.read.parquet(box["at"]) if box["at"] else None
-        latest = best_per_key(rows if base is None else base.unionByName(rows), ["user_id"], [F.col("at").desc()])
-        latest.write.mode("overwrite").parquet(f"{path}/{number}")
-        box["at"] = f"{path}/{number}"
-
-    q = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source).writeStream.foreachBatch(put).option("checkpointLocation", _fresh(spark, "checkpoint")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(box["at"]).select("user_id", "event_id")
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 4).parquet(source)
+    rows = stream.select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
+    return sessions.upsert_stream(rows, "user_id", "at", _fresh(spark, "state"), _fresh(spark, "checkpoint")).select("user_id", "event_id")
 
 
 @query("src_csv_multi", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
