@@ -321,7 +321,8 @@ def find_contamination(
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item, in all their columns. Rows without an id count as one document each, by their text."""
     named = docs.filter(F.col(id_col).isNotNull())
-    gone = find_contamination(named, bench, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct()
+    # as a table their size is known, so that Spark need not shuffle the texts for a few ids
+    gone = materialize(find_contamination(named, bench, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     kept = named.join(gone, named[id_col] == F.col("__gone"), "left_anti")
     nameless = docs.filter(F.col(id_col).isNull())
     if not nameless.limit(1).count():
