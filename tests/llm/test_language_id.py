@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -38,24 +39,94 @@ def test_language_is_no_input_of_a_prediction(spark):
     assert x == y
 
 
-def test_counts_and_probabilities_against_brute_force(spark):
-    data = [(t, lang) for _, t, lang, _ in rows(20)]
-    counts = {(r.lang, r.gram): r.n for r in op.count_grams(spark.createDataFrame(data, "text string, lang string").repartition(3), "text", "lang").collect()}
+def brute_models(texts):
+    """Interpolated Kneser-Ney models, modified discounts, by plain dictionaries: language -> probability of a character behind three."""
+    count = {lang: Counter() for lang in sorted({lang for _, lang in texts})}
+    for t, lang in texts:
+        count[lang].update(brute_grams(t))
+    letters = {g[-1] for c in count.values() for g in c}
+    floor = 1 / max(2, len(letters) + 1)
+    out = {}
+    for lang, c in count.items():
+        orders = {4: c}
+        for k in (3, 2, 1):
+            orders[k] = Counter(g[1:] for g in orders[k + 1])
+        out[lang] = brute_probability(orders, floor)
+    return out
+
+
+def brute_grams(text):
+    padded = "\1\1\1" + re.sub(" +", " ", "".join(x if x.isalpha() else " " for x in text.lower()))
+    return [padded[i - 3 : i + 1] for i in range(3, len(padded))]
+
+
+def brute_probability(orders, floor):
+    cuts, totals, left = {}, {}, {}
+    for k, c in orders.items():
+        seen = [max(1, sum(n == j for n in c.values())) for j in (1, 2, 3, 4)]
+        y = seen[0] / (seen[0] + 2 * seen[1])
+        cuts[k] = [0] + [min(j - 1e-3, max(0.1, j - (j + 1) * y * seen[j] / seen[j - 1])) for j in (1, 2, 3)]
+        totals[k], left[k] = Counter(), Counter()
+        for g, n in c.items():
+            totals[k][g[:-1]] += n
+            left[k][g[:-1]] += cuts[k][min(n, 3)]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return floor
+        low, context = p(g[1:]), g[:-1]
+        if context not in totals[k]:
+            return low
+        n = orders[k].get(g, 0)
+        return max(n - cuts[k][min(n, 3)], 0) / totals[k][context] + max(left[k][context] / totals[k][context], 1e-9) * low
+
+    return p
+
+
+def many_letters(n=90, seed=6):
+    """Texts with counts of every kind, of three languages, one with few texts."""
+    rng = random.Random(seed)
+    word = lambda base: "".join(rng.choice(base) for _ in range(rng.randint(1, 5)))
+    return [(" ".join(word(["abcdef", "cdefghé", "ефгхab"][i % 7 % 3]) for _ in range(20)), ["x", "y", "z"][i % 7 % 3]) for i in range(n)]
+
+
+def test_predictions_against_brute_force_with_and_without_broadcast(spark):
+    learnt, other = many_letters(), [t for t, _ in many_letters(40, seed=7)] + ["qqq abq", "ab", "é", None, "12"]
+    docs = [(i, t, lang) for i, (t, lang) in enumerate(learnt)] + [(1000 + i, t, None) for i, t in enumerate(other)]
+    df = spark.createDataFrame(docs, "i long, text string, tag string").repartition(3)
+    counts = op.materialize(op.count_grams(df, "text", "tag"), "grams")
+    models = brute_models(learnt)
+    for room in (0, 5000, op.MAX_BROADCAST):  # none, some and all grams broadcast
+        got = {r.i: r for r in op.score_languages(df, counts, ["i"], "text", room).collect()}
+        assert len(got) == len(docs)
+        for i, t, _ in docs:
+            if not t or not any(x.isalpha() for x in t):
+                assert got[i].lang_pred == "und"
+                continue
+            g = brute_grams(t)
+            h = {lang: -sum(math.log(p(x)) for x in g) / len(g) for lang, p in models.items()}
+            assert abs(got[i].entropy - min(h.values())) < 1e-6 and h[got[i].lang_pred] < min(h.values()) + 1e-6
+            n = sum(x.isalpha() for x in re.sub(" +", " ", t))
+            for e, score in zip(op.EVIDENCE, got[i].scores, strict=True):
+                assert abs(score - 1 / sum(math.exp(-(x - min(h.values())) * min(n, e)) for x in h.values())) < 1e-5
+
+
+def test_broadcast_is_bounded_and_takes_the_most_frequent(spark):
+    df = spark.createDataFrame([(i, 2 ** (i % 5)) for i in range(50)], "gram long, n long")
+    room = lambda grams: grams * (8 + 8 * 3)
+    assert [op._frequent(df, 3, room(k)) for k in (0, 9, 10, 29, 30, 50, 99)] == [32, 32, 16, 8, 4, 1, 1]
+
+
+def test_counts_against_brute_force(spark):
+    data = [(t, lang) for _, t, lang, _ in rows(20)] + [("ohne sprache", None)]
+    counts = {(r.tag, r.gram): r.n for r in op.count_grams(spark.createDataFrame(data, "text string, lang string").repartition(3), "text", "lang").collect()}
     brute = Counter()
     for t, lang in data:
-        c = [op._BORDER] * 3 + [ord(x) if x.isalpha() else 32 for x in t.lower()]
-        for i in range(3, len(c)):
-            g = c[i - 3] << 48 | c[i - 2] << 32 | c[i - 1] << 16 | c[i]
+        for x in brute_grams(t):
+            g = sum(ord(c) << 16 * (3 - j) for j, c in enumerate(x))
             brute[lang, g - 2**64 if g >= 2**63 else g] += 1
     assert counts == brute
-    models = op.train_models(spark.createDataFrame(data, "text string, lang string"))
-    # the probabilities of all characters behind one context sum to one, those never seen sharing what is left
-    for k in range(len(models.langs)):
-        context = int(models.contexts[3][5])
-        letters = models.keys[0]
-        p = np.exp(models.lookup((np.uint64(context) << np.uint64(16)) | letters)[:, k]).sum()
-        assert 0.9 < p <= 1 + 1e-3
-    assert all(math.isfinite(x) for x in models.logp[3].ravel())
 
 
 def test_nothing_to_learn_from(spark):
@@ -66,16 +137,15 @@ def test_nothing_to_learn_from(spark):
 
 def test_no_gram_is_left_out_with_many_languages(spark):
     rng = np.random.default_rng(5)
-    langs = [f"l{i:03d}" for i in range(200)]
+    langs = [f"l{i:03d}" for i in range(60)]
     words = ["".join(chr(0x4E00 + c) for c in rng.integers(0, 4000, 900)) for _ in langs]
-    docs = spark.createDataFrame(list(zip(words, langs, strict=True)), "text string, lang string")
-    models = op.train_models(docs)  # 180,000 grams by 200 languages: 145 MB with a value for each language
+    docs = spark.createDataFrame(list(zip(range(60), words, langs, strict=True)), "i int, text string, lang string")
+    counts = op.materialize(op.count_grams(docs, "text", "lang"), "grams")
+    models = op.train_models(counts)
     assert models.langs == langs
-    assert len(models.keys[3]) == op.count_grams(docs, "text", "lang").select("gram").distinct().count()
-    held = [a for order in (models.keys, models.logp, models.lang, models.begin, models.contexts, models.loglam, models.lam_lang, models.lam_begin) for a in order]
-    assert sum(a.nbytes for a in held) < 40_000_000
-    data = np.frombuffer(words[7].encode(), np.uint8)
-    assert op.entropies(models, data, np.array([0, len(data)]))[0].argmin() == 7
+    assert models.grams[3].count() == counts.select("gram").distinct().count()
+    got = op.score_languages(docs, counts, ["i"], "text", 1 << 20).collect()  # 54,000 grams of 488 bytes do not fit
+    assert len(got) == 60 and all(r.lang_pred == langs[r.i] for r in got)
 
 
 def test_calibration_rows_are_kept_out_of_the_counts(spark):
@@ -91,7 +161,8 @@ def test_calibration_rows_are_kept_out_of_the_counts(spark):
 def test_ties_go_to_the_first_language(spark):
     same = [(i, "the same words in both", lang) for i, lang in enumerate(["b", "a"] * 40)]
     got = op.identify_languages(spark.createDataFrame(same, "doc_id long, text string, lang string").filter("crc32(cast(doc_id as string)) % 4 != 2 and (crc32(cast(doc_id as string)) div 4) % 10 != 0"))
-    models = op.fit_models(["a", "b"], [(np.array([5], np.uint64), np.array([3]))] * 2)
-    h, _ = op.entropies(models, np.frombuffer(b"words", np.uint8), np.array([0, 5]))
-    assert h[0, 0] == h[0, 1] and h[0].argmin() == 0
-    assert {r.lang_pred for r in got.collect()} <= {"a", "b"}
+    rows = got.collect()
+    assert {r.lang_pred for r in rows} <= {"a", "b"}
+    docs = spark.createDataFrame([(i, "the same words", x) for i, x in enumerate("ba")], "i int, text string, tag string")
+    for room in (0, op.MAX_BROADCAST):
+        assert [r.lang_pred for r in op.score_languages(docs, op.count_grams(docs, "text", "tag"), ["i"], "text", room).collect()] == ["a", "a"]
