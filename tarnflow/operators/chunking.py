@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -119,6 +119,28 @@ def page_sections(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(cut, f"id {kind}, title string, pos int, heading string, level int, content string")
 
 
+def toc_leaves(rows: DataFrame, doc: str, pos: str, level: str, title: str, levels: int) -> DataFrame:
+    """Entries of contents tables with no deeper entry right behind them, with ``path``: the titles from the outermost down to their own.
+
+    An ancestor at depth k is the last entry before at k or above, if that is at k itself. Levels count from 1 to ``levels``;
+    a null title is empty. All windows share one sort by document.
+    """
+    w = Window.partitionBy(doc).orderBy(pos)
+    before, here = w.rowsBetween(Window.unboundedPreceding, -1), F.trim(F.coalesce(F.col(title), F.lit("")))
+    last = {k: F.last(F.when(F.col(level) <= k, F.struct(F.col(level).alias("level"), here.alias("title"))), ignorenulls=True).over(before) for k in range(1, levels)}
+    out = rows.withColumns({"__next": F.lead(level).over(w), **{f"__up{k}": v for k, v in last.items()}})
+    above = [F.when((F.col(level) > k) & (F.col(f"__up{k}.level") == k), F.col(f"__up{k}.title")) for k in last]
+    leaf = F.col("__next").isNull() | (F.col("__next") <= F.col(level))
+    return out.filter(leaf).withColumn("path", F.concat_ws("/", *above, here)).drop("__next", *[f"__up{k}" for k in last])
+
+
+def department(title: Column, key: Column, marker: str, names: dict[str, str], other: str) -> Column:
+    """The title up to a marker; where nothing is left, the name that belongs to the key."""
+    head = F.trim(F.element_at(F.split(title, marker, 2), 1))
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.nullif(head, F.lit("")), F.try_element_at(known, key), F.lit(other))
+
+
 def clean_lines(c: Column, boilerplate: str = r"(?i)^\s*(?:page\s+)?\d+\s*(?:/\s*\d+)?\s*$") -> Column:
     """A text without lines of page numbers, and without short lines that repeat the one before."""
     lines = F.filter(F.split(c, "\n"), lambda x: ~x.rlike(boilerplate))

@@ -138,12 +138,15 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(title).cast("long").alias("n_title"))
 
 
-@query("tx_department", "SELECT page_id, CASE WHEN contains(url, '.com') THEN 'commercial' WHEN contains(url, '.org') THEN 'organisation' ELSE 'network' END AS department FROM pages")
-def _(spark, d):
-    from tarnflow.functions.rules import first_rule
+_DOMAIN = "regexp_extract(url, '^[a-z]+://[^/:?#]*[.]([a-z]+)', 1)"
+
 
-    u = F.col("url")
-    return table(spark, d, "pages").select("page_id", first_rule([(u.contains(".com"), "commercial"), (u.contains(".org"), "organisation")], "network").alias("department"))
+@query("tx_department", f"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '(?is)(^|\\s+)the\\s.*$', '')) AS head, {_DOMAIN} AS domain FROM pages)
+SELECT page_id, CASE WHEN head <> '' THEN head WHEN domain = 'com' THEN 'commercial' WHEN domain = 'org' THEN 'organisation' ELSE 'network' END AS department FROM p""")
+def _(spark, d):
+    names = {"com": "commercial", "org": "organisation"}
+    name = chunking.department(F.regexp_extract("html", "<title>([^<]*)", 1), F.expr(_DOMAIN), r"(?i)(^|\s+)the\s", names, "network")
+    return table(spark, d, "pages").select("page_id", name.alias("department"))
 
 
 @query("tx_tags", "SELECT doc_id, concat_ws('|', CASE WHEN contains(text, 'MIT License') THEN 'mit' END, CASE WHEN contains(text, 'Apache License') THEN 'apache' END, lang) AS tags FROM documents")
@@ -170,14 +173,17 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("long").alias("start"))
 
 
-@query("tx_toc_leaves", "SELECT conv_id, turn FROM (SELECT *, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr FROM conversations) WHERE nxt IS NULL OR nr <> 'assistant'")
-def _(spark, d):
-    from pyspark.sql import Window
+_LEVELS = "CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END"
 
-    level = F.when(F.col("role") == "assistant", 2).otherwise(1)  # a turn with a deeper one behind it is no leaf
-    rows = table(spark, d, "conversations").withColumn("level", level)
-    after = F.lead("level").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return rows.withColumn("after", after).filter("after is null or after <> 2").select("conv_id", "turn")
+
+@query("tx_toc_leaves", f"""WITH r AS (SELECT conv_id, turn, {_LEVELS} AS level, role || ' ' || turn AS title FROM conversations),
+x AS (SELECT *, lead(level) OVER w AS nxt, max(turn) FILTER (level <= 1) OVER v AS t1, max(turn) FILTER (level <= 2) OVER v AS t2 FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn), v AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT x.conv_id, x.turn, concat_ws('/', CASE WHEN x.level > 1 AND a.level = 1 THEN a.title END, CASE WHEN x.level > 2 AND b.level = 2 THEN b.title END, x.title) AS path
+FROM x LEFT JOIN r a ON a.conv_id = x.conv_id AND a.turn = x.t1 LEFT JOIN r b ON b.conv_id = x.conv_id AND b.turn = x.t2 WHERE nxt IS NULL OR nxt <= x.level""")
+def _(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_LEVELS).alias("level"), F.concat_ws(" ", "role", "turn").alias("title"))
+    return chunking.toc_leaves(rows, "conv_id", "turn", "level", "title", 3).select("conv_id", "turn", "path")
 
 
 @query("tx_section_cut")
@@ -193,19 +199,48 @@ def _(spark, d):
     return rows.select("r_regionkey", chunking.markdown_table(cells).alias("md"))
 
 
-@query("tx_split_soft")
+_STRIPPED = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+def _overlap_sql(rows: str, most: int, overlap: int, least: int = 80) -> str:
+    """``id, chunk``: windows of ``rows`` (``id, text``) one after the other, each ended by the first kind of mark that its second half holds."""
+    half = f"substr(text, s + {most // 2 + 1}, {most - most // 2})"
+    ends = ", ".join(rf"nullif(length(regexp_extract({half}, '(?s)^.*{mark}')), 0)" for mark in (r"\n\n", r"\n", "。", r"\. ", "! ", r"\? "))
+    stop = f"CASE WHEN s + {most} < length(text) THEN s + coalesce({most // 2} + coalesce({ends}), {most}) ELSE length(text) END"
+    return f"""(WITH RECURSIVE w AS (SELECT id, text, s, {stop} AS stop FROM (SELECT id, text, CAST(0 AS BIGINT) AS s FROM ({rows}) WHERE length(text) > 0)
+UNION ALL SELECT id, text, s, {stop} FROM (SELECT id, text, greatest(stop - {overlap}, s + 1) AS s FROM w WHERE stop < length(text))),
+c AS (SELECT id, s, {_STRIPPED("substr(text, s + 1, stop - s)")} AS chunk FROM w)
+SELECT id, chunk FROM c WHERE chunk <> '' QUALIFY length(chunk) > {min(least, overlap)} OR row_number() OVER (PARTITION BY id ORDER BY s) = 1)"""
+
+
+_DOC_TEXTS = "SELECT doc_id AS id, text FROM documents"
+_SOFT = 1200
+
+
+@query("tx_split_soft", rf"""WITH RECURSIVE p AS (SELECT doc_id AS id, generate_subscripts(l, 1) AS i, unnest(l) AS par FROM (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS l FROM documents)),
+t AS (SELECT id, i, {_STRIPPED("par")} AS par FROM p), l AS (SELECT id, i, CASE WHEN length(par) > {_SOFT} THEN string_split(regexp_replace(par, '([.!?。！？])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)) ELSE [par] END AS l FROM t),
+s AS (SELECT id, i, generate_subscripts(l, 1) AS j, unnest(l) AS s FROM l), k AS (SELECT id, i, j, s, unnest(range(0, length(s), {_SOFT})) AS k FROM s),
+u AS (SELECT id, substr(s, k + 1, {_SOFT}) AS u, row_number() OVER (PARTITION BY id ORDER BY i, j, k) AS pos, CASE WHEN row_number() OVER (PARTITION BY id, i ORDER BY j, k) = 1 THEN 2 ELSE 0 END AS gap FROM k),
+f AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS size, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS longest FROM u
+UNION ALL SELECT id, pos, size, n + fresh, greatest(longest, coalesce(size, 0)) FROM (SELECT f.id, u.pos, f.n, f.longest,
+  CASE WHEN coalesce(size + gap + length(u) <= {_SOFT}, false) THEN size + gap + length(u) WHEN {_STRIPPED("u")} <> '' THEN length(regexp_replace(u, '^\s+', '')) ELSE size END AS size,
+  CASE WHEN NOT coalesce(size + gap + length(u) <= {_SOFT}, false) AND {_STRIPPED("u")} <> '' THEN 1 ELSE 0 END AS fresh FROM f JOIN u ON u.id = f.id AND u.pos = f.pos + 1))
+SELECT id, max(n) AS n, CAST(max(longest) AS INT) AS longest FROM f GROUP BY id HAVING max(n) > 0""")
 def _(spark, d):
-    c = chunking.chunk_texts(table(spark, d, "documents"), "doc_id", "text", "soft", most=1200)
+    c = chunking.chunk_texts(table(spark, d, "documents"), "doc_id", "text", "soft", most=_SOFT)
     return c.groupBy("id").agg(F.count("*").alias("n"), F.max(F.length("chunk")).alias("longest"))
 
 
-@query("tx_split_overlap")
+@query("tx_split_overlap", f"SELECT id, count(*) AS n, CAST(max(length(chunk)) AS INT) AS longest, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM {_overlap_sql(_DOC_TEXTS, 1800, 160)} GROUP BY id")
 def _(spark, d):
     c = chunking.chunk_texts(table(spark, d, "documents"), "doc_id", "text", "overlap")
     return c.groupBy("id").agg(F.count("*").alias("n"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk")).alias("chars"))
 
 
-@query("tx_chunk_sources")
+_BOTH_TEXTS = "SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages"
+
+
+@query("tx_chunk_sources", f"SELECT id[1] AS kind, count(*) AS n, count(DISTINCT id) AS ids FROM {_overlap_sql(_BOTH_TEXTS, 1400, 240)} GROUP BY 1")
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     pages = table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
@@ -213,12 +248,15 @@ def _(spark, d):
     return c.groupBy(F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
-@query("tx_chunk_experiments")
+_EXPERIMENTS = ((600, 60), (1200, 120), (1800, 160))
+
+
+@query("tx_chunk_experiments", " UNION ALL ".join(f"SELECT {m} AS most, count(*) AS chunks, count(DISTINCT id) AS docs, round(avg(length(chunk)), 6) AS mean FROM {_overlap_sql(_DOC_TEXTS, m, o)}" for m, o in _EXPERIMENTS))
 def _(spark, d):
     out = None
-    for most, overlap in ((600, 60), (1200, 120), (1800, 160)):
+    for most, overlap in _EXPERIMENTS:
         c = chunking.chunk_texts(table(spark, d, "documents"), "doc_id", "text", "overlap", most=most, overlap=overlap)
-        s = c.agg(F.lit(most).alias("most"), F.count("*").alias("chunks"), F.count_distinct("id").alias("docs"), F.avg(F.length("chunk")).alias("mean"))
+        s = c.agg(F.lit(most).alias("most"), F.count("*").alias("chunks"), F.count_distinct("id").alias("docs"), F.round(F.avg(F.length("chunk")), 6).alias("mean"))
         out = s if out is None else out.union(s)
     return out
 
@@ -273,11 +311,13 @@ def _(spark, d):
     return sessions.upsert_stream(rows, "user_id", "at", _fresh(spark, "state"), _fresh(spark, "checkpoint")).select("user_id", "event_id")
 
 
-@query("src_csv_multi", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+@query("src_csv_multi", "SELECT c_custkey, c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS code FROM customer")
 def _(spark, d):
+    """A folder of files for each code, which the files themselves do not hold."""
     path = _fresh(spark, "csv")
-    table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).csv(path)
-    return files.read_csv_folder(spark, path, "c_custkey long, c_name string, c_mktsegment string")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_nationkey").alias("code"))
+    rows.write.partitionBy("code").option("header", True).csv(path)
+    return files.read_csv_folder(spark, path, "c_custkey long, c_name string, c_mktsegment string, code string", "code", r"code=([^/]+)/")
 
 
 @query("src_csv_text", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")

@@ -154,6 +154,20 @@ def test_files_round_trip(spark, tmp_path):
     assert {tuple(r) for r in files.read_jsonl(spark, str(tmp_path / "j"), "k string, v string").collect()} == {("1", "a,b"), ("2", None)}
 
 
+def test_toc_leaves(spark):
+    rows = [(1, 1, "A"), (2, 2, " b "), (3, 3, "c"), (4, 2, None), (5, 1, "D"), (6, 3, "e"), (7, 2, "f")]
+    df = spark.createDataFrame([(0, *r) for r in rows] + [(1, 1, 3, "alone")], "doc int, pos int, level int, title string")
+    got = {(r.doc, r.pos): r.path for r in chunking.toc_leaves(df, "doc", "pos", "level", "title", 3).collect()}
+    assert got == {(0, 3): "A/b/c", (0, 4): "A/", (0, 6): "D/e", (0, 7): "D/f", (1, 1): "alone"}
+    assert chunking.toc_leaves(df.limit(0), "doc", "pos", "level", "title", 3).count() == 0
+
+
+def test_department(spark):
+    df = spark.createDataFrame([("Network On-Call guide", "k"), ("on-call", "k"), ("Plain", "k"), (None, "k"), ("", None)], "title string, key string")
+    name = chunking.department(F.col("title"), F.col("key"), r"(?i)\s*on[\s-]?call", {"k": "known"}, "other")
+    assert [r[0] for r in df.select(name).collect()] == ["Network", "known", "Plain", "known", "other"]
+
+
 def test_cluster_ols_against_numpy(spark):
     import numpy as np
 
