@@ -13,15 +13,18 @@ from tarnflow.llm.decontaminate import find_contamination
 from tarnflow.llm.embed_dedup import embedding_near_dups
 from tarnflow.llm.html_extract import extract_main_text
 from tarnflow.llm.language_id import identify_languages
+from tarnflow.llm.lexical_rank import ranked_search
 from tarnflow.llm.licenses import scan_licenses
 from tarnflow.llm.mixing import mix_sources
 from tarnflow.llm.near_dup_simhash import simhash_components
+from tarnflow.llm.periodic_runs import periodic_runs, run_digests
 from tarnflow.llm.quality import classify_quality
 from tarnflow.llm.secrets import scan_secrets
+from tarnflow.llm.token_counts import count_tokens
 from tarnflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op8_chat_format": oracles.CHAT_FORMAT, "op9_mix_sources": oracles.MIX_SOURCES}
+ORACLES: dict[str, str] = {"op8_chat_format": oracles.CHAT_FORMAT, "op9_mix_sources": oracles.MIX_SOURCES, "op13_ranked_search": oracles.RANKED_SEARCH}
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -78,3 +81,18 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
+@_query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
