@@ -40,6 +40,7 @@ def test_pieces_of_every_character():
     for i in range(0, len(chars), 512):
         text = "".join(f"a{c}1{c} {c}b{c}{c}-" for c in chars[i : i + 512])
         assert cutter.pieces(text) == [text[a:b] for _, (a, b) in cut(text)]
+        assert cutter.pieces(text + "\n中") == cutter.pieces(text) + ["\n", "中"]  # by the other pattern
     odd = "a࢏1 \U0003fc3bb"  # not in this Python's Unicode
     assert cutter.pieces(odd) == [odd[a:b] for _, (a, b) in cut(odd)]
 
