@@ -150,9 +150,47 @@ def contributions(df: DataFrame, model: Linear, keys: Sequence[str], top: int =
     return df.select(*keys, F.posexplode(best).alias("pos", "x")).select(*keys, (F.col("pos") + 1).alias("rank"), "x.feature", "x.contribution")
 
 
-def cluster_blocks(df: DataFrame, cluster: str, y: str, xs: Sequence[str]) -> DataFrame:
-    """Per cluster the sums that a regression needs: n, X'X, X'y and y'y (with an intercept), from one pass."""
-    cols = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
+def absorb(df: DataFrame, groups: Sequence[str], columns: Sequence[str], tol: float = 1e-10, rounds: int = 200) -> tuple[DataFrame, int]:
+    """``df`` with each of ``columns`` as its distance from the effects of two groupings, and how many effects these are.
+
+    Both groupings' effects are fitted in turns (alternating projections) until none moves by more than ``tol`` standard
+    deviations. The turns read only the sums per pair of groups, written once; rows are read twice. Rows with a null in a
+    column or a group are left out. The effects are counted as those of groupings that hang together.
+    """
+    a, b = groups
+    rows = df.filter(~F.greatest(*[F.col(c).isNull() for c in [a, b, *columns]]))
+    cells = rows.groupBy(a, b).agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__s_{c}") for c in columns], *[F.sum(F.col(c) * F.col(c)).alias(f"__q_{c}") for c in columns])
+    cells = materialize(cells, "cells")
+    facts = cells.agg(F.sum("__n"), *[F.sum(f"__q_{c}") / F.sum("__n") - F.pow(F.sum(f"__s_{c}") / F.sum("__n"), 2) for c in columns]).head()
+    least = {c: tol * max(float(v or 0.0), 1e-300) ** 0.5 for c, v in zip(columns, facts[1:], strict=True)}
+
+    def turn(by: str, other: str, given: DataFrame | None) -> DataFrame:
+        left = cells if given is None else cells.join(given, other)
+        rest = [(F.sum(f"__s_{c}") if given is None else F.sum(F.col(f"__s_{c}") - F.col("__n") * F.col(f"__e_{c}"))) / F.sum("__n") for c in columns]
+        return materialize(left.groupBy(by).agg(*[r.alias(f"__e_{c}") for r, c in zip(rest, columns, strict=True)]), "effects")
+
+    first = turn(a, b, None)
+    second = turn(b, a, first)
+    for _ in range(rounds):
+        first = turn(a, b, second)
+        after = turn(b, a, first)
+        moved = after.join(second.select(b, *[F.col(f"__e_{c}").alias(f"__o_{c}") for c in columns]), b)
+        most = moved.agg(*[F.max(F.abs(F.col(f"__e_{c}") - F.col(f"__o_{c}"))) for c in columns]).head()
+        second = after
+        if all((m or 0.0) <= least[c] for m, c in zip(most, columns, strict=True)):
+            break
+    else:
+        raise RuntimeError(f"the effects did not settle in {rounds} rounds")
+    out = rows
+    for by, effects in ((a, first), (b, second)):
+        out = out.join(effects, by)
+        out = out.withColumns({c: F.col(c) - F.col(f"__e_{c}") for c in columns}).drop(*[f"__e_{c}" for c in columns])
+    return out, max(first.count() + second.count() - 1, 0)
+
+
+def cluster_blocks(df: DataFrame, cluster: str, y: str, xs: Sequence[str], const: bool = True) -> DataFrame:
+    """Per cluster the sums that a regression needs: n, X'X, X'y and y'y (with an intercept, if ``const``), from one pass."""
+    cols = [*([F.lit(1.0)] if const else []), *[F.col(x).cast("double") for x in xs]]
     rows = df.filter(F.col(y).isNotNull() & ~F.greatest(*[F.col(x).isNull() for x in xs], F.lit(False)))
     k = len(cols)
     aggs = [F.sum(cols[i] * cols[j]).alias(f"a_{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(c * F.col(y)).alias(f"b_{i}") for i, c in enumerate(cols)]
@@ -167,32 +205,41 @@ def _unpack(blocks: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return a, blocks[[f"b_{i}" for i in range(k)]].to_numpy(float)
 
 
-def _totals(blocks: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int, float]:
+def _totals(blocks: DataFrame, k: int, effects: int = 0) -> tuple[np.ndarray, np.ndarray, int, float]:
     """Summed X'X and X'y, the number of clusters, and the factor of small samples: one row comes to the driver."""
     names = [c for c in blocks.columns if c.startswith(("a_", "b_"))]
     row = blocks.agg(F.count("*").alias("g"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).toPandas()
     a, b = _unpack(row, k)
     g, n = int(row["g"][0]), int(row["n"][0])
-    return a[0], b[0], g, (g / max(g - 1, 1)) * ((n - 1) / max(n - k, 1))
+    return a[0], b[0], g, (g / max(g - 1, 1)) * ((n - 1) / max(n - k - effects, 1))
 
 
-def cluster_ols(df: DataFrame, cluster: str, y: str, xs: Sequence[str]) -> DataFrame:
-    """``term, coef, se, t``: least squares with cluster-robust errors, from blocks that Spark sums per cluster and over clusters."""
-    k = len(xs) + 1
-    blocks = materialize(cluster_blocks(df, cluster, y, xs).drop(cluster), "blocks")
-    a, b, _, scale = _totals(blocks, k)
+def cluster_ols(df: DataFrame, cluster: str, y: str, xs: Sequence[str], effects: Sequence[str] | None = None) -> DataFrame:
+    """``term, coef, se, t``: least squares with cluster-robust errors, from blocks that Spark sums per cluster and over clusters.
+
+    With ``effects``, two columns, the model has an intercept for each value of both (fixed effects) instead of one.
+    """
+    n_effects = 0
+    if effects:
+        df, n_effects = absorb(df.select(cluster, *{*effects} - {cluster}, y, *xs), effects, [y, *xs])
+    terms = [*([] if effects else ["const"]), *xs]
+    k = len(terms)
+    blocks = materialize(cluster_blocks(df, cluster, y, xs, not effects).drop(cluster), "blocks")
+    a, b, _, scale = _totals(blocks, k, n_effects)
     inv = np.linalg.pinv(a)
     beta = inv @ b
     u = [F.col(f"b_{i}") - sum(F.col(f"a_{min(i, j)}_{max(i, j)}") * float(beta[j]) for j in range(k)) for i in range(k)]  # each cluster's score
     sums = blocks.agg(*[F.coalesce(F.sum(u[i] * u[j]), F.lit(0.0)).alias(f"{i}_{j}") for i in range(k) for j in range(k)]).head()
     v = inv @ np.array(sums, float).reshape(k, k) @ inv * scale
     se = np.sqrt(np.diag(v))
-    rows = [(t, float(c), float(s), float(c / s) if s > 0 else None) for t, c, s in zip(["const", *xs], beta, se, strict=True)]
+    rows = [(t, float(c), float(s), float(c / s) if s > 0 else None) for t, c, s in zip(terms, beta, se, strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double")
 
 
 #: Draws whose signs a task holds at once for a batch of clusters.
 _DRAWS = 128
+#: Values of the second effect that the bootstrap takes (years, say): tasks hold matrices of this size squared.
+MAX_LEVELS = 256
 
 
 def _signs(clusters: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
@@ -203,43 +250,92 @@ def _signs(clusters: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
     return np.where((draws == 0)[None, :] | ((h >> np.uint64(63)) == 0), 1.0, -1.0)
 
 
-def wild_bootstrap(df: DataFrame, cluster: str, y: str, xs: Sequence[str], term: str, draws: int = 999, seed: int = 7) -> DataFrame:
-    """``t, p``: restricted wild cluster bootstrap of one coefficient with signs drawn per cluster.
+def _levels(df: DataFrame, cluster: str, level: str, y: str, xs: Sequence[str]) -> tuple[DataFrame, int]:
+    """Per cluster's ``key`` arrays over the values of ``level``: rows ``ln``, sums of y ``ly`` and of each column ``l_i``."""
+    found = [r[0] for r in df.select(level).distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{level} has more than {MAX_LEVELS} values: use it as the cluster, or absorb it in cluster_ols")
+    at = {v: i for i, v in enumerate(sorted(found))}
+    names = df.sparkSession.createDataFrame([(i, v) for v, i in at.items()], f"__level int, {level} {df.schema[level].dataType.simpleString()}")
+    cells = df.join(F.broadcast(names), level).groupBy(cluster, "__level").agg(F.count("*").cast("double").alias("ln"), F.sum(y).alias("ly"), *[F.sum(x).alias(f"l_{i}") for i, x in enumerate(xs)])
+    values = ["ln", "ly", *[f"l_{i}" for i in range(len(xs))]]
+    each = cells.groupBy(cluster).agg(F.map_from_entries(F.collect_list(F.struct("__level", F.struct(*values)))).alias("m"))  # at most MAX_LEVELS
+    over = F.sequence(F.lit(0), F.lit(max(len(at) - 1, 0)))
+
+    def along(v: str) -> Column:
+        return F.transform(over, lambda i: F.coalesce(F.element_at("m", i)[v], F.lit(0.0))).alias(v)
+
+    return each.select(cluster, *[along(v) for v in values]), len(at)
+
+
+def wild_bootstrap(
+    df: DataFrame, cluster: str, y: str, xs: Sequence[str], term: str, draws: int = 999, seed: int = 7, level: str | None = None
+) -> DataFrame:
+    """``t, p, draws``: restricted wild cluster bootstrap of one coefficient with signs drawn per cluster.
 
+    With ``level`` the model has an effect for each cluster and for each value of ``level`` (at most MAX_LEVELS). Where all
+    combinations of signs are no more than ``draws`` (few clusters), each of them is taken once instead of draws by hash.
     Tasks sum the signed scores of their clusters for each draw; only sums over all clusters leave them.
     """
-    k, at = len(xs) + 1, 1 + list(xs).index(term)
-    blocks = cluster_blocks(df, cluster, y, xs).withColumn("key", F.xxhash64(cluster)).drop(cluster)
-    blocks = materialize(blocks, "blocks")
-    total, b, _, scale = _totals(blocks, k)
+    const, n_effects, n_levels = level is None, 0, 0
+    if level is not None:
+        df, n_effects = absorb(df.select(cluster, level, y, *xs), [cluster, level], [y, *xs])
+        df = materialize(df, "absorbed")
+    k, at = len(xs) + const, const + list(xs).index(term)
+    blocks = cluster_blocks(df, cluster, y, xs, const)
+    if level is not None:
+        per, n_levels = _levels(df, cluster, level, y, xs)
+        blocks = blocks.join(per, cluster)
+    blocks = materialize(blocks.withColumn("key", F.xxhash64(cluster)).drop(cluster), "blocks")
+    total, b, g, scale = _totals(blocks, k, n_effects)
+    if not g:
+        return df.sparkSession.createDataFrame([(0.0, None, 0)], "t double, p double, draws long")
     inv = np.linalg.pinv(total)
     keep = [i for i in range(k) if i != at]
     null = np.zeros(k)
     null[keep] = np.linalg.pinv(total[np.ix_(keep, keep)]) @ b[keep]
-    # a draw moves the coefficients by d = inv @ sum(w * score); of a cluster's new score u the term takes inv[at] @ u = w * q - v @ d
-    names = [f"s_{i}" for i in range(k)] + [f"c_{i}" for i in range(k)] + ["qq"] + [f"v_{i}_{j}" for i in range(k) for j in range(k)]
+    listed = 0 < g < 31 and 2**g <= draws
+    order = np.sort(np.array([r[0] for r in blocks.select("key").collect()], np.int64)) if listed else None  # log2(draws) at most
+    last = 2**g if listed else draws + 1
+    # A draw moves the coefficients by d = inv @ sum(w * score). With levels their effects e solve lap @ e = sum(w * residuals
+    # per level). Of a cluster's new score the term takes w * q - v @ (d, e).
+    m = k + n_levels
+    names = [f"s_{i}" for i in range(m)] + [f"c_{i}" for i in range(m)] + ["qq"] + [f"v_{i}_{j}" for i in range(m) for j in range(m)] + [f"p_{i}_{j}" for i in range(n_levels) for j in range(n_levels)]
 
     def sums(batches):
-        held = np.zeros((draws + 1, 2 * k))
-        fixed = np.zeros(1 + k * k)
+        held = np.zeros((last, 2 * m))
+        fixed = np.zeros(1 + m * m + n_levels * n_levels)
         for rows in batches:
             a, b = _unpack(rows, k)
             score = b - a @ null
             q, v = score @ inv[at], a @ inv[at]
-            parts = np.concatenate([score, q[:, None] * v], axis=1)
-            fixed += np.concatenate([[q @ q], (v.T @ v).ravel()])
-            for i in range(0, draws + 1, _DRAWS):
-                some = np.arange(i, min(i + _DRAWS, draws + 1))
-                held[some] += _signs(rows["key"].to_numpy(np.int64), some, seed).T @ parts
-        out = pd.DataFrame(np.concatenate([held, np.repeat(fixed[None, :], draws + 1, axis=0)], axis=1), columns=names)
-        out.insert(0, "draw", np.arange(draws + 1))
-        yield out
+            moves = score
+            if n_levels:
+                ln, ly, *lx = (np.stack(rows[c].to_numpy()).astype(float) for c in ["ln", "ly", *[f"l_{i}" for i in range(k)]])
+                moves = np.concatenate([score, ly - sum(x * null[i] for i, x in enumerate(lx))], axis=1)
+                v = np.concatenate([v, sum(x * inv[at, i] for i, x in enumerate(lx))], axis=1)
+                fixed[1 + m * m :] += (np.diag(ln.sum(axis=0)) - (ln / ln.sum(axis=1)[:, None]).T @ ln).ravel()
+            parts = np.concatenate([moves, q[:, None] * v], axis=1)
+            fixed[: 1 + m * m] += np.concatenate([[q @ q], (v.T @ v).ravel()])
+            for i in range(0, last, _DRAWS):
+                some = np.arange(i, min(i + _DRAWS, last))
+                keys = rows["key"].to_numpy(np.int64)
+                signs = _signs(keys, some, seed) if order is None else 1.0 - 2.0 * ((some[None, :] >> np.searchsorted(order, keys)[:, None]) & 1)
+                held[some] += signs.T @ parts
+        out = pd.DataFrame(held, columns=names[: 2 * m])
+        out.insert(0, "draw", np.arange(last))
+        rest = np.zeros((last, len(names) - 2 * m))
+        rest[0] = fixed  # the same for every draw
+        yield pd.concat([out, pd.DataFrame(rest, columns=names[2 * m :])], axis=1)
 
     parts = blocks.mapInPandas(sums, ", ".join(["draw long", *[f"{c} double" for c in names]]))
     got = parts.groupBy("draw").agg(*[F.sum(c).alias(c) for c in names]).orderBy("draw").toPandas()  # a row for each draw
-    d = got[names[:k]].to_numpy(float) @ inv
-    spread = got["qq"].to_numpy(float) - 2 * (d * got[names[k : 2 * k]].to_numpy(float)).sum(axis=1)
-    spread += np.einsum("ni,nij,nj->n", d, got[names[2 * k + 1 :]].to_numpy(float).reshape(-1, k, k), d)
+    fixed = got.loc[0, names[2 * m :]].to_numpy(float)
+    moves = got[names[:m]].to_numpy(float)
+    d = np.concatenate([moves[:, :k] @ inv, moves[:, k:] @ np.linalg.pinv(fixed[1 + m * m :].reshape(n_levels, n_levels))], axis=1)
+    spread = fixed[0] - 2 * (d * got[names[m : 2 * m]].to_numpy(float)).sum(axis=1)
+    spread += np.einsum("ni,ij,nj->n", d, fixed[1 : 1 + m * m].reshape(m, m), d)
     ts = d[:, at] / np.sqrt(np.maximum(spread * scale, 1e-300))
-    p = float((np.abs(ts[1:]) >= abs(ts[0])).mean()) if draws and len(ts) else None
-    return df.sparkSession.createDataFrame([(float(ts[0]) if len(ts) else 0.0, p, draws)], "t double, p double, draws long")
+    others = ts if listed else ts[1:]
+    p = float((np.abs(others) >= abs(ts[0]) * (1 - 1e-9)).mean()) if len(others) else None
+    return df.sparkSession.createDataFrame([(float(ts[0]), p, len(others))], "t double, p double, draws long")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,75 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id
     return best_per_key(per, ["query"], [F.col("score").desc(), F.col("doc")], k, "rank")
 
 
+def raw_tokens(c: Column) -> Column:
+    """Lower-case strings between white space, signs and all: what ``tokens`` loses (``c++``, ``&``)."""
+    return F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != "")
+
+
+@dataclass(frozen=True)
+class Field:
+    """A searchable part of a document: its text, how much its scores count, and how text and queries are cut into words."""
+
+    name: str
+    text: Column
+    weight: float = 1.0
+    cut: Callable[[Column], Column] = tokens
+
+
+def field_postings(docs: DataFrame, id_col: str, fields: Sequence[Field], terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``doc, field, term, tf, len, positions`` (from 0, ascending), and ``field, n_docs, avg_len`` over all documents.
+
+    ``terms`` (``field, term``) keeps only these. A null text has no words and counts with length 0.
+    """
+    words = F.array(*[F.struct(F.lit(f.name).alias("field"), F.coalesce(f.cut(f.text), F.array()).alias("words")) for f in fields])
+    per = docs.select(F.col(id_col).alias("doc"), F.explode(words).alias("x")).select("doc", "x.field", "x.words", F.size("x.words").alias("len"))
+    totals = per.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    posts = per.select("doc", "field", "len", F.posexplode("words").alias("pos", "term"))
+    if terms is not None:
+        posts = posts.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi")
+    posts = posts.groupBy("doc", "field", "len", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return posts, totals
+
+
+def query_terms(queries: DataFrame, query_id: str, query_text: str, fields: Sequence[Field]) -> DataFrame:
+    """``query, field, idx, term``: the words of each query as each field cuts them, in order from 0."""
+    words = F.array(*[F.struct(F.lit(f.name).alias("field"), f.cut(F.col(query_text)).alias("words")) for f in fields])
+    per = queries.select(F.col(query_id).alias("query"), F.explode(words).alias("x"))
+    return per.select("query", "x.field", F.posexplode("x.words").alias("idx", "term"))
+
+
+def bm25_fields(
+    queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id_col: str, fields: Sequence[Field], k: int = 10, offset: int = 0, k1: float = 1.2, b: float = 0.75
+) -> DataFrame:
+    """``query, doc, score, rank``: the documents ranked ``offset`` + 1 to ``offset`` + ``k`` by BM25 over any of a query's words in any field.
+
+    Each field has its own document frequencies and lengths; its scores are added with its weight. Equal scores rank by document.
+    Only postings of the queries' words are shuffled.
+    """
+    terms = query_terms(queries, query_id, query_text, fields).select("query", "field", "term").distinct()
+    posts, totals = field_postings(docs, id_col, fields, terms)
+    df = posts.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(totals), "field")  # a row for each field
+    boost = F.create_map(*[F.lit(x) for f in fields for x in (f.name, float(f.weight))])
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = boost[F.col("field")] * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    scored = posts.drop("positions").join(df, ["field", "term"]).select("field", "term", "doc", weight.alias("w"))
+    per = scored.join(terms, ["field", "term"]).groupBy("query", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
+    return best_per_key(per, ["query"], [F.col("score").desc(), F.col("doc")], k + offset, "rank").filter(F.col("rank") > offset)
+
+
+def phrase_hits(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id_col: str, fields: Sequence[Field]) -> DataFrame:
+    """``query, field, doc, n, first``: how often and where first a query's words stand one after the other in a field.
+
+    A word at place p that is the query's i-th puts the phrase at p - i; where all words of the query agree it stands.
+    """
+    terms = query_terms(queries, query_id, query_text, fields)
+    sizes = terms.groupBy("query", "field").agg(F.count("*").alias("size"))
+    posts, _ = field_postings(docs, id_col, fields, terms)
+    at = posts.join(terms, ["field", "term"]).select("query", "field", "doc", F.explode(F.transform("positions", lambda p: p - F.col("idx"))).alias("at"))
+    whole = at.groupBy("query", "field", "doc", "at").agg(F.count("*").alias("held")).join(sizes, ["query", "field"]).filter("held = size")
+    return whole.groupBy("query", "field", "doc").agg(F.count("*").alias("n"), F.min("at").cast("long").alias("first"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

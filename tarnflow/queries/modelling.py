@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.functions import rules, text
-from tarnflow.operators import checks, features, joins, models
+from tarnflow.operators import checks, features, joins, models, trees
 from tarnflow.operators.windows import average_ranks, exact_quantiles, minus_group_median, percentile_rank, trailing_mean, trailing_z
 from tarnflow.queries.panel import ORDERS, USERS, orders, r, users
 from tarnflow.registry import query
@@ -364,38 +364,89 @@ _KEY_COLUMNS = ", ".join(_KEYS)
 @query("ex_waterfall", f"""WITH RECURSIVE {_FRAME}, {_fit((0.1, 0))}, te AS (SELECT fr.*, fit.*, {_P} FROM fr, fit WHERE split = 'test'),
 ed AS (SELECT * FROM (SELECT * FROM te ORDER BY p, {_KEY_COLUMNS} LIMIT 10) UNION ALL SELECT * FROM (SELECT * FROM te ORDER BY p DESC, {_KEY_COLUMNS} LIMIT 10)),
 c AS ({" UNION ALL ".join(f"SELECT {_KEY_COLUMNS}, '{z}' AS feature, b{i} * z{i} AS v FROM ed" for i, z in enumerate(_Z, 1))})
-SELECT {_KEY_COLUMNS}, CAST(row_number() OVER (PARTITION BY {_KEY_COLUMNS} ORDER BY abs(v) DESC, feature) AS INT) AS rank, feature, round(v, 6) AS contribution FROM c QUALIFY rank <= 3""")
+SELECT {_KEY_COLUMNS}, CAST(row_number() OVER (PARTITION BY {_KEY_COLUMNS} ORDER BY abs(v) DESC, feature) AS INT) AS rank, feature, round(v, 6) AS contribution FROM c QUALIFY rank <= 5""")
 def _(spark, d):
     f, m = _ridge(spark, d)
     scored = m.transform(f.filter("split = 'test'"), _PLACES)
     edge = scored.orderBy("prediction", *_KEYS).limit(10).union(scored.orderBy(F.col("prediction").desc(), *_KEYS).limit(10))
-    return models.contributions(edge, m, _KEYS, 3).withColumn("contribution", F.round("contribution", 6))
+    return models.contributions(edge, m, _KEYS, 5).withColumn("contribution", F.round("contribution", 6))
 
 
-# Least squares with an intercept and two columns: the inverse of a matrix of three by its cofactors.
-_OLS = """o AS (SELECT l_suppkey AS g, y, x1 AS u, x2 AS v FROM f1),
-bl AS (SELECT g, count(*)::DOUBLE AS n, sum(u) AS su, sum(v) AS sv, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(y) AS sy, sum(u * y) AS uy, sum(v * y) AS vy FROM o GROUP BY g),
-s AS (SELECT sum(n) AS n, sum(su) AS su, sum(sv) AS sv, sum(uu) AS uu, sum(uv) AS uv, sum(vv) AS vv, sum(sy) AS sy, sum(uy) AS uy, sum(vy) AS vy, count(*) AS k FROM bl),
-dt AS (SELECT *, n * (uu * vv - uv * uv) - su * (su * vv - uv * sv) + sv * (su * uv - uu * sv) AS det FROM s),
-iv AS (SELECT *, (uu * vv - uv * uv) / det AS i00, (sv * uv - su * vv) / det AS i01, (su * uv - sv * uu) / det AS i02, (n * vv - sv * sv) / det AS i11, (su * sv - n * uv) / det AS i12, (n * uu - su * su) / det AS i22 FROM dt),
-be AS (SELECT *, i00 * sy + i01 * uy + i02 * vy AS b0, i01 * sy + i11 * uy + i12 * vy AS b1, i02 * sy + i12 * uy + i22 * vy AS b2 FROM iv),
-sc AS (SELECT be.*, bl.sy - (bl.n * b0 + bl.su * b1 + bl.sv * b2) AS e0, bl.uy - (bl.su * b0 + bl.uu * b1 + bl.uv * b2) AS e1, bl.vy - (bl.sv * b0 + bl.uv * b1 + bl.vv * b2) AS e2 FROM bl, be),
-va AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, any_value(k::DOUBLE / (k - 1) * (n - 1) / (n - 3)) AS f, sum((i00 * e0 + i01 * e1 + i02 * e2) ** 2) AS v0, sum((i01 * e0 + i11 * e1 + i12 * e2) ** 2) AS v1, sum((i02 * e0 + i12 * e1 + i22 * e2) ** 2) AS v2 FROM sc)"""
+def _boosted(spark, d):
+    """Lines with predictions of boosted trees and what each column adds to them."""
+    f = _frame(spark, d).withColumn("is_valid", F.col("split") == "valid")
+    m = models.fit_gbt(f.filter("split <> 'test'"), "y", "is_valid", 10)
+    return trees.tree_contributions(m.transform(f), m)
+
+
+@query("ex_tree_waterfall")
+def _(spark, d):
+    scored = materialize(_boosted(spark, d).filter("split = 'test'").select(*_KEYS, F.round("prediction", _PLACES).alias("prediction"), "parts"), "parts")
+    edge = scored.orderBy("prediction", *_KEYS).limit(10).union(scored.orderBy(F.col("prediction").desc(), *_KEYS).limit(10))
+    return trees.top_parts(edge, _FEATURES, _KEYS, 5)
+
+
+@query("ex_tree_importance")
+def _(spark, d):
+    return trees.mean_sizes(_boosted(spark, d), _FEATURES, ["split"])
+
+
+#: Turns of demeaning in SQL; the effects of these tables settle in fewer.
+_TURNS = 40
+_DEMEAN = lambda v, by: f"{v} - sum(n * {v}) OVER (PARTITION BY {by}) / sum(n) OVER (PARTITION BY {by})"
 
 
-@query("inf_cluster_ols", f"WITH {_FRAME}, {_OLS} " + " UNION ALL ".join(f"SELECT '{t}' AS term, round(b{i}, 6) AS coef, round(sqrt(v{i} * f), 6) AS se, round(b{i} / sqrt(v{i} * f), 4) AS t FROM va" for i, t in enumerate(["const", "l_quantity", "l_discount"])))
+def _inference_sql(cluster: str) -> str:
+    """Lines with both effects absorbed: ``w0`` the lines, ``bc`` sums per cluster and year, ``iv`` the inverse of X'X, ``k`` the number of terms."""
+    turn = ", ".join(f"{_DEMEAN(v, 'g')} AS {v}" for v in "yuv")
+    return f"""i0 AS (SELECT {cluster} AS g, year(l_shipdate) AS t, l_extendedprice / 1000 AS y, l_quantity AS u, nullif(l_discount, 0) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+i1 AS (SELECT g, t, y, u, coalesce(v, m) AS v FROM i0, (SELECT median(v) AS m FROM i0 WHERE t < 1998)),
+ce AS (SELECT g, t, count(*)::DOUBLE AS n, avg(y) AS y, avg(u) AS u, avg(v) AS v FROM i1 GROUP BY g, t),
+ab AS (SELECT 0 AS it, * FROM ce UNION ALL SELECT it + 1, g, t, n, {", ".join(f"{_DEMEAN(v, 't')} AS {v}" for v in "yuv")} FROM (SELECT it, g, t, n, {turn} FROM ab WHERE it < {_TURNS})),
+ef AS (SELECT ce.g, ce.t, ce.y - ab.y AS ey, ce.u - ab.u AS eu, ce.v - ab.v AS ev FROM ce JOIN ab ON ce.g = ab.g AND ce.t = ab.t AND it = {_TURNS}),
+w0 AS (SELECT i1.g, i1.t, y - ey AS y, u - eu AS u, v - ev AS v FROM i1 JOIN ef ON i1.g = ef.g AND i1.t = ef.t),
+bc AS (SELECT g, t, count(*)::DOUBLE AS n, sum(y) AS sy, sum(u) AS su, sum(v) AS sv, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(u * y) AS uy, sum(v * y) AS vy FROM w0 GROUP BY g, t),
+iv AS (SELECT *, vv / (uu * vv - uv * uv) AS i00, -uv / (uu * vv - uv * uv) AS i01, uu / (uu * vv - uv * uv) AS i11, gs / (gs - 1) * (n - 1) / (n - 2 - (gs + ts - 1)) AS f
+  FROM (SELECT sum(n) AS n, sum(uu) AS uu, sum(uv) AS uv, sum(vv) AS vv, sum(uy) AS uy, sum(vy) AS vy, count(DISTINCT g)::DOUBLE AS gs, count(DISTINCT t)::DOUBLE AS ts FROM bc))"""
+
+
+_CLUSTERED = f"""{_inference_sql("l_suppkey")}, be AS (SELECT *, i00 * uy + i01 * vy AS b0, i01 * uy + i11 * vy AS b1 FROM iv),
+sc AS (SELECT g, sum(bc.uy - bc.uu * b0 - bc.uv * b1) AS e0, sum(bc.vy - bc.uv * b0 - bc.vv * b1) AS e1 FROM bc, be GROUP BY g),
+va AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, sqrt(any_value(f) * sum((i00 * e0 + i01 * e1) ** 2)) AS s0, sqrt(any_value(f) * sum((i01 * e0 + i11 * e1) ** 2)) AS s1 FROM sc, be)"""
+
+
+def _inference(spark, d):
+    """Lines with their supplier, region and year; a missing discount is the training median. Only the columns that inference reads."""
+    year = F.year("l_shipdate")
+    x = table(spark, d, "lineitem").select("l_suppkey", year.alias("year"), (F.col("l_extendedprice") / 1000).alias("y"), "l_quantity", F.nullif("l_discount", F.lit(0.0)).alias("l_discount"))
+    m = exact_quantiles(x.filter("year < 1998"), [], "l_discount", {"m": 0.5})
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_regionkey")
+    return x.join(F.broadcast(m)).withColumn("l_discount", F.coalesce("l_discount", "m")).drop("m").join(s, "l_suppkey")  # one row
+
+
+@query("inf_cluster_ols", f"WITH RECURSIVE {_CLUSTERED} " + " UNION ALL ".join(f"SELECT '{t}' AS term, round(b{i}, 6) AS coef, round(s{i}, 6) AS se, round(b{i} / s{i}, 4) AS t FROM va" for i, t in enumerate(["l_quantity", "l_discount"])))
 def _(spark, d):
-    out = models.cluster_ols(_imputed(spark, d), "l_suppkey", "y", ["l_quantity", "l_discount"])
+    out = models.cluster_ols(_inference(spark, d), "l_suppkey", "y", ["l_quantity", "l_discount"], ["l_suppkey", "year"])
     return out.withColumns({"coef": F.round("coef", 6), "se": F.round("se", 6), "t": F.round("t", 4)})
 
 
-def _imputed(spark, d):
-    """The frame with a missing discount as the training median."""
-    f = _frame(spark, d)
-    m = exact_quantiles(f.filter("split = 'train'"), [], "l_discount", {"m": 0.5})
-    return f.join(F.broadcast(m)).withColumn("l_discount", F.coalesce("l_discount", "m")).drop("m")  # one row
+# All combinations of signs of the few clusters; the restricted model has the first column alone.
+_SIGNED = f"""{_inference_sql("n_regionkey")}, gi AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i FROM (SELECT DISTINCT g FROM bc)),
+dr AS (SELECT draw, g, CASE WHEN (draw >> i) & 1 = 1 THEN -1.0 ELSE 1.0 END AS w FROM gi, (SELECT unnest(range(CAST(2 ** (SELECT count(*) FROM gi) AS BIGINT))) AS draw)),
+cs AS (SELECT draw, bc.g, bc.t, bc.n, w, w * (bc.sy - iv.uy / iv.uu * bc.su) / bc.n AS r, w * (bc.uy - iv.uy / iv.uu * bc.uu) AS s0, w * (bc.vy - iv.uy / iv.uu * bc.uv) AS s1, bc.su, bc.sv, bc.uu, bc.uv, bc.vv FROM bc JOIN dr ON bc.g = dr.g, iv),
+rs AS (SELECT 0 AS it, draw, g, t, n, r FROM cs UNION ALL SELECT it + 1, draw, g, t, n, {_DEMEAN("r", "draw, t")} AS r FROM (SELECT it, draw, g, t, n, {_DEMEAN("r", "draw, g")} AS r FROM rs WHERE it < {_TURNS})),
+mv AS (SELECT draw, i00 * sum(s0) + i01 * sum(s1) AS d0, i01 * sum(s0) + i11 * sum(s1) AS d1 FROM cs, iv GROUP BY draw, i00, i01, i11),
+us AS (SELECT cs.draw, cs.g, any_value(d1) AS d1, sum(s0 - (cs.r - rs.r) * su - cs.uu * d0 - cs.uv * d1) AS e0, sum(s1 - (cs.r - rs.r) * sv - cs.uv * d0 - cs.vv * d1) AS e1
+  FROM cs JOIN rs ON cs.draw = rs.draw AND cs.g = rs.g AND cs.t = rs.t AND it = {_TURNS} JOIN mv ON cs.draw = mv.draw GROUP BY cs.draw, cs.g),
+ts AS (SELECT draw, any_value(d1) / sqrt(any_value(f) * sum((i01 * e0 + i11 * e1) ** 2)) AS t FROM us, iv GROUP BY draw)"""
+
+
+@query("inf_wild_bootstrap", f"WITH RECURSIVE {_SIGNED} SELECT round(max(t) FILTER (draw = 0), 4) AS t, round(avg(CAST(abs(t) >= (SELECT abs(t) FROM ts WHERE draw = 0) * (1 - 1e-9) AS INT)), 6) AS p, count(*) AS draws FROM ts")
+def _(spark, d):
+    out = models.wild_bootstrap(_inference(spark, d), "n_regionkey", "y", ["l_quantity", "l_discount"], "l_discount", level="year")
+    return out.select(F.round("t", 4).alias("t"), F.round("p", 6).alias("p"), "draws")
 
 
-@query("inf_wild_bootstrap")
+@query("inf_wild_bootstrap_suppliers")
 def _(spark, d):
-    return models.wild_bootstrap(_imputed(spark, d), "l_suppkey", "y", ["l_quantity", "l_discount"], "l_discount")
+    return models.wild_bootstrap(_inference(spark, d), "l_suppkey", "y", ["l_quantity", "l_discount"], "l_discount", level="year")

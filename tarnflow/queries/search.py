@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tarnflow.functions import text
-from tarnflow.operators import chunking, retrieval
+from tarnflow.operators import chunking, retrieval, sections
 from tarnflow.operators.windows import best_per_key
 from tarnflow.registry import query
 from tarnflow.session import scratch_dir
@@ -36,15 +36,37 @@ def _(spark, d):
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
-@query("se_bm25", f"""WITH q AS (SELECT DISTINCT item_id AS query, unnest({_TOK('text')}) AS term FROM benchmark WHERE item_id % 100 = 0), w AS (SELECT doc_id AS doc, unnest({_TOK('text')}) AS term FROM documents),
-tf AS (SELECT term, doc, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), len AS (SELECT doc_id AS doc, len({_TOK('text')}) AS len FROM documents), tot AS (SELECT count(*) AS n, avg(len) AS a FROM len),
-s AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM tf JOIN df USING (term) JOIN len USING (doc) JOIN q USING (term), tot GROUP BY 1, 2)
-SELECT query, doc, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""")
+_HEAD = "substr(split_part(text, chr(10), 1), 1, 80)"
+_RAW = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda t: t <> '')"
+_FIELD_WORDS = f"SELECT doc_id AS doc, 'title' AS field, {_TOK(_HEAD)} AS words FROM documents UNION ALL SELECT doc_id, 'content', {_TOK('text')} FROM documents UNION ALL SELECT doc_id, 'raw', {_RAW('text')} FROM documents"
+_FIELD_QUERIES = f"SELECT item_id AS query, f AS field, CASE WHEN f = 'raw' THEN {_RAW('text')} ELSE {_TOK('text')} END AS words FROM benchmark, (SELECT unnest(['title', 'content', 'raw']) AS f) WHERE item_id % 100 = 0"
+
+
+def _fields():
+    """A document's first line, its words, and its strings with all signs."""
+    head = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80)
+    return [retrieval.Field("title", head, 2.0), retrieval.Field("content", F.col("text")), retrieval.Field("raw", F.col("text"), 0.5, retrieval.raw_tokens)]
+
+
+@query("se_bm25", f"""WITH d AS ({_FIELD_WORDS}), q AS (SELECT DISTINCT query, field, unnest(words) AS term FROM ({_FIELD_QUERIES})),
+tf AS (SELECT doc, field, len, term, count(*) AS tf FROM (SELECT doc, field, len(words) AS len, unnest(words) AS term FROM d) GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY 1, 2), tot AS (SELECT field, count(*) AS n, avg(len(words)) AS a FROM d GROUP BY 1),
+s AS (SELECT query, doc, round(sum(CASE field WHEN 'title' THEN 2.0 WHEN 'raw' THEN 0.5 ELSE 1.0 END::DOUBLE * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM tf JOIN df USING (field, term) JOIN tot USING (field) JOIN q USING (field, term) GROUP BY 1, 2)
+SELECT query, doc, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank BETWEEN 6 AND 15""")
 def _(spark, d):
-    out = retrieval.bm25(table(spark, d, "benchmark").filter("item_id % 100 = 0"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+    q = table(spark, d, "benchmark").filter("item_id % 100 = 0")
+    out = retrieval.bm25_fields(q, table(spark, d, "documents"), "item_id", "text", "doc_id", _fields(), 10, offset=5)
     return out.select("query", "doc", F.col("rank").cast("long").alias("rank"))
 
 
+@query("se_phrase", f"""WITH d AS ({_FIELD_WORDS}), q AS (SELECT item_id AS query, f AS field, CASE WHEN f = 'raw' THEN {_RAW('phrase')} ELSE {_TOK('phrase')} END AS p FROM (SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS phrase FROM benchmark), (SELECT unnest(['title', 'content', 'raw']) AS f)),
+t AS (SELECT query, field, unnest(p) AS term, generate_subscripts(p, 1) AS idx, len(p) AS size FROM q), w AS (SELECT doc, field, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM d),
+h AS (SELECT query, field, doc, pos - idx AS hit FROM w JOIN t USING (field, term) GROUP BY query, field, doc, pos - idx, size HAVING count(*) = size)
+SELECT query, field, doc, count(*) AS n, CAST(min(hit) AS BIGINT) AS first FROM h GROUP BY query, field, doc""")
+def _(spark, d):
+    phrase = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    return retrieval.phrase_hits(table(spark, d, "benchmark").withColumn("phrase", phrase), table(spark, d, "documents"), "item_id", "phrase", "doc_id", _fields())
+
+
 _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 
 
@@ -165,12 +187,19 @@ def _(spark, d):
     return t.select("doc_id", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n"))).cast("long").alias("n_lines"), F.md5("t").alias("h"))
 
 
-@query("tx_page_offsets", "SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations")
-def _(spark, d):
-    from pyspark.sql import Window
+#: Spans of a conversation's whole text: how long they are, and how far apart they start.
+_SPAN, _STRIDE = 700, 450
+_PAGES = "pg AS (SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(text) + 2 AS size FROM conversations)"
 
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("long").alias("start"))
+
+@query("tx_page_offsets", f"""WITH {_PAGES}, sp AS (SELECT conv_id, s AS span_start, least(s + {_SPAN}, total) AS span_end FROM (SELECT conv_id, total, unnest(range(0, total, {_STRIDE})) AS s FROM (SELECT conv_id, CAST(sum(size) AS BIGINT) AS total FROM pg GROUP BY 1)))
+SELECT sp.*, (SELECT max(turn) FROM pg WHERE pg.conv_id = sp.conv_id AND pg.start <= span_start) AS page_first, (SELECT max(turn) FROM pg WHERE pg.conv_id = sp.conv_id AND pg.start <= span_end - 1) AS page_last FROM sp""")
+def _(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    total = turns.groupBy("conv_id").agg(F.sum(F.length("text") + 2).alias("total")).filter("total > 0")
+    spans = total.select("conv_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(_STRIDE).cast("long"))).alias("span_start"))
+    spans = spans.select("conv_id", "span_start", F.least(F.col("span_start") + _SPAN, "total").alias("span_end"))
+    return sections.locate_pages(spans, sections.page_starts(turns, "conv_id", "turn", "text"), "conv_id", "span_start", "span_end", "turn")
 
 
 _LEVELS = "CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END"
@@ -186,10 +215,35 @@ def _(spark, d):
     return chunking.toc_leaves(rows, "conv_id", "turn", "level", "title", 3).select("conv_id", "turn", "path")
 
 
-@query("tx_section_cut")
+# Contents tables of conversations: the first words of each turn as its title, one title that is nowhere, and the first turn's again at the end.
+_TITLE = r"^\s*((?:\S+\s+){0,3}\S+)"
+_CUT = rf"""pt AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, regexp_extract(text, '{_TITLE}', 1) AS title, regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || chr(10) AS t FROM conversations),
+fu AS (SELECT conv_id, string_agg(t, '' ORDER BY page) AS whole, max(turn) AS last FROM pt GROUP BY 1),
+wh AS (SELECT *, regexp_replace(whole, '\s+', '', 'g') AS plain, list_filter(range(1, length(whole) + 1), lambda i: NOT regexp_matches(whole[i], '\s')) AS places FROM fu),
+st AS (SELECT conv_id, page, CAST(coalesce(sum(length(t)) OVER (PARTITION BY conv_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(coalesce(sum(length(regexp_replace(t, '\s+', '', 'g'))) OVER (PARTITION BY conv_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS plain_start FROM pt),
+le AS (SELECT conv_id, pos, title, hint, regexp_replace(title, '\s+', '', 'g') AS key, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS i FROM (SELECT conv_id, 2 * turn AS pos, title, page AS hint FROM pt
+  UNION ALL SELECT conv_id, 1, 'no such title anywhere', 1 FROM fu UNION ALL SELECT fu.conv_id, 2 * last + 1, title, 1 FROM fu JOIN pt ON pt.conv_id = fu.conv_id AND page = 1)),
+ma AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS mark, CAST(NULL AS BIGINT) AS found, CAST(0 AS BIGINT) AS size FROM wh
+UNION ALL SELECT conv_id, i, CASE WHEN found IS NULL THEN mark ELSE found + size END, found, size FROM (SELECT ma.conv_id, le.i, ma.mark, length(key) AS size,
+  coalesce(CASE WHEN key <> '' AND strpos(plain[ma.mark + 1:], key) > 0 THEN ma.mark + strpos(plain[ma.mark + 1:], key) - 1 END, CASE WHEN key <> '' AND strpos(plain[plain_start + 1:], key) > 0 THEN plain_start + strpos(plain[plain_start + 1:], key) - 1 END) AS found
+  FROM ma JOIN le ON le.conv_id = ma.conv_id AND le.i = ma.i + 1 JOIN wh ON wh.conv_id = ma.conv_id JOIN st ON st.conv_id = ma.conv_id AND st.page = hint)),
+sx AS (SELECT ma.conv_id, ma.i, length(whole) AS n, whole, coalesce(places[found + 1] - 1, length(whole)) AS title_start, coalesce(places[found + size + 1] - 1, length(whole)) AS begins FROM ma JOIN wh ON wh.conv_id = ma.conv_id WHERE found IS NOT NULL),
+se AS (SELECT conv_id, i, whole, begins, coalesce(lead(title_start) OVER (PARTITION BY conv_id ORDER BY i), n) AS ends FROM sx),
+cu AS (SELECT conv_id, i, begins, ends, regexp_replace(regexp_replace(regexp_replace(CASE WHEN ends > begins THEN whole[begins + 1:ends] ELSE '' END, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM se)"""
+
+
+@query("tx_section_cut", rf"""WITH RECURSIVE {_CUT} SELECT cu.conv_id AS doc, pos, title AS path, (SELECT max(page) FROM st WHERE st.conv_id = cu.conv_id AND st.start <= begins) AS page_start, (SELECT max(page) FROM st WHERE st.conv_id = cu.conv_id AND st.start <= greatest(begins, ends - 1)) AS page_end,
+  length(text) AS n_chars, md5(text) AS h FROM cu JOIN le ON le.conv_id = cu.conv_id AND le.i = cu.i WHERE length(text) >= 30 AND length(regexp_replace(text, '\s+', '', 'g')) >= 20""")
 def _(spark, d):
-    s = chunking.page_sections(table(spark, d, "pages"), "page_id", "html")
-    return s.filter(F.length("content") >= 30).select("id", "pos", "heading", F.length("content").alias("n"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id")
+    turns = table(spark, d, "conversations").withColumns({"page": F.row_number().over(w.orderBy("turn")), "last": F.max("turn").over(w), "title": F.regexp_extract("text", _TITLE, 1)})
+    entry = lambda pos, title, hint: F.struct(pos.cast("long").alias("pos"), title.alias("title"), hint.alias("hint"))
+    own, none, again = entry(2 * F.col("turn"), F.col("title"), F.col("page")), entry(F.lit(1), F.lit("no such title anywhere"), F.lit(1)), entry(2 * F.col("last") + 1, F.col("title"), F.lit(1))
+    leaves = turns.select("conv_id", F.explode(F.when(F.col("page") == 1, F.array(own, none, again)).otherwise(F.array(own))).alias("x")).select("conv_id", "x.*")
+    out = sections.cut_sections(turns, leaves.withColumn("path", F.col("title")), "conv_id", "page", "text", "pos", "path", "title", "hint")
+    return out.select("doc", "pos", "path", "page_start", "page_end", F.length("text").alias("n_chars"), F.md5("text").alias("h"))
 
 
 @query("tx_table_markdown", "SELECT r_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -271,7 +325,7 @@ _SESSIONS = """WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OV
 SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM y GROUP BY user_id, s"""
 
 
-@query("st_session_append", _SESSIONS)
+@query("st_session_gaps", _SESSIONS)
 def _(spark, d):
     return sessions.batch_sessions(table(spark, d, "events"), "user_id", "ts").select("user_id", "start", "last", "n")
 
@@ -297,6 +351,49 @@ def _stream_folder(spark, d):
     return path
 
 
+# Commands of sessions from the events, twenty times as fast: clears, reads and messages.
+_FASTER = "make_timestamp(CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 20) AS BIGINT) + epoch_us(TIMESTAMP '2024-01-01'))"
+_REPLAY = f"""WITH c AS (SELECT user_id, event_id, {_FASTER} AS tm, CASE WHEN event_id % 29 = 0 THEN 'clear' WHEN event_id % 3 = 0 THEN 'read' ELSE 'append' END AS op, event_type || event_id AS content FROM events),
+l AS (SELECT *, max(CASE WHEN op = 'append' THEN tm END) OVER (PARTITION BY user_id ORDER BY tm, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+e AS (SELECT *, sum(CASE WHEN op = 'clear' OR epoch_us(tm) - epoch_us(before) >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY tm, event_id) AS epoch FROM l),
+h AS (SELECT *, count(*) FILTER (op = 'append') OVER w AS n, string_agg(content, ',' ORDER BY tm, event_id) FILTER (op = 'append') OVER w AS said FROM e WINDOW w AS (PARTITION BY user_id, epoch ORDER BY tm, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id, event_id, n, coalesce(said, '') AS said FROM h WHERE op = 'read'"""
+
+
+def _commands(spark, d):
+    """``session, seq, at, op, role, content`` from the events."""
+    from_start = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 20
+    at = F.timestamp_micros(F.floor(from_start) + F.unix_micros(F.lit("2024-01-01").cast("timestamp")))
+    op = F.when(F.col("event_id") % 29 == 0, "clear").when(F.col("event_id") % 3 == 0, "read").otherwise("append")
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), at.alias("at"), op.alias("op"), F.when(F.col("event_id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat("event_type", F.col("event_id").cast("string")).alias("content")
+    )
+
+
+def _said(reads):
+    return reads.select(F.col("session").alias("user_id"), F.col("seq").alias("event_id"), F.size("history").cast("long").alias("n"), F.array_join(F.transform("history", lambda m: m["content"]), ",").alias("said"))
+
+
+@query("st_session_append", _REPLAY)
+def _(spark, d):
+    return _said(sessions.replay_sessions(_commands(spark, d)))
+
+
+@query("st_session_state", _REPLAY)
+def _(spark, d):
+    """The same from a stream that takes a quarter of the time span after the other; a last command of nobody's lets the clock pass them all."""
+    commands, path = _commands(spark, d), _fresh(spark, "commands")
+    edges = commands.agg(F.min("at").alias("a"), F.max("at").alias("b")).head()
+    for k in range(4):
+        lo, hi = edges["a"] + (edges["b"] - edges["a"]) * k / 4, edges["a"] + (edges["b"] - edges["a"]) * (k + 1) / 4
+        commands.filter((F.col("at") >= lo) & ((F.col("at") < hi) | F.lit(k == 3))).coalesce(1).write.mode("append").parquet(path)
+    for days in (1, 2):
+        end = (-1, 0, edges["b"] + (edges["b"] - edges["a"]) * days, "read", None, None)
+        spark.createDataFrame([end], "session long, seq long, at timestamp, op string, role string, content string").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _said(sessions.run_to_table(sessions.session_state(stream), _fresh(spark, "reads"), _fresh(spark, "checkpoint")).filter("session >= 0"))
+
+
 @query("st_history_filter", "SELECT conv_id, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') AND length(trim(text)) > 0 GROUP BY 1")
 def _(spark, d):
     return sessions.history(table(spark, d, "conversations"), "conv_id", "turn", "role", "text").select("conv_id", F.col("n").cast("long").alias("n"))

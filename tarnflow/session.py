@@ -19,6 +19,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def safe_unions(spark: SparkSession) -> None:
+    """A union is shuffled before it is grouped, whatever its sides are partitioned by.
+
+    Spark 4.1 skips that shuffle where both sides have the same partitioning; when adaptive execution then merges the
+    partitions of the sides in different ways, one group comes out as several. Other versions don't know the setting.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from tarnflow.operators.windows import best_per_key
 
@@ -29,6 +30,105 @@ def batch_sessions(messages: DataFrame, key: str, ts: str, ttl_seconds: int = 18
     return numbered.groupBy(key, "__s").agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("n")).drop("__s")
 
 
+HISTORY = "array<struct<role: string, content: string, at: timestamp>>"
+
+
+def replay_sessions(commands: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
+    """What each read of a session's history gives: ``session, seq, at, history`` from a table of commands.
+
+    ``commands`` has ``session, seq, at, op, role, content``, in the order of ``at``, then ``seq``. ``append`` adds a message,
+    ``clear`` empties the history, ``read`` asks for it. A history whole expires ``ttl_seconds`` after its last message. Commands
+    without a session, time or known op are passed over.
+    """
+    rows = commands.filter("session is not null and at is not null and op in ('append', 'clear', 'read')")
+    w = Window.partitionBy("session").orderBy("at", "seq")
+    said = F.when(F.col("op") == "append", F.col("at"))
+    before = F.last(said, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__before", before)
+    over = (F.col("op") == "clear") | (F.unix_micros("at") - F.unix_micros("__before") >= ttl_seconds * 1_000_000)
+    rows = rows.withColumn("__epoch", F.sum(F.coalesce(over, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    same = Window.partitionBy("session", "__epoch").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    message = F.when(F.col("op") == "append", F.struct("role", "content", "at"))
+    rows = rows.withColumn("history", F.collect_list(message).over(same))
+    return rows.filter("op = 'read'").select("session", "seq", "at", F.col("history").cast(HISTORY).alias("history"))
+
+
+class _Sessions(StatefulProcessor):
+    """The state of one session: commands that wait for the clock, the messages, and when the last one came.
+
+    Commands are put aside until the watermark has passed them and then carried out in order, whatever the order of their
+    arrival; a timer empties the history when its time is up.
+    """
+
+    def __init__(self, ttl_micros: int):
+        self.ttl = ttl_micros
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, seq long, op string, role string, content string")
+        self.messages = handle.getListState("messages", "role string, content string, at long")
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        times = set()
+        for r in rows:
+            at = r["micros"]
+            self.waiting.appendValue((at, r["seq"], r["op"], r["role"], r["content"]))
+            times.add(at // 1000 + 1)
+        for t in times:
+            self.handle.registerTimer(t)
+        return iter(())
+
+    def _drop(self) -> None:
+        self.messages.clear()
+        self.last.clear()
+
+    def _expire(self, now: int) -> None:
+        if self.last.exists() and now - self.last.get()[0] >= self.ttl:
+            self._drop()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting = sorted(self.waiting.get(), key=lambda c: (c[0], c[1])) if self.waiting.exists() else []
+        for at, seq, op, role, content in (c for c in waiting if c[0] < now):
+            self._expire(at)
+            if op == "append":
+                self.messages.appendValue((role, content, at))
+                self.last.update((at,))
+                self.handle.registerTimer((at + self.ttl) // 1000 + 1)
+            elif op == "clear":
+                self._drop()
+            else:
+                held = [Row(role=m[0], content=m[1], at=m[2]) for m in self.messages.get()] if self.messages.exists() else []
+                yield Row(session=key[0], seq=seq, at=at, history=held)
+        rest = [c for c in waiting if c[0] >= now]
+        if len(rest) < len(waiting):
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        if not rest:
+            self._expire(now)
+
+    def close(self) -> None:
+        pass
+
+
+def session_state(commands: DataFrame, ttl_seconds: int = 1800, late: str = "10 minutes") -> DataFrame:
+    """``replay_sessions`` of a stream: each read comes out once the watermark (``late`` behind the latest command) has passed it.
+
+    Histories are keyed state in RocksDB and survive a restart from the checkpoint; those that expire leave it by a timer.
+    Commands later than ``late`` are passed over.
+    """
+    spark = commands.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = commands.filter("session is not null and at is not null and op in ('append', 'clear', 'read')")
+    kind = commands.schema["session"].dataType.simpleString()
+    keyed = rows.withColumn("micros", F.unix_micros("at")).withWatermark("at", late).groupBy("session")
+    out = keyed.transformWithState(_Sessions(ttl_seconds * 1_000_000), f"session {kind}, seq long, at long, history {HISTORY.replace('timestamp', 'long')}", "append", "eventTime")
+    message = lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), F.timestamp_micros(m["at"]).alias("at"))
+    return out.select("session", "seq", F.timestamp_micros("at").alias("at"), F.transform("history", message).alias("history"))
+
+
 def history(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """A conversation's non-empty messages by user and assistant, in order, as one array."""
     kept = turns.filter(F.col(role).isin("user", "assistant") & (F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0))

@@ -205,3 +205,20 @@ def test_inference_over_more_clusters_than_a_driver_should_hold(spark):
     row = models.wild_bootstrap(df, "id", "y", ["x"], "x", 199).head()
     assert np.isclose(row.t, t) and row.draws == 199
     assert abs(row.p - 2 * (1 - 0.5 * (1 + math.erf(abs(t) / math.sqrt(2))))) < 0.12
+
+
+def test_fields_have_their_own_statistics(spark):
+    docs = spark.createDataFrame([(1, "c++ guide", "the guide"), (2, "cats", "the c guide of cats cats"), (3, None, ""), (4, "guide", None)], "doc int, title string, body string")
+    fields = [retrieval.Field("title", F.col("title"), 2.0), retrieval.Field("body", F.col("body")), retrieval.Field("raw", F.concat_ws(" ", "title", "body"), 0.5, retrieval.raw_tokens)]
+    ask = lambda q, **kw: [(r.query, r.doc, r["rank"]) for r in retrieval.bm25_fields(spark.createDataFrame(q, "q int, text string"), docs, "q", "text", "doc", fields, **kw).orderBy("query", "rank").collect()]
+    assert ask([(1, "C++"), (2, "cats"), (3, ""), (4, None)]) == [(1, 1, 1), (2, 2, 1)]  # the signs count in the raw field alone
+    every = ask([(1, "guide")])
+    assert [d for _, d, _ in every] == [1, 4, 2] and ask([(1, "guide")], k=1, offset=1) == [(1, every[1][1], 2)]
+    assert ask([(1, "guide")], k=5, offset=3) == []
+
+
+def test_phrases_by_positions(spark):
+    docs = spark.createDataFrame([(1, "to be or not to be"), (2, "be to or to not be"), (3, None)], "doc int, body string")
+    fields = [retrieval.Field("body", F.col("body"))]
+    ask = lambda q: sorted(tuple(r) for r in retrieval.phrase_hits(spark.createDataFrame(q, "q int, text string"), docs, "q", "text", "doc", fields).collect())
+    assert ask([(1, "To be"), (2, "to be to"), (3, "not to be"), (4, "be"), (5, None)]) == [(1, "body", 1, 2, 0), (3, "body", 1, 1, 3), (4, "body", 1, 2, 1), (4, "body", 2, 2, 0)]
