@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.operators.windows import best_per_key
+from tarnflow.session import materialize
 
 
 def tokens(c: Column, least: int = 2) -> Column:
@@ -110,19 +112,125 @@ def phrase_hits(queries: DataFrame, docs: DataFrame, query_id: str, query_text:
     return whole.groupBy("query", "field", "doc").agg(F.count("*").alias("n"), F.min("at").cast("long").alias("first"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def vector_top_k(queries: DataFrame, vectors: DataFrame, query_id: str, id_col: str, vector_col: str, equal: str, k: int = 10, least: float = -1.0) -> DataFrame:
+    """``query, id, score, rank``: of the vectors that share a query's value of ``equal`` the ``k`` nearest others by cosine.
+
+    Vectors are brought to length 1 once; rows whose vector is null, zero or not finite are nobody's neighbours.
+    """
+    pick = lambda df, key: df.select(F.col(key).alias("id"), F.col(equal).alias("__e"), unit(F.col(vector_col)).alias("vector"))
+    return unit_top_k(pick(queries, query_id), pick(vectors, id_col), "__e", k, least, others=True)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, query_id: str, id_col: str, vector_col: str, equal: str, k: int = 10, least: float = -1.0) -> DataFrame:
-    """``query, id, score, rank``: of the vectors that share a query's value of ``equal`` the ``k`` nearest others by cosine."""
-    q = queries.select(F.col(query_id).alias("query"), F.col(equal).alias("__e"), F.col(vector_col).alias("__q"))
-    pairs = vectors.join(q, (vectors[equal] == F.col("__e")) & (vectors[id_col] != F.col("query")))
-    scored = pairs.select("query", F.col(id_col).alias("id"), F.round(cosine(F.col("__q"), F.col(vector_col)), 6).alias("score")).filter(F.col("score") >= least)
+def unit_top_k(queries: DataFrame, vectors: DataFrame, equal: str, k: int, least: float = -1.0, others: bool = False) -> DataFrame:
+    """``query, id, score, rank`` for two tables of ``id, vector`` (of length 1) and a column ``equal``; with ``others`` not the query's own id.
+
+    Each task keeps its own ``k`` best of a query before they meet.
+    """
+    q = queries.filter("vector is not null").select(F.col("id").alias("query"), F.col(equal).alias("__q_e"), F.col("vector").alias("__q"))
+    pairs = vectors.filter("vector is not null").join(q, F.col(equal) == F.col("__q_e"))
+    pairs = pairs.filter(F.col("id") != F.col("query")) if others else pairs
+    dot = F.aggregate(F.zip_with("__q", "vector", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    scored = pairs.select("query", "id", F.round(dot, 6).alias("score")).filter(F.col("score") >= least)
     return best_per_key(scored, ["query"], [F.col("score").desc(), F.col("id")], k, "rank")
 
 
+def unit(v: Column) -> Column:
+    """A vector as doubles of length 1; null where it is null, of length 0, or not finite."""
+    x = F.transform(v, lambda e: e.cast("double"))
+    size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e))
+    return F.when((size > 0) & (size < float("inf")), F.transform(x, lambda e: e / size))
+
+
+def hashed_vectors(
+    texts: DataFrame, id_col: str, text_col: str, df: DataFrame | None = None, total: int | None = None, query: bool = False, width: int = 64
+) -> tuple[DataFrame, DataFrame, int]:
+    """``id, vector``, and the document frequencies (``term, df``) and number of texts that they come from.
+
+    Without a trained model: a text's vector adds up its words' fixed vectors of ``width`` signs (the bits of a digest of the word),
+    weighted by how rare the word is among the passages, and is of length 1. A passage's words weigh by 1 + the logarithm of
+    their count; with ``query`` each different word weighs alike, and ``df`` and ``total`` must be those of the passages. Texts
+    without words have null.
+    """
+    if width % 4 or not 0 < width <= 128:
+        raise ValueError("width is a multiple of 4 up to 128")
+    words = texts.select(F.col(id_col).alias("id"), F.explode_outer(tokens(F.col(text_col))).alias("term"))
+    tf = words.groupBy("id", "term").agg(F.count("term").alias("tf"))
+    if df is None:
+        df, total = tf.filter("term is not null").groupBy("term").agg(F.count("*").alias("df")), texts.count()
+    idf = F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    weight = (F.lit(1.0) if query else 1 + F.log("tf")) * idf
+    weighted = tf.join(df, "term", "left").select("id", F.when(F.col("term").isNotNull(), weight).alias("w"), F.md5("term").alias("h"))
+    digits = [F.instr(F.lit("0123456789abcdef"), F.substring("h", k + 1, 1)) - 1 for k in range(width // 4)]
+    signs = [F.when(F.shiftright(digit, 3 - b).bitwiseAND(1) == 1, F.col("w")).otherwise(-F.col("w")) for digit in digits for b in range(4)]
+    sums = weighted.groupBy("id").agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"e{i}") for i, x in enumerate(signs)])
+    return sums.select("id", unit(F.array(*[f"e{i}" for i in range(width)])).alias("vector")), df, total
+
+
+def _buckets(v: Column, planes: np.ndarray) -> tuple[Column, Column]:
+    """The bucket of a unit vector (which side of each plane it lies on), and its distances from the planes."""
+    sides = F.array(*[F.aggregate(F.zip_with(v, F.array(*map(F.lit, map(float, p))), lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e) for p in planes])
+    bits = F.aggregate(F.transform(sides, lambda d, i: F.when(d >= 0, F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda s, e: s + e)
+    return bits, sides
+
+
+@dataclass(frozen=True)
+class PlaneIndex:
+    """Vectors in buckets by the sides of random planes: ``vectors`` has ``id, label, unit, bucket``, written once."""
+
+    vectors: DataFrame
+    planes: np.ndarray
+
+    def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """``query, id, score, rank`` for ``query, label, unit``: exact cosines with the vectors of the ``probes`` likeliest buckets.
+
+        A bucket is the likelier the nearer the query lies to the planes that part it from its own. Each task keeps its own ``k``
+        best of a query before anything is shuffled.
+        """
+        own, sides = _buckets(F.col("unit"), self.planes)
+        n = len(self.planes)
+        flips = F.transform(F.sequence(F.lit(0), F.lit((1 << n) - 1)), lambda m: F.struct(F.aggregate(F.transform(F.col("__sides"), lambda d, i: F.when(F.call_function("shiftright", m, i).bitwiseAND(1) == 1, d * d).otherwise(0.0)), F.lit(0.0), lambda s, e: s + e).alias("cost"), m.alias("flip")))
+        asked = queries.withColumns({"__own": own, "__sides": sides})
+        asked = asked.select("query", "label", F.col("unit").alias("__q"), "__own", F.explode(F.slice(F.sort_array(flips), 1, min(probes, 1 << n))).alias("__x"))
+        asked = asked.select("query", "label", "__q", F.col("__own").bitwiseXOR(F.col("__x.flip")).alias("bucket"))
+        pairs = self.vectors.join(asked, ["label", "bucket"]).filter(~F.col("id").eqNullSafe(F.col("query")))
+        dot = F.aggregate(F.zip_with("__q", "unit", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
+        scored = pairs.select("query", "id", F.round(dot, 6).alias("score"))
+        return best_per_key(scored, ["query"], [F.col("score").desc(), F.col("id")], k, "rank")
+
+
+def plane_index(vectors: DataFrame, id_col: str, vector_col: str, label: str, width: int, planes: int = 8, seed: int = 7) -> PlaneIndex:
+    """Index every row with a finite vector that is not zero: 2 ** ``planes`` buckets per label (at most 4,096)."""
+    if not 0 < planes <= 12:
+        raise ValueError("1 to 12 planes")
+    normals = np.random.default_rng(seed).standard_normal((planes, width))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label).alias("label"), unit(F.col(vector_col)).alias("unit")).filter("unit is not null and label is not null")
+    rows = rows.withColumn("bucket", _buckets(F.col("unit"), normals)[0])
+    return PlaneIndex(materialize(rows, "buckets"), normals)
+
+
+def indexed_top_k(queries: DataFrame, index: PlaneIndex, query_id: str, vector_col: str, label: str, k: int = 10, least_recall: float = 0.95, audited: int = 64) -> tuple[DataFrame, float, int]:
+    """The ``k`` nearest by cosine of the same label, the recall that the audit measured, and the number of buckets probed.
+
+    ``audited`` queries (those whose hashed ids come first) are compared with all vectors of their label; the probes are doubled until
+    at least ``least_recall`` of their true neighbours are found, by score, so that neighbours equally near count alike.
+    """
+    asked = queries.select(F.col(query_id).alias("query"), F.col(label).alias("label"), unit(F.col(vector_col)).alias("unit")).filter("unit is not null and label is not null")
+    asked = materialize(asked, "asked")
+    some = asked.orderBy(F.xxhash64("query"), "query").limit(audited)
+    all_buckets = 1 << len(index.planes)
+    truth = materialize(index.search(some, k, all_buckets), "truth")
+    worst = truth.groupBy("query").agg(F.min("score").alias("__worst"), F.count("*").alias("__k"))
+    probes = min(4, all_buckets)
+    while True:
+        found = index.search(some, k, probes).join(worst, "query").filter(F.col("score") >= F.col("__worst")).count()
+        wanted = truth.count()
+        recall = found / wanted if wanted else 1.0
+        if recall >= least_recall or probes >= all_buckets:
+            break
+        probes *= 2
+    return index.search(asked, k, probes), recall, probes
+
+
 def rerank(hits: DataFrame, share: str, score: str = "score", weight: float = 0.7) -> DataFrame:
     """Hits with a blend of their score and the share of query words that they hold."""
     return hits.withColumn("blend", F.round(weight * F.col(score) + (1 - weight) * F.col(share), 7))

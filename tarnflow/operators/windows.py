@@ -74,11 +74,12 @@ def average_rank(by: Sequence[Column], x: Column) -> Column:
 
 
 def _cut(df: DataFrame, by: Sequence[str], x: str, parts: int = 128) -> DataFrame:
-    """``df`` with ``__part``: which of about equal parts of its group a value lies in, by approximate quantiles of the group."""
+    """``df`` with ``__part``: which of about equal parts (a power of two) of its group a value lies in, by approximate quantiles of the group."""
     at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     cuts = df.groupBy(*[F.col(c).alias(f"__b_{c}") for c in by]).agg(F.percentile_approx(x, at, 10000).alias("__cuts"))
     on = [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in by]
-    part = F.size(F.filter("__cuts", lambda c: c < F.col(x)))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(parts.bit_length() - 1))])
+    part = F.aggregate(steps, F.lit(0), lambda i, s: i + F.when(F.get("__cuts", i + s - 1) < F.col(x), s).otherwise(0))  # how many cuts are less, by halving
     return df.join(cuts, on).withColumn("__part", part).drop("__cuts", *[f"__b_{c}" for c in by])
 
 
@@ -93,14 +94,24 @@ def value_ends(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     the group, added up within their part, and moved on by what the parts before hold.
     """
     counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__n"))
-    counts = _cut(counts, by, x)
+    out = cumulative_sums(counts, by, x, ["__n"])
+    return out.select(*by, x, "__n", F.col("__end___n").alias("__end"), F.col("__total___n").alias("__total"))
+
+
+def cumulative_sums(rows: DataFrame, by: Sequence[str], x: str, sums: Sequence[str]) -> DataFrame:
+    """``rows`` (one for each value of ``x`` in a group) with ``__end_<c>`` and ``__total_<c>`` for each of ``sums``: the sum up to this value, and that of the group.
+
+    Large groups are cut into parts of the values, so that no window runs over a whole group.
+    """
+    cut = _cut(rows, by, x)
     parts = Window.partitionBy(*by)  # a row for each part
     before = parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.groupBy(*by, "__part").agg(F.sum("__n").alias("__t")).withColumns({"__ahead": F.coalesce(F.sum("__t").over(before), F.lit(0)), "__total": F.sum("__t").over(parts)})
-    ahead = ahead.select(*[F.col(c).alias(f"__b_{c}") for c in (*by, "__part")], "__ahead", "__total")
-    both = counts.join(ahead, _same([*by, "__part"], "__b_"))
-    end = F.col("__ahead") + F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy(x))
-    return both.select(*by, x, "__n", end.alias("__end"), "__total")
+    ahead = cut.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    ahead = ahead.withColumns({f"__ahead_{c}": F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)) for c in sums} | {f"__total_{c}": F.sum(f"__t_{c}").over(parts) for c in sums})
+    ahead = ahead.select(*[F.col(c).alias(f"__b_{c}") for c in (*by, "__part")], *[f"__{k}_{c}" for c in sums for k in ("ahead", "total")])
+    within = Window.partitionBy(*by, "__part").orderBy(x)
+    both = cut.join(ahead, _same([*by, "__part"], "__b_")).withColumns({f"__end_{c}": F.col(f"__ahead_{c}") + F.sum(c).over(within) for c in sums})
+    return both.drop("__part", *[f"__ahead_{c}" for c in sums], *[f"__b_{c}" for c in (*by, "__part")])
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.functions import rules, text
-from tarnflow.operators import checks, features, joins, models, trees
+from tarnflow.operators import checks, features, joins, models, reports, trees
 from tarnflow.operators.windows import average_ranks, exact_quantiles, minus_group_median, percentile_rank, trailing_mean, trailing_z
 from tarnflow.queries.panel import ORDERS, USERS, orders, r, users
 from tarnflow.registry import query
@@ -303,28 +303,84 @@ def _(spark, d):
     return _metrics(models.fit_linear(f.filter("split = 'train'"), _Z, "y", 0.1).transform(f), ["split"], None)
 
 
+#: Values of y from which on a move is large.
+_LARGE = (50, 70)
+
+
 @query("ml_largemove")
 def _(spark, d):
+    """Logistic models with balanced class weights, one for each threshold, and their whole report by split."""
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    f, out = _frame(spark, d), None
+    for threshold in _LARGE:
+        rows = f.withColumn("large", (F.col("y") >= threshold).cast("double"))
+        n = rows.filter("split = 'train'").agg(F.count("*").alias("n"), F.sum("large").alias("k")).head()
+        rows = rows.withColumn("w", F.when(F.col("large") == 1, n["n"] / max(2 * n["k"], 1)).otherwise(n["n"] / max(2 * (n["n"] - n["k"]), 1)))
+        m = LogisticRegression(labelCol="large", featuresCol="features", weightCol="w", regParam=0.01).fit(rows.filter("split = 'train'"))
+        scored = m.transform(rows).select("split", "large", vector_to_array("probability")[1].alias("p"), F.lit(threshold).alias("threshold"))
+        out = scored if out is None else out.union(scored)
+    return reports.binary_report(out, ["threshold", "split"], "large", "p")
+
+
+# Scores of a linear model as probabilities in hundredths, so that many are equal.
+_CHANCE = f"SELECT split, y >= 50 AS large, round(1 / (1 + exp((50 - ({_SCORE})) / 10)), 2) AS p FROM fr, fit"
+_REPORT_PLACES = {c: 6 for c in ("base_rate", "majority", "accuracy", "balanced", "precision", "recall", "f1", "roc_auc", "pr_auc", "acc_at_50", "acc_at_30")}
+_CURVES = f"""sc AS ({_CHANCE}), v AS (SELECT split, p, count(*) AS n, count(*) FILTER (large) AS pos FROM sc GROUP BY 1, 2),
+cu AS (SELECT *, sum(n) OVER w AS en, sum(pos) OVER w AS ep, sum(n) OVER g AS tn, sum(pos) OVER g AS tp FROM v WINDOW w AS (PARTITION BY split ORDER BY p), g AS (PARTITION BY split)),
+ar AS (SELECT split, sum(pos * ((en - n - ep + pos) + (n - pos) / 2)) / (max(tp) * (max(tn) - max(tp))) AS roc_auc, sum(pos * ((tp - ep + pos) / (tn - en + n))) / max(tp) AS pr_auc FROM cu GROUP BY 1),
+fa AS (SELECT split, round(abs(p - 0.5), 12) AS far, count(*) AS n, count(*) FILTER ((p >= 0.5) = large) AS ok FROM sc GROUP BY 1, 2),
+fc AS (SELECT *, sum(n) OVER (PARTITION BY split ORDER BY far DESC) - n AS above, sum(n) OVER (PARTITION BY split) AS tn FROM fa),
+co AS (SELECT split, {", ".join(f"sum(ok * greatest(least(floor(tn * {c}) - above, n), 0) / n) / max(floor(tn * {c})) AS acc_at_{round(100 * c)}" for c in (0.5, 0.3))} FROM fc GROUP BY 1),
+ce AS (SELECT split, count(*) AS n, count(*) FILTER (large AND p >= 0.5) AS tp, count(*) FILTER (NOT large AND p >= 0.5) AS fp, count(*) FILTER (large AND p < 0.5) AS fn, count(*) FILTER (NOT large AND p < 0.5) AS tn FROM sc GROUP BY 1),
+me AS (SELECT *, (tp + fn) / n AS base_rate, greatest(tp + fn, tn + fp) / n AS majority, (tp + tn) / n AS accuracy, (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS balanced, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM ce)"""
+
+
+@query("ml_largemove_curves", f"WITH RECURSIVE {_FRAME}, {_fit((0.1, 0))}, {_CURVES} SELECT me.split, n, tp, fp, fn, tn, {', '.join(f'round({c}, {p}) AS {c}' for c, p in _REPORT_PLACES.items())} FROM me LEFT JOIN ar USING (split) LEFT JOIN co USING (split)")
+def _(spark, d):
+    f, m = _ridge(spark, d)
+    p = F.round(1 / (1 + F.exp((50 - m.score()) / 10)), 2)
+    out = reports.binary_report(f.select("split", (F.col("y") >= 50).alias("large"), p.alias("p")), ["split"], "large", "p")
+    return out.withColumns({c: F.round(c, p) for c, p in _REPORT_PLACES.items()})
 
-    f = _frame(spark, d).withColumn("large", (F.col("y") > 50).cast("double"))
-    m = LogisticRegression(labelCol="large", featuresCol="features", regParam=0.01).fit(f.filter("split = 'train'"))
-    hit = [F.count_if((F.col("large") == a) & (F.col("prediction") == b)) for a, b in ((1, 1), (0, 1), (1, 0), (0, 0))]
-    facts = m.transform(f).groupBy("split").agg(F.count("*").alias("n"), *[h.alias(c) for h, c in zip(hit, ("tp", "fp", "fn", "tn"), strict=True)])
-    rate = lambda a, b: F.try_divide(F.col(a), F.col(a) + F.col(b))
-    out = facts.withColumns({"accuracy": (F.col("tp") + F.col("tn")) / F.col("n"), "precision": rate("tp", "fp"), "recall": rate("tp", "fn"), "balanced": (rate("tp", "fn") + rate("tn", "fp")) / 2})
-    return out.withColumn("f1", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
+def _classes(y):
+    return F.when(y < 25, 0.0).when(y < 60, 1.0).otherwise(2.0)
 
-@query("ml_three_class")
-def _(spark, d):
+
+def _three_class(spark, d):
+    """Test rows as a multinomial model with balanced class weights predicts them."""
     from pyspark.ml.classification import LogisticRegression
 
-    f = _frame(spark, d).withColumn("cls", F.when(F.col("y") < 25, 0.0).when(F.col("y") < 60, 1.0).otherwise(2.0))
+    f = _frame(spark, d).withColumn("cls", _classes(F.col("y")))
     counts = f.filter("split = 'train'").groupBy("cls").agg(F.count("*").alias("k"))
-    weighted = f.join(F.broadcast(counts), "cls").withColumn("w", 1.0 / F.col("k"))  # three classes
+    weighted = f.join(F.broadcast(counts), "cls", "left").withColumn("w", 1.0 / F.coalesce("k", F.lit(1)))  # three classes
     m = LogisticRegression(labelCol="cls", featuresCol="features", weightCol="w", family="multinomial", regParam=0.01).fit(weighted.filter("split = 'train'"))
-    return m.transform(weighted).filter("split = 'test'").groupBy("cls").pivot("prediction", [0.0, 1.0, 2.0]).agg(F.count("split"))
+    return m.transform(weighted).filter("split = 'test'")
+
+
+@query("ml_three_class")
+def _(spark, d):
+    return reports.class_report(_three_class(spark, d), [], "cls", "prediction")
+
+
+@query("ml_three_class_matrix")
+def _(spark, d):
+    return _three_class(spark, d).groupBy("cls").pivot("prediction", [0.0, 1.0, 2.0]).agg(F.count("split"))
+
+
+_CLS = lambda v: f"CASE WHEN {v} < 25 THEN 0.0 WHEN {v} < 60 THEN 1.0 ELSE 2.0 END"
+
+
+@query("ml_class_report", f"""WITH RECURSIVE {_FRAME}, {_fit((0.1, 0))}, pr AS (SELECT split, {_CLS("y")} AS l, {_CLS("p")} AS p FROM (SELECT split, y, {_P} FROM fr, fit)),
+k AS (SELECT split, l AS class FROM pr UNION SELECT split, p FROM pr), c AS (SELECT k.split, class, count(*) FILTER (l = class) AS support, count(*) FILTER (p = class) AS predicted, count(*) FILTER (l = class AND p = class) AS hits FROM k JOIN pr USING (split) GROUP BY 1, 2),
+f AS (SELECT *, coalesce(hits / nullif(predicted, 0), 0) AS precision, coalesce(hits / nullif(support, 0), 0) AS recall, 2 * hits / (support + predicted) AS f1 FROM c)
+SELECT split, class, support, predicted, hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(sum(hits) OVER w / sum(support) OVER w, 6) AS accuracy, round(avg(f1) OVER w, 6) AS macro_f1 FROM f WINDOW w AS (PARTITION BY split)""")
+def _(spark, d):
+    f, m = _ridge(spark, d)
+    out = reports.class_report(m.transform(f, _PLACES).select("split", _classes(F.col("y")).alias("l"), _classes(F.col("prediction")).alias("p")), ["split"], "l", "p")
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy", "macro_f1")})
 
 
 _REGISTRY = '{"target":"y","features":["' + '","'.join(_FEATURES) + '"],"alpha":0.1}'

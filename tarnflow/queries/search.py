@@ -14,6 +14,7 @@ from tarnflow.session import scratch_dir
 from tarnflow.sources import files
 from tarnflow.sources.tables import table
 from tarnflow.streaming import sessions
+from tarnflow.streaming.changelog import ChangeLog
 
 _TOKENS = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 2)"
 _TOK = lambda c: _TOKENS.format(c=c)
@@ -77,10 +78,53 @@ def _(spark, d):
     return out.select("query", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("se_embed", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm FROM embeddings")
+@query("se_vector_index")
 def _(spark, d):
-    n = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return table(spark, d, "embeddings").select("vec_id", F.round(n, 4).alias("norm"))
+    """The neighbours of se_vector_topk by an index of buckets, probed until an audit finds 0.95 of the true ones."""
+    e = table(spark, d, "embeddings")
+    index = retrieval.plane_index(e, "vec_id", "embedding", "label", 64, 6)
+    out, _, _ = retrieval.indexed_top_k(e.filter("vec_id % 100 = 0"), index, "vec_id", "embedding", "label")
+    return out.select("query", "id", F.col("rank").cast("long").alias("rank"))
+
+
+_WIDTH = 64
+
+
+def _embed_sql(name: str, texts: str, is_query: bool) -> str:
+    """A table ``name`` of ``id, v``: hashed vectors of ``texts`` (id, text); ``pd`` and ``pn`` are the passages' document frequencies and number."""
+    signs = [f"sum(CASE WHEN (instr('0123456789abcdef', substr(h, {k + 1}, 1)) - 1) >> {3 - b} & 1 = 1 THEN w ELSE -w END)" for k in range(_WIDTH // 4) for b in range(4)]
+    weight = "1.0::DOUBLE" if is_query else "(1 + ln(tf))"
+    return f"""{name}0 AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_TOK('text')}) AS term FROM ({texts})) GROUP BY 1, 2),
+{name} AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT id, [{', '.join(signs)}] AS e FROM (SELECT id, md5(term) AS h, {weight} * (ln((pn + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1) AS w FROM {name}0 LEFT JOIN pd USING (term), (SELECT count(*) AS pn FROM documents)) GROUP BY id))"""
+
+
+_PASSAGES = _embed_sql("pv", "SELECT doc_id AS id, text FROM documents", False).replace("pv AS (", "pd AS (SELECT term, count(*) AS df FROM pv0 GROUP BY 1), pv AS (", 1)
+
+
+@query("se_embed", f"WITH {_PASSAGES} SELECT id AS doc_id, i AS dim, round(v[i], 5) + 0.0 AS value FROM pv, (SELECT unnest(range(1, {_WIDTH + 1})) AS i)")
+def _(spark, d):
+    """Vectors of passages, an entry a row."""
+    v, _, _ = retrieval.hashed_vectors(table(spark, d, "documents"), "doc_id", "text", width=_WIDTH)
+    each = v.filter("vector is not null").select(F.col("id").alias("doc_id"), F.posexplode("vector").alias("pos", "x"))
+    return each.select("doc_id", (F.col("pos") + 1).cast("long").alias("dim"), (F.round("x", 5) + 0.0).alias("value"))
+
+
+@query("se_semantic", f"""WITH {_PASSAGES}, {_embed_sql("qv", "SELECT item_id AS id, text FROM benchmark WHERE item_id % 100 = 0", True)},
+c AS (SELECT qv.id AS query, pv.id AS doc, round(list_dot_product(qv.v, pv.v), 6) AS score FROM qv, pv QUALIFY row_number() OVER (PARTITION BY qv.id ORDER BY round(list_dot_product(qv.v, pv.v), 6) DESC, pv.id) <= 30),
+w AS (SELECT item_id AS query, list_distinct({_TOK('text')}) AS w FROM benchmark),
+b AS (SELECT query, doc, round(0.7 * score + 0.3 * (len(list_intersect(w, {_TOK('text')})) / len(w)), 7) AS blend FROM c JOIN w USING (query) JOIN documents ON doc_id = doc)
+SELECT query, doc, blend, row_number() OVER (PARTITION BY query ORDER BY blend DESC, doc) AS rank FROM b QUALIFY rank <= 10""")
+def _(spark, d):
+    """Query forms against passage forms, the thirty nearest, then ranked again with the share of query words that they hold."""
+    q, docs = table(spark, d, "benchmark").filter("item_id % 100 = 0"), table(spark, d, "documents")
+    passages, df, n = retrieval.hashed_vectors(docs, "doc_id", "text", width=_WIDTH)
+    asked, _, _ = retrieval.hashed_vectors(q, "item_id", "text", df, n, query=True, width=_WIDTH)
+    one = F.lit(0).alias("label")
+    hits = retrieval.unit_top_k(asked.select("id", "vector", one), passages.select("id", "vector", one), "label", 30)
+    texts = hits.join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("doc_text")), "id").join(q.select(F.col("item_id").alias("query"), F.col("text").alias("query_text")), "query")
+    blended = retrieval.rerank(texts.withColumn("share", retrieval.keyword_share(F.col("query_text"), F.col("doc_text"))), "share")
+    out = best_per_key(blended.select("query", F.col("id").alias("doc"), "blend"), ["query"], [F.col("blend").desc(), F.col("doc")], 10, "rank")
+    return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("se_rerank", f"""WITH q AS (SELECT item_id AS query, list_distinct({_TOK('text')}) AS w FROM benchmark WHERE item_id % 100 = 0), qt AS (SELECT query, unnest(w) AS term FROM q),
@@ -107,10 +151,14 @@ def _(spark, d):
     return retrieval.substring_search(table(spark, d, "documents"), "doc_id", "text", "|")
 
 
-@query("se_get", "SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+@query("se_get", "SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def _(spark, d):
-    bad = table(spark, d, "labels").filter("quality = 0").select("doc_id")
-    return table(spark, d, "documents").join(bad, "doc_id", "left_semi").select("doc_id", F.md5("text").alias("h"))
+    """Texts by id from a change log, after others were deleted by id."""
+    docs, marks = table(spark, d, "documents").select("doc_id", "text", F.lit(0).alias("at")), table(spark, d, "labels")
+    log = ChangeLog(spark, _fresh(spark, "texts"), "doc_id", "at")
+    log.apply(docs.withColumn("deleted", F.lit(False)), 0)
+    log.delete(marks.filter("toxic = 1").select("doc_id", F.lit(1).alias("at")))
+    return log.get(marks.filter("quality = 0")).select("doc_id", F.md5("text").alias("h"))
 
 
 @query("se_keyword_search", "SELECT source, doc_id, s FROM (SELECT source, doc_id, CAST((length(text) - length(replace(text, 'License', ''))) + (length(text) - length(replace(text, 'with', ''))) AS BIGINT) AS s FROM documents) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY s DESC, doc_id) <= 5")
@@ -399,13 +447,26 @@ def _(spark, d):
     return sessions.history(table(spark, d, "conversations"), "conv_id", "turn", "role", "text").select("conv_id", F.col("n").cast("long").alias("n"))
 
 
-@query("st_ingest_upsert", "SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+@query("st_ingest_upsert", "SELECT user_id, event_id, value FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'")
+def _(spark, d):
+    """The latest event of each user from a stream of files into a change log; an error deletes its user until another event comes."""
+    source = _fresh(spark, "events")
+    table(spark, d, "events").repartition(8).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
+    log = ChangeLog(spark, _fresh(spark, "state"), "user_id", "at")
+    log.follow(stream.select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("at"), (F.col("event_type") == "error").alias("deleted")), _fresh(spark, "checkpoint"))
+    return log.read().select("user_id", "event_id", "value")
+
+
+@query("st_first_seen", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY ALL")
 def _(spark, d):
+    """Events of a source that sends each file twice, each event once."""
     source = _fresh(spark, "events")
-    table(spark, d, "events").write.parquet(source)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 4).parquet(source)
-    rows = stream.select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
-    return sessions.upsert_stream(rows, "user_id", "at", _fresh(spark, "state"), _fresh(spark, "checkpoint")).select("user_id", "event_id")
+    for _ in range(2):
+        table(spark, d, "events").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).withColumn("at", F.col("ts").cast("timestamp"))
+    out = sessions.run_to_table(sessions.first_seen(stream, "event_id", "at").select("user_id", "event_type"), _fresh(spark, "first"), _fresh(spark, "checkpoint"))
+    return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("src_csv_multi", "SELECT c_custkey, c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS code FROM customer")

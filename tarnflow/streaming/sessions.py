@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from tarnflow.operators.windows import best_per_key
-
 TTL = "30 minutes"
 
 
@@ -150,21 +148,6 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.read.parquet(path)
 
 
-def upsert_stream(rows: DataFrame, key: str, order: str, path: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what its source has now into a log of changes under ``path``, and give the latest row of each key.
-
-    Each batch writes its own keys' latest rows, under its number, so that one that runs again after a failure
-    replaces what it wrote; a restart goes on from the checkpoint and the log. Nothing is kept on the driver.
-    """
-
-    def put(batch: DataFrame, number: int) -> None:
-        best_per_key(batch, [key], [F.col(order).desc()]).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    q = rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return best_per_key(rows.sparkSession.read.parquet(path).drop("batch"), [key], [F.col(order).desc()])
-
-
 def first_seen(stream: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
     """Rows of a stream whose key did not come within the watermark before."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])

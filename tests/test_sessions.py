@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tarnflow.streaming import sessions
+from tarnflow.streaming.changelog import ChangeLog
 
 SCHEMA = "session string, seq long, at timestamp, op string, role string, content string"
 T0 = dt.datetime(2024, 5, 1, 12)
@@ -72,3 +73,83 @@ def test_stream_equals_replay_over_a_restart(spark, tmp_path):
     run([first])
     got = run([commands[150:220], commands[220:], end[:1], end[1:]])
     assert said(got.filter("session <> 'z'")) == plain(commands)
+
+
+CHANGES = "k int, at int, v string, deleted boolean"
+
+
+def live(changes):
+    """Key and value of the rows that stand after batches of changes."""
+    best = {}
+    for n, batch in enumerate(changes):
+        for k, at, v, gone in batch:
+            if k is not None and (k not in best or (at, n) >= best[k][:2]):
+                best[k] = (at, n, v, gone)
+    return sorted((k, v) for k, (_, _, v, gone) in best.items() if not gone)
+
+
+def batches():
+    rng, out, at = random.Random(2), [], 0
+    for n in range(7):
+        batch = {}
+        for _ in range(40 if n == 0 else 9):
+            at += 1
+            k = rng.randrange(60)
+            batch[k] = (k, at - rng.choice([0, 0, 30]), f"v{at}", rng.random() < 0.3)
+        out.append([*batch.values(), (None, 1, "no key", False)])
+    return out
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.select("k", "v").collect())
+
+
+def test_same_rows_with_and_without_compaction(spark, tmp_path):
+    logs = [ChangeLog(spark, str(tmp_path / n), "k", "at", share) for n, share in (("some", 0.25), ("none", 1e9), ("always", 0.0))]
+    every = batches()
+    for n, batch in enumerate(every):
+        for log in logs:
+            log.apply(spark.createDataFrame(batch, CHANGES), n)
+            assert rows(log.read()) == live(every[: n + 1])
+    some, none, always = ([v.base for v in log.versions()] for log in logs)
+    assert none[1:] == [0] * 6 and always == list(range(7)) and 0 < len(set(some)) < 7  # the first batch is always merged
+    for n in range(7):  # a reader of an older version goes on reading it
+        assert rows(logs[0].read(n)) == live(every[: n + 1])
+    assert logs[2].superseded() and not any("version=6" in p for p in logs[2].superseded())
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    log, every = ChangeLog(spark, str(tmp_path / "log"), "k", "at"), batches()
+    for n, batch in [*enumerate(every[:4]), (3, every[3]), *list(enumerate(every))[4:]]:
+        log.apply(spark.createDataFrame(batch, CHANGES), n)
+    assert rows(log.read()) == live(every)
+
+
+def test_follow_and_restart_between_compactions(spark, tmp_path):
+    source, check = str(tmp_path / "source"), str(tmp_path / "check")
+    every = batches()
+    for part in (every[:3], every[3:]):
+        for batch in part:
+            spark.createDataFrame(batch, CHANGES).coalesce(1).write.mode("append").parquet(source)
+        log = ChangeLog(spark, str(tmp_path / "state"), "k", "at")  # a new reader and writer each time
+        log.follow(spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(source), check)
+    assert rows(log.read()) == live(every) and len(log.versions()) == 7
+
+
+def test_get_and_delete_by_key(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path / "log"), "k", "at")
+    log.apply(spark.createDataFrame([(k, 1, f"v{k}", False) for k in range(6)], CHANGES), 0)
+    log.delete(spark.createDataFrame([(2, 5), (9, 5)], "k int, at int"))
+    keys = spark.createDataFrame([(1,), (1,), (2,), (7,), (None,)], "k int")
+    assert rows(log.get(keys)) == [(1, "v1")] and rows(log.get(keys, 0)) == [(1, "v1"), (2, "v2")]
+    log.apply(spark.createDataFrame([(2, 3, "older than its deletion", False), (9, 6, "later", False)], CHANGES), 2)
+    assert rows(log.read()) == [(k, f"v{k}") for k in (0, 1, 3, 4, 5)] + [(9, "later")]
+
+
+def test_change_log_without_rows(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path / "log"), "k", "at")
+    assert log.versions() == []
+    log.apply(spark.createDataFrame([], CHANGES), 0)
+    assert rows(log.read()) == []
+    log.apply(spark.createDataFrame([(1, 1, "a", False)], CHANGES), 1)
+    assert rows(log.read()) == [(1, "a")] and rows(log.read(0)) == []
