@@ -126,26 +126,6 @@ def value_leaks(df: DataFrame, label: str, columns: Sequence[str], limit: float
     return out.withColumn("leaky", F.col("by_name") | F.col("by_value"))
 
 
-#: Patterns whose places in a text tell of its intensity.
-INTENSITY = {
-    "words": r"[^\x20\t\r\n\f\x0B]+", "numbers": r"[0-9]+", "percents": r"[0-9]+(?:\.[0-9]+)?%", "years": r"(?:19|20)[0-9]{2}", "capitals": r"[A-Z]{2,}", "exclaims": r"!", "questions": r"\?",
-    "links": r"https?://", "mails": r"@", "commas": r",", "colons": r":", "brackets": r"\(",
-}
-
-
-def intensity(text: Column) -> dict[str, Column]:
-    """26 features of a text in lines, each different line once: lines, share of repeated ones, and for each pattern its places and places per 1,000 characters."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    once = F.array_distinct(lines)
-    total = lambda f: F.aggregate(once, F.lit(0).cast("long"), lambda s, x: s + f(x).cast("long"))
-    chars = total(F.length)
-    out = {"n_lines": F.size(once).cast("long"), "repeated": (F.size(lines) - F.size(once)) / F.size(lines)}
-    for name, pattern in INTENSITY.items():
-        n = total(lambda x, p=pattern: F.regexp_count(x, F.lit(p)))
-        out |= {f"n_{name}": n, f"{name}_per_1000": F.coalesce(F.try_divide(1000.0 * n, chars), F.lit(0.0))}
-    return out
-
-
 def data_dictionary(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     """``column, type, role, group, missing_rate, date_share, inferred`` of a table: schema and, from one pass over all rows, how often a value is missing or reads as a date.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.functions import rules, text
-from tarnflow.operators import checks, features, joins, models, reports, trees
+from tarnflow.operators import checks, features, intensity, joins, models, reports, trees
 from tarnflow.operators.windows import average_ranks, exact_quantiles, minus_group_median, percentile_rank, trailing_mean, trailing_z
 from tarnflow.queries.panel import ORDERS, USERS, orders, r, users
 from tarnflow.registry import query
@@ -28,17 +28,47 @@ def _(spark, d):
     return out.select("o_orderkey", F.round(text.safe_ratio(F.col("v"), F.col("q")), 6).alias("price"), F.col("days_since").cast("long").alias("days_since"))
 
 
+#: Announcements made of orders' figures: title, summary (the title again for odd orders) and sample.
+_ANNOUNCED = {
+    "title": """CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN concat('预增 预计净利润', CAST(floor(o_totalprice / 100) AS BIGINT), '-', CAST(floor(o_totalprice / 50) AS BIGINT), '万')
+      WHEN '2' THEN concat('首亏 预计净利润-', CAST(floor(o_totalprice / 50) AS BIGINT), '~-', CAST(floor(o_totalprice / 100) AS BIGINT), CASE WHEN o_custkey % 3 = 0 THEN '' ELSE '万' END)
+      WHEN '3' THEN concat('关于回购公司股份的公告 占比 2.5% 至 ', o_custkey % 7, '%') WHEN '4' THEN concat('收到问询函 金额 ', CAST(floor(o_totalprice) AS BIGINT), '元, 下降 ', o_custkey % 50, ' %') ELSE '新产品发布' END""",
+    "sample": "CASE WHEN o_orderstatus = 'F' THEN '盈利 增长 增长' WHEN o_orderstatus = 'O' THEN NULL ELSE '风险' END",
+    "summary": "CASE WHEN o_orderkey % 2 = 0 THEN concat('公司拟投入, 金额不低于', o_custkey % 9 + 1, '亿元且不超过', o_custkey % 9 + 2, '.5亿元。') END",
+    "size": "CASE WHEN o_custkey % 11 = 0 THEN 0 ELSE o_totalprice / 1000 END",
+}
+
+
 def _intensity_sql() -> str:
-    total = lambda p: f"CAST(list_sum(list_transform(u, lambda x: len(regexp_extract_all(x, '{p}')))) AS BIGINT)"
-    parts = [f"{total(p)} AS n_{n}, round(coalesce(1000.0 * {total(p)} / nullif(c, 0), 0), 6) AS {n}_per_1000" for n, p in features.INTENSITY.items()]
-    lines = "SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, list_distinct(string_split(coalesce(text, ''), chr(10))) AS u FROM documents"
-    return f"SELECT doc_id, CAST(len(u) AS BIGINT) AS n_lines, round((len(l) - len(u)) / len(l), 6) AS repeated, {', '.join(parts)} FROM (SELECT *, list_sum(list_transform(u, lambda x: length(x))) AS c FROM ({lines}))"
+    flag = lambda words: "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+    count = lambda words: "(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words) + ")::DOUBLE"
+    scale = lambda u: "CASE " + u + " " + " ".join(f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in intensity.UNITS.items()) + " END"
+    money = rf"(?:^|[^\d])({intensity.NUMBER})\s*({intensity.UNIT})"
+    number = lambda k: f"TRY_CAST(nullif(regexp_extract(t, '{intensity.PROFIT}', {k}), '') AS DOUBLE)"
+    ratio = lambda a: f"{a} / nullif(size, 0)"
+    facts = {
+        "money_count": "len(m)::DOUBLE", "money_max": "list_max(m)", "money_sum": "list_sum(m)", "money_max_to_size": ratio("list_max(m)"),
+        "percent_count": "len(p)::DOUBLE", "percent_max": "list_max(list_transform(p, lambda x: abs(x)))", "percent_mean": "list_avg(p)",
+        "profit_direction": f"CASE WHEN {flag(intensity.SURE_UP)} THEN 1 WHEN {flag(intensity.SURE_DOWN)} THEN -1 WHEN {flag(intensity.UP)} AND NOT {flag(intensity.DOWN)} THEN 1 WHEN {flag(intensity.DOWN)} AND NOT {flag(intensity.UP)} THEN -1 ELSE 0 END::DOUBLE",
+        "profit_low": "least(a * s, b * s)", "profit_high": "greatest(a * s, b * s)", "profit_mid": "(a * s + b * s) / 2", "profit_mid_to_size": ratio("((a * s + b * s) / 2)"),
+    }
+    facts = {k: f"round({v}, 6)" for k, v in facts.items()}
+    facts |= {f"is_{n}": f"CAST({flag(w)} AS INT)" for n, w in intensity.TOPICS.items()} | {"positive_words": count(intensity.POSITIVE), "negative_words": count(intensity.NEGATIVE)}
+    return f"""WITH o AS (SELECT o_orderkey, {", ".join(f"{v} AS {k}" for k, v in _ANNOUNCED.items())} FROM orders),
+x AS (SELECT o_orderkey, size, concat_ws(' ', title, coalesce(summary, CASE WHEN o_orderkey % 4 = 1 THEN NULL END), sample) AS t FROM o),
+y AS (SELECT *, list_transform(list_zip(regexp_extract_all(t, '{money}', 1), regexp_extract_all(t, '{money}', 2)), lambda z: z[1]::DOUBLE * {scale("z[2]")}) AS m, list_transform(regexp_extract_all(t, '{intensity.PERCENT}', 1), lambda n: n::DOUBLE / 100) AS p,
+  {number(1)} AS a, {number(2)} AS b, nullif(regexp_extract(t, '{intensity.PROFIT}', 3), '') AS u FROM x),
+z AS (SELECT *, {scale("coalesce(u, CASE WHEN greatest(abs(a), abs(b)) > 1000 THEN '万' ELSE '亿' END)")} AS s FROM y)
+SELECT o_orderkey, {", ".join(f"{v} AS {k}" for k, v in facts.items())} FROM z"""
 
 
 @query("ft_intensity", _intensity_sql())
 def _(spark, d):
-    found = features.intensity(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", *[(c if n.startswith("n_") else F.round(c, 6)).alias(n) for n, c in found.items()])
+    """Odd orders of every other kind repeat their title as their summary: it counts once."""
+    rows = table(spark, d, "orders").select("o_orderkey", *[F.expr(v).alias(k) for k, v in _ANNOUNCED.items()])
+    rows = rows.withColumn("summary", F.coalesce("summary", F.when(F.col("o_orderkey") % 4 == 1, F.col("title"))))
+    out = intensity.event_intensity(rows, ["title", "summary", "sample"], "size").drop(*_ANNOUNCED)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @query("ft_earnings_surprise", "WITH q AS (SELECT o_custkey AS k, date_trunc('quarter', o_orderdate)::DATE AS p, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT k, p, round(CASE WHEN count(v) OVER w >= 2 THEN v - avg(v) OVER w END, 6) AS surprise FROM q WINDOW w AS (PARTITION BY k ORDER BY p ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)")

@@ -239,12 +239,6 @@ def _(spark, d):
     return pairs.groupBy("l_orderkey", "l_linenumber").agg(F.sum("c").alias("n"), F.min(F.abs("gap_days")).cast("long").alias("nearest"))
 
 
-@query("join_symbol_chunks", """SELECT d.source, count(*) AS n, count(l.doc_id) AS n_labelled FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
-def _(spark, d):
-    both = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id", "left")
-    return both.groupBy("source").agg(F.count("*").alias("n"), F.count("quality").alias("n_labelled"))
-
-
 @query("join_semi_existing", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")

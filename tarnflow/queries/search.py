@@ -168,18 +168,6 @@ def _(spark, d):
     return best_per_key(scored, ["source"], [F.col("s").desc(), F.col("doc_id")], 5)
 
 
-@query("se_rule_evidence", "WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS p FROM orders) SELECT a.o_orderkey, max(CASE WHEN b.p = a.p AND b.d = a.d THEN 1000 WHEN b.p = a.p THEN 500 ELSE 100 END) AS score, count(*) AS n FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND b.d BETWEEN a.d - 3 AND a.d + 3 GROUP BY 1")
-def _(spark, d):
-    from tarnflow.operators.joins import range_pairs
-    from tarnflow.queries.panel import orders
-
-    o = orders(spark, d)
-    pairs = range_pairs(o, o, "o_custkey", "d", "d", -3, 3).filter("o_orderkey <> o_orderkey_right")
-    same = F.col("o_orderpriority") == F.col("o_orderpriority_right")
-    score = F.when(same & (F.col("gap_days") == 0), 1000).when(same, 500).otherwise(100)
-    return pairs.groupBy("o_orderkey").agg(F.max(score).alias("score"), F.count("*").alias("n"))
-
-
 @query("top_rule_match", "WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT a.o_orderkey, b.o_orderkey AS other FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND b.d BETWEEN a.d - 30 AND a.d + 30 QUALIFY row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(date_diff('day', a.d, b.d)), b.o_orderkey) = 1")
 def _(spark, d):
     from tarnflow.operators.joins import range_pairs
@@ -190,12 +178,6 @@ def _(spark, d):
     return best_per_key(pairs, ["o_orderkey"], [F.abs("gap_days"), F.col("o_orderkey_right")]).select("o_orderkey", F.col("o_orderkey_right").alias("other"))
 
 
-@query("se_evidence_gaps", "SELECT source, count(*) FILTER (l.doc_id IS NULL) AS gaps, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
-def _(spark, d):
-    both = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id", "left")
-    return both.groupBy("source").agg(F.count_if(F.col("quality").isNull()).alias("gaps"), F.count("*").alias("n"))
-
-
 @query("tx_html_extract", "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) <> '' AS has_title, CAST(1 + len(regexp_extract_all(html, '<h[23][ >]')) AS BIGINT) AS n_sections FROM pages")
 def _(spark, d):
     s = chunking.page_sections(table(spark, d, "pages"), "page_id", "html")

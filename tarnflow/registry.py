@@ -24,4 +24,4 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-from tarnflow.queries import modelling, panel, rollups, scalars, search  # noqa: E402, F401  each registers its queries
+from tarnflow.queries import evidence, modelling, panel, rollups, scalars, search  # noqa: E402, F401  each registers its queries
