@@ -11,6 +11,7 @@ from tarnflow.functions.text import safe_ratio
 from tarnflow.operators.checks import LEAKY
 from tarnflow.operators.joins import align_forward, asof_backward, nearest_in_range
 from tarnflow.operators.windows import average_ranks, end_value, event_sums, exact_quantiles, peer_mean_ex_self, pre_value
+from tarnflow.session import materialize
 
 
 def daily_panel(rows: DataFrame, key: str, ts: str, value: str) -> DataFrame:
@@ -85,6 +86,53 @@ def yoy(df: DataFrame, key: str, period: str, x: str, slack: int = 20) -> DataFr
     return out.withColumn("yoy", safe_ratio(F.col(x) - F.col("base_value"), F.abs("base_value")))
 
 
+def normalized(df: DataFrame, key: str, date: str, row: str, columns: Sequence[str], least_values: int = 6, least_before: int = 3, least_group: int = 4) -> DataFrame:
+    """``row, feature, selfz, yoy, xsrank, xsdemed``: each column against its own past, the year before, and others of the quarter.
+
+    Columns with fewer than ``least_values`` different values are flags and are left out. ``selfz``: distance from the mean of the key's
+    rows before, in their standard deviations, from ``least_before`` values on. ``yoy``: change over its size from the key's value
+    nearest to 365 days before (300 to 420, the earlier of two as near, the first row of a day). ``xsrank, xsdemed``: percentile rank in the quarter and
+    distance from its median, where it has ``least_group`` values. All columns go through as one table of long form; ``row`` is unique.
+    """
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).head()
+    wide = [c for c in columns if counts[c] >= least_values]
+    long = df.select(F.col(row).alias("row"), F.col(key).alias("key"), F.to_date(date).alias("date"), *[F.col(c).cast("double").alias(c) for c in wide])
+    if not wide:
+        return long.select("row", F.lit("").alias("feature"), *[F.lit(0.0).alias(c) for c in ("selfz", "yoy", "xsrank", "xsdemed")]).limit(0)
+    long = long.unpivot(["row", "key", "date"], wide, "feature", "value").withColumn("quarter", F.date_trunc("quarter", "date"))
+    long = long.withColumn("__k", F.struct("key", "feature"))
+    before = Window.partitionBy("key", "feature").orderBy("date", "row").rowsBetween(Window.unboundedPreceding, -1)
+    z = F.try_divide(F.col("value") - F.avg("value").over(before), F.nullif(F.stddev_samp("value").over(before), F.lit(0.0)))
+    out = materialize(long.withColumn("selfz", F.when(F.count("value").over(before) >= least_before, z)), "long")
+    known = out.filter("value is not null and date is not null").select("__k", "row", "date", "value")
+    prior = known.groupBy("__k", F.col("date").alias("past")).agg(F.min_by("value", "row").alias("prior"))
+    past = nearest_in_range(known, prior, "__k", ["__k", "row"], "date", "past", -420, -300, -365)
+    past = past.select("row", F.col("__k.feature").alias("feature"), F.try_divide(F.col("value") - F.col("prior"), F.abs("prior") + 1e-9).alias("yoy"))
+    sizes = out.groupBy("feature", "quarter").agg(F.count("value").alias("__n"))
+    ranked = average_ranks(out, ["feature", "quarter"], "value", "__rank").join(exact_quantiles(out, ["feature", "quarter"], "value", {"__m": 0.5}), ["feature", "quarter"], "left").join(sizes, ["feature", "quarter"], "left")
+    enough = F.col("__n") >= least_group
+    ranked = ranked.withColumns({"xsrank": F.when(enough, F.col("__rank") / F.col("__n")), "xsdemed": F.when(enough, F.col("value") - F.col("__m"))})
+    return ranked.join(past, ["row", "feature"], "left").select("row", "feature", "selfz", "yoy", "xsrank", "xsdemed")
+
+
+def latest_statements(left: DataFrame, statements: dict[str, DataFrame], key: str, date: str, announced: str = "announced", end: str = "end") -> DataFrame:
+    """``left`` with each statement's latest row announced by its date: columns ``<name>_<column>``, among them ``<name>_end``, the end of its period.
+
+    All statements and the left rows are one table, sorted once per key; each statement's last row seen is carried on. Of rows
+    announced on one day that of the latest period wins. A left row without a date, or before the first statement, has nulls.
+    """
+    kinds = {n: F.struct(*[F.col(c) for c in s.columns if c not in (key, announced)]) for n, s in statements.items()}
+    both = left.select(F.col(key).alias("__k"), F.col(date).alias("__d"), F.struct("*").alias("__row"))
+    for name, s in statements.items():
+        part = s.filter(F.col(announced).isNotNull()).select(F.col(key).alias("__k"), F.col(announced).alias("__d"), kinds[name].alias(f"__{name}"), F.col(end).alias("__end"))
+        both = both.unionByName(part, allowMissingColumns=True)
+    order = [F.asc_nulls_first("__d"), F.col("__row").isNotNull().cast("int"), F.asc_nulls_first("__end")]
+    w = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumns({f"__{n}": F.last(f"__{n}", ignorenulls=True).over(w) for n in statements}).filter("__row is not null")
+    names = [(n, c) for n, s in statements.items() for c in s.columns if c not in (key, announced)]
+    return out.select("__row.*", *[F.col(f"__{n}.{c}").alias(f"{n}_{c}") for n, c in names])
+
+
 def rank_correlation(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3, out: str = "ic", x_rank: str | None = None) -> DataFrame:
     """Spearman correlation per group over rows with both values (0 where one is constant), and their number. ``x_rank`` names ranks of ``x`` among these rows, if known."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())

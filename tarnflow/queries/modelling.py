@@ -6,26 +6,46 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import rules, text
 from tarnflow.operators import checks, features, intensity, joins, models, reports, trees
-from tarnflow.operators.windows import average_ranks, exact_quantiles, minus_group_median, percentile_rank, trailing_mean, trailing_z
+from tarnflow.operators.windows import average_ranks, exact_quantiles, trailing_mean
 from tarnflow.queries.panel import ORDERS, USERS, orders, r, users
 from tarnflow.registry import query
 from tarnflow.session import materialize
 from tarnflow.sources.tables import table
 
-_LINES = """sh AS (SELECT o_custkey AS k, CAST(l_shipdate AS DATE) AS sd, sum(l_extendedprice) AS v, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
+#: Statements of a customer's quarter: how many days after its end each is announced, and its columns over the quarter's lines.
+_STATEMENTS = {
+    "fin": (30, {"margin": "avg(l_discount)", "tax": "avg(l_tax)"}),
+    "inc": (35, {"revenue": "sum(l_extendedprice)", "income": "sum(l_extendedprice * l_discount)"}),
+    "bal": (40, {"assets": "sum(l_quantity)", "liabilities": "sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END)", "current": "sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END)", "due": "sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END)"}),
+    "cf": (45, {"operating": "sum(l_extendedprice * l_tax)"}),
+}
+_RATIOS = {"liability_to_assets": ("bal_liabilities", "bal_assets"), "current_ratio": ("bal_current", "bal_due"), "cash_to_assets": ("cf_operating", "bal_assets"), "net_margin": ("inc_income", "inc_revenue")}
 
 
-def _shipments(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    both = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.groupBy(F.col("o_custkey").alias("k"), F.to_date("l_shipdate").alias("sd")).agg(F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("q"))
+def _financial_sql() -> str:
+    tables = ", ".join(
+        f"{n} AS (SELECT o_custkey AS k, CAST(date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS fin, CAST(date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) + {days} AS ann, {', '.join(f'{v} AS {c}' for c, v in columns.items())} FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"
+        for n, (days, columns) in _STATEMENTS.items()
+    )
+    columns = [f"round({n}.{c}, 6) AS {n}_{c}" for n, (_, names) in _STATEMENTS.items() for c in names]
+    ratios = [f"round({a.replace('_', '.', 1)} / nullif({b.replace('_', '.', 1)}, 0), 6) AS {r}" for r, (a, b) in _RATIOS.items()]
+    joined = " ".join(f"ASOF LEFT JOIN {n} ON ord.o_custkey = {n}.k AND ord.d >= {n}.ann" for n in _STATEMENTS)
+    days = ", ".join(f"date_diff('day', {n}.fin, d) AS {n}_days_since" for n in _STATEMENTS)
+    return f"WITH {ORDERS}, {tables} SELECT o_orderkey, {', '.join([*columns, *ratios])}, {days} FROM ord {joined}"
 
 
-@query("ft_financial", f"WITH {ORDERS}, {_LINES} SELECT o_orderkey, round(s.v / nullif(s.q, 0), 6) AS price, date_diff('day', s.sd, d) AS days_since FROM ord ASOF LEFT JOIN sh s ON ord.o_custkey = s.k AND ord.d >= s.sd")
+@query("ft_financial", _financial_sql())
 def _(spark, d):
-    s = _shipments(spark, d).withColumnRenamed("k", "o_custkey")
-    out = joins.asof_backward(orders(spark, d), s, "o_custkey", "d", "sd", ["v", "q"])
-    return out.select("o_orderkey", F.round(text.safe_ratio(F.col("v"), F.col("q")), 6).alias("price"), F.col("days_since").cast("long").alias("days_since"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    end = F.last_day(F.add_months(F.to_date(F.date_trunc("quarter", "l_shipdate")), 2)).alias("end")
+    every = {c: F.expr(v) for _, columns in _STATEMENTS.values() for c, v in columns.items()}
+    sums = lines.groupBy("o_custkey", end).agg(*[v.alias(c) for c, v in every.items()])  # one aggregation for all statements
+    statements = {n: sums.select("o_custkey", "end", F.date_add("end", days).alias("announced"), *columns) for n, (days, columns) in _STATEMENTS.items()}
+    out = features.latest_statements(orders(spark, d), statements, "o_custkey", "d")
+    columns = [F.round(f"{n}_{c}", 6).alias(f"{n}_{c}") for n, (_, names) in _STATEMENTS.items() for c in names]
+    ratios = [F.round(text.safe_ratio(F.col(a), F.col(b)), 6).alias(r) for r, (a, b) in _RATIOS.items()]
+    return out.select("o_orderkey", *columns, *ratios, *[F.datediff("d", f"{n}_end").cast("long").alias(f"{n}_days_since") for n in _STATEMENTS])
 
 
 #: Announcements made of orders' figures: title, summary (the title again for odd orders) and sample.
@@ -78,11 +98,21 @@ def _(spark, d):
     return out.select("k", "p", F.round(F.col("v") - F.col("trail_mean"), 6).alias("surprise"))
 
 
-@query("ft_normalized", f"WITH {USERS} SELECT code, dt, round(CASE WHEN count(value) OVER w >= 3 THEN (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) END, 4) AS selfz, round((rank() OVER (PARTITION BY dt ORDER BY value) + (count(*) OVER (PARTITION BY dt, value) - 1) / 2.0) / count(*) OVER (PARTITION BY dt), 6) AS xsrank, round(value - median(value) OVER (PARTITION BY dt), 4) AS xsdemed FROM users WINDOW w AS (PARTITION BY code ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+_NORMAL = """x AS (SELECT o_orderkey AS row, o_custkey AS key, CAST(o_orderdate AS DATE) AS date, date_trunc('quarter', o_orderdate) AS q, 'o_totalprice' AS feature, o_totalprice AS v FROM orders
+UNION ALL SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE), date_trunc('quarter', o_orderdate), 'cents', CASE WHEN o_orderkey % 5 > 0 THEN CAST(floor(o_totalprice * 100) % 100 AS DOUBLE) END FROM orders),
+y AS (SELECT a.row, a.feature, (a.v - b.v) / (abs(b.v) + 1e-9) AS yoy FROM x a JOIN x b ON a.key = b.key AND a.feature = b.feature AND b.date BETWEEN a.date - 420 AND a.date - 300 WHERE a.v IS NOT NULL AND b.v IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY a.row, a.feature ORDER BY abs(date_diff('day', a.date, b.date) + 365), b.date, b.row) = 1),
+n AS (SELECT *, CASE WHEN count(v) OVER p >= 3 THEN (v - avg(v) OVER p) / nullif(stddev_samp(v) OVER p, 0) END AS selfz, count(v) OVER g AS k,
+  CASE WHEN v IS NOT NULL THEN (rank() OVER (PARTITION BY feature, q, v IS NULL ORDER BY v) + (count(*) OVER (PARTITION BY feature, q, v) - 1) / 2.0) END AS r, v - median(v) OVER g AS m FROM x
+  WINDOW p AS (PARTITION BY key, feature ORDER BY date, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g AS (PARTITION BY feature, q))"""
+
+
+@query("ft_normalized", f"WITH {_NORMAL} SELECT row, feature, round(selfz, 4) AS selfz, round(yoy, 4) AS yoy, round(CASE WHEN k >= 4 THEN r / k END, 6) AS xsrank, round(CASE WHEN k >= 4 THEN m END, 4) AS xsdemed FROM n LEFT JOIN y USING (row, feature)")
 def _(spark, d):
-    out = trailing_z(users(spark, d), "code", "dt", "value", out="selfz")
-    out = minus_group_median(percentile_rank(out, ["dt"], "value", 1, "xsrank"), ["dt"], "value", "xsdemed")
-    return out.select("code", "dt", r("selfz"), r("xsrank", 6), r("xsdemed"))
+    """Prices, their cents (missing for every fifth order), and a flag, which is left out."""
+    o = table(spark, d, "orders").withColumn("cents", F.when(F.col("o_orderkey") % 5 > 0, F.floor(F.col("o_totalprice") * 100) % 100)).withColumn("urgent", (F.col("o_orderpriority") == "1-URGENT").cast("int"))
+    out = features.normalized(o, "o_custkey", "o_orderdate", "o_orderkey", ["o_totalprice", "cents", "urgent"])
+    return out.select("row", "feature", r("selfz"), r("yoy"), r("xsrank", 6), r("xsdemed"))
 
 
 @query("ds_feature_master", f"WITH {ORDERS} SELECT o_orderkey, d AS as_of, round(ln(1 + o_totalprice), 6) AS log_price, CAST(o_orderpriority = '1-URGENT' AS INT) AS urgent FROM ord")

@@ -343,15 +343,22 @@ def _(spark, d):
     return union_sources({"order": a, "event": b})
 
 
-@query("ev_recheck", f"WITH {_STUDY} SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS mismatches FROM st")
+# Stored sums, of which every hundredth order's is wrong, against sums of raw abnormal values by place; the first are recomputed by a window, the second by a join.
+_RECHECK = f"""{_STUDY}, stored AS (SELECT l_orderkey, l_linenumber, code, aligned_date, car + CASE WHEN l_orderkey % 100 = 7 THEN 0.5 ELSE 0 END AS car FROM st),
+place AS (SELECT code, dt, abret, row_number() OVER (PARTITION BY code ORDER BY dt) AS i FROM ab), again AS (SELECT a.code, a.dt, coalesce(sum(b.abret), 0) AS car FROM place a JOIN place b ON a.code = b.code AND b.i BETWEEN a.i AND a.i + 5 GROUP BY 1, 2)"""
+
+
+@query("ev_recheck", f"WITH {_RECHECK} SELECT l_orderkey, l_linenumber, round(s.car, 4) AS stored, round(a.car, 4) AS again FROM stored s JOIN again a ON s.code = a.code AND s.aligned_date = a.dt WHERE abs(s.car - a.car) > 1e-6 * (1 + abs(s.car))")
 def _(spark, d):
-    stored = study(spark, d).select("code", F.col("aligned_date").alias("dt"), F.col("sum_p0_p5").alias("x"))
+    """The sums that don't agree with what the raw values give: those that were planted."""
+    planted = F.when(F.col("l_orderkey") % 100 == 7, 0.5).otherwise(0.0)
+    stored = study(spark, d).select("l_orderkey", "l_linenumber", "code", F.col("aligned_date").alias("dt"), (F.col("sum_p0_p5") + planted).alias("x"))
     ab = features.abnormal_panel(panel(spark, d))
     pos = ab.withColumn("i", F.row_number().over(Window.partitionBy("code").orderBy("dt")))
     ahead = pos.select("code", F.explode(F.array(*[F.col("i") - k for k in range(6)])).alias("i"), "abret")
     again = pos.select("code", "i", "dt").join(ahead, ["code", "i"]).groupBy("code", "dt").agg(F.coalesce(F.sum("abret"), F.lit(0.0)).alias("y"))
-    both = stored.join(again, ["code", "dt"])
-    return both.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("x") - F.col("y")) > 1e-6 * (1 + F.abs("x"))).alias("mismatches"))
+    wrong = stored.join(again, ["code", "dt"]).filter(F.abs(F.col("x") - F.col("y")) > 1e-6 * (1 + F.abs("x")))
+    return wrong.select("l_orderkey", "l_linenumber", F.round("x", 4).alias("stored"), F.round("y", 4).alias("again"))
 
 
 @query("ft_trading", f"WITH {PANEL}, {EVENTS}, q AS (SELECT code, dt, avg(value) OVER (PARTITION BY code ORDER BY dt ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m5 FROM panel) SELECT l_orderkey, l_linenumber, round(q.m5, 6) AS m5 FROM ev ASOF LEFT JOIN q ON ev.code = q.code AND ev.d > q.dt")

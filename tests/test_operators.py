@@ -222,3 +222,22 @@ def test_phrases_by_positions(spark):
     fields = [retrieval.Field("body", F.col("body"))]
     ask = lambda q: sorted(tuple(r) for r in retrieval.phrase_hits(spark.createDataFrame(q, "q int, text string"), docs, "q", "text", "doc", fields).collect())
     assert ask([(1, "To be"), (2, "to be to"), (3, "not to be"), (4, "be"), (5, None)]) == [(1, "body", 1, 2, 0), (3, "body", 1, 1, 3), (4, "body", 1, 2, 1), (4, "body", 2, 2, 0)]
+
+
+def test_statements_of_one_sort(spark):
+    left = spark.createDataFrame([(1, "a", D("2024-05-01")), (2, "a", D("2024-01-01")), (3, "b", D("2024-05-01")), (4, "a", None), (5, None, D("2024-05-01"))], "e int, k string, d date")
+    fin = spark.createDataFrame([("a", D("2024-04-01"), D("2023-12-31"), 1.0), ("a", D("2024-04-01"), D("2024-03-31"), 2.0), ("a", D("2024-05-02"), D("2024-03-31"), 3.0), ("b", None, D("2024-03-31"), 9.0)], "k string, announced date, end date, x double")
+    bal = spark.createDataFrame([("a", D("2024-05-01"), D("2024-03-31"), None), ("a", D("2024-01-01"), D("2023-09-30"), 5.0)], "k string, announced date, end date, x double")
+    got = {r.e: (r.fin_x, r.fin_end, r.bal_x, r.bal_end) for r in features.latest_statements(left, {"fin": fin, "bal": bal}, "k", "d").collect()}
+    assert got == {1: (2.0, D("2024-03-31"), None, D("2024-03-31")), 2: (None, None, 5.0, D("2023-09-30")), 3: (None,) * 4, 4: (None,) * 4, 5: (None,) * 4}
+
+
+def test_normalized_columns(spark):
+    rows = [(i, "a", D("2023-01-10") + dt.timedelta(days=90 * i), float(i * i), i % 2) for i in range(8)] + [(90 + i, k, D("2023-01-20"), v, 0) for i, (k, v) in enumerate([("b", 4.0), ("c", 8.0), ("d", None), ("e", 0.0)])]
+    out = features.normalized(spark.createDataFrame(rows, "i int, k string, d date, v double, flag int"), "k", "d", "i", ["v", "flag"])
+    got = {r.row: r for r in out.collect()}
+    assert {r.feature for r in got.values()} == {"v"} and len(got) == 12
+    assert [got[i].selfz is None for i in range(4)] == [True, True, True, False] and round(got[3].selfz, 6) == round((9 - 5 / 3) / (13 / 3) ** 0.5, 6)
+    assert got[3].yoy is None and round(got[5].yoy, 6) == 24.0 and round(got[6].yoy, 6) == 8.0  # 360 days before
+    assert (got[0].xsrank, got[90].xsrank, got[91].xsrank, got[0].xsdemed) == (0.375, 0.75, 1.0, -2.0) and got[92].xsrank is None and got[1].xsrank is None
+    assert features.normalized(spark.createDataFrame([], "i int, k string, d date, v double"), "k", "d", "i", ["v"]).count() == 0
