@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tarnflow.functions import text
-from tarnflow.operators import chunking, retrieval, sections
+from tarnflow.operators import chunking, manifest, retrieval, sections
 from tarnflow.operators.windows import best_per_key
 from tarnflow.registry import query
-from tarnflow.session import scratch_dir
+from tarnflow.session import materialize, scratch_dir
 from tarnflow.sources import files
 from tarnflow.sources.tables import table
 from tarnflow.streaming import sessions
@@ -321,34 +321,75 @@ def _(spark, d):
     return c.groupBy("id").agg(F.count("*").alias("n"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk")).alias("chars"))
 
 
-_BOTH_TEXTS = "SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages"
+# Events are documents (announcements, questions, news and others); files are conversations, a turn a page; an interface knows every third document's text.
+_KIND = "CASE doc_id % 5 WHEN 0 THEN 'announcement' WHEN 1 THEN 'announcement' WHEN 2 THEN 'irm_qa' WHEN 3 THEN 'news' ELSE 'other' END"
+_CODE = "CASE WHEN doc_id % 7 > 0 THEN concat('AN', doc_id) ELSE ' ' END"
+_KINDS = {"irm_qa": "irm_qa", "news": "news"}
+_FORM = r"(?i)licensed? under[^.\n]*|all rights reserved"
+_MANIFEST = f"""ev AS (SELECT doc_id AS event_id, lang AS symbol, {_KIND} AS source_type, trim(substr(text, 1, 40)) AS title, {_CODE} AS code, substr(text, 1, 3000) AS summary, source FROM documents),
+fi AS (SELECT concat('AN', 5 * conv_id) AS code, 'c' AS symbol, CASE WHEN conv_id % 4 = 3 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n FROM conversations GROUP BY conv_id),
+ma AS (SELECT 'pdf:c:' || code AS document_id, symbol, 'notice_pdf' AS source_type, CAST(NULL AS VARCHAR) AS title, code, CAST(NULL AS BIGINT) AS event_id, 'pdf' AS text_source, 'strong' AS strength, CAST(NULL AS VARCHAR) AS source_text FROM fi WHERE status = 'ok'
+UNION ALL SELECT 'notice_api:' || coalesce(symbol, '') || ':' || code, symbol, 'announcement', nullif(title, ''), code, event_id, 'notice_api', 'strong', NULL FROM ev WHERE source_type = 'announcement' AND trim(code) <> '' AND code NOT IN (SELECT code FROM fi WHERE status = 'ok')
+UNION ALL SELECT source_type || ':' || coalesce(symbol, '') || ':' || event_id, symbol, source_type, nullif(title, ''), nullif(trim(code), ''), event_id, source_type, 'auxiliary', t FROM (SELECT *, concat_ws(chr(10), 'title: ' || nullif(title, ''), 'summary: ' || nullif(trim(summary), ''), 'institution: ' || nullif(trim(source), '')) AS t FROM ev) WHERE source_type IN ('irm_qa', 'news') AND t <> '')"""
 
 
-@query("tx_chunk_sources", f"SELECT id[1] AS kind, count(*) AS n, count(DISTINCT id) AS ids FROM {_overlap_sql(_BOTH_TEXTS, 1400, 240)} GROUP BY 1")
+def _manifest(spark, d):
+    """The manifest, pages by code, and what the interface gives."""
+    docs, turns = table(spark, d, "documents"), table(spark, d, "conversations")
+    events = docs.select(
+        F.col("doc_id").alias("event_id"), F.col("lang").alias("symbol"), F.expr(_KIND).alias("source_type"), F.trim(F.substring("text", 1, 40)).alias("title"), F.lit(None).cast("date").alias("event_date"), F.expr(_CODE).alias("code"), F.substring("text", 1, 3000).alias("summary"), "source"
+    )
+    code = F.concat(F.lit("AN"), 5 * F.col("conv_id")).alias("code")
+    status = F.when(F.col("conv_id") % 4 == 3, "failed").otherwise("ok")
+    found = turns.groupBy("conv_id").agg(F.count("*").alias("n_pages")).select(code, F.lit("c").alias("symbol"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("date").alias("notice_date"), status.alias("status"), "n_pages")
+    made = manifest.text_manifest(events, found, _KINDS, {"title": F.col("title"), "summary": F.col("summary"), "institution": F.col("source")})
+    contents = docs.filter("doc_id % 3 = 0").select(F.concat(F.lit("AN"), "doc_id").alias("code"), F.col("text").alias("content"))
+    return materialize(made, "manifest"), turns.select(code, F.col("turn").alias("page"), "text"), contents
+
+
+@query("tx_manifest", f"WITH {_MANIFEST} SELECT document_id, symbol, source_type, title, code, event_id, text_source, strength, md5(source_text) AS h FROM ma")
 def _(spark, d):
-    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
-    pages = table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
-    c = chunking.chunk_texts(docs.union(pages), "id", "text", "overlap", most=1400, overlap=240)
-    return c.groupBy(F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    return _manifest(spark, d)[0].drop("publish_date").withColumn("h", F.md5("source_text")).drop("source_text")
+
+
+_NORM = lambda c: rf"regexp_replace(regexp_replace({c}, '[ \t　]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+_SPACED = lambda c: f"trim({_NORM(c)})"
+_ROUTES = f"""pa AS (SELECT concat('AN', 5 * conv_id) AS code, turn, text FROM conversations WHERE trim(text) <> ''),
+fr AS (SELECT ma.*, 'pages' AS route, turn, text AS t FROM ma JOIN pa USING (code) WHERE text_source = 'pdf'),
+ro AS (SELECT * FROM fr UNION ALL BY NAME SELECT ma.*, CASE WHEN trim(content) <> '' THEN 'content' ELSE 'composed' END AS route, CAST(NULL AS BIGINT) AS turn, CASE WHEN trim(content) <> '' THEN content ELSE source_text END AS t
+  FROM ma LEFT JOIN (SELECT concat('AN', doc_id) AS code, text AS content FROM documents WHERE doc_id % 3 = 0) co ON ma.code = co.code AND text_source = 'notice_api' WHERE document_id NOT IN (SELECT document_id FROM fr))"""
+_FACTS = "concat_ws(chr(10), 'symbol: ' || nullif(trim(symbol), ''), 'source: ' || text_source, 'strength: ' || strength, 'title: ' || nullif(trim(title), ''))"
 
 
-_EXPERIMENTS = ((600, 60), (1200, 120), (1800, 160))
+def _ready_sql(v) -> str:
+    t = _SPACED("t")
+    t = _SPACED(f"regexp_replace({t}, '{v.boilerplate}', '', 'g')") if v.boilerplate else t
+    text = f"CASE WHEN {t} = '' THEN '' ELSE {_FACTS} || chr(10) || {t} END" if v.prefix else t
+    return f"SELECT document_id || chr(31) || coalesce(CAST(turn AS VARCHAR), '') || chr(31) || route AS id, {text} AS text FROM ro WHERE t IS NOT NULL"
 
 
-@query("tx_chunk_experiments", " UNION ALL ".join(f"SELECT {m} AS most, count(*) AS chunks, count(DISTINCT id) AS docs, round(avg(length(chunk)), 6) AS mean FROM {_overlap_sql(_DOC_TEXTS, m, o)}" for m, o in _EXPERIMENTS))
+_PLAIN = manifest.Variant("plain", 1400, 240)
+
+
+@query("tx_chunk_sources", f"WITH {_MANIFEST}, {_ROUTES} SELECT string_split(id, chr(31))[3] AS route, count(*) AS chunks, count(DISTINCT string_split(id, chr(31))[1]) AS documents, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM {_overlap_sql(_ready_sql(_PLAIN), 1400, 240)} GROUP BY 1")
 def _(spark, d):
-    out = None
-    for most, overlap in _EXPERIMENTS:
-        c = chunking.chunk_texts(table(spark, d, "documents"), "doc_id", "text", "overlap", most=most, overlap=overlap)
-        s = c.agg(F.lit(most).alias("most"), F.count("*").alias("chunks"), F.count_distinct("id").alias("docs"), F.round(F.avg(F.length("chunk")), 6).alias("mean"))
-        out = s if out is None else out.union(s)
-    return out
+    chunks = manifest.source_chunks(*_manifest(spark, d), _PLAIN)
+    return chunks.groupBy("route").agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents"), F.sum("n_chars").alias("chars"))
+
+
+#: Five strategies: as it is, cleaned, and cleaned with the document's facts in front at three sizes.
+_STRATEGIES = [
+    manifest.Variant("plain_1800_160"), manifest.Variant("clean_1800_160", boilerplate=_FORM),
+    *[manifest.Variant(f"prefix_{m}_{o}", m, o, _FORM, True) for m, o in ((1400, 240), (1200, 240), (1000, 300))],
+]
 
 
-@query("tx_manifest", "SELECT doc_id AS id, 'document' AS origin, 'strong' AS strength FROM documents WHERE length(text) > 1000 UNION ALL SELECT item_id, 'benchmark', 'auxiliary' FROM benchmark")
+@query("tx_chunk_experiments", f"WITH {_MANIFEST}, {_ROUTES} " + " UNION ALL ".join(
+    f"SELECT '{v.name}' AS strategy, (SELECT count(*) FROM ma) AS documents, count(DISTINCT doc) AS with_chunks, (SELECT count(*) FROM ma) - count(DISTINCT doc) AS failed, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS chars, max(n) AS longest, round(sum(n) / count(*), 2) AS mean_chars, round(count(*) / count(DISTINCT doc), 2) AS chunks_per_document FROM (SELECT string_split(id, chr(31))[1] AS doc, length(chunk) AS n FROM {_overlap_sql(_ready_sql(v), v.most, v.overlap)})"
+    for v in _STRATEGIES
+))
 def _(spark, d):
-    a = table(spark, d, "documents").filter(F.length("text") > 1000).select(F.col("doc_id").alias("id"), F.lit("document").alias("origin"), F.lit("strong").alias("strength"))
-    return a.union(table(spark, d, "benchmark").select("item_id", F.lit("benchmark"), F.lit("auxiliary")))
+    return manifest.compare_variants(*_manifest(spark, d), _STRATEGIES).drop("by_pages", "by_content", "by_composed")
 
 
 _SESSIONS = """WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM x)
