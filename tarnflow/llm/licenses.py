@@ -2,7 +2,9 @@
 
 A similarity of t needs sizes within a factor of (2 - t) / t of each other, and t / (2 - t) of a template's
 bigrams. So a template is compared only where a text holds so many of its bigrams within its greatest size, and
-there with every stretch of a size that can do: the one of the highest coefficient is the notice.
+there with every stretch of a size that can do: the one of the highest coefficient is the notice. Licences whose
+templates are much alike (versions, families) are told apart: a stretch without any bigram by which its template differs
+from another licence's is no notice of it.
 """
 
 from __future__ import annotations
@@ -45,11 +47,32 @@ _GNU_REST = (
 
 def _gnu(program: str, name: str, version: str) -> list[str]:
     first = _GNU.format(program, name, version)
-    return [f"This work is licensed under the GNU {name}, version {version}.", first, first + _GNU_REST.format(program, name)]
+    short = [f"{how} the GNU {name}, version {version}" for how in ("licensed under", "distributed under the terms of", "released under")]
+    return [*short, first, first + _GNU_REST.format(program, name)]
+
+
+def _creative_commons() -> dict[str, list[str]]:
+    """The licences of all combinations and versions, by their short and long names."""
+    words = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+    out = {}
+    for marks in ("BY", "BY-NC", "BY-NC-ND", "BY-NC-SA", "BY-ND", "BY-SA"):
+        long = "-".join(words[m] for m in marks.split("-"))
+        for version in ("2.0", "2.5", "3.0", "4.0"):
+            kind = "International" if version == "4.0" else "Unported"
+            out[f"CC-{marks}-{version}"] = [
+                f"Licensed under CC {marks} {version}.", f"Licensed under a Creative Commons {long} {version} License.", f"This work is licensed under a Creative Commons {long} {version} {kind} License.",
+            ]
+    return out
+
+
+def _identified(templates: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The templates, and for each licence the lines that name it by its SPDX identifier."""
+    gnu = ("", "-only", "-or-later", "+")
+    return {n: [*t, *[f"SPDX-License-Identifier: {n}{x}" for x in (gnu if "GPL" in n else ("",))]] for n, t in templates.items()}
 
 
 #: Texts and usual notices of licences. Of licences of many pages, the notices alone.
-TEMPLATES = {
+TEMPLATES = _identified({
     "AGPL-3.0": _gnu("This program", "Affero General Public License", "3"),
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -57,11 +80,9 @@ TEMPLATES = {
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
-    "BSD-2-Clause": [_BSD, f"{_BSD} {_WARRANTY}"],
-    "BSD-3-Clause": [_BSD + _BSD_3, f"{_BSD}{_BSD_3} {_WARRANTY}", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "BSD-2-Clause": [_BSD, f"{_BSD} {_WARRANTY}", "Licensed under the BSD 2-Clause License.", "Licensed under the 2-Clause BSD License."],
+    "BSD-3-Clause": [_BSD + _BSD_3, f"{_BSD}{_BSD_3} {_WARRANTY}", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Licensed under the BSD 3-Clause License.", "Licensed under the 3-Clause BSD License."],
+    **_creative_commons(),
     "CC0-1.0": [
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "This work is released under CC0 1.0 Universal Public Domain Dedication.",
@@ -75,6 +96,7 @@ TEMPLATES = {
         "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
         "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ],
+    "LGPL-2.0": _gnu("This library", "Library General Public License", "2") + _gnu("This library", "Lesser General Public License", "2")[:3],
     "LGPL-2.1": _gnu("This library", "Lesser General Public License", "2.1"),
     "LGPL-3.0": _gnu("This library", "Lesser General Public License", "3"),
     "MIT": [
@@ -103,8 +125,14 @@ TEMPLATES = {
         "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
         "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     ],
-}
+})
 
+#: Two templates of different licences that are so alike are told apart by the bigrams that one has and the other has not.
+ALIKE = 0.4
+
+_VERSION = re.compile(r"\b(?:version|ver\.?|v\.?)\s*(?=\d)")
+_ZERO = re.compile(r"(?<![\w.-])(\d+)\.0(?![\w-]|\.\w)")
+_NUMBER = re.compile(r"\d+(?:\.\d+)?")
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
 
@@ -118,8 +146,8 @@ class Notice(NamedTuple):
 
 
 def normalised(text: str) -> list[str]:
-    """Words in lower case, without marks between them."""
-    return _WORD.findall(text.lower())
+    """Words in lower case, without marks between them; versions are bare numbers (``version 3.0``, ``v3``: ``3``)."""
+    return _WORD.findall(_ZERO.sub(r"\1", _VERSION.sub("", text.lower())))
 
 
 class Index:
@@ -137,6 +165,28 @@ class Index:
                     self.of.setdefault(g, []).append((len(self.size), n))
                 self.size.append(max(0, len(words) - 1))
                 self.licence.append(name)
+        self.marks = self._marks()
+
+    def _marks(self) -> list[list[frozenset[tuple[str, str]]]]:
+        """For each template the sets of bigrams of which a stretch must hold one each: what it has and a template like it, of another
+        licence, has not; and, where it names one number (its version), the words beside that."""
+        shared: dict[tuple[int, int], int] = {}
+        grams: list[dict[tuple[str, str], int]] = [{} for _ in self.size]
+        for g, entries in self.of.items():
+            for t, n in entries:
+                grams[t][g] = n
+                for u, m in entries:
+                    if self.licence[t] != self.licence[u]:
+                        shared[t, u] = shared.get((t, u), 0) + min(n, m)
+        marks: list[set[frozenset[tuple[str, str]]]] = [set() for _ in self.size]
+        for (t, u), n in shared.items():
+            if 2 * n >= ALIKE * (self.size[t] + self.size[u]):
+                marks[t].add(frozenset(g for g in grams[t] if g not in grams[u]))
+        for t, own in enumerate(grams):
+            numbers = [g for g in own if _NUMBER.fullmatch(g[0]) or _NUMBER.fullmatch(g[1])]
+            if 0 < len(numbers) <= 2:
+                marks[t].add(frozenset(numbers))
+        return [sorted((m for m in found if m), key=sorted) for found in marks]
 
     def notices(self, text: str) -> list[Notice]:
         """The notices of a text by place: of stretches that overlap, that of the highest coefficient stands (ties: the longest, then the first by place and name)."""
@@ -180,10 +230,22 @@ class Index:
                     shared += 1
                     if (d := 2 * shared / (n + i - start + 1)) > best:
                         best, end = d, i + 1
-            if best >= self.least:
+            if best >= self.least and self._told_apart(t, places, k, end):
                 yield Notice(start, end, self.licence[t], best)
 
 
+    def _told_apart(self, t: int, places: list[tuple[int, tuple[str, str], int]], k: int, end: int) -> bool:
+        """Whether the stretch that begins at a place holds a bigram of each set that tells its template from another licence's."""
+        if not self.marks[t]:
+            return True
+        held = set()
+        for i, g, _ in places[k:]:
+            if i >= end:
+                break
+            held.add(g)
+        return all(not held.isdisjoint(m) for m in self.marks[t])
+
+
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST
 ) -> DataFrame:

@@ -7,6 +7,18 @@ MIT = op.TEMPLATES["MIT"][1]
 SMALL = {"A": ["a b c d", "a b a b a"], "B": ["b c d e f", "c"], "C": ["d e d e"]}
 
 
+def told_apart(own, held, name, templates):
+    """Whether a stretch's bigrams tell the template from every other licence's that is much like it."""
+    for other, texts in templates.items():
+        for t in texts if other != name else []:
+            its = list(zip(op.normalised(t), op.normalised(t)[1:]))
+            alike = 2 * sum(min(own.count(g), its.count(g)) for g in set(own)) / max(len(own) + len(its), 1)
+            marks = set(own) - set(its)
+            if alike >= op.ALIKE and marks and not marks & held:
+                return False
+    return True
+
+
 def brute(text, templates):
     """The notices by comparing every stretch of the text with every template."""
     words = op.normalised(text or "")
@@ -21,7 +33,7 @@ def brute(text, templates):
                     d = 2 * sum(min(part.count(g), own.count(g)) for g in set(part)) / (len(part) + len(own))
                     if d >= op.LEAST and (best is None or d > best[0]):
                         best = d, j
-                if best:
+                if best and told_apart(own, set(grams[i : best[1]]), name, templates):
                     found.append((-best[0], i - best[1], i, name, best[1]))
     kept = []
     for d, _, i, name, j in sorted(found):
@@ -62,6 +74,28 @@ def test_scan(spark):
         assert (r.best_license is None) == (not r.licenses) and (r.n_notices > 0) == bool(r.licenses)
 
 
+def names(text):
+    return sorted({n.licence for n in op.Index(op.TEMPLATES).notices(text)})
+
+
+def test_versions_and_families():
+    cases = {
+        "This work is licensed under the GNU General Public License, version 3.0.": ["GPL-3.0"], "Distributed under the terms of the GNU General Public License v3.0": ["GPL-3.0"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": ["CC-BY-NC-SA-4.0"], "Licensed under CC BY 3.0.": ["CC-BY-3.0"],
+        "This work is licensed under the GNU Lesser General Public License, version 2.": ["LGPL-2.0"], "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"], "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0"],
+        "Licensed under the BSD 3-Clause License.": ["BSD-3-Clause"], "SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0"], "// SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"], "Licensed under the Apache License, v2.0.": ["Apache-2.0"],
+    }
+    assert {t: names(t) for t in cases} == cases
+
+
+def test_versions_that_are_not_known_are_nobodys():
+    for text in ["Licensed under CC BY 9.0.", "Licensed under CC BY-XY 4.0.", "Licensed under the Apache License, Version 7.0.", "SPDX-License-Identifier: Nobody-1.0"]:
+        assert names(text) == [], text
+    for name in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0"):
+        short = op.TEMPLATES[name][0]
+        assert names(short) == [name] and names(short[: short.rindex("version")] + "version 9") == [], name
+
+
 def test_ties_go_to_the_first_name():
     index = op.Index({"Z": ["p q r"], "Y": ["p q r"]})
     assert [n.licence for n in index.notices("p q r")] == ["Y"]
