@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.operators.features import rank_correlation, regression_metrics
-from tarnflow.operators.windows import exact_quantiles
+from tarnflow.operators.windows import exact_quantiles, positions
 from tarnflow.session import materialize
 
 
@@ -124,22 +124,29 @@ def select_linear(
     return out.join(F.broadcast(best)).withColumn("selected", F.struct("alpha", "l1") == F.col("best")).drop("best")  # one row
 
 
-def permutation_drop(df: DataFrame, model: Linear, label: str, key: Column, seed: int = 7, places: int | None = None) -> DataFrame:
-    """How far the rank correlation falls when a column's values are dealt anew among rows.
+def permutation_drop(df: DataFrame, model: Linear, label: str, key: Column, shuffles: int = 5, seed: int = 7, places: int | None = None) -> DataFrame:
+    """``feature, drop_mean, drop_std``: how far the rank correlation falls when a column's values are dealt anew among all rows, over several shuffles.
 
-    Values move by one place in an order of hashed keys, within parts by hash, so that no row is sampled or collected.
+    A row's place in an order of hashed keys takes the value at the same place in another such order, one for each column and
+    shuffle: places are numbered without a window over all rows. ``key`` names a row.
     """
-    rows = df.withColumns({"__all": F.lit(1), "__part": F.substring(F.md5(key), 1, 2)})
-    base = rank_correlation(model.transform(rows, places), ["__all"], label, "prediction", 1).head()
-    out = None
-    for i, name in enumerate(model.columns):
-        w = Window.partitionBy("__part").orderBy(F.md5(F.concat(F.lit(str(seed + i)), key)))
-        moved = F.coalesce(F.lag(name).over(w), F.col(name))
-        mixed = rows.withColumn("__moved", moved).withColumn("prediction", model.score() + (F.col("__moved") - F.col(name)) * model.coefficients[i])
-        mixed = mixed if places is None else mixed.withColumn("prediction", F.round("prediction", places))
-        ic = rank_correlation(mixed, ["__all"], label, "prediction", 1).select(F.lit(name).alias("feature"), (F.lit(base["ic"]) - F.col("ic")).alias("drop"))
-        out = ic if out is None else out.union(ic)
-    return out
+    order = lambda name: F.conv(F.substring(F.md5(F.concat_ws("|", name, F.col("__key"))), 1, 15), 16, 10).cast("long")
+    rows = model.transform(df.withColumn("__key", key), places).withColumns({"__all": F.lit(1), "__hash": order(F.lit(str(seed)))})
+    rows = materialize(positions(rows.select("__all", "__key", "__hash", label, "prediction", *model.columns), ["__all"], "__hash", "__key", "__at"), "places")
+    base = rank_correlation(rows, ["__all"], label, "prediction", 1).select("ic").head()
+    if base is None:
+        return df.sparkSession.createDataFrame([], "feature string, drop_mean double, drop_std double")
+    each = [F.struct(F.lit(s).alias("shuffle"), F.lit(c).alias("feature"), F.col(c).alias("own")) for s in range(shuffles) for c in model.columns]
+    deals = rows.select("__key", F.explode(F.array(*each)).alias("x")).select("__key", "x.*")
+    dealt = positions(deals.withColumn("__hash", order(F.concat_ws("|", F.lit(str(seed)), "shuffle", "feature"))), ["shuffle", "feature"], "__hash", "__key", "__to")
+    dealt = dealt.select("shuffle", "feature", F.col("__to").alias("__at"), F.col("own").alias("given"))
+    mixed = rows.select("__at", label, *model.columns).join(dealt, "__at")
+    own = F.coalesce(*[F.when(F.col("feature") == c, F.col(c)) for c in model.columns])
+    weight = F.coalesce(*[F.when(F.col("feature") == c, F.lit(float(b))) for c, b in zip(model.columns, model.coefficients, strict=True)])
+    score = model.score() + (F.col("given") - own) * weight
+    mixed = mixed.withColumn("prediction", score if places is None else F.round(score, places))
+    drops = rank_correlation(mixed, ["shuffle", "feature"], label, "prediction", 1).withColumn("drop", F.lit(base["ic"]) - F.col("ic"))
+    return drops.groupBy("feature").agg(F.avg("drop").alias("drop_mean"), F.stddev_pop("drop").alias("drop_std"))
 
 
 def contributions(df: DataFrame, model: Linear, keys: Sequence[str], top: int = 5) -> DataFrame:

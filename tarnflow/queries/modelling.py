@@ -454,17 +454,20 @@ def _(spark, d):
 
 
 _KEY = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
-_DEALT = " UNION ALL ".join(f"SELECT '{z}' AS feature, y, {_SCORE} + b{i} * (coalesce(lag(z{i}) OVER (PARTITION BY part ORDER BY md5('{6 + i}' || key)), z{i}) - z{i}) AS p FROM te" for i, z in enumerate(_Z, 1))
-_RANKED = "SELECT feature, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS a, rank() OVER (PARTITION BY feature ORDER BY p) + (count(*) OVER (PARTITION BY feature, p) - 1) / 2.0 AS b FROM al"
+_PLACED = lambda what: f"row_number() OVER (ORDER BY substr(md5({what} || '|' || key), 1, 15), key)"
+_DEALT = " UNION ALL ".join(f"SELECT {k} AS shuffle, '{z}' AS feature, {_PLACED(f"'7|{k}|{z}'")} AS at_, z{i} AS given FROM te" for k in range(5) for i, z in enumerate(_Z, 1))
+_MIXED = " ".join(f"WHEN '{z}' THEN b{i} * (given - z{i})" for i, z in enumerate(_Z, 1))
+_RANKED = "SELECT shuffle, feature, rank() OVER (PARTITION BY shuffle, feature ORDER BY y) + (count(*) OVER (PARTITION BY shuffle, feature, y) - 1) / 2.0 AS a, rank() OVER (PARTITION BY shuffle, feature ORDER BY p) + (count(*) OVER (PARTITION BY shuffle, feature, p) - 1) / 2.0 AS b FROM al"
 
 
-@query("ex_permutation", f"""WITH RECURSIVE {_FRAME}, {_fit((0.1, 0))}, te AS (SELECT fr.*, fit.*, {_KEY} AS key, substr(md5({_KEY}), 1, 2) AS part FROM fr, fit WHERE split = 'test'),
-al AS (SELECT feature, y, round(p, {_PLACES}) AS p FROM (SELECT 'base' AS feature, y, {_SCORE} AS p FROM te UNION ALL {_DEALT})), ic AS (SELECT feature, corr(a, b) AS ic FROM ({_RANKED}) GROUP BY 1)
-SELECT x.feature, round(b.ic - x.ic, 5) AS "drop" FROM ic x, ic b WHERE b.feature = 'base' AND x.feature <> 'base'""")
+@query("ex_permutation", f"""WITH RECURSIVE {_FRAME}, {_fit((0.1, 0))}, te AS (SELECT fr.*, fit.*, {_KEY} AS key FROM fr, fit WHERE split = 'test'), pl AS (SELECT *, {_PLACED("'7'")} AS at_ FROM te),
+al AS (SELECT -1 AS shuffle, 'base' AS feature, y, round({_SCORE}, {_PLACES}) AS p FROM te UNION ALL SELECT shuffle, feature, y, round({_SCORE} + CASE feature {_MIXED} END, {_PLACES}) FROM pl JOIN ({_DEALT}) USING (at_)),
+ic AS (SELECT shuffle, feature, corr(a, b) AS ic FROM ({_RANKED}) GROUP BY 1, 2)
+SELECT x.feature, round(avg(b.ic - x.ic), 5) AS drop_mean, round(stddev_pop(b.ic - x.ic), 5) AS drop_std FROM ic x, ic b WHERE b.feature = 'base' AND x.feature <> 'base' GROUP BY 1""")
 def _(spark, d):
     f, m = _ridge(spark, d)
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in _KEYS])
-    return models.permutation_drop(f.filter("split = 'test'"), m, "y", key, places=_PLACES).withColumn("drop", F.round("drop", 5))
+    return models.permutation_drop(f.filter("split = 'test'"), m, "y", key, places=_PLACES).withColumns({c: F.round(c, 5) for c in ("drop_mean", "drop_std")})
 
 
 @query("ex_coefficients", f"WITH RECURSIVE {_FRAME}, {_fit((0.1, 0))}, c AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, b{i} AS b FROM fit" for i, f in enumerate(_FEATURES, 1))}) SELECT feature, round(b, 6) AS coefficient, CAST(row_number() OVER (ORDER BY abs(b) DESC, feature) AS INT) AS rank FROM c")
