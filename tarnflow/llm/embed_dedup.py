@@ -202,28 +202,37 @@ def _found(g: Graph, q: np.ndarray, ef: int, least: float, own: np.ndarray | Non
             hits[i + np.nonzero(full)[0]] = some[full] @ g.x.T >= least - _SLACK
 
 
-def audited_beam(g: Graph, q: np.ndarray, least: float, own: np.ndarray | None, ef: int = EF, audit: int = AUDIT, recall: float = RECALL) -> int:
+def audited_beam(
+    g: Graph, q: np.ndarray, least: float, own: np.ndarray | None, ef: int = EF, audit: int = AUDIT, recall: float = RECALL, hits: np.ndarray | None = None
+) -> int:
     """The beam at which audited queries that have links in ``g`` find ``recall`` of theirs on average; as wide as the shard if none less does.
 
-    Queries are drawn from all of ``q`` at even steps, and others beside them until LINKED have links or there are no more. Those with full
-    beams find all, so they are left out of the mean: they would hide what the others miss.
+    Queries are drawn from all of ``q`` at even steps, and others beside them until LINKED have links or there are no more. Those with EF
+    links or more, whose beams should be full so that they find all, have a mean of their own: they would hide what the others miss.
+    All links of audited queries are marked in ``hits``, so what their search misses is not lost.
     """
     order = np.argsort((np.arange(len(q), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11), kind="stable")
-    some, truth = np.zeros(0, np.int64), np.zeros((0, len(g.x)), bool)
+    few, many = [], []
+    truth: dict[int, np.ndarray] = {}
     for i in range(0, len(order), audit):
         new = order[i : i + audit]
-        links = q[new] @ g.x.T >= least
+        links = q[new] @ g.x.T >= least - _SLACK
         if own is not None:
             links[np.arange(len(new)), own[new]] = False
-        linked = (n := links.sum(axis=1)) > 0
-        linked &= n < EF  # more than that fill a beam
-        some, truth = np.concatenate([some, new[linked]]), np.concatenate([truth, links[linked]])
-        if len(some) >= LINKED:
+        if hits is not None:
+            hits[new] |= links
+        for k, n in enumerate(links.sum(axis=1)):
+            kind = few if n < EF else many
+            if n and len(kind) < LINKED + audit:
+                kind.append(int(new[k]))
+                truth[int(new[k])] = links[k]
+        if len(few) >= LINKED:
             break
+    some = np.array(few + many, np.int64)
     while ef < len(g.x) and len(some):
         got, full = g.near(q[some], ef, least - _SLACK, None if own is None else own[some])
-        shares = [1.0 if f else truth[k, ids].sum() / truth[k].sum() for k, (ids, f) in enumerate(zip(got, full, strict=True))]
-        if np.mean(shares) >= recall:
+        shares = [1.0 if f else truth[i][ids].sum() / truth[i].sum() for i, ids, f in zip(some.tolist(), got, full, strict=True)]
+        if all(np.mean(part) >= recall for part in (shares[: len(few)], shares[len(few) :]) if part):
             break
         ef *= 2
     return ef
@@ -238,13 +247,13 @@ def _linked(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     if len(sides) == 1:
         own = np.arange(len(exact[0]))
         hits = np.zeros((len(own), len(own)), bool)
-        _found(graphs[0], graphs[0].x, audited_beam(graphs[0], graphs[0].x, least, own), least, own, hits)
+        _found(graphs[0], graphs[0].x, audited_beam(graphs[0], graphs[0].x, least, own, hits=hits), least, own, hits)
         hits |= hits.T
         np.fill_diagonal(hits, False)
     else:
         q, g = exact[0].astype(np.float32), graphs[-1]
         hits = np.zeros((len(q), len(g.x)), bool)
-        _found(g, q, audited_beam(g, q, least, None), least, None, hits)
+        _found(g, q, audited_beam(g, q, least, None, hits=hits), least, None, hits)
     left, right = exact[0], exact[-1]
     for i in range(0, len(left), 256):
         r, c = np.nonzero(hits[i : i + 256])

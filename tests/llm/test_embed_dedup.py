@@ -96,3 +96,36 @@ def test_pairs_between_shards_beside_a_large_group():
     assert found[:1500].sum() >= 0.99 * truth[:1500].sum()
     other = np.array([counts.get(i + 10_000, 0) for i in range(2100)])
     assert other.sum() == found.sum() and (other <= truth.sum(axis=0)).all()
+
+
+def test_links_that_the_audit_saw_are_kept(monkeypatch):
+    x, labels = vectors()
+    u = op._unit(list(x)).astype(np.float32)
+    rows = pd.DataFrame({"label": 1, "dim": 16, "shard": 0, "rep": np.arange(len(u)), "n": 1, "embedding": u.tolist()})
+    built = op._build(rows)
+    truth = op._unit(list(u)) @ op._unit(list(u)).T >= op.COSINE
+    np.fill_diagonal(truth, False)
+    # a search that finds nothing, and an audit of all queries
+    monkeypatch.setattr(op.Graph, "near", lambda self, q, ef, least, own=None: ([np.zeros(0, np.int64)] * len(q), np.zeros(len(q), bool)))
+    monkeypatch.setattr(op, "_found", lambda *_: None)
+    monkeypatch.setattr(op, "LINKED", len(u) + 1)
+    got = op._linked(built, op.COSINE)
+    counts = got[got["u"] == got["v"]].set_index("u")["n"]
+    assert [counts.get(i, 0) for i in range(len(u))] == truth.sum(axis=1).tolist()
+
+
+def test_beams_of_queries_with_many_links_are_audited():
+    x, _ = vectors()
+    u = op._unit(list(x)).astype(np.float32)
+    g = op.Graph(u)
+    beams = []
+
+    class Blind(op.Graph):
+        def near(self, q, ef, least, own=None):
+            beams.append(ef)
+            sims = q @ self.x.T >= least
+            # those with many links find one alone until the beam is wide
+            return [np.nonzero(s)[0][: 1 if s.sum() >= op.EF and ef < 128 else None] for s in sims], np.zeros(len(q), bool)
+
+    g.__class__ = Blind
+    assert op.audited_beam(g, u, op.COSINE, np.arange(len(u))) == 128 and beams[0] == op.EF
