@@ -7,7 +7,8 @@ value of the item stands for two in the document, it is not the same question wi
 A window with too few plain words says little as a template: it is matched by its own words, and as a
 template it goes on until it has enough. A capitalised word that begins a sentence may be a name or not:
 both readings are matched. An item shorter than a window is one window; one of a few words must
-be a whole sentence of the document, word by word.
+be a whole sentence of the document, word by word. Signs between numbers (``+ - * / =`` and their like)
+are words. Of scripts that set no spaces each character is a word, which says half as much as another.
 """
 
 from __future__ import annotations
@@ -44,14 +45,31 @@ UNITS = (
     "mph kmh hz khz mhz ghz kb mb gb tb w kw mw v a c f k percent degree degrees dollar dollars euro euros cent cents usd eur gbp"
 ).split()
 
+#: Code points of scripts without spaces (Thai, Lao, Burmese, Khmer, kana, ideographs), and of marks beyond Latin and general punctuation.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17D3), (0x3005, 0x3007), (0x3040, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF),
+)
+MARKS = (
+    (0x0964, 0x0965), (0x17D4, 0x17DA), (0x3000, 0x3004), (0x3008, 0x303F), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65),
+)
+WIDE_DIGITS = ((0xFF10, 0xFF19),)
+#: Those of the marks that end sentences or open quotations (full stops, !, ?, :, ;, corner brackets).
+WIDE_ENDS = ((0x0964, 0x0965), (0x17D4, 0x17D5), (0x3002, 0x3002), (0x300C, 0x300F), (0xFF01, 0xFF01), (0xFF0E, 0xFF0E), (0xFF1A, 0xFF1B), (0xFF1F, 0xFF1F), (0xFF61, 0xFF61))
+OPERATORS = b"+-*/=^<>"
+
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x6E756D6265720001, 0x756E697400000002, 0x6E616D6500000003))
 
 
+#: Kinds of bytes: none of a word, of a number, of a word, a sign between numbers, of a character that is a word.
+_DIGIT, _LETTER, _SIGN, _UNSPACED = 1, 2, 3, 4
+
+
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     kind, ends = np.zeros(256, np.uint8), np.zeros(256, bool)
-    kind[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 2
-    kind[48:58] = 1
+    kind[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+    kind[48:58] = _DIGIT
     ends[list(b".!?:;\n\r\"*#|-")] = True
     return kind, ends
 
@@ -59,6 +77,51 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 _KIND, _ENDS = _classes()
 
 
+def _within(points: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    out = np.zeros(len(points), bool)
+    for a, b in ranges:
+        out |= (points >= a) & (points <= b)
+    return out
+
+
+def _wide(data: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Set kinds and sentence ends of characters of three and four bytes in place; where characters begin that are words."""
+    at = np.nonzero(data >= 0xE0)[0]
+    begins = np.zeros(len(data), bool)
+    if not len(at):
+        return begins
+    follow = [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 63 for k in (1, 2, 3)]
+    four = data[at] >= 0xF0
+    points = np.where(four, 0, (data[at].astype(np.int64) & 15) << 12 | follow[0] << 6 | follow[1])
+    points[four] = ((data[at].astype(np.int64) & 7) << 18 | follow[0] << 12 | follow[1] << 6 | follow[2])[four]
+    for ranges, value in ((UNSPACED, _UNSPACED), (MARKS, 0), (WIDE_DIGITS, _DIGIT)):
+        mine = _within(points, ranges)
+        for k in range(4):
+            some = at[mine] if k < 3 else at[mine & four]
+            kind[np.minimum(some + k, len(data) - 1)] = value
+        if value == _UNSPACED:
+            begins[at[mine]] = True
+    ends[at[_within(points, WIDE_ENDS)]] = True
+    return begins
+
+
+def _signs(data: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Where signs stand between numbers: behind a number or a closing bracket, or behind a word and before a number; a hyphen between numbers alone. Only spaces lie between."""
+    at = np.nonzero(np.isin(data, np.frombuffer(OPERATORS, np.uint8)))[0]
+    if not len(at):
+        return at
+    solid = np.nonzero(data != 32)[0]
+    k = np.searchsorted(solid, at)
+    before, after = solid[np.maximum(k - 1, 0)], solid[np.minimum(k + 1, len(solid) - 1)]
+    rows = np.cumsum(edge[:-1])
+    has_before, has_after = (k > 0) & (rows[before] == rows[at]), (k + 1 < len(solid)) & (rows[after] == rows[at])
+    digit = lambda i: (data[i] >= 48) & (data[i] <= 57)
+    number_before = has_before & (digit(before) | (data[before] == 41))
+    number_after = has_after & (digit(after) | (data[after] == 40))
+    word_before = has_before & ((_KIND[data[before]] > 0) | (data[before] == 41))
+    return at[np.where(data[at] == 45, number_before & number_after, number_before | (word_before & number_after))]
+
+
 def _unit_hashes() -> np.ndarray:
     data = np.frombuffer("".join(UNITS).encode(), np.uint8)
     ends = np.cumsum([len(u) for u in UNITS])
@@ -66,7 +129,7 @@ def _unit_hashes() -> np.ndarray:
 
 
 class Tokens(NamedTuple):
-    """Words of concatenated UTF-8 rows in lower-cased bytes: spans, row, hash, and whether each is a number, a unit, capitalised like a name, or begins a sentence."""
+    """Words of concatenated UTF-8 rows in lower-cased bytes: spans, row, hash, and whether each is a number, a unit, capitalised like a name, begins a sentence, or is a character of a script without spaces."""
 
     low: np.ndarray
     starts: np.ndarray
@@ -77,11 +140,12 @@ class Tokens(NamedTuple):
     unit: np.ndarray
     capital: np.ndarray
     first: np.ndarray
+    dense: np.ndarray
 
 
 class Words(NamedTuple):
     """Template words: row, hash of the word or its placeholder, hash of its value, whether it is plain, begins a sentence, or is read as a name
-    though it begins one, and the number of its first word within its row."""
+    though it begins one, the number of its first word within its row, and whether it is a character of a script without spaces."""
 
     row: np.ndarray
     code: np.ndarray
@@ -90,12 +154,13 @@ class Words(NamedTuple):
     first: np.ndarray
     switched: np.ndarray
     place: np.ndarray
+    dense: np.ndarray
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     n = len(data)
     none, no = np.zeros(0, np.int64), np.zeros(0, bool)
-    empty = Tokens(data, none, none, none, np.zeros(0, np.uint64), no, no, no, no)
+    empty = Tokens(data, none, none, none, np.zeros(0, np.uint64), no, no, no, no, no)
     if not n:
         return empty
     before = np.concatenate([[np.uint8(0)], data[:-1]])
@@ -105,11 +170,15 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
         at = np.nonzero(lead)[0]
         for k in range(3 if len(at) and data[at[0]] == 0xE2 else 2):
             kind[np.minimum(at + k, n - 1)] = 0
+    stop = _ENDS[data]
+    single = _wide(data, kind, stop)
     low = np.where(upper, data + 32, data)
     edge = np.zeros(n + 1, bool)
     edge[offsets[(offsets >= 0) & (offsets <= n)]] = True
     edge[n] = True
-    change = np.concatenate([[True], kind[1:] != kind[:-1]]) | edge[:-1]
+    signs = _signs(data, edge)
+    kind[signs], single[signs] = _SIGN, True
+    change = np.concatenate([[True], kind[1:] != kind[:-1]]) | edge[:-1] | single
     starts = np.nonzero(change)[0]
     ends = np.append(starts[1:], n)
     word = kind[starts] > 0
@@ -118,10 +187,10 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
         return empty
     row = np.searchsorted(offsets, starts, side="right") - 1
     value = span_hashes(low, starts, ends)
-    stops = np.concatenate([[0], np.cumsum(_ENDS[data])])
+    stops = np.concatenate([[0], np.cumsum(stop)])
     first = np.ones(len(starts), bool)
     first[1:] = (row[1:] != row[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
-    number = kind[starts] == 1
+    number = kind[starts] == _DIGIT
     follows = np.zeros(len(starts), bool)
     follows[1:] = number[:-1] & (row[1:] == row[:-1]) & ~number[1:]
     units = _unit_hashes()
@@ -130,13 +199,13 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     capital = upper[starts] | ((data[starts] == 0xC3) & upper[np.minimum(starts + 1, n - 1)])
     second = starts + 1 + (data[starts] == 0xC3)
     capitals = upper[np.minimum(second, n - 1)] & (second < ends)
-    return Tokens(low, starts, ends, row, value, number, unit, capital & ~number & ~unit & ~capitals, first)
+    return Tokens(low, starts, ends, row, value, number, unit, capital & ~number & ~unit & ~capitals, first, kind[starts] == _UNSPACED)
 
 
 def template(t: Tokens, named: bool | np.ndarray = False) -> Words:
     """Template words. Capitalised words that begin a sentence are plain, or names where ``named`` is true."""
     if not len(t.starts):
-        return Words(t.row, t.value, t.value, t.number, t.first, t.first, t.row)
+        return Words(t.row, t.value, t.value, t.number, t.first, t.first, t.row, t.dense)
     name = t.capital & (~t.first | named)
     code = np.select([t.number, t.unit, name], [_NUMBER, _UNIT, _NAME], t.value)
     plain = ~(t.number | t.unit | name)
@@ -151,7 +220,7 @@ def template(t: Tokens, named: bool | np.ndarray = False) -> Words:
         value[several] = span_hashes(t.low, t.starts[group][several], t.ends[last][several])
     row = t.row[group]
     place = group - np.searchsorted(t.row, np.arange(row[-1] + 1))[row]
-    return Words(row, code[group], value, plain[group], t.first[group], (name & t.first)[group], place)
+    return Words(row, code[group], value, plain[group], t.first[group], (name & t.first)[group], place, t.dense[group])
 
 
 def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,6 +271,12 @@ def sentences(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return inside[whole], mix(own[whole] + np.uint64(2) + np.uint64(n)), whole[whole]
 
 
+def _weights(w: Words, starts: np.ndarray, n: int) -> np.ndarray:
+    """What each window says: 1, and half of that if all its words are characters."""
+    upto = np.concatenate([[0], np.cumsum(w.dense)])
+    return 1 - (upto[starts + n] - upto[starts]) / (2 * n)
+
+
 def _slots(w: Words, starts: np.ndarray, n: int, own: np.ndarray) -> list[list[int]]:
     """The values behind the placeholders of each window; none of a window that is matched by its own words."""
     signed = w.value.view(np.int64)
@@ -209,7 +284,7 @@ def _slots(w: Words, starts: np.ndarray, n: int, own: np.ndarray) -> list[list[i
 
 
 def item_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id, ipos, size, hash, islots, n_windows``: the windows of each item; a short item is one window."""
+    """``item_id, ipos, size, hash, islots, n_windows, weight``: the windows of each item; a short item is one window."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,30 +296,52 @@ def item_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "tex
             for named in (False, True, head):
                 w = template(t, named)
                 count = np.bincount(w.row, minlength=len(offsets) - 1)
-                for n, at, h, own in _all_windows(w, range(1, WINDOW + 1), named is not False):
+                for n, at, h, own in _all_windows(w, range(1, WINDOW + 1), named is not False, count):
                     size = count[w.row[at]]
                     mine = np.ones(len(at), bool) if n > WINDOW else size == n if n < WINDOW else size >= n
                     at, h = at[mine], h[mine]
                     of = w.row[at]
-                    for i, k, x, s in zip(of, w.place[at], h.view(np.int64), _slots(w, at, n, own[mine]), strict=True):
-                        out.append((batch.column(0)[int(i)].as_py(), int(k), n, int(x), s, max(1, int(count[i]) - WINDOW + 1)))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+                    for i, k, x, s, y in zip(of, w.place[at], h.view(np.int64), _slots(w, at, n, own[mine]), _weights(w, at, n), strict=True):
+                        out.append((batch.column(0)[int(i)].as_py(), int(k), n, int(x), s, max(1, int(count[i]) - WINDOW + 1), float(y)))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "ipos", "size", "hash", "islots", "n_windows"]
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "ipos", "size", "hash", "islots", "n_windows", "weight"]
             )
 
     cut_all = bench.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        cut, "item_id long, ipos long, size int, hash long, islots array<long>, n_windows long"
+        cut, "item_id long, ipos long, size int, hash long, islots array<long>, n_windows long, weight double"
     )
     return cut_all.distinct()
 
 
-def _all_windows(w: Words, sizes: Iterable[int], switched: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Size, starts, hashes and whether they are of their own words, of the windows of these sizes, and of the longer ones; if ``switched``, of those that hold a word that is read otherwise."""
+def _all_windows(
+    w: Words, sizes: Iterable[int], switched: bool, count: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Size, starts, hashes and whether they are of their own words, of the windows of these sizes, and of the longer ones; if ``switched``, of those that hold a word that is read otherwise.
+
+    A window of few words, or of few by what its characters say, is matched as a sentence; of items, whose words ``count`` gives, only so if it is the whole item.
+    """
     upto = np.concatenate([[0], np.cumsum(w.switched)])
-    each = ((n, *(windows(w, n) if n >= MIN_WORDS else sentences(w, n))) for n in sizes)
-    for n, at, h, own in chain(each, long_windows(w)):
+
+    def each() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for n in sizes:
+            if n < MIN_WORDS:
+                yield n, *sentences(w, n)
+                continue
+            at, h, own = windows(w, n)
+            if w.dense.any():
+                light = _weights(w, at, n) * n < MIN_WORDS
+                if count is not None:
+                    light &= count[w.row[at]] == n
+                    at, h, own = at[~light], h[~light], own[~light]
+                whole, sh, sown = sentences(w, n)
+                few = _weights(w, whole, n) * n < MIN_WORDS
+                if few.any():
+                    yield n, whole[few], sh[few], sown[few]
+            yield n, at, h, own
+
+    for n, at, h, own in chain(each(), long_windows(w)):
         if switched:
             other = upto[at + n] > upto[at]
             at, h, own = at[other], h[other], own[other]
@@ -301,7 +398,7 @@ def find_contamination(
             sizes = []
     hits = document_windows(docs, sizes, wanted, id_col, text_col)
     met = materialize(
-        hits.join(items, "hash").select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("at"), "islots", "dslots", "n_windows"), "met"
+        hits.join(items, "hash").select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("at"), "islots", "dslots", "n_windows", "weight"), "met"
     )
     key = ["doc_id", "item_id", "at"]
     slots = met.select(*key, F.explode(F.arrays_zip("islots", "dslots")).alias("s")).select(*key, "s.islots", "s.dslots")
@@ -310,23 +407,28 @@ def find_contamination(
     whole = met.join(torn, [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in key], "left_anti")
     # alignments of one occurrence differ by what was put in or left out: they share one of two rows of bands
     bands = F.array(F.floor(F.col("at") / BAND) * 2, F.floor((F.col("at") + BAND // 2) / BAND) * 2 + 1)
-    each = whole.select("doc_id", "item_id", "ipos", F.explode(bands).alias("band"), "n_windows", (F.col("islots") == F.col("dslots")).alias("same"))
-    each = each.groupBy("doc_id", "item_id", "band", "ipos").agg(F.min("n_windows").alias("n_windows"), F.max("same").alias("same"))
-    near = each.groupBy("doc_id", "item_id", "band").agg(F.count("*").alias("n_matched"), F.min("n_windows").alias("n_windows"), F.min("same").alias("verbatim"))
-    best = near.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "verbatim", "n_windows")).alias("x")).select("doc_id", "item_id", "x.*")
+    each = whole.select("doc_id", "item_id", "ipos", F.explode(bands).alias("band"), "n_windows", "weight", (F.col("islots") == F.col("dslots")).alias("same"))
+    each = each.groupBy("doc_id", "item_id", "band", "ipos").agg(F.min("n_windows").alias("n_windows"), F.max("weight").alias("weight"), F.max("same").alias("same"))
+    near = each.groupBy("doc_id", "item_id", "band").agg(
+        F.count("*").alias("n_matched"), F.min("n_windows").alias("n_windows"), F.round(F.sum("weight"), 6).alias("weight"), F.min("same").alias("verbatim")
+    )
+    best = near.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "verbatim", "n_windows", "weight")).alias("x")).select("doc_id", "item_id", "x.*")
+    # of an item of less than two windows of characters that are words, part says too little
+    light = (F.col("n_windows") <= WINDOW) & (F.col("weight") < F.col("n_matched") * 0.75)
+    enough = (F.col("coverage") >= F.when(light, F.lit(1.0)).otherwise(F.lit(coverage))) | (F.col("weight") >= run)
     share = F.least(F.lit(1.0), F.col("n_matched") / F.col("n_windows"))
-    return best.select("doc_id", "item_id", "n_matched", "n_windows", share.alias("coverage"), "verbatim").filter((F.col("coverage") >= coverage) | (F.col("n_matched") >= run))
+    return best.select("doc_id", "item_id", "n_matched", "n_windows", share.alias("coverage"), "verbatim", "weight").filter(enough).drop("weight")
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item, in all their columns. Rows without an id count as one document each, by their text."""
-    named = docs.filter(F.col(id_col).isNotNull())
+    """``docs`` without the documents that hold a benchmark item, in all their columns, whatever their names. Rows without an id count as one document each, by their text."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    named = rows.filter("id is not null")
     # as a table their size is known, so that Spark need not shuffle the texts for a few ids
-    gone = materialize(find_contamination(named, bench, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    kept = named.join(gone, named[id_col] == F.col("__gone"), "left_anti")
-    nameless = docs.filter(F.col(id_col).isNull())
+    gone = materialize(find_contamination(named, bench, "id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    kept = named.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    nameless = rows.filter("id is null").withColumn("hash", F.xxhash64("text"))
     if not nameless.limit(1).count():
         return kept
-    by_text = F.xxhash64(text_col)
-    gone = find_contamination(nameless.select(by_text.alias("__id"), F.col(text_col).alias("__text")), bench, "__id", "__text").select(F.col("doc_id").alias("__gone")).distinct()
-    return kept.unionByName(nameless.join(gone, by_text == F.col("__gone"), "left_anti"))
+    gone = find_contamination(nameless, bench, "hash").select(F.col("doc_id").alias("gone")).distinct()
+    return kept.unionByName(nameless.join(gone, F.col("hash") == F.col("gone"), "left_anti").select("row.*"))

@@ -138,10 +138,11 @@ def simhash_keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of ``docs`` for each near-duplicate group: of the smallest id (none: last), of several texts with it that of the smallest hash.
 
     Rows that share id and text are one document, of which one row stays (any, if they differ in other columns).
-    Null and empty texts are near-duplicates of each other. An empty table gives none; all columns stay as they are.
+    Null and empty texts are near-duplicates of each other. An empty table gives none; all columns stay as they are, whatever their names.
     """
-    named = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    prints = fingerprints(named.withColumn("__id", F.struct(F.col(id_col).cast("long").alias("id"), F.col("__text").alias("text"))), "__id", text_col, keep_id=True)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text"), text.alias("words"))
+    prints = fingerprints(named.select(F.struct("id", "text").alias("key"), "words"), "key", "words", keep_id=True)
     prints = materialize(prints.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.text").alias("text"), "fp"), "fingerprints")
     of = _components(prints, bits, CROWDED).select("fp", "root")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text")
@@ -149,11 +150,11 @@ def simhash_keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = first.join(of, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text")
     first = first.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"), F.lit(True).alias("stays"))
     marked = prints.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text") == F.col("first_text")), "left")
-    kept = materialize(marked.select(F.col("doc_id").alias("__id"), F.col("text").alias("__hash"), F.coalesce("stays", F.lit(False)).alias("__stays")), "stays")
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
-    out = named.join(kept.filter("not __stays").select("__id", "__hash").distinct(), on, "left_anti")
-    again = kept.filter("__stays").groupBy("__id", "__hash").count().filter("count > 1").select("__id", "__hash")
+    kept = materialize(marked.select(F.col("doc_id").alias("of_id"), F.col("text").alias("of_text"), F.coalesce("stays", F.lit(False)).alias("stays")), "stays")
+    on = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text") == F.col("of_text"))
+    out = named.drop("words").join(kept.filter("not stays").select("of_id", "of_text").distinct(), on, "left_anti")
+    again = kept.filter("stays").groupBy("of_id", "of_text").count().filter("count > 1").select("of_id", "of_text")
     if again.limit(1).count():
         again = materialize(again, "again")
-        out = out.join(again, on, "left_anti").unionByName(out.join(again, on, "left_semi").dropDuplicates([id_col, "__text"]))
-    return out.drop("__text")
+        out = out.join(again, on, "left_anti").unionByName(out.join(again, on, "left_semi").dropDuplicates(["id", "text"]))
+    return out.select("row.*")

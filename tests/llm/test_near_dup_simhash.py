@@ -102,3 +102,12 @@ def test_one_row_of_a_group_stays_without_ids_and_with_repeated_ones(spark):
 
 def test_empty_table(spark):
     assert op.simhash_components(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_columns_of_clashing_names(spark):
+    names = ["__text", "__id", "__hash", "row", "id", "words", "of_id", "of_text", "stays", "fp", "root", "component_id", "key"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)
+    same = "one two three four five six seven eight nine ten"
+    rows = [(2, same, *range(13)), (1, same, *range(13)), (1, same, *range(13)), (3, "other words here now", *range(13)), (None, same, *range(13))]
+    kept = op.simhash_keep_first(spark.createDataFrame(rows, schema))
+    assert kept.columns == ["doc_id", "text", *names] and sorted(map(tuple, kept.collect())) == [rows[1], rows[3]]
