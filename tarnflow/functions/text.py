@@ -168,6 +168,20 @@ def placeholder_only(c: Column, least: int = 20) -> Column:
     return F.length(F.regexp_replace(without_placeholders(c), r"\s+", "")) < least
 
 
+def meta_keywords(html: Column) -> Column:
+    """The keywords that a page's head names, trimmed, in their order; none of a null page or one that names none."""
+    head = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bname\s*=\s*[\"']?keywords\b[^>]*>", 0)
+    content = F.regexp_extract(head, r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 0)
+    named = F.regexp_replace(content, r"(?is)^content\s*=\s*[\"']|[\"']$", "")
+    return F.filter(F.transform(F.split(F.coalesce(named, F.lit("")), "[,，;；]"), lambda k: F.trim(k)), lambda k: k != "")
+
+
+def tags(words: Column, c: Column, dictionary: Sequence[str]) -> Column:
+    """The different words of an array and those of a dictionary that a text holds, sorted."""
+    held = F.array_compact(F.array(*[F.when(F.contains(c, F.lit(w)), w) for w in dictionary]))
+    return F.array_sort(F.array_distinct(F.concat(F.coalesce(words, F.array().cast("array<string>")), held)))
+
+
 def passage(fields: dict[str, Column], text: Column, most: int = 2000) -> Column:
     """Lines ``name: value`` of what is known, then the text, cut to ``most``."""
     return F.concat_ws("\n", *[F.when(blank_to_null(v).isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in fields.items()], F.substring(text, 1, most))

@@ -65,7 +65,7 @@ def missingness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def dense_coverage(df: DataFrame, a: DataFrame, b: DataFrame, a_col: str, b_col: str, date: str) -> DataFrame:
-    """Every pair of two small dimensions with its rows and first and last date; pairs without rows are ``missing``."""
+    """Every pair of two dimensions with its rows and first and last date; pairs without rows are ``missing``. The pairs are the result: as many as one side has values times the other."""
     got = df.groupBy(a_col, b_col).agg(F.count("*").alias("n"), F.min(date).alias("first"), F.max(date).alias("last"))
     grid = a.select(a_col).distinct().crossJoin(b.select(b_col).distinct())  # dimensions, not rows
     out = grid.join(got, [a_col, b_col], "left").withColumn("n", F.coalesce("n", F.lit(0)))

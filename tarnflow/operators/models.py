@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import platform
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -124,6 +125,32 @@ def select_linear(
     return out.join(F.broadcast(best)).withColumn("selected", F.struct("alpha", "l1") == F.col("best")).drop("best")  # one row
 
 
+def registry(
+    df: DataFrame, xs: Sequence[str], label: str, split: str, grid: Sequence[tuple[float, float]], y_rank: str | None = None, places: int | None = None, versions: dict[str, str] | None = None
+) -> DataFrame:
+    """What it takes to fit a grid of linear models again: ``alpha, l1, features, intercept, coefficients, rows, selected, test, valid_ic, target, low, high, versions``.
+
+    ``features`` and ``coefficients`` are arrays in one order, ``rows`` counts those of each split, ``low`` and ``high`` are the least and greatest
+    label fitted on, ``test`` holds the metrics of the test rows (null where there are none), ``versions`` those of what ran (or as given). A label
+    that is null is not fitted. A row for each model, whatever the size of the table.
+    """
+    found = moments(df.filter(F.col(split) == "train"), xs, label)
+    fits = [(float(a), float(l1), fit_moments(found, xs, a, l1)) for a, l1 in grid]
+    spark = df.sparkSession
+    rows = [(a, l1, m.columns, m.intercept, m.coefficients) for a, l1, m in fits]
+    models = spark.createDataFrame(rows, "alpha double, l1 double, features array<string>, intercept double, coefficients array<double>")
+    scores = select_linear(df, xs, label, split, grid, y_rank, places)
+    facts = F.struct("n", "mae", "rmse", "r2", "direction", "ic")
+    per = scores.groupBy("alpha", "l1").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(split), F.col("n"))))).alias("rows"), F.first("selected").alias("selected"),  # an entry for each split
+        F.max(F.when(F.col(split) == "test", facts)).alias("test"), F.max(F.when(F.col(split) == "valid", F.col("ic"))).alias("valid_ic"),
+    )
+    edges = df.filter(F.col(split) == "train").agg(F.lit(label).alias("target"), F.min(label).alias("low"), F.max(label).alias("high"))
+    used = versions or {"python": platform.python_version(), "spark": spark.version, "numpy": np.__version__}
+    out = models.join(F.broadcast(per), ["alpha", "l1"]).join(F.broadcast(edges))  # a row for each model, and one row
+    return out.withColumn("versions", F.create_map(*[F.lit(x) for pair in sorted(used.items()) for x in pair]))
+
+
 def permutation_drop(df: DataFrame, model: Linear, label: str, key: Column, shuffles: int = 5, seed: int = 7, places: int | None = None) -> DataFrame:
     """``feature, drop_mean, drop_std``: how far the rank correlation falls when a column's values are dealt anew among all rows, over several shuffles.
 

@@ -453,6 +453,18 @@ def _(spark, d):
     return _metrics(m.transform(f), ["split"]).withColumn("registry", facts)
 
 
+@query("ml_registry_fitted", f"""WITH RECURSIVE {_FRAME}, {_fit(*_ALPHAS)}, {_metrics_sql('alpha, split', f'SELECT alpha, split, y, {_P} FROM fr, fit')},
+n AS (SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'valid') AS n_valid, count(*) FILTER (split = 'test') AS n_test, min(y) FILTER (split = 'train') AS low, max(y) FILTER (split = 'train') AS high FROM fr)
+SELECT alpha, 'y' AS target, '{",".join(_Z)}' AS features, round(b0, 5) AS intercept, {_each("round(b#, 5) + 0.0 AS b#")}, n_train, n_valid, n_test, round(low, 5) AS low, round(high, 5) AS high, alpha = ({_BEST}) AS selected,
+  v.ic AS valid_ic, t.mae AS test_mae, t.rmse AS test_rmse, t.r2 AS test_r2, t.ic AS test_ic FROM fit, n LEFT JOIN met v ON v.alpha = fit.alpha AND v.split = 'valid' LEFT JOIN met t ON t.alpha = fit.alpha AND t.split = 'test'""".replace("SELECT alpha, 'y'", "SELECT fit.alpha, 'y'").replace("alpha = (SELECT", "fit.alpha = (SELECT", 1))
+def _(spark, d):
+    got = models.registry(_frame(spark, d), _Z, "y", "split", _ALPHAS, "y_rank", _PLACES)
+    b = [(F.round(F.element_at("coefficients", i), 5) + 0.0).alias(f"b{i}") for i in range(1, 5)]
+    counts = [F.coalesce(F.element_at("rows", F.lit(s)), F.lit(0)).alias(f"n_{s}") for s in ("train", "valid", "test")]
+    test = [F.round(f"test.{c}", p).alias(f"test_{c}") for c, p in (("mae", 4), ("rmse", 4), ("r2", 5), ("ic", 5))]
+    return got.select("alpha", "target", F.array_join("features", ",").alias("features"), F.round("intercept", 5).alias("intercept"), *b, *counts, F.round("low", 5).alias("low"), F.round("high", 5).alias("high"), "selected", F.round("valid_ic", 5).alias("valid_ic"), *test)
+
+
 _KEY = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 _PLACED = lambda what: f"row_number() OVER (ORDER BY substr(md5({what} || '|' || key), 1, 15), key)"
 _DEALT = " UNION ALL ".join(f"SELECT {k} AS shuffle, '{z}' AS feature, {_PLACED(f"'7|{k}|{z}'")} AS at_, z{i} AS given FROM te" for k in range(5) for i, z in enumerate(_Z, 1))

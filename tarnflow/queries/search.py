@@ -208,6 +208,16 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(tags), "|").alias("tags"))
 
 
+_WORDS = ("the", "der", "que", "charset", "cookie", "License")
+_META = """regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bname\\s*=\\s*["'']?keywords\\b[^>]*>', 0), '(?is)\\bcontent\\s*=\\s*"([^"]*)"', 1)"""
+
+
+@query("tx_tags_pages", f"""SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(list_concat(list_filter(list_transform(regexp_split_to_array({_META}, '[,，;；]'), lambda k: trim(k)), lambda k: k <> ''),
+  list_filter([{", ".join(f"'{w}'" for w in _WORDS)}], lambda w: contains(html, w))))), '|'), '') AS tags FROM pages""")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_join(text.tags(text.meta_keywords(F.col("html")), F.col("html"), _WORDS), "|").alias("tags"))
+
+
 _PAGE_LINE = r"(?i)^\s*(?:page\s+)?\d+\s*(?:/\s*\d+)?\s*$|licensed? under|all rights reserved"
 
 

@@ -60,3 +60,13 @@ def test_rules(spark):
     assert [policy(True, False, False, True, 0), policy(True, False, False, False, 3), policy(True, False, False, False, 4), policy(False, True, True, True, 0)] == ["train_clean", "train_overlap", "review_overlap", "exclude_no_label"]
     got = one(spark, rules.category(F.col("a"), {"x": ["foo"], "y": ["bar"]}), a="bar foo foo")
     assert (got["primary"], got["tags"], got["score"]) == ("x", ["x", "y"], 3)
+
+
+def test_tags_of_pages(spark):
+    pages = [
+        '<head><meta name="keywords" content="ETL, slow query ,,ETL"></head>slow CDN', "<META NAME='Keywords' CONTENT='a；b，c'>", '<meta charset="utf-8"><p>CDN and ETL', "<meta content='it, is' name=keywords>",
+        '<meta name="description" content="x,y">', "", None,
+    ]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    got = {r.i: r.t for r in df.select("i", text.tags(text.meta_keywords(F.col("html")), F.col("html"), ("CDN", "ETL")).alias("t")).collect()}
+    assert got == {0: ["CDN", "ETL", "slow query"], 1: ["a", "b", "c"], 2: ["CDN", "ETL"], 3: ["is", "it"], 4: [], 5: [], 6: []}

@@ -144,3 +144,16 @@ def test_top_parts_and_mean_sizes(spark):
 def test_tree_contributions_of_no_rows(boosted):
     df, model = boosted
     assert trees.tree_contributions(model.transform(df.limit(0)), model).collect() == []
+
+
+def test_registry_fits_again(spark):
+    rows = [("train" if i % 4 else "valid", float(i % 7), float((i * 5) % 11), 2.0 * (i % 7) - (i * 5) % 11 + 3.0) for i in range(80)] + [("train", 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "split string, a double, b double, y double").withColumn("y_rank", F.col("y"))
+    got = {r.alpha: r for r in models.registry(df, ["a", "b"], "y", "split", [(0.0, 0.0), (1.0, 0.0)], places=9, versions={"job": "3"}).collect()}
+    assert set(got) == {0.0, 1.0} and got[0.0].selected and not got[1.0].selected
+    r = got[0.0]
+    assert r.features == ["a", "b"] and np.allclose([r.intercept, *r.coefficients], [3.0, 2.0, -1.0])
+    assert r.target == "y" and r.versions == {"job": "3"} and r.test is None and r.rows["valid"] == 20 and abs(r.valid_ic - 1.0) < 1e-9
+    again = df.filter("split = 'train'").select(models.Linear(r.features, r.coefficients, r.intercept).score().alias("p"), "y").filter("abs(p - y) > 1e-6")
+    assert again.count() == 0
+    assert set(models.registry(df, ["a"], "y", "split", [(0.0, 0.0)]).head().versions) == {"python", "spark", "numpy"}
