@@ -1,5 +1,6 @@
 """Fixed effects, the bootstrap and contributions of trees against plain fits with dummies and against all subsets."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -157,3 +158,35 @@ def test_registry_fits_again(spark):
     again = df.filter("split = 'train'").select(models.Linear(r.features, r.coefficients, r.intercept).score().alias("p"), "y").filter("abs(p - y) > 1e-6")
     assert again.count() == 0
     assert set(models.registry(df, ["a"], "y", "split", [(0.0, 0.0)]).head().versions) == {"python", "spark", "numpy"}
+
+
+def shuffled(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_permutation_deals_each_value_once_as_one_after_the_other(spark):
+    rng = np.random.default_rng(4)
+    n, columns = 20_000, ["u", "v"]
+    data = pd.DataFrame({"k": [f"{i}" for i in range(n)], "u": rng.integers(0, 9, n).astype(float), "v": rng.normal(size=n).round(2)})
+    data["y"] = (data["u"] * 0.3 + data["v"] + rng.normal(size=n)).round(2)
+    model = models.Linear(columns, [0.3, 1.0], 0.5)
+    df = spark.createDataFrame([*data.itertuples(index=False, name=None), ("x", None, 1.0, 1.0), ("z", 1.0, 1.0, None)], "k string, u double, v double, y double").repartition(4)
+    before = shuffled(spark)
+    got = {r["feature"]: r for r in models.permutation_drop(df, model, "y", F.col("k"), shuffles=5, places=9).collect()}
+    assert shuffled(spark) - before < 700 * n  # ten deals
+
+    def at(name):  # rows in the order of their hashed keys
+        return np.array(sorted(range(n), key=lambda i: (hashlib.md5(f"{name}|{data['k'][i]}".encode()).hexdigest()[:15], data["k"][i])))
+
+    def ic(u, v):
+        return data["y"].rank().corr((0.5 + u * 0.3 + v).round(9).rank())
+
+    places = at("7")
+    for c in columns:
+        drops = []
+        for s in range(5):
+            mixed = data[columns].copy()
+            mixed.loc[places, c] = data[c].to_numpy()[at(f"7|{s}|{c}")]
+            drops.append(ic(data["u"], data["v"]) - ic(mixed["u"], mixed["v"]))
+        assert abs(got[c]["drop_mean"] - np.mean(drops)) < 1e-9 and abs(got[c]["drop_std"] - np.std(drops)) < 1e-9
