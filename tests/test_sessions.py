@@ -75,6 +75,55 @@ def test_stream_equals_replay_over_a_restart(spark, tmp_path):
     assert said(got.filter("session <> 'z'")) == plain(commands)
 
 
+class Counted:
+    """A state or handle in memory that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, set()
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def appendList(self, rows):
+        self.calls += 1
+        self.value = [*(self.value or []), *rows]
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def put(self, rows):
+        self.calls += 1
+        self.value = list(rows)
+
+    update = lambda self, v: setattr(self, "value", v)
+    clear = lambda self: setattr(self, "value", None)
+    registerTimer = lambda self, t: self.timers.add(t)
+
+
+def test_calls_to_the_state_do_not_grow_with_the_commands():
+    from types import SimpleNamespace as Any
+
+    def run(n):
+        p, states = sessions._Sessions(1_800_000_000), [Counted() for _ in range(4)]
+        p.waiting, p.messages, p.last, p.handle = states
+        rows = [{"micros": i * 1_000_000, "seq": i, "op": "read" if i % 3 == 2 else "append", "role": "user", "content": f"m{i}"} for i in range(n)]
+        p.handleInputRows(("a",), iter(rows), None)
+        clock, out = Any(getCurrentWatermarkInMs=lambda: n * 1000 + 1), []
+        for t in sorted(states[3].timers):
+            if t <= n * 1000 + 1:
+                out += p.handleExpiredTimer(("a",), clock, Any(getExpiryTimeInMs=lambda t=t: t))
+        assert [(r["seq"], len(r["history"])) for r in out] == [(i, i - i // 3) for i in range(2, n, 3)]
+        assert states[0].value is None and len(states[1].value) == n - n // 3
+        return sum(s.calls for s in states)
+
+    assert run(300) == run(30) < 20
+
+
 CHANGES = "k int, at int, v string, deleted boolean"
 
 
