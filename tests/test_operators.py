@@ -241,3 +241,21 @@ def test_normalized_columns(spark):
     assert got[3].yoy is None and round(got[5].yoy, 6) == 24.0 and round(got[6].yoy, 6) == 8.0  # 360 days before
     assert (got[0].xsrank, got[90].xsrank, got[91].xsrank, got[0].xsdemed) == (0.375, 0.75, 1.0, -2.0) and got[92].xsrank is None and got[1].xsrank is None
     assert features.normalized(spark.createDataFrame([], "i int, k string, d date, v double"), "k", "d", "i", ["v"]).count() == 0
+
+
+def test_chunks_leave_a_task_in_small_batches(monkeypatch, spark):
+    """10,000 texts at once would all be strings at once, with their chunks."""
+    import pyarrow as pa
+
+    found = {}
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: found.update(f=f) or self.limit(0).selectExpr("id", "0L as part", "'' as chunk", "'' as title"), raising=True)
+    docs = spark.createDataFrame([(1, "x")], "id long, text string")
+    chunking.chunk_texts(docs, "id", "text", most=1000, overlap=100)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(300)), "text": [("Ein Satz. " * 3000) if i % 3 else None for i in range(300)]})
+    out = list(found["f"](iter([batch])))
+    assert len(out) > 3 and max(b.nbytes for b in out) < 3_000_000
+    assert sorted({i for b in out for i in b.column(0).to_pylist()}) == [i for i in range(300) if i % 3]
+    chunking.page_sections(docs, "id", "text")
+    batch = pa.RecordBatch.from_pydict({"id": list(range(300)), "name": [str(i) for i in range(300)], "html": ["<h2>a</h2>" + "<p>b</p>" * 3000] * 300})
+    out = list(found["f"](iter([batch])))
+    assert len(out) > 3 and sum(b.num_rows for b in out) == 600
