@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.operators.windows import cumulative_sums
+from tarnflow.session import materialize
 
 
 def _rate(a: Column, b: Column) -> Column:
@@ -21,7 +22,7 @@ def curves(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFram
     """
     hit = F.col(label).cast("int")
     counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(hit).alias("pos"))
-    c = cumulative_sums(counts, by, score, ["n", "pos"])
+    c = cumulative_sums(materialize(counts, "counts"), by, score, ["n", "pos"])
     positives, all_ = F.col("__total_pos"), F.col("__total_n")
     below = (F.col("__end_n") - F.col("n")) - (F.col("__end_pos") - F.col("pos"))
     pairs = F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2)
@@ -38,7 +39,7 @@ def confident_accuracy(df: DataFrame, by: Sequence[str], label: str, score: str,
     right = ((F.col(score) >= cut) == F.col(label).cast("boolean")).cast("int")
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("__far", F.round(F.abs(F.col(score) - cut), 12))
     counts = rows.groupBy(*by, "__far").agg(F.count("*").alias("n"), F.sum(right).alias("right"))
-    c = cumulative_sums(counts, by, "__far", ["n", "right"])
+    c = cumulative_sums(materialize(counts, "counts"), by, "__far", ["n", "right"])
     above = F.col("__total_n") - F.col("__end_n")
     found = []
     for share in shares:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from tarnflow.operators import models, trees
+from tarnflow.operators import features, models, trees, windows
 
 
 def panel(companies, years, n, seed):
@@ -190,3 +190,30 @@ def test_permutation_deals_each_value_once_as_one_after_the_other(spark):
             mixed.loc[places, c] = data[c].to_numpy()[at(f"7|{s}|{c}")]
             drops.append(ic(data["u"], data["v"]) - ic(mixed["u"], mixed["v"]))
         assert abs(got[c]["drop_mean"] - np.mean(drops)) < 1e-9 and abs(got[c]["drop_std"] - np.std(drops)) < 1e-9
+
+
+@pytest.mark.parametrize("lookup", [0, 30, 1 << 20])
+def test_manifest_of_few_and_many_values(spark, lookup, monkeypatch):
+    """By broadcast ranks, by ranks of rows, or both: correlations over rows with both values, equal to those of pandas."""
+    monkeypatch.setattr(features, "_LOOKUP", lookup)
+    rng = np.random.default_rng(5)
+    x = pd.DataFrame({"split": rng.choice(["train", "test"], 400), "y": rng.integers(0, 60, 400).astype(float), "a": rng.integers(0, 4, 400).astype(float), "b": rng.normal(size=400), "c": 1.0, "d": np.nan})
+    x.loc[rng.random(400) < 0.2, "a"] = np.nan
+    x.loc[rng.random(400) < 0.1, "y"] = np.nan
+    rows = spark.createDataFrame([tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in x.itertuples(index=False)], "split string, y double, a double, b double, c double, d double")
+    got = {r.feature: r for r in features.ic_manifest(rows, ["a", "b", "c", "d"], "split", "y").collect()}
+    for f in ("a", "b"):
+        for s in ("train", "test"):
+            own = x[(x.split == s) & x[f].notna() & x.y.notna()]
+            assert got[f][f"ic_{s}"] == pytest.approx(own[f].rank().corr(own.y.rank()))
+        assert got[f].n == (x[f].notna() & x.y.notna()).sum() and got[f].missing_rate == pytest.approx(x[f].isna().mean())
+    assert (got["c"].ic_train, got["c"].stable, got["d"].ic_train, got["d"].n, got["d"].missing_rate) == (0.0, False, None, None, 1.0)
+
+
+def test_ranks_by_parts(spark):
+    rng = np.random.default_rng(6)
+    x = pd.DataFrame({"i": range(600), "g": rng.choice(["p", "q"], 600), "v": np.where(rng.random(600) < 0.5, 7.0, rng.integers(0, 300, 600) / 10)})
+    rows = spark.createDataFrame(x).withColumn("v", F.when(F.col("i") % 11 > 0, F.col("v"))).withColumn("g", F.when(F.col("g") == "p", "p"))
+    got = {r.i: r.k for r in windows.part_ranks(rows, ["g"], "v", "k", 16).collect()}
+    want = x[x.i % 11 > 0].groupby("g").v.rank()
+    assert len(got) == 600 and all(got[i] == (want[i] if i in want.index else None) for i in x.i)
