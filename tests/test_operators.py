@@ -259,3 +259,18 @@ def test_chunks_leave_a_task_in_small_batches(monkeypatch, spark):
     batch = pa.RecordBatch.from_pydict({"id": list(range(300)), "name": [str(i) for i in range(300)], "html": ["<h2>a</h2>" + "<p>b</p>" * 3000] * 300})
     out = list(found["f"](iter([batch])))
     assert len(out) > 3 and sum(b.num_rows for b in out) == 600
+
+
+def test_align_forward_shuffles_once(spark):
+    """The days of the right side are read once, also for the status, and null keys meet none."""
+    left = spark.createDataFrame([(1, "a", 3), (2, "a", 9), (3, None, 1), (4, "b", 1), (5, "a", None)], "i int, k string, n int").withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")))
+    right = spark.createDataFrame([("a", 4, 1.0), ("a", 6, 2.0), (None, 5, 3.0)], "k string, m int, v double").withColumn("e", F.date_add(F.lit("2024-01-01").cast("date"), F.col("m")))
+    out = joins.align_forward(left, right.select("k", "e", "v"), "k", "d", "e", ["v"])
+    assert {r.i: (r.v, r.status) for r in out.collect()} == {1: (1.0, "before_first"), 2: (None, "after_last"), 3: (None, "no_key"), 4: (None, "no_key"), 5: (None, "bad_date")}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("LocalTableScan") + out._jdf.queryExecution().sparkPlan().toString().count("Scan ExistingRDD") == 2
+
+
+def test_raw_sums_are_those_of_the_frame(spark):
+    rows = spark.createDataFrame([(c, n, float(n * n) if n % 3 else None) for c in "ab" for n in range(9)], "c string, n int, x double")
+    both = features.raw_sums(windows.event_sums(rows, "c", "n", "x", {"w": (0, 2)}), "c", "n", "x", 0, 2, "again").collect()
+    assert len(both) == 18 and all(r.again == r.sum_w for r in both)
