@@ -1,5 +1,6 @@
 """Fixed effects, the bootstrap and contributions of trees against plain fits with dummies and against all subsets."""
 
+import datetime as dt
 import hashlib
 import itertools
 
@@ -217,3 +218,27 @@ def test_ranks_by_parts(spark):
     got = {r.i: r.k for r in windows.part_ranks(rows, ["g"], "v", "k", 16).collect()}
     want = x[x.i % 11 > 0].groupby("g").v.rank()
     assert len(got) == 600 and all(got[i] == (want[i] if i in want.index else None) for i in x.i)
+
+
+def test_prepare_from_counts(spark):
+    """Medians, clipping, means and deviations equal those of the rows; a constant is only centred, a feature without values is 0. Nothing is collected by passes over rows."""
+    rng = np.random.default_rng(8)
+    x = pd.DataFrame({"a": rng.normal(size=300).round(1), "k": 0.1, "t": rng.random(300) < 0.7})
+    x.loc[rng.random(300) < 0.3, "a"] = np.nan
+    rows = spark.createDataFrame([(None if np.isnan(r.a) else float(r.a), float(r.k), None, bool(r.t)) for r in x.itertuples()], "a double, k double, e double, t boolean")
+    out = models.prepare(rows, ["a", "k", "e"], F.col("t")).toPandas()
+    a = x.a.fillna(x.a[x.t].median())
+    a = a.clip(*a[x.t].quantile([0.01, 0.99]))
+    assert out.z_a.to_numpy() == pytest.approx(((a - a[x.t].mean()) / a[x.t].std()).to_numpy())
+    assert (out.z_k == 0).all() and (out.z_e == 0).all() and list(out.features[0]) == [out.z_a[0], 0.0, 0.0]
+
+
+def test_frames_without_ranks_shuffle_no_rows(spark, tmp_path):
+    from tarnflow import registry  # noqa: F401  all queries, in their order
+    from tarnflow.queries import modelling
+
+    rows = [(i, i % 9, i % 7, i % 5, float(i % 50), 1000.0 + i, 0.1, 0.05, "N", "O", dt.datetime(1996 + i % 4, 1, 1)) for i in range(200)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    frame, _ = modelling._ridge(spark, str(tmp_path), frame=modelling._plain_frame)
+    assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString() and "y_rank" not in frame.columns
+    assert modelling._frame(spark, str(tmp_path)).filter("y_rank is not null").count() == 200
