@@ -48,7 +48,12 @@ def keyword_hits(events: DataFrame, chunks: DataFrame, key: str, k: int = 5, wit
 
 
 def rule_matches(events: DataFrame, chunks: DataFrame, near: int = 3) -> DataFrame:
-    """Pairs of an event and a chunk within ``near`` days that a rule matches, with ``method, score, strength``.
+    """The ``rule_pairs`` that a rule matches."""
+    return rule_pairs(events, chunks, near).filter("method is not null")
+
+
+def rule_pairs(events: DataFrame, chunks: DataFrame, near: int = 3) -> DataFrame:
+    """Pairs of an event and a chunk within ``near`` days, with ``method, score, strength`` of the rule that matches them; a null method where none does.
 
     ``direct_title_date``: one title holds the other, as any holds an empty one (1000 and twice the length of the event's). ``expanded_group_title``: the chunk
     holds words of the event's group of titles (500 and their score). ``weak_category_date``: it holds words of the category and lies
@@ -63,7 +68,7 @@ def rule_matches(events: DataFrame, chunks: DataFrame, near: int = 3) -> DataFra
     score = F.when(direct, 1000 + 2 * F.length(title)).when(expanded >= EXPANDED_LEAST, 500 + expanded).otherwise(100 + weak)
     source = F.coalesce("text_source", F.lit(""))
     strength = F.when(F.col("method") == "weak_category_date", "weak").when(source.isin(*FULL_TEXTS, ""), "strong").otherwise("auxiliary")
-    found = pairs.withColumns({"method": method, "score": score.cast("long")}).filter("method is not null")
+    found = pairs.withColumns({"method": method, "score": score.cast("long")})
     return found.withColumn("strength", strength)
 
 
@@ -77,8 +82,14 @@ def evidence_gaps(events: DataFrame, chunks: DataFrame, matched: DataFrame, key:
     to tell, a category without words of its own (``other``), or words that no chunk holds."""
     open_ = events.join(matched.select(key).distinct(), key, "left_anti")
     pairs = range_pairs(open_.select(key, "symbol", "event_date"), chunks.select("symbol", "publish_date"), "symbol", "event_date", "publish_date", -near, near)
-    counts = pairs.groupBy(key).agg(F.count_if(F.col("gap_days") == 0).alias("same_day"), F.count("*").alias("near_day"))
-    out = open_.join(counts, key, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("same_day", "near_day")})
+    return pair_gaps(open_, pairs.withColumn("method", F.lit(None).cast("string")), key, other, short, keep)
+
+
+def pair_gaps(events: DataFrame, pairs: DataFrame, key: str, other: str, short: int = 4, keep: Sequence[str] = ()) -> DataFrame:
+    """``evidence_gaps`` from ``rule_pairs``, which are found once for matches and counts; ``events`` are read twice."""
+    counts = pairs.groupBy(key).agg(F.count_if(F.col("gap_days") == 0).alias("same_day"), F.count("*").alias("near_day"), F.count("method").alias("__matched"))
+    out = events.join(counts, key, "left").filter(F.coalesce("__matched", F.lit(0)) == 0)
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("same_day", "near_day")})
     size = F.length("normal_title")
     reason = F.when(F.col("near_day") == 0, "no_nearby_chunks").when(size < short, "short_or_template_title").when(F.col("category") == other, "weak_category_terms").otherwise("title_terms_not_matched")
     return out.select(key, *keep, size.cast("long").alias("title_length"), "same_day", "near_day", reason.alias("reason"))

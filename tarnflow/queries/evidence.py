@@ -24,10 +24,11 @@ ch AS (SELECT DISTINCT symbol, CASE WHEN l_linenumber < 7 THEN ship END AS publi
 
 
 def _events_and_chunks(spark, d):
-    """Orders with titles from their lines' parts, and all lines of customers as chunks."""
+    """Orders with titles from their lines' parts, and all lines of customers as chunks. Repeated lines go before they meet their texts."""
     o = table(spark, d, "orders")
     lines = table(spark, d, "lineitem").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    b = lines.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    part = table(spark, d, "part")
+    b = lines.select("o_orderkey", "l_linenumber", "l_partkey").join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     titles = b.groupBy("o_orderkey").agg(F.min(F.when(F.col("l_linenumber") == 1, F.col("p_name"))).alias("title"), F.collect_set("p_name").alias("titles"))
     both = o.join(titles, "o_orderkey", "left")
     words = lambda c: text.title_terms(F.coalesce(c, F.lit("")))
@@ -39,10 +40,12 @@ def _events_and_chunks(spark, d):
         "o_orderkey", F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("event_date"), F.col("o_orderpriority").alias("category"), text.normalize_title(F.coalesce("title", F.lit(""))).alias("normal_title"),
         words(F.col("title")).alias("own_terms"), words(F.array_join("titles", "|")).alias("terms"), category.alias("category_terms"),
     )
-    chunks = b.select(
-        F.col("o_custkey").alias("symbol"), F.when(F.col("l_linenumber") < 7, F.to_date("l_shipdate")).alias("publish_date"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("chunk_id"), F.col("l_linenumber").alias("chunk_index"),
-        text.normalize_title(F.col("p_name")).alias("chunk_title"), F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("haystack"), F.when(F.col("l_returnflag") == "A", "pdf").when(F.col("l_returnflag") == "N", "irm_qa").otherwise("").alias("text_source"),
-    ).distinct()
+    source = F.when(F.col("l_returnflag") == "A", "pdf").when(F.col("l_returnflag") == "N", "irm_qa").otherwise("")
+    own = lines.select("l_orderkey", "l_linenumber", "l_partkey", F.col("o_custkey").alias("symbol"), F.when(F.col("l_linenumber") < 7, F.to_date("l_shipdate")).alias("publish_date"), source.alias("text_source")).distinct()
+    texts = part.select("p_partkey", text.normalize_title(F.col("p_name")).alias("chunk_title"), F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("haystack")).distinct()
+    chunks = own.join(texts, F.col("l_partkey") == F.col("p_partkey")).select(
+        "symbol", "publish_date", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("chunk_id"), F.col("l_linenumber").alias("chunk_index"), "chunk_title", "haystack", "text_source",
+    )
     return events, chunks
 
 
@@ -69,5 +72,5 @@ CASE WHEN near_day IS NULL THEN 'no_nearby_chunks' WHEN length(normal_title) < 4
 FROM ev LEFT JOIN (SELECT o_orderkey, count(*) FILTER (gap = 0) AS same_day, count(*) AS near_day FROM pa GROUP BY 1) USING (o_orderkey) WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ma WHERE method IS NOT NULL)""")
 def _(spark, d):
     events, chunks = _events_and_chunks(spark, d)
-    events, chunks = materialize(events, "events"), materialize(chunks, "chunks")
-    return evidence.evidence_gaps(events, chunks, evidence.rule_matches(events, chunks), "o_orderkey", _OTHER, keep=["category"])
+    events = materialize(events, "events")
+    return evidence.pair_gaps(events, evidence.rule_pairs(events, chunks), "o_orderkey", _OTHER, keep=["category"])

@@ -87,3 +87,11 @@ def test_keyword_hits_take_pairs_without_dates(spark):
     c = chunks(spark, [("A", 370, "far", 1, "", "alpha beta", ""), ("A", 371, "beyond", 1, "", "alpha beta", ""), ("A", None, "undated", 1, "", "alpha alpha", ""), ("A", 1, "near", 1, "", "alpha", ""), ("A", 0, "none", 1, "", "gamma", "")])
     got = [(r.e, r["rank"], r.chunk_id, r.score, r.gap_days) for r in evidence.keyword_hits(e, c, "e", k=2).orderBy("e", "rank").collect()]
     assert got == [(1, 1, "undated", 10, None), (1, 2, "far", 9, 370), (2, 1, "undated", 10, None), (2, 2, "near", 5, None)]
+
+
+def test_gaps_from_pairs_found_once(spark):
+    e = events(spark, [(1, "A", 0, "x", "long enough", [], []), (2, "B", 0, "x", "abc", ["word", "words"], []), (3, "B", 0, "other", "abcd", [], []), (4, "B", None, "x", "abcd", [], [])])
+    c = chunks(spark, [("A", 5, "a", 1, "zzz", "h", "pdf"), ("B", 0, "b", 1, "zzz", "word words word", "pdf"), ("B", 1, "b2", 2, "zzz", "h", "pdf")])
+    got = {g.e: (g.same_day, g.near_day, g.reason) for g in evidence.pair_gaps(e, evidence.rule_pairs(e, c), "e", "other").collect()}
+    assert got == {g.e: (g.same_day, g.near_day, g.reason) for g in evidence.evidence_gaps(e, c, evidence.rule_matches(e, c), "e", "other").collect()}
+    assert got == {1: (0, 0, "no_nearby_chunks"), 3: (1, 2, "weak_category_terms"), 4: (0, 0, "no_nearby_chunks")}
