@@ -1,6 +1,7 @@
 """Known answers for windows, joins, aggregates, checks, chunks and streams."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -34,6 +35,14 @@ def test_rank_and_mean_of_the_others(spark):
     assert windows.peer_mean_ex_self(panel(spark, rows[:1]), ["dt"], "ret").head().peer_mean is None
 
 
+def test_ranks_of_values_that_differ_when_computed_again(spark):
+    again = F.udf(lambda i: i + int.from_bytes(os.urandom(4)) / 2**33, "double").asNondeterministic()  # like a sum whose parts arrive in any order
+    df = spark.range(40).select(F.lit("g").alias("g"), "id").repartition(4).withColumn("x", again("id"))
+    got = windows.cross_rank(df, ["g"], "x").orderBy("id").collect()
+    assert [r["rank"] for r in got] == list(range(40, 0, -1)) and all(r.n == 40 for r in got)
+    assert [round(40 * r.pct_rank) for r in windows.percentile_rank(df, ["g"], "x").orderBy("id").collect()] == list(range(1, 41))
+
+
 def test_trailing_needs_half_of_the_window(spark):
     p = panel(spark, [("a", D(f"2024-01-0{i}"), float(i)) for i in range(1, 7)])
     got = [r.ret_mean5 for r in windows.trailing(p, "code", "dt", "ret", (5,)).orderBy("dt").collect()]
