@@ -65,6 +65,34 @@ def test_hashed_vectors(spark):
     assert np.allclose(asked.head().vector, plain_vector("cat cat bird", counts, n, True, 32))
 
 
+def test_hashed_vectors_of_more_terms_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MAX_TERMS", 3)
+    r = np.random.default_rng(3)
+    texts = {i: " ".join(f"w{k}" for k in r.integers(0, 60, 40)) + " the of and" * (i % 3) for i in range(30)} | {30: "", 31: None}
+    docs = spark.createDataFrame(list(texts.items()), "k int, t string").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, df, n = retrieval.hashed_vectors(docs, "k", "t", width=40)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # frequent words meet their frequencies where they lie, the others are brought to their text before they are spread to sums
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "REPARTITION_BY_COL" in plan
+        counts = {x.term: x.df for x in df.collect()}
+        vectors = {x.id: x.vector for x in got.collect()}
+        asked, _, _ = retrieval.hashed_vectors(spark.createDataFrame([(1, "the w1 w2 unknown the")], "k int, t string"), "k", "t", df, n, query=True, width=40)
+        query = asked.head().vector
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(vectors) == set(texts) and vectors[30] is None and vectors[31] is None
+    assert all(np.allclose(vectors[i], plain_vector(texts[i], counts, n, False, 40)) for i in range(30))
+    assert np.allclose(query, plain_vector("the w1 w2 unknown the", counts, n, True, 40))
+
+
+def test_frequencies_that_are_broadcast(spark):
+    df = spark.createDataFrame([(f"t{i}", f) for i, f in enumerate([1, 1, 1, 2, 3, 4, 7, 8])], "term string, df long")
+    assert [retrieval._frequent(df, most) for most in (8, 7, 5, 4, 3, 1, 0)] == [1, 2, 2, 4, 4, 8, 1 << 62]
+    assert retrieval._frequent(df.limit(0), 5) == 1
+
+
 def areas(y, s):
     pairs = [(0.5 if a == b else float(a > b)) for a, la in zip(s, y, strict=True) if la for b, lb in zip(s, y, strict=True) if not lb]
     ap = sum(sum(lb for b, lb in zip(s, y, strict=True) if b >= a) / sum(b >= a for b in s) for a, la in zip(s, y, strict=True) if la) / max(sum(y), 1)
