@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tarnflow import registry
 from tarnflow.operators import reports, retrieval
 
 
@@ -93,6 +94,11 @@ def test_frequencies_that_are_broadcast(spark):
     assert retrieval._frequent(df.limit(0), 5) == 1
 
 
+def test_texts_and_vectors_stay_where_they_lie(spark):
+    plan = registry.QUERIES["se_semantic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan  # hits meet texts and queries; vectors were ranked before
+
+
 def areas(y, s):
     pairs = [(0.5 if a == b else float(a > b)) for a, la in zip(s, y, strict=True) if la for b, lb in zip(s, y, strict=True) if not lb]
     ap = sum(sum(lb for b, lb in zip(s, y, strict=True) if b >= a) / sum(b >= a for b in s) for a, la in zip(s, y, strict=True) if la) / max(sum(y), 1)
